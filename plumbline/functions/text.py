@@ -8,7 +8,7 @@ from plumbline.functions.hashing import sha256
 
 # ---- fixed values -------------------------------------------------------------------------
 # Whitespace as defined for ECMAScript ``\s`` and ``trim``.
-WHITESPACE = r"[\t\n\x0B\f\r    -     　﻿]"
+WHITESPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 SPOKEN_ROLES = ("user", "assistant")
 SYSTEM_ROLES = ("system", "developer")
 CHARS_PER_TOKEN = 4
