@@ -220,7 +220,7 @@ def samples_per_item(gens: DataFrame, verifier: Column, limit: int = MAX_REPLICA
         F.max(F.when(F.col("replicate_idx") == i, F.struct("_answer")))["_answer"] for i in range(limit)
     ]
     grouped = answered.groupBy("slug", "model").agg(
-        F.bit_or(F.shiftleft(F.lit(1), F.col("replicate_idx").cast("int"))).alias("_mask"),
+        F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("replicate_idx").cast("int"))).alias("_mask"),
         F.array(*slots).alias("_answers"),
         F.max(F.when(F.col("replicate_idx") == 0, F.struct("text", "input_tokens", "output_tokens"))).alias("first"),
     )
@@ -234,7 +234,7 @@ def samples_per_item(gens: DataFrame, verifier: Column, limit: int = MAX_REPLICA
 def contiguous_replicates(gens: DataFrame, limit: int = MAX_REPLICATES) -> DataFrame:
     """Replicates used per (slug, model): those before the first missing index."""
     masks = gens.filter(F.col("replicate_idx").between(0, limit - 1)).groupBy("slug", "model").agg(
-        F.bit_or(F.shiftleft(F.lit(1), F.col("replicate_idx").cast("int"))).alias("_mask")
+        F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("replicate_idx").cast("int"))).alias("_mask")
     )
     return masks.select("slug", "model", usable_samples(F.col("_mask"), limit).alias("samples"))
 
