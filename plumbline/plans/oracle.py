@@ -81,8 +81,8 @@ CTES["traces"] = f"""SELECT event_id AS id, 'req-'||(event_id-event_id%2) AS req
   CASE event_id%4 WHEN 0 THEN '{{"choices":[{{"message":{{"content":"r'||{_K}||'"}}}}]}}' WHEN 1 THEN '{{}}' ELSE '{{"text":"r'||{_K}||'"}}' END AS response_body,
   sha256({_BODY}) AS request_hash,
   CASE WHEN event_id%11=0 THEN NULL ELSE (event_type='error' OR value>60.0) END AS counts FROM events"""
-CTES["event_log"] = f"""SELECT request_id, seq, kind, at, model, input_tokens, output_tokens, delta FROM (
-  SELECT event_id AS request_id, s.seq, s.kind, ts + to_seconds(s.seq) AS at, {model('event_id')} AS model,
+CTES["event_log"] = f"""SELECT request_id, seq, kind, seen_at, model, input_tokens, output_tokens, delta FROM (
+  SELECT event_id AS request_id, s.seq, s.kind, ts + to_seconds(s.seq) AS seen_at, {model('event_id')} AS model,
     CASE WHEN s.seq=0 THEN {_K} END AS input_tokens,
     CASE s.seq WHEN 0 THEN 1 WHEN 2 THEN floor(floor(value)/2)::BIGINT WHEN 5 THEN floor(value)::BIGINT END AS output_tokens,
     CASE s.seq WHEN 1 THEN event_type WHEN 3 THEN '-'||{_K} WHEN 4 THEN 'hm' END AS delta
@@ -91,8 +91,8 @@ CTES["event_log"] = f"""SELECT request_id, seq, kind, at, model, input_tokens, o
 CTES["assembled"] = """SELECT request_id, max(model) AS model, coalesce(max_by(input_tokens,seq) FILTER (input_tokens IS NOT NULL),0)::BIGINT AS input_tokens,
   coalesce(max_by(output_tokens,seq) FILTER (output_tokens IS NOT NULL),0)::BIGINT AS output_tokens,
   coalesce(string_agg(delta,'' ORDER BY seq) FILTER (kind='text'),'') AS text, coalesce(sum(length(delta)) FILTER (kind='thinking'),0)::BIGINT AS thinking_chars,
-  count(*) AS events, min(at) AS created_at, (epoch_us(max(at))//1000 - epoch_us(min(at))//1000) AS latency_ms,
-  (epoch_us(min(at) FILTER (kind='text'))//1000 - epoch_us(min(at))//1000) AS ttft_ms, bool_or(kind='finish') AS usage_is_final,
+  count(*) AS events, min(seen_at) AS created_at, (epoch_us(max(seen_at))//1000 - epoch_us(min(seen_at))//1000) AS latency_ms,
+  (epoch_us(min(seen_at) FILTER (kind='text'))//1000 - epoch_us(min(seen_at))//1000) AS ttft_ms, bool_or(kind='finish') AS usage_is_final,
   CASE WHEN bool_or(kind='finish') THEN 'stop' ELSE 'length' END AS finish_reason, CASE WHEN NOT bool_or(kind='finish') THEN 'stream_abort' END AS error_kind
   FROM event_log GROUP BY request_id"""
 CTES["labelled"] = f"""SELECT d.doc_id, 'doc-'||d.doc_id AS pair_id, lang AS task_type, CASE WHEN quality=1 AND toxic=0 THEN 'win' WHEN quality=1 THEN 'tie' ELSE 'loss' END AS human,
@@ -219,7 +219,7 @@ def bucket(score: str, grid) -> str:
 
 
 def grid_values(grid) -> str:
-    return "(VALUES " + ",".join(f"({float(t)!r}::DOUBLE,{i})" for i, t in enumerate(grid)) + ") g(threshold,at)"
+    return "(VALUES " + ",".join(f"({float(t)!r}::DOUBLE,{i})" for i, t in enumerate(grid)) + ") g(threshold,pos)"
 
 
 CELL_COLUMNS = ", ".join(
