@@ -39,7 +39,7 @@ def as_number(text: Column) -> Column:
 def extract_final_number(text: Column) -> Column:
     """Last number after the last answer marker, else the last number of the text."""
     tail = F.regexp_replace(text, f"(?is)^.*{FINAL_ANSWER_MARKER}", "")
-    return as_number(F.coalesce(_last_number(tail), _last_number(text)))
+    return F.translate(F.coalesce(_last_number(tail), _last_number(text)), ",", "").try_cast("double")
 
 
 def extract_choice(text: Column) -> Column:

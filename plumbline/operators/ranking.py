@@ -66,7 +66,7 @@ def hash_rank(
 
 def running_total(
     df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], amount: Column, out: str,
-    unit: str = "second",
+    unit: str = "minute",
 ) -> DataFrame:
     """Sum of ``amount`` over all earlier rows of the key and this one, in time order."""
     keys = list(keys)

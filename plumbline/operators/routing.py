@@ -76,16 +76,18 @@ def build_records(items: DataFrame, samples: DataFrame, catalog: DataFrame, mode
                           answers.verify(F.col("verifier"), F.col("text"), F.col("ground_truth")))
     )
     priced = price_usage(graded, catalog)
+    # An item has one row per model by now, so this window never holds more than the ladder.
+    of_item = Window.partitionBy("slug")
     cheap_agreement = F.when(F.col("model") == models[0], F.col("agreement"))
-    status = priced.groupBy("slug").agg(
-        F.count("success").alias("_n_models"), F.max(cheap_agreement).alias("_cheap_agreement"))
+    status = priced.withColumn("_n_models", F.count("success").over(of_item)).withColumn(
+        "_cheap_agreement", F.max(cheap_agreement).over(of_item))
     reason = (
         F.when(~F.col("_gradable"), F.lit("not_gradable"))
         .when(F.col("_n_models") != len(models), F.lit("incomplete"))
     )
     if require_agreement:
         reason = reason.when(F.col("_cheap_agreement").isNull(), F.lit("no_agreement"))
-    return priced.join(status, "slug").select(
+    return status.select(
         "slug", "task_type", "split", "model", "success", "cost_nano", "agreement", reason.alias("skip_reason"))
 
 

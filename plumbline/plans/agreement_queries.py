@@ -93,7 +93,7 @@ def judge_diagnostics(spark, d):
     return ag.judge_diagnostics(_JOINED(spark, d))
 
 
-_PROFILE = """SELECT coalesce(sum(n),0) AS disagreements, coalesce(sum(w),0) AS toward_win, coalesce(sum(l),0) AS toward_loss, coalesce(sum(f),0) AS fast, max_by(task_type,(n,task_type)) AS top_task, coalesce(max(n),0) AS top_task_n FROM (
+_PROFILE = """SELECT coalesce(sum(n),0)::BIGINT AS disagreements, coalesce(sum(w),0)::BIGINT AS toward_win, coalesce(sum(l),0)::BIGINT AS toward_loss, coalesce(sum(f),0)::BIGINT AS fast, max_by(task_type,(n,task_type)) AS top_task, coalesce(max(n),0) AS top_task_n FROM (
   SELECT task_type, count(*) AS n, count(*) FILTER (outcome='win') AS w, count(*) FILTER (outcome='loss') AS l, count(*) FILTER (elapsed_ms>0 AND elapsed_ms<5000) AS f
   FROM joined WHERE status='compared' AND human<>outcome GROUP BY task_type)"""
 
@@ -113,7 +113,8 @@ def diagnose(spark, d):
 
 @registered("calibration_report")
 def calibration_report(spark, d):
-    return ag.calibration_report(fx.labels(spark, d), fx.judgments(spark, d), _discriminable(spark, d))
+    report = ag.calibration_report(fx.labels(spark, d), fx.judgments(spark, d), _discriminable(spark, d))
+    return report.withColumn("findings", F.array_join("findings", ","))
 
 
 _FIRST = "SELECT DISTINCT slug, model, text FROM generations WHERE replicate_idx=0"

@@ -61,8 +61,8 @@ def cache_stats(spark, d):
 
 
 _OUT = "least(CASE task_type WHEN 'math_word_problem' THEN 650 WHEN 'multiple_choice' THEN 650 WHEN 'summarization' THEN 220 WHEN 'long_form_qa' THEN 420 WHEN 'support_reply' THEN 260 ELSE 300 END, max_output_tokens)"
-_PROJ = f"""SELECT model, sum(replicates) AS calls, sum(replicates*greatest(1,prompt_chars//4)) AS input_tokens, sum(replicates*{_OUT}) AS output_tokens,
-  sum(replicates*greatest(1,prompt_chars//4))*any_value(input_nano)+sum(replicates*{_OUT})*any_value(output_nano) AS cost_nano
+_PROJ = f"""SELECT model, sum(replicates)::BIGINT AS calls, sum(replicates*greatest(1,prompt_chars//4))::BIGINT AS input_tokens, sum(replicates*{_OUT})::BIGINT AS output_tokens,
+  (sum(replicates*greatest(1,prompt_chars//4))*any_value(input_nano)+sum(replicates*{_OUT})*any_value(output_nano))::BIGINT AS cost_nano
   FROM items JOIN reps USING (slug), catalog GROUP BY model"""
 
 
@@ -78,8 +78,8 @@ def project_cost(spark, d):
 
 
 _SUMMARY = """SELECT model, count(*) AS calls_attempted, count(*) FILTER (error_kind IS NULL) AS calls_succeeded, count(*) FILTER (error_kind IS NOT NULL) AS calls_failed,
-  count(*) FILTER (from_cache) AS cache_hits, sum(CASE WHEN error_kind IS NULL THEN input_tokens ELSE 0 END) AS input_tokens,
-  sum(CASE WHEN error_kind IS NULL THEN output_tokens ELSE 0 END) AS output_tokens, sum(CASE WHEN from_cache THEN 0 ELSE cost_nano END) AS cost_nano,
+  count(*) FILTER (from_cache) AS cache_hits, sum(CASE WHEN error_kind IS NULL THEN input_tokens ELSE 0 END)::BIGINT AS input_tokens,
+  sum(CASE WHEN error_kind IS NULL THEN output_tokens ELSE 0 END)::BIGINT AS output_tokens, sum(CASE WHEN from_cache THEN 0 ELSE cost_nano END)::BIGINT AS cost_nano,
   count(*) FILTER (error_kind IS NULL AND NOT usage_is_final) AS unconfirmed_usage_calls,
   count(*) FILTER (error_kind IS NULL AND passed IS NOT NULL) AS graded_n,
   floor(quantile_cont(latency_ms,0.5) FILTER (error_kind IS NULL AND NOT from_cache AND latency_ms>0))::BIGINT AS median_latency_ms,
@@ -115,17 +115,17 @@ _RUNNING = """SELECT id, created_at, created_at::DATE AS day, cost_nano, sum(cos
 
 
 @registered("cumulative_spend", o.query(
-    "SELECT id, day, spent_nano, greatest(0,400000000-spent_nano)::BIGINT AS remaining_nano, spent_nano>400000000 AS over_cap FROM running", "traces", running=_RUNNING))
+    "SELECT id, day, spent_nano, greatest(0,80000000-spent_nano)::BIGINT AS remaining_nano, spent_nano>80000000 AS over_cap FROM running", "traces", running=_RUNNING))
 def cumulative_spend(spark, d):
     traces = fx.traces(spark, d).withColumn("day", F.to_date("created_at"))
-    return costing.cumulative_spend(traces, 400_000_000, ["day"]).select("id", "day", "spent_nano", "remaining_nano", "over_cap")
+    return costing.cumulative_spend(traces, 80_000_000, ["day"]).select("id", "day", "spent_nano", "remaining_nano", "over_cap")
 
 
 @registered("first_over_cap", o.query(
-    "SELECT day, arg_min(id, spent_nano) AS id, min(spent_nano)::BIGINT AS spent_nano FROM running WHERE spent_nano>400000000 GROUP BY day", "traces", running=_RUNNING))
+    "SELECT day, arg_min(id, spent_nano) AS id, min(spent_nano)::BIGINT AS spent_nano FROM running WHERE spent_nano>80000000 GROUP BY day", "traces", running=_RUNNING))
 def first_over_cap(spark, d):
     traces = fx.traces(spark, d).withColumn("day", F.to_date("created_at"))
-    return costing.first_over_cap(traces, 400_000_000, ["day"]).select("day", "id", "spent_nano")
+    return costing.first_over_cap(traces, 80_000_000, ["day"]).select("day", "id", "spent_nano")
 
 
 _MASK = """SELECT slug, model, coalesce(min(i) FILTER (NOT present), 8)::INT AS samples FROM (

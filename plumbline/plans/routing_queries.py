@@ -28,13 +28,14 @@ def free_form(spark, d):
 
 
 @registered("assert_disjoint", o.query(
-    """SELECT (SELECT count(*) FROM both_sides) AS overlap, coalesce((SELECT list(slug ORDER BY slug) FROM (SELECT slug FROM both_sides ORDER BY slug LIMIT 5)),[]) AS examples,
+    """SELECT (SELECT count(*) FROM both_sides) AS overlap, coalesce((SELECT string_agg(slug,',' ORDER BY slug) FROM (SELECT slug FROM both_sides ORDER BY slug LIMIT 5)),'') AS examples,
        (SELECT count(*) FROM both_sides)>0 AS leak""", "items",
     both_sides="SELECT slug FROM items WHERE split='dev' INTERSECT SELECT 'item-'||l_orderkey FROM lineitem"))
 def assert_disjoint(spark, d):
     """Do items of the fitting split turn up in another table? They do, and the guard says so."""
     shipped = fx.load(spark, d, "lineitem").select(F.concat(F.lit("item-"), "l_orderkey").alias("slug"))
-    return routing.assert_disjoint(routing.select_split(fx.items(spark, d), "dev"), shipped)
+    found = routing.assert_disjoint(routing.select_split(fx.items(spark, d), "dev"), shipped)
+    return found.withColumn("examples", F.array_join("examples", ","))
 
 
 _EVIDENCE = f"""SELECT a.slug, a.model, {_PASSED.replace('ground_truth::DOUBLE', 'try_cast(ground_truth AS DOUBLE)')} AS success FROM answers a JOIN used u ON a.slug=u.slug AND a.model=u.model AND u.samples>0 WHERE replicate_idx=0"""
@@ -63,7 +64,7 @@ def build_records(spark, d):
 @registered("record_stats", o.query(
     """SELECT count(*) FILTER (skip_reason IS NULL) AS items, count(*) FILTER (skip_reason='not_gradable') AS skipped_not_gradable,
        count(*) FILTER (skip_reason='incomplete') AS skipped_incomplete, count(*) FILTER (skip_reason='no_agreement') AS skipped_no_agreement,
-       sum(3-found) FILTER (skip_reason IS DISTINCT FROM 'not_gradable') AS lookups_missed FROM status""", "generations", "items", **_RECORD_CTES))
+       (sum(3-found) FILTER (skip_reason IS DISTINCT FROM 'not_gradable'))::BIGINT AS lookups_missed FROM status""", "generations", "items", **_RECORD_CTES))
 def record_stats(spark, d):
     return routing.record_stats(_built(spark, d), fx.LADDER)
 

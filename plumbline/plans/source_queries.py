@@ -60,7 +60,7 @@ def records_roundtrip(spark, d):
 
 
 @registered("generation_store", o.query(
-    """SELECT model, count(*) AS stored, sum(output_tokens) AS output_tokens, (SELECT count(DISTINCT slug||model) FROM generations g2 WHERE replicate_idx=1 AND g2.model=f.model
+    """SELECT model, count(*) AS stored, sum(output_tokens)::BIGINT AS output_tokens, (SELECT count(DISTINCT slug||model) FROM generations g2 WHERE replicate_idx=1 AND g2.model=f.model
          AND slug||model NOT IN (SELECT slug||model FROM generations WHERE replicate_idx=0)) AS missing FROM firsts f GROUP BY model""", "generations",
     firsts="SELECT DISTINCT slug, model, text, output_tokens FROM generations WHERE replicate_idx=0"))
 def generation_store(spark, d):

@@ -81,9 +81,9 @@ def stream_failure_runs(spark, d):
 
 
 @registered("stream_cap_alert", o.query(
-    "SELECT created_at::DATE AS day, arg_min(id, spent) AS id, min(spent)::BIGINT AS spent_nano FROM (SELECT *, sum(cost_nano) OVER (PARTITION BY created_at::DATE ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS spent FROM traces) WHERE spent>400000000 GROUP BY 1", "traces"))
+    "SELECT created_at::DATE AS day, arg_min(id, spent) AS id, min(spent)::BIGINT AS spent_nano FROM (SELECT *, sum(cost_nano) OVER (PARTITION BY created_at::DATE ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS spent FROM traces) WHERE spent>80000000 GROUP BY 1", "traces"))
 def stream_cap_alert(spark, d):
-    out = carried(fx.trace_columns(event_stream(spark, d)), jobs.cap_alert_step(400_000_000), jobs.CAP_STATE,
+    out = carried(fx.trace_columns(event_stream(spark, d)), jobs.cap_alert_step(80_000_000), jobs.CAP_STATE,
                   "day date, id bigint, created_at timestamp, spent_nano bigint", "stream-cap")
     return out.select("day", "id", "spent_nano")
 

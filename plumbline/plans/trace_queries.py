@@ -212,21 +212,22 @@ def cache_keys(spark, d):
 
 
 @registered("validate_requests", o.query(
-    """SELECT request_id, list_filter([CASE WHEN role='system' THEN 'non_system_message' END, CASE WHEN n IS NOT NULL AND n<>1 THEN 'n' END,
+    """SELECT request_id, array_to_string(list_filter([CASE WHEN role='system' THEN 'non_system_message' END, CASE WHEN n IS NOT NULL AND n<>1 THEN 'n' END,
        CASE WHEN temperature IS NOT NULL AND NOT temperature BETWEEN 0 AND 2 THEN 'temperature' END, CASE WHEN top_p IS NOT NULL AND NOT (top_p>0 AND top_p<=1) THEN 'top_p' END,
-       CASE WHEN stops IS NOT NULL AND stops>4 THEN 'stop' END, CASE WHEN max_tokens IS NOT NULL AND max_tokens<=0 THEN 'max_tokens' END], lambda x: x IS NOT NULL) AS failed_rules FROM requests""", "requests"))
+       CASE WHEN stops IS NOT NULL AND stops>4 THEN 'stop' END, CASE WHEN max_tokens IS NOT NULL AND max_tokens<=0 THEN 'max_tokens' END], lambda x: x IS NOT NULL),',') AS failed_rules FROM requests""", "requests"))
 def validate_requests(spark, d):
-    return rules.validate_requests(fx.requests(spark, d)).select("request_id", "failed_rules")
+    return rules.validate_requests(fx.requests(spark, d)).select("request_id", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
 @registered("parameter_compat", o.query(
-    """SELECT request_id, CASE WHEN bad AND pinned THEN given[1] END AS rejected_param, CASE WHEN bad AND NOT pinned THEN given ELSE [] END AS dropped_params,
+    """SELECT request_id, CASE WHEN bad AND pinned THEN given[1] END AS rejected_param, CASE WHEN bad AND NOT pinned THEN array_to_string(given,',') ELSE '' END AS dropped_params,
        least(coalesce(max_completion_tokens,max_tokens,4096),max_output_tokens) AS output_cap FROM (
        SELECT *, NOT supports_sampling_params AND len(given)>0 AS bad FROM (SELECT r.*, c.max_output_tokens, c.supports_sampling_params,
          list_filter([CASE WHEN temperature IS NOT NULL THEN 'temperature' END, CASE WHEN top_p IS NOT NULL THEN 'top_p' END], lambda x: x IS NOT NULL) AS given FROM requests r JOIN catalog c ON c.model=r.target))""", "requests", "catalog"))
 def parameter_compat(spark, d):
     targeted = fx.requests(spark, d).drop("model").withColumnRenamed("target", "model")
-    return rules.parameter_compat(targeted, fx.catalog(spark), 4096).select("request_id", "rejected_param", "dropped_params", "output_cap")
+    return rules.parameter_compat(targeted, fx.catalog(spark), 4096).select(
+        "request_id", "rejected_param", F.array_join("dropped_params", ",").alias("dropped_params"), "output_cap")
 
 
 _FILES = """SELECT page_id//3 AS pr, CASE page_id%5 WHEN 0 THEN 'prompts/README.md' WHEN 1 THEN 'src/'||page_id||'.py' WHEN 2 THEN 'prompts/judge.md' WHEN 3 THEN regexp_replace(url,'^http://','') ELSE 'prompts/a/CHANGELOG.md' END AS filename FROM pages"""

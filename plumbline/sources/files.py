@@ -96,8 +96,8 @@ class KeyedStore:
     An unreadable file is a miss. Writes append only keys that are not there yet, each once.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "cache_key") -> None:
-        self.spark, self.path, self.key = spark, path, key
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "cache_key", prefix_chars: int = 1) -> None:
+        self.spark, self.path, self.key, self.prefix_chars = spark, path, key, prefix_chars
         self.schema = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField("prefix", T.StringType())])
 
     def table(self) -> DataFrame:
@@ -118,7 +118,7 @@ class KeyedStore:
     def put(self, rows: DataFrame) -> None:
         content = [c for c in rows.columns if c != self.key]
         once = rows.groupBy(self.key).agg(F.min(F.struct(*content)).alias("_r")).select(self.key, "_r.*")
-        fresh = self.missing(once).withColumn("prefix", F.substring(self.key, 1, 2))
+        fresh = self.missing(once).withColumn("prefix", F.substring(self.key, 1, self.prefix_chars))
         # Rows of a prefix are written together, so a batch adds at most a few files per prefix.
         fresh.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(self.path)
 
