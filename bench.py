@@ -20,7 +20,7 @@ from plumbline.plans import fixtures as fx, registry  # noqa: E402
 from plumbline.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "compare_runs", "mcnemar", "sweep", "fit_and_report", "fit_offline_policy", "build_records", "grade_generations", "self_consistency",
+    "compare_runs", "mcnemar", "cascade_outcomes", "sweep", "fit_and_report", "fit_offline_policy", "build_records", "grade_generations", "self_consistency",
     "run_summary", "project_cost", "assemble_traces", "spend_by_hour", "cumulative_spend", "failure_runs", "latency_profile",
     "hard_negatives", "semantic_lookup", "calibrate_threshold", "build_corpus", "assign_splits", "dedupe_first", "fingerprint",
     "score_judge_log", "calibration_report", "request_keys", "conversation_keys", "route_traffic", "stream_spend", "assemble_traces_stream",
@@ -56,7 +56,7 @@ def naive_neighbours(spark, d):
     return scored.withColumn("rk", best).filter("rk = 1").select("slug", "s2", "s")
 
 
-NAIVE = {"sweep": naive_sweep, "compare_runs": naive_resampling, "hard_negatives": naive_neighbours}
+NAIVE = {"cascade_outcomes": naive_sweep, "compare_runs": naive_resampling, "hard_negatives": naive_neighbours}
 
 
 def timed(query, spark, d) -> float:

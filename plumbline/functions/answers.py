@@ -44,9 +44,14 @@ def extract_final_number(text: Column) -> Column:
 
 def extract_choice(text: Column) -> Column:
     """Last marked option letter, else the last letter that stands alone."""
-    marked = _last(F.regexp_extract_all(text, F.lit(f"(?iU){CHOICE_MARKER}"), F.lit(1)))
-    bare = _last(F.regexp_extract_all(text, F.lit(f"(?U){BARE_CHOICE}"), F.lit(1)))
-    return F.upper(F.coalesce(marked, bare))
+    def read(flag: str) -> Column:
+        marked = _last(F.regexp_extract_all(text, F.lit(f"(?i{flag}){CHOICE_MARKER}"), F.lit(1)))
+        bare = _last(F.regexp_extract_all(text, F.lit(f"(?-i{flag}){BARE_CHOICE}"), F.lit(1)))
+        return F.coalesce(marked, bare)
+
+    # Unicode word and space classes are slower and change nothing in ASCII text.
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.upper(F.when(ascii_only, read("")).otherwise(read("U")))
 
 
 def _numbers_agree(output: Column, truth: Column) -> Column:

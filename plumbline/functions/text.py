@@ -23,7 +23,8 @@ def trim_ws(text: Column) -> Column:
 
 
 def canonical_turn(role: Column, content: Column) -> Column:
-    collapsed = trim_ws(F.regexp_replace(content, f"{WHITESPACE}+", " "))
+    # Once runs are single spaces, the native trim is enough.
+    collapsed = F.trim(F.regexp_replace(content, f"{WHITESPACE}+", " "))
     return F.concat(F.lower(trim_ws(role)), F.lit(":"), collapsed)
 
 
@@ -31,14 +32,29 @@ def canonicalise(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: canonical_turn(m["role"], m["content"])), "\n")
 
 
-def _spoken(messages: Column) -> Column:
+def spoken_turns(messages: Column) -> Column:
     spoken = F.filter(messages, lambda m: m["role"].isin(*SPOKEN_ROLES))
     return F.when(F.size(spoken) > 0, spoken).otherwise(messages)
 
 
+def canonical_turns(messages: Column) -> Column:
+    """ARRAY of STRUCT(role, line, chars): the canonical line and raw length of every turn."""
+    return F.transform(messages, lambda m: F.struct(
+        m["role"].alias("role"), canonical_turn(m["role"], m["content"]).alias("line"), F.length(m["content"]).alias("chars")))
+
+
+def joined_lines(turns: Column) -> Column:
+    return F.array_join(F.transform(turns, lambda t: t["line"]), "\n")
+
+
+def joined_chars(turns: Column) -> Column:
+    """Length of the turns' contents joined by a blank line."""
+    return F.aggregate(turns, F.lit(0), lambda s, t: s + t["chars"]) + 2 * (F.greatest(F.size(turns), F.lit(1)) - 1)
+
+
 def embedding_text(messages: Column) -> Column:
     """Canonical text of the user and assistant turns; of all turns if there are none."""
-    return canonicalise(_spoken(messages))
+    return canonicalise(spoken_turns(messages))
 
 
 def prompt_text(messages: Column) -> Column:
@@ -46,7 +62,7 @@ def prompt_text(messages: Column) -> Column:
 
 
 def user_prompt_text(messages: Column) -> Column:
-    return prompt_text(_spoken(messages))
+    return prompt_text(spoken_turns(messages))
 
 
 def json_string(text: Column) -> Column:

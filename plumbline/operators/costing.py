@@ -203,32 +203,35 @@ def usable_samples(mask: Column, limit: int = MAX_REPLICATES) -> Column:
 def self_consistency(answers_by_idx: Column, usable: Column) -> Column:
     """Share of the modal answer; a sample nobody can read counts as its own answer."""
     used = F.slice(answers_by_idx, F.lit(1), usable)
-    named = F.transform(used, lambda a, i: F.coalesce(a, F.concat(F.lit("__unparsed_"), i.cast("string"))))
-    top = F.array_max(F.transform(named, lambda a: F.size(F.filter(named, lambda b: b == a))))
-    return F.when(usable > 0, top / usable)
+    alike = F.transform(used, lambda a: F.when(a.isNull(), F.lit(1)).otherwise(F.size(F.filter(used, lambda b: b == a))))
+    return F.when(usable > 0, F.array_max(alike) / usable)
 
 
-def samples_per_item(gens: DataFrame, verifier: Column, limit: int = MAX_REPLICATES) -> DataFrame:
-    """One row per (slug, model): usable replicates, agreement and the graded first sample.
+def samples_per_item(gens: DataFrame, limit: int = MAX_REPLICATES) -> DataFrame:
+    """One row per (slug, model): usable replicates, agreement, and the graded first sample.
 
-    A single aggregation with a fixed number of slots, so no group is ever collected.
+    ``gens`` carries the verifier and ground truth of its item. Texts are read where they lie: an
+    answer becomes a 64-bit hash in the slot of its replicate, the first sample becomes a flag and
+    its token counts. So only numbers are shuffled, no group is collected, and the aggregation
+    runs on fixed-width buffers. Repeated copies of a sample count once.
     """
-    answered = gens.filter(F.col("replicate_idx").between(0, limit - 1)).withColumn(
-        "_answer", answers.extract_answer(verifier, F.col("text"))
-    )
-    slots = [
-        F.max(F.when(F.col("replicate_idx") == i, F.struct("_answer")))["_answer"] for i in range(limit)
-    ]
-    grouped = answered.groupBy("slug", "model").agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("replicate_idx").cast("int"))).alias("_mask"),
-        F.array(*slots).alias("_answers"),
-        F.max(F.when(F.col("replicate_idx") == 0, F.struct("text", "input_tokens", "output_tokens"))).alias("first"),
-    )
-    usable = usable_samples(F.col("_mask"), limit)
-    return grouped.select(
-        "slug", "model", usable.alias("samples"),
-        F.when(usable > 1, self_consistency(F.col("_answers"), usable)).alias("agreement"), "first",
+    idx = F.col("replicate_idx")
+    answer = answers.extract_answer(F.col("verifier"), F.col("text"))
+    read = gens.filter(idx.between(0, limit - 1)).select(
+        "slug", "model", "replicate_idx", "input_tokens", "output_tokens", answer.alias("_text"),
+        F.when(idx == 0, answers.verify(F.col("verifier"), F.col("text"), F.col("ground_truth"))).alias("_passed"),
+    ).withColumn("_answer", F.when(F.col("_text").isNotNull(), F.xxhash64("_text")))
+    first = lambda c: F.max(F.when(idx == 0, F.col(c)))
+    grouped = read.groupBy("slug", "model").agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1), idx.cast("int"))).alias("_mask"),
+        *[F.max(F.when(idx == i, F.col("_answer"))).alias(f"_a{i}") for i in range(limit)],
+        first("_passed").alias("success"), first("input_tokens").alias("input_tokens"), first("output_tokens").alias("output_tokens"),
     )
+    counted = grouped.withColumn("samples", usable_samples(F.col("_mask"), limit))
+    slots = F.array(*[F.col(f"_a{i}") for i in range(limit)])
+    return counted.select(
+        "slug", "model", "samples", F.when(F.col("samples") > 1, self_consistency(slots, F.col("samples"))).alias("agreement"),
+        "success", "input_tokens", "output_tokens")
 
 
 def contiguous_replicates(gens: DataFrame, limit: int = MAX_REPLICATES) -> DataFrame:

@@ -55,6 +55,14 @@ def require_disjoint(fit: DataFrame, report: DataFrame) -> None:
         raise ValueError(f"{row['overlap']} item(s) are in both the fitting and the reporting set, e.g. {row['examples']}")
 
 
+def require_one_split(records: DataFrame) -> None:
+    """The same guard for a table that holds both sides: no item may carry two splits."""
+    per_item = records.groupBy("slug").agg(F.min("split").alias("_a"), F.max("split").alias("_b"))
+    shared = per_item.filter(F.col("_a") != F.col("_b")).select("slug").orderBy("slug").limit(5).collect()
+    if shared:
+        raise ValueError(f"items in more than one split, e.g. {[r['slug'] for r in shared]}")
+
+
 def build_records(items: DataFrame, samples: DataFrame, catalog: DataFrame, models: Sequence[str],
                   require_agreement: bool = True) -> DataFrame:
     """Per item: why it is skipped, or its long-form evidence for every model.
@@ -62,20 +70,11 @@ def build_records(items: DataFrame, samples: DataFrame, catalog: DataFrame, mode
     ``samples`` is the output of ``samples_per_item``. Returns one row per (slug, model) with
     ``skip_reason``; NULL marks usable rows. The first model is the cheap one whose agreement counts.
     """
-    from plumbline.functions import answers
     from plumbline.operators.costing import price_usage
 
     graded_items = items.withColumn("_gradable", F.col("verifier").isNotNull() & F.col("ground_truth").isNotNull())
-    found = samples.filter(F.col("model").isin(*models) & (F.col("samples") > 0)).select(
-        "slug", "model", "agreement", F.col("first.text").alias("text"),
-        F.col("first.input_tokens").alias("input_tokens"), F.col("first.output_tokens").alias("output_tokens"),
-    )
-    joined = graded_items.join(found, "slug", "left")
-    graded = joined.withColumn(
-        "success", F.when(F.col("text").isNotNull(),
-                          answers.verify(F.col("verifier"), F.col("text"), F.col("ground_truth")))
-    )
-    priced = price_usage(graded, catalog)
+    found = samples.filter(F.col("model").isin(*models) & (F.col("samples") > 0))
+    priced = price_usage(graded_items.join(found, "slug", "left"), catalog)
     # An item has one row per model by now, so this window never holds more than the ladder.
     of_item = Window.partitionBy("slug")
     cheap_agreement = F.when(F.col("model") == models[0], F.col("agreement"))
@@ -300,21 +299,23 @@ def fit_and_report(records: DataFrame, cheap: str, strong: str, ladder: Sequence
     sweep, so it is evaluated on data that played no part in choosing it.
     """
     both = records.filter(F.col("split").isin(FIT_SPLIT, REPORT_SPLIT))
-    require_disjoint(select_split(both, FIT_SPLIT), select_split(both, REPORT_SPLIT))
+    require_one_split(both)
     points = sweep(cascade_inputs(both, cheap, strong, k_samples, verifier_cost_nano), grid, margin=margin)
-    chosen = operating_point(points.filter(F.col("split") == FIT_SPLIT)).select(
-        F.lit(1).alias("_one"), F.col("threshold").alias("chosen_threshold"))
-    held = points.filter(F.col("split") == REPORT_SPLIT).select(
-        F.col("threshold").alias("chosen_threshold"), F.col("quality").alias("held_out_quality"),
-        F.col("cost_ratio").alias("held_out_cost_ratio"), F.col("outcome").alias("held_out_outcome"),
-        F.col("n").alias("held_out_n"))
+    # The sweep is one row per split and threshold; both roles are read off it in one go.
+    usable = (F.col("split") == FIT_SPLIT) & F.col("eligible")
+    cheapest = F.struct(F.col("mean_cost_nano"), -F.col("quality"), F.col("threshold"))
+    choice = F.min_by(F.when(usable, F.col("threshold")), F.when(usable, cheapest))
+    marked = points.withColumn("chosen_threshold", choice.over(Window.partitionBy()))
+    held = (F.col("split") == REPORT_SPLIT) & (F.col("threshold") == F.col("chosen_threshold"))
+    result = marked.agg(
+        F.max("chosen_threshold").alias("chosen_threshold"),
+        *[F.max(F.when(held, F.col(c))).alias(f"held_out_{c}") for c in ("quality", "cost_ratio", "outcome", "n")],
+        F.max(F.when(F.col("split") == REPORT_SPLIT, F.col("baseline_mean_cost_nano"))).alias("strong_mean_cost_nano"))
     policy = fit_offline_policy(select_split(both, FIT_SPLIT), ladder, safe_default, floor)
     served = policy_cost(select_split(both, REPORT_SPLIT), policy).select(
-        F.lit(1).alias("_one"), F.col("mean_cost_nano").alias("policy_mean_cost_nano"),
-        F.col("quality").alias("policy_quality"))
-    base = select_split(both, REPORT_SPLIT).filter(F.col("model") == strong).agg(
-        F.lit(1).alias("_one"), (F.sum("cost_nano") / F.count(F.lit(1))).alias("strong_mean_cost_nano"))
-    joined = chosen.join(held, "chosen_threshold", "left").join(served, "_one").join(base, "_one").drop("_one")
+        F.col("mean_cost_nano").alias("policy_mean_cost_nano"), F.col("quality").alias("policy_quality"))
+    one = F.lit(1).alias("_one")
+    joined = result.select("*", one).join(served.select("*", one), "_one").drop("_one")
     return joined.withColumn(
         "policy_cost_ratio",
         F.when(F.col("strong_mean_cost_nano") > 0, F.col("policy_mean_cost_nano") / F.col("strong_mean_cost_nano")).otherwise(0.0),

@@ -236,16 +236,19 @@ def failure_runs(traces: DataFrame, threshold: int = BREAKER_THRESHOLD, provider
 
 def request_keys(requests: DataFrame) -> DataFrame:
     """Canonical text, keys and token estimates of requests that carry their messages as an array."""
-    canonical = text.canonicalise(F.col("messages"))
-    prompt = text.prompt_text(F.col("messages"))
-    return requests.withColumn("_canonical", canonical).select(
+    # Every turn is normalised once; all keys and sizes are read off the result.
+    turns = requests.withColumn("_turns", text.canonical_turns(F.col("messages")))
+    spoken = text.spoken_turns(F.col("_turns"))
+    joined = turns.withColumn("_canonical", text.joined_lines(F.col("_turns"))).withColumn(
+        "_chars", text.joined_chars(F.col("_turns")))
+    return joined.select(
         "request_id", F.length("_canonical").alias("canonical_chars"),
         sha256(F.col("_canonical")).alias("canonical_sha"),
         text.exact_key(F.col("_canonical"), F.col("model"), F.col("prompt_version"), F.col("params")).alias("exact_key"),
-        text.text_hash(F.col("model"), text.embedding_text(F.col("messages"))).alias("embedding_hash"),
-        F.length(text.user_prompt_text(F.col("messages"))).alias("user_prompt_chars"),
-        text.token_estimate(F.length(prompt)).alias("token_estimate"),
-        text.worst_case_tokens(F.length(prompt)).alias("worst_case_tokens"))
+        text.text_hash(F.col("model"), text.joined_lines(spoken)).alias("embedding_hash"),
+        text.joined_chars(spoken).alias("user_prompt_chars"),
+        text.token_estimate(F.col("_chars")).alias("token_estimate"),
+        text.worst_case_tokens(F.col("_chars")).alias("worst_case_tokens"))
 
 
 def conversation_keys(turns: DataFrame, key: str = "conv_id", fan_out: int = 1024) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.functions.hashing import uniform
 
+PARTS_PER_FILE = 64
 CHEAP, MID, STRONG = "m-small", "m-mid", "m-large"
 LADDER = (CHEAP, MID, STRONG)
 PASS_RATES = {CHEAP: 0.62, MID: 0.82, STRONG: 0.90}
@@ -21,7 +22,11 @@ TASKS = {"1": "math_word_problem", "2": "multiple_choice", "3": "summarization",
 
 
 def load(spark: SparkSession, d: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{table}.parquet")
+    """A given table. One with fewer files than there are task slots is spread over the slots
+    first, since a file of one row group is one task; a table of many files is read as it lies."""
+    df = spark.read.parquet(f"{d}/{table}.parquet")
+    files, slots = len(df.inputFiles()), spark.sparkContext.defaultParallelism
+    return df.repartition(min(slots, PARTS_PER_FILE * files)) if files < slots else df
 
 
 def catalog(spark: SparkSession) -> DataFrame:

@@ -152,8 +152,8 @@ _AGREE = """SELECT slug, model, max(c)/sum(c)::DOUBLE AS agreement FROM (SELECT
     "SELECT u.slug, u.model, samples, CASE WHEN samples>1 THEN agreement END AS agreement FROM used u LEFT JOIN agree USING (slug, model)",
     "generations", "items", used=_MASK, answers=_ANSWERS, agree=_AGREE))
 def self_consistency(spark, d):
-    gens = fx.generations(spark, d).join(fx.items(spark, d).select("slug", "verifier"), "slug")
-    return costing.samples_per_item(gens, F.col("verifier")).select("slug", "model", "samples", "agreement")
+    gens = fx.generations(spark, d).join(fx.items(spark, d).select("slug", "verifier", "ground_truth"), "slug")
+    return costing.samples_per_item(gens).select("slug", "model", "samples", "agreement")
 
 
 _PASSED = f"""CASE verifier WHEN 'final_number' THEN coalesce(try_cast(answer AS DOUBLE)=ground_truth::DOUBLE,false) WHEN 'choice_letter' THEN coalesce(answer=ground_truth,false) END"""

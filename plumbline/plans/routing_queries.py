@@ -47,8 +47,8 @@ _RECORD_CTES = dict(used=_MASK, answers=_ANSWERS, agree=_AGREE, evidence=_EVIDEN
 
 def _built(spark, d):
     items = fx.items(spark, d)
-    gens = fx.generations(spark, d).join(items.select("slug", "verifier"), "slug")
-    samples = costing.samples_per_item(gens, F.col("verifier"))
+    gens = fx.generations(spark, d).join(items.select("slug", "verifier", "ground_truth"), "slug")
+    samples = costing.samples_per_item(gens)
     return routing.build_records(items, samples, fx.catalog(spark), fx.LADDER)
 
 

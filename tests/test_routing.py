@@ -114,6 +114,12 @@ def test_choice_is_made_on_one_split_and_read_on_the_other(spark):
     assert row["held_out_quality"] == ok / n and row["held_out_cost_ratio"] == cost / (COSTS["strong"] * n)
 
 
+def test_an_item_in_both_splits_is_refused(spark):
+    items = world(40, 1) + [(world(40, 1)[0][0], "math_word_problem", "test", {"cheap": True, "strong": True}, 1.0)]
+    with pytest.raises(ValueError, match="more than one split"):
+        routing.fit_and_report(records(spark, items), "cheap", "strong", ["cheap", "strong"], "strong", 0.9)
+
+
 def test_routing_reasons(spark):
     policy = spark.createDataFrame([("math", "cheap")], "route_key string, assigned_model string")
     cases = [("m1", "math", None, "explicit_model", "m1", None), ("auto", " math ", None, "policy_route", "cheap", "math"), ("auto", "math", " OFF", "router_off", "strong", None),
@@ -126,7 +132,7 @@ def test_routing_reasons(spark):
 
 
 def gens(spark, rows):
-    return spark.createDataFrame(rows, "slug string, model string, replicate_idx int, text string, input_tokens bigint, output_tokens bigint, verifier string")
+    return spark.createDataFrame(rows, "slug string, model string, replicate_idx int, text string, input_tokens bigint, output_tokens bigint, verifier string").withColumn("ground_truth", F.lit("1"))
 
 
 def test_self_consistency(spark):
@@ -134,7 +140,7 @@ def test_self_consistency(spark):
     rows += [("b", "m", 0, "?", 1, 1, "final_number"), ("b", "m", 1, "!", 1, 1, "final_number")]
     rows += [("gap", "m", i, "#### 1", 1, 1, "final_number") for i in (0, 1, 3, 4)] + [("late", "m", 1, "#### 1", 1, 1, "final_number")]
     rows += [("many", "m", i, "#### 1", 1, 1, "final_number") for i in range(12)]
-    got = {r["slug"]: (r["samples"], r["agreement"]) for r in costing.samples_per_item(gens(spark, rows * 2), F.col("verifier")).collect()}
+    got = {r["slug"]: (r["samples"], r["agreement"]) for r in costing.samples_per_item(gens(spark, rows * 2)).collect()}
     assert got == {"a": (5, 0.4), "b": (2, 0.5), "gap": (2, 1.0), "late": (0, None), "many": (8, 1.0)}
 
 
@@ -149,7 +155,7 @@ def test_records_skip_reasons(spark):
                 continue
             for i in range(1 if slug == "single" else 2):
                 rows.append((slug, model, i, "#### 1", 10, 20, "final_number"))
-    built = routing.build_records(items, costing.samples_per_item(gens(spark, rows), F.col("verifier")), fx.catalog(spark), [fx.CHEAP, fx.MID])
+    built = routing.build_records(items, costing.samples_per_item(gens(spark, rows)), fx.catalog(spark), [fx.CHEAP, fx.MID])
     assert {r["slug"]: r["skip_reason"] for r in built.select("slug", "skip_reason").distinct().collect()} == {
         "ok": None, "free": "not_gradable", "half": "incomplete", "single": "no_agreement"}
     assert routing.record_stats(built, [fx.CHEAP, fx.MID]).first().asDict() == {
