@@ -243,14 +243,8 @@ def contiguous_replicates(gens: DataFrame, limit: int = MAX_REPLICATES) -> DataF
 
 
 def cheapest_first(catalog: DataFrame) -> DataFrame:
-    """The ladder: models by input price, then name, with their position inside their rung.
-
-    A catalogue is a dimension, so its models are ranked after a per-price count, not in one window.
-    """
-    from pyspark.sql import Window
-
-    by_rung = Window.partitionBy("rung").orderBy("input_nano", "model")
-    return catalog.withColumn("rung_position", F.row_number().over(by_rung)).orderBy("input_nano", "model")
+    """The ladder: models by input price, then name."""
+    return catalog.orderBy("input_nano", "model")
 
 
 def models_at_rung(catalog: DataFrame, rung: str) -> DataFrame:

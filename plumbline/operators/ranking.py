@@ -30,16 +30,15 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, r
     return ranked.filter(F.col(rank) <= n)
 
 
-def _with_offsets(df: DataFrame, keys: list[str], slice_cols: list[str], amount: Column) -> DataFrame:
-    """Per (key, slice): the amount in all slices before it, and the key's total."""
-    per_slice = df.groupBy(*keys, *slice_cols).agg(F.sum(amount).alias("_amount"))
-    ordered = Window.partitionBy(*keys).orderBy(*slice_cols)
-    before = F.sum("_amount").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("_amount").over(Window.partitionBy(*keys))
-    return per_slice.select(
-        *keys, *slice_cols,
-        F.coalesce(before, F.lit(0)).alias("_before"), total.alias("_key_total"),
-    )
+def _add_offsets(sliced: DataFrame, offsets: DataFrame) -> DataFrame:
+    """The rows plus one opening row per slice that brings the amount of all slices before it.
+
+    The opening row sorts first, so the window over a slice starts from the right value. That
+    needs no join, and the rows are shuffled once, for the window.
+    """
+    rows = sliced.withColumn("_is_row", F.lit(True)).withColumn("_key_total", F.lit(None).cast("bigint"))
+    opening = offsets.withColumn("_is_row", F.lit(False))
+    return rows.unionByName(opening, allowMissingColumns=True)
 
 
 def hash_rank(
@@ -48,34 +47,45 @@ def hash_rank(
 ) -> DataFrame:
     """Seeded random order inside each stratum: exact 1-based rank and stratum size.
 
-    The draw depends on seed, stratum and key only, so other strata never shift it.
+    The draw depends on seed, stratum and key only, so other strata never shift it. Slices are
+    ranges of the uniform draw, hence of about equal size.
     """
     strata = list(strata)
     drawn = df.withColumn("_u", uniform(F.lit(seed), *[F.col(s) for s in strata], F.col(key)))
-    sliced = drawn.withColumn("_slice", F.floor(F.col("_u") * slices))
-    offsets = _with_offsets(sliced, strata, ["_slice"], F.lit(1))
-    inside = Window.partitionBy(*strata, "_slice").orderBy("_u", key)
-    local = sliced.withColumn("_local", F.row_number().over(inside))
-    joined = join_null_safe(local, offsets, [*strata, "_slice"])
-    return (
-        joined.withColumn(rank, (F.col("_before") + F.col("_local")).cast("bigint"))
-        .withColumn(total, F.col("_key_total").cast("bigint"))
-        .drop("_u", "_slice", "_local", "_before", "_key_total")
-    )
+    sliced = drawn.withColumn("_slice", F.floor(F.col("_u") * slices)).withColumn("_step", F.lit(1).cast("bigint"))
+    per_slice = sliced.groupBy(*strata, "_slice").agg(F.sum("_step").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*strata).orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    offsets = per_slice.select(
+        *strata, "_slice", (upto - F.col("_n")).alias("_step"),
+        F.sum("_n").over(Window.partitionBy(*strata)).alias("_key_total"))
+    inside = Window.partitionBy(*strata, "_slice")
+    ordered = inside.orderBy("_is_row", "_u", key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = _add_offsets(sliced, offsets).withColumn(rank, F.sum("_step").over(ordered)).withColumn(
+        total, F.first("_key_total").over(ordered))
+    return ranked.filter("_is_row").drop("_u", "_slice", "_step", "_is_row", "_key_total")
 
 
 def running_total(
     df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], amount: Column, out: str,
-    unit: str = "minute",
+    units: Sequence[str] = ("hour", "second"),
 ) -> DataFrame:
-    """Sum of ``amount`` over all earlier rows of the key and this one, in time order."""
-    keys = list(keys)
-    sliced = df.withColumn("_amount_in", amount).withColumn("_slice", F.date_trunc(unit, F.col(ts)))
-    offsets = _with_offsets(sliced, keys, ["_slice"], F.col("_amount_in")).drop("_key_total")
-    inside = (
-        Window.partitionBy(*keys, "_slice").orderBy(ts, *ties)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = sliced.withColumn("_local", F.sum("_amount_in").over(inside))
-    joined = join_null_safe(local, offsets, [*keys, "_slice"])
-    return joined.withColumn(out, F.col("_before") + F.col("_local")).drop("_amount_in", "_slice", "_local", "_before")
+    """Sum of ``amount`` over all earlier rows of the key and this one, in time order.
+
+    ``units`` go from coarse to fine. Rows are ordered within a slice of the finest unit only; the
+    slice totals are themselves summed up the same way, one unit coarser. Traffic so dense that a
+    second is too much for one task takes ("hour", "second", "microsecond").
+    """
+    keys, unit = list(keys), units[-1]
+    sliced = df.withColumn("_step", amount.cast("bigint")).withColumn("_slice", F.date_trunc(unit, F.col(ts)))
+    per_slice = sliced.groupBy(*keys, "_slice").agg(F.sum("_step").alias("_n"))
+    if len(units) > 1:
+        upto = running_total(per_slice.withColumnRenamed("_slice", "_at"), keys, "_at", [], F.col("_n"), "_upto", units[:-1])
+        upto = upto.withColumnRenamed("_at", "_slice")
+    else:
+        ordered = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        upto = per_slice.withColumn("_upto", F.sum("_n").over(ordered))
+    offsets = upto.select(*keys, "_slice", (F.col("_upto") - F.col("_n")).alias("_step"))
+    inside = Window.partitionBy(*keys, "_slice").orderBy("_is_row", ts, *ties).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    summed = _add_offsets(sliced, offsets).withColumn(out, F.sum("_step").over(inside))
+    return summed.filter("_is_row").drop("_step", "_slice", "_is_row", "_key_total")

@@ -121,17 +121,15 @@ def _visits(queries: DataFrame, cells: DataFrame, scope: list[str], pivots: np.n
             home = gaps.argmin(axis=1)
             reach = batch.column("reach").to_numpy(zero_copy_only=False).astype(float)
             reach = np.where(np.isnan(reach), np.inf, reach)
-            rows, chosen = [], []
-            for i, offer in enumerate(batch.column("_cells").to_pylist()):
-                ids = np.array([o["cell"] for o in offer])
-                radius = np.array([o["radius"] for o in offer])
-                near = gaps[i, ids] - radius <= reach[i] + SLACK
-                if skip_home:
-                    near &= ids != home[i]
-                rows.extend([i] * int(near.sum()))
-                chosen.extend(ids[near].tolist())
-            out = batch.select(kept).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(chosen, pa.int32())], names=[*kept, "cell"])
+            offers = batch.column("_cells")
+            row = np.repeat(np.arange(batch.num_rows), offers.value_lengths().to_numpy(zero_copy_only=False))
+            cell = offers.flatten().field("cell").to_numpy(zero_copy_only=False)
+            radius = offers.flatten().field("radius").to_numpy(zero_copy_only=False)
+            near = gaps[row, cell] - radius <= reach[row] + SLACK
+            if skip_home:
+                near &= cell != home[row]
+            out = batch.select(kept).take(pa.array(row[near], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell[near], pa.int32())], names=[*kept, "cell"])
 
     schema = T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType())])
     return offered.mapInArrow(choose, schema)
@@ -282,7 +280,7 @@ def discover_routes(vectors: DataFrame, k_range: Sequence[int], seed: int = 1) -
     from pyspark.ml.functions import array_to_vector
 
     spark = vectors.sparkSession
-    features = vectors.select("slug", "task_type", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+    features = vectors.select("slug", "task_type", array_to_vector(F.col("vec").cast("array<double>")).alias("features")).persist()
     evaluator = ClusteringEvaluator()
     best = None
     for k in k_range:
@@ -293,6 +291,7 @@ def discover_routes(vectors: DataFrame, k_range: Sequence[int], seed: int = 1) -
     score, model = best
     centres = spark.createDataFrame(
         [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "prediction int, centroid array<double>")
+    features.unpersist()
     tasks = model.transform(features).groupBy("prediction", "task_type").agg(F.count(F.lit(1)).alias("n"))
     routes = tasks.groupBy("prediction").agg(
         F.sum("n").alias("n_items"), F.max(F.struct("n", "task_type"))["task_type"].alias("task_type"))

@@ -215,9 +215,9 @@ def catalog_prices(spark, d):
 
 
 @registered("cheapest_first", o.query(
-    "SELECT model, rung, input_nano, row_number() OVER (PARTITION BY rung ORDER BY input_nano, model)::INT AS rung_position FROM priced", parts=_PARTS, priced=_PRICED))
+    "SELECT model, rung, input_nano FROM priced ORDER BY input_nano, model", parts=_PARTS, priced=_PRICED))
 def cheapest_first(spark, d):
-    return costing.cheapest_first(_part_catalog(spark, d)).select("model", "rung", "input_nano", "rung_position")
+    return costing.cheapest_first(_part_catalog(spark, d)).select("model", "rung", "input_nano")
 
 
 @registered("models_at_rung", o.query("SELECT model, input_nano FROM priced WHERE rung='mid'", parts=_PARTS, priced=_PRICED))

@@ -119,8 +119,8 @@ class KeyedStore:
         content = [c for c in rows.columns if c != self.key]
         once = rows.groupBy(self.key).agg(F.min(F.struct(*content)).alias("_r")).select(self.key, "_r.*")
         fresh = self.missing(once).withColumn("prefix", F.substring(self.key, 1, self.prefix_chars))
-        # Rows of a prefix are written together, so a batch adds at most a few files per prefix.
-        fresh.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(self.path)
+        # Rows of a prefix are brought together for few files; AQE splits the large ones.
+        fresh.hint("rebalance", "prefix").write.mode("append").partitionBy("prefix").parquet(self.path)
 
 
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
@@ -159,7 +159,8 @@ def embed_all(texts: DataFrame, embedder: Embedder, dimensions: int, store: Keye
 
 def append_traces(traces: DataFrame, path: str) -> None:
     """Append to the trace table, one folder per day."""
-    traces.withColumn("date", F.to_date("created_at")).write.mode("append").partitionBy("date").parquet(path)
+    dated = traces.withColumn("date", F.to_date("created_at"))
+    dated.hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(path)
 
 
 def report_json(row: DataFrame, kind: str, version: int = 1, provenance: dict[str, object] | None = None) -> DataFrame:

@@ -30,7 +30,9 @@ def test_ranks_are_exact_on_a_skewed_stratum(spark):
 def test_running_total_matches_a_plain_window(spark):
     rows = [("a" if i % 3 else None, i, i * 7 % 900, i % 11) for i in range(2000)]
     df = spark.createDataFrame(rows, "k string, id bigint, sec bigint, x bigint").withColumn("ts", F.timestamp_seconds("sec"))
-    got = {r["id"]: r["run"] for r in running_total(df.repartition(7), ["k"], "ts", ["id"], F.col("x"), "run").collect()}
+    total = lambda units: running_total(df.repartition(7), ["k"], "ts", ["id"], F.col("x"), "run", units)
+    got, fine, coarse = ({r["id"]: r["run"] for r in total(u).collect()} for u in (("hour", "second"), ("hour", "second", "microsecond"), ("minute",)))
+    assert total(("hour", "second")).columns == [*df.columns, "run"] and got == fine == coarse
     sums, want = {}, {}
     for k, i, sec, x in sorted(rows, key=lambda r: (r[2], r[1])):
         sums[k] = sums.get(k, 0) + x
