@@ -55,9 +55,8 @@ def assemble_traces_stream(spark, d):
 
 def _then_close(events: DataFrame) -> DataFrame:
     """Every request also sends a marker of its own two hours on, under a negative id."""
-    marks = F.array(
-        F.struct(F.col("request_id"), F.col("at")),
-        F.struct((-F.col("request_id") - 1).alias("request_id"), F.timestamp_add("HOUR", F.lit(2), F.col("at")).alias("at")))
+    marker = F.struct((-F.col("request_id") - 1).alias("request_id"), F.timestamp_add("HOUR", F.lit(2), F.col("at")).alias("at"))
+    marks = F.array_compact(F.array(F.struct("request_id", "at"), F.when(F.col("seq") == 0, marker)))
     rest = [c for c in events.columns if c not in ("request_id", "at")]
     return events.select(*rest, F.inline(marks))
 
