@@ -87,13 +87,13 @@ def test_nano_prices(spark):
     assert column(spark, [1.0, 0.075, 25.0, 6.25, 0.05], money.nano_per_token, "double") == [1000, 75, 25000, 6250, 50]
 
 
-CATALOG = [("oss-small", 0.075, 0.30, None, None), ("sonnet", 3.0, 15.0, 0.3, 3.75), ("haiku", 1.0, 5.0, 0.1, 1.25)]
+CATALOG = [("oss-small", 0.075, 0.30, None, None), ("mid", 3.0, 15.0, 0.3, 3.75), ("small", 1.0, 5.0, 0.1, 1.25)]
 
 
 def test_costs(spark):
     catalog = price_catalog(spark.createDataFrame(CATALOG, "model string, input double, output double, cache_read double, cache_write double"))
     usage = spark.createDataFrame(
-        [(0, "oss-small", 1234, 567, 0), (1, "haiku", 14, 11, 0), (2, "oss-small", 1, 1, 5), (3, "elsewhere", 1, 1, 0), (4, "haiku", -1, 1, 0), (5, "haiku", 1000, 0, 10)],
+        [(0, "oss-small", 1234, 567, 0), (1, "small", 14, 11, 0), (2, "oss-small", 1, 1, 5), (3, "elsewhere", 1, 1, 0), (4, "small", -1, 1, 0), (5, "small", 1000, 0, 10)],
         "i int, model string, input_tokens bigint, output_tokens bigint, cache_read_tokens bigint")
     got = {r["i"]: (r["cost_nano"], r["cost_error"]) for r in costing.price_usage(usage, catalog).collect()}
     assert got == {0: (262650, None), 1: (69000, None), 2: (None, "unverified cache_read price"), 3: (None, "unknown model"),
