@@ -142,7 +142,7 @@ def difficulty_report(spark, d):
     return corpus.difficulty_report(fx.pilot(spark, d))
 
 
-_DIGEST = """sha256('{"doc_id":'||doc_id||',"lang":'||to_json(lang)||',"source":'||to_json(source)||'}')"""
+_DIGEST = """sha256('{"doc_id":'||doc_id||',"lang":'||to_json(lang)||',"n_chars":'||n_chars||',"source":'||to_json(source)||',"text":'||to_json(text)||'}')"""
 
 
 @registered("fingerprint", o.query(
@@ -151,7 +151,8 @@ _DIGEST = """sha256('{"doc_id":'||doc_id||',"lang":'||to_json(lang)||',"source":
     l2="SELECT substr(p,1,6) AS p, sha256(string_agg(h,'' ORDER BY p)) AS h, sum(n) AS n FROM l3 GROUP BY substr(p,1,6)",
     l1="SELECT substr(p,1,3) AS p, sha256(string_agg(h,'' ORDER BY p)) AS h, sum(n) AS n FROM l2 GROUP BY substr(p,1,3)"))
 def fingerprint(spark, d):
-    return corpus.fingerprint(fx.load(spark, d, "documents"), ["doc_id", "lang", "source"])
+    docs = fx.load(spark, d, "documents")
+    return corpus.fingerprint(docs, docs.columns)
 
 
 @registered("item_invariants", o.query(
