@@ -44,9 +44,9 @@ SWEEPS, AVERAGED = 4, 2
 STRENGTH = 1.0
 #: Customers seated one by one; beyond, a 32nd of those already seated at a time.
 SINGLE_SEATS = 64
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 TOKENS_PER_PART = 8_000_000
-HELD_WORDS = 400_000
+HELD_WORDS = 300_000
 SEED = 5
 
 
@@ -384,7 +384,8 @@ def _by_document(doc: np.ndarray, n: np.ndarray, size: int, *values: np.ndarray)
 
 def score(model: Model, doc_type: str) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    samples, hot_dishes, hot_customers, size_plus = model.samples, model.hot_dishes, model.hot_customers, model.tokens + model.vocabulary + 1
+    samples, hot_dishes, hot_customers, tokens = model.samples, model.hot_dishes, model.hot_customers, model.tokens
+    size_plus = tokens + model.vocabulary + 1
 
     def base(counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / size_plus)
@@ -392,25 +393,22 @@ def score(model: Model, doc_type: str) -> DataFrame:
     def hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base_of = base(hot_customers)
         for batch in batches:
-            for block, head, tail, ids, held, lengths in zip(*(c.to_pylist() for c in batch.columns)):
+            sums = []
+            for head, tail, lengths in zip(*(batch.column(i).to_pylist() for i in (1, 2, 5))):
                 (key, _), (n, doc) = unpacked(head), unpacked(tail)
                 word, context = (key // CONTEXTS).astype(np.int64), (key % CONTEXTS).astype(np.int64)
-                known, b, s = _by_document(doc, n, len(ids), (hot_customers[word] > 0).astype(float), base_of[word], hot_dishes[word, context])
-                yield pa.record_batch([
-                    pa.array([block] * len(ids), pa.int64()), pa.array(np.arange(len(ids), dtype=np.int64)), pa.array(ids, batch.schema.field(3).type.value_type),
-                    pa.array(held, pa.bool_()), pa.array(lengths, pa.int64()), pa.array(known.astype(np.int64)), pa.array(b), pa.array(s)],
-                    names=["block", "at", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                values = _by_document(doc, n, len(lengths), (hot_customers[word] > 0).astype(float), base_of[word], hot_dishes[word, context])
+                sums.append(packed(np.arange(len(lengths), dtype="u4"), *values))
+            yield pa.record_batch([batch.column(0), pa.array(sums, pa.binary()), *batch.columns[3:]], names=["block", "sums", "doc_ids", "held", "lengths"])
 
     def cold_rows(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         seating = Seating.load(state["state"].iloc[0]) if len(state) else Seating.begin(*(np.zeros(0, k) for k in (np.uint64, np.int64, np.int64, np.int64)))
         tops, dishes = seating.probabilities(samples)
         count = np.bincount(seating.word, seating.customers, len(seating.hashes))
         keys = seating.word.astype(np.int64) * CONTEXTS + seating.context
-        out = []
-        for block, head, tail in zip(rows["block"], rows["head"], rows["tail"]):
+        sums = []
+        for head, tail in zip(rows["head"], rows["tail"]):
             (h, per_word, context, _), (n, doc) = unpacked(head), unpacked(tail)
-            if not len(doc):
-                continue
             context = context.astype(np.int64)
             place = np.searchsorted(seating.hashes, h)
             inside = np.minimum(place, max(len(seating.hashes) - 1, 0))
@@ -425,21 +423,28 @@ def score(model: Model, doc_type: str) -> DataFrame:
                 own = met & (keys[dish] == at * CONTEXTS + context)
                 p = np.where(own, dishes[dish], p)
             c = np.where(met, count[at], 0) if len(count) else np.zeros(len(at))
-            size = int(doc.max()) + 1
-            known, b, s, here = _by_document(doc, n, size, (c > 0).astype(float), base(c), np.log10(p), np.ones(len(at)))
-            some = np.nonzero(here)[0]
-            out.append(pd.DataFrame({"block": block, "at": some, "n_known": known[some].astype(np.int64), "base_score": b[some], "score": s[some]}))
-        return pd.concat(out) if out else pd.DataFrame({"block": [], "at": [], "n_known": [], "base_score": [], "score": []})
-
+            documents, doc = np.unique(doc, return_inverse=True)
+            sums.append(packed(documents.astype("u4"), *_by_document(doc, n, len(documents), (c > 0).astype(float), base(c), np.log10(p))))
+        return pd.DataFrame({"block": rows["block"], "sums": sums})
+
+    def per_document(rows: pa.Table) -> pa.Table:
+        """Adds up a block's sums from all parts: at most one entry for each word of the block."""
+        lists = rows.filter(pa.compute.is_valid(rows["lengths"])).combine_chunks()
+        ids, held, lengths = (lists[c].chunk(0).flatten() for c in ("doc_ids", "held", "lengths"))
+        totals = np.zeros((3, len(lengths)))
+        for blob in rows["sums"].to_pylist():
+            at, *values = unpacked(blob)
+            totals[:, at] += np.stack(values)
+        return pa.table({"doc_id": ids, "held_out": held, "n_tokens": lengths, "n_known": pa.array(totals[0].astype(np.int64)),
+                         "train_tokens": pa.array(np.full(len(lengths), tokens, np.int64)), "base_score": pa.array(totals[1]), "score": pa.array(totals[2])})
+
+    lists = f"doc_ids array<{doc_type}>, held array<boolean>, lengths array<long>"
     first = model.table.filter("part = -1").select("block", "head", "tail", "doc_ids", "held", "lengths").mapInArrow(
-        hot_rows, f"block long, at long, doc_id {doc_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        hot_rows, f"block long, sums binary, {lists}")
     cold = model.table.filter("part >= 0").select("part", "block", "head", "tail").groupBy("part").cogroup(
-        model.states.groupBy("part")).applyInPandas(cold_rows, "block long, at long, n_known long, base_score double, score double")
-    rows = first.unionByName(cold, allowMissingColumns=True)
-    return rows.groupBy("block", "at").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-        F.sum("base_score").alias("base_score"), F.sum("score").alias("score")).select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+        model.states.groupBy("part")).applyInPandas(cold_rows, "block long, sums binary")
+    return first.unionByName(cold, allowMissingColumns=True).groupBy("block").applyInArrow(
+        per_document, f"doc_id {doc_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score_documents(docs: DataFrame, **settings) -> DataFrame:
