@@ -28,7 +28,7 @@ from plumbline.llm.common import encoded, slices, stored
 from plumbline.llm.encoding import default_path, encoder
 
 MIN_WORDS, REPEAT_SHARE, WINDOW = 20, 30, 8
-SYMBOLS = b"[#*$%&|<>]"
+SYMBOLS = b"#*$%&|<>"
 MEASURES = ("chars_per_token", "fallback_share", "entropy")
 #: A band reaches from the lower to the upper quantile and this many times the distance to the median beyond.
 LOWER, UPPER, REACH = 0.05, 0.95, 2.0
@@ -36,7 +36,7 @@ MIN_GROUP = 50
 SCRIPTS = (("cyrillic", 0x400, 0x52F), ("greek", 0x370, 0x3FF), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF),
            ("devanagari", 0x900, 0x97F), ("thai", 0xE00, 0xE7F), ("hangul", 0xAC00, 0xD7AF), ("cjk", 0x3040, 0x9FFF))
 _KEPT_WORDS = 400_000
-_NOT_SYMBOLS = bytes(b for b in range(256) if b not in b"[#*$%&|<>]")
+_NOT_SYMBOLS = bytes(b for b in range(256) if b not in SYMBOLS)
 
 
 def script_of(text: str) -> str:
