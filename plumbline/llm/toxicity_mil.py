@@ -18,6 +18,7 @@ ignored by ``score`` and kept by ``keep_clean``.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,16 +26,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import SENTENCE_BYTES, encoded, labelled_sample, remainder, slices
+from plumbline.llm.common import ALNUM_BYTES, SENTENCE_BYTES, encoded, labelled_sample, remainder, slices
 
 MODULUS, LEFT_OUT = 3, 1
 THRESHOLD = 0.7
-PER_CLASS, LONGEST = 3000, 32_768
+PER_CLASS, LONGEST = 2000, 32_768
 #: A word takes part if its documents are toxic this much more often than the rest, in log odds and in deviations.
 MIN_LIFT, MIN_Z, MIN_DOCS = 1.5, 3.5, 3
 STEPS, RATE, SHRINK = 300, 0.1, 0.01
 LOCATED = 0.5
 PREFIXES = (4, 5, 6)
+#: Cells of the table that finds rare features.
+BUCKETS = 1 << 22
 
 
 def features_of(word: bytes) -> list[bytes]:
@@ -52,26 +55,22 @@ class SentenceModel:
         self.bias, self.leak = -2.0, 0.0
 
     def fit(self, sample: list[tuple[str, int]]) -> SentenceModel:
-        bags = [([{f for w in set(s) for f in features_of(w)} for s in sentences_of(t)], y) for t, y in sample]
-        n1 = sum(y for _, y in bags)
-        n0 = len(bags) - n1
+        n1 = sum(y for _, y in sample)
+        n0 = len(sample) - n1
         if not n1 or not n0:
             self.leak = float(n1 > 0)
             return self
-        seen = {0: Counter(), 1: Counter()}
-        for sentences, y in bags:
-            seen[y].update(set().union(*sentences))
-        words = sorted(w for w, k1 in seen[1].items() if k1 >= MIN_DOCS and self._associated(k1, seen[0][w], n1, n0))
+        words = self._vocabulary(sample, n1, n0)
         index = {w: i for i, w in enumerate(words)}
         # Instances: sentences with a word that takes part, as (sentence, word) pairs; and the document of each.
         pairs, owner = [], []
-        for d, (sentences, _) in enumerate(bags):
-            for s in sentences:
-                ids = {index[w] for w in s if w in index}
+        for d, (text, _) in enumerate(sample):
+            for s in sentences_of(text):
+                ids = {index[f] for w in set(s) for f in features_of(w) if f in index}
                 if ids:
                     pairs += [(len(owner), i) for i in ids]
                     owner.append(d)
-        y = np.array([y for _, y in bags], float)
+        y = np.array([y for _, y in sample], float)
         w, b, leak = np.full(len(words), 3.0), self.bias, -3.0
         pairs_s, pairs_w = (np.array(c, np.int64) for c in (zip(*pairs) if pairs else ((), ())))
         owner = np.array(owner, np.int64)
@@ -92,6 +91,21 @@ class SentenceModel:
         self.bias, self.leak = float(params[-2]), float(1 / (1 + math.exp(-params[-1])))
         return self
 
+    def _vocabulary(self, sample: list[tuple[str, int]], n1: int, n0: int) -> list[bytes]:
+        """Features of toxic documents that are rarer elsewhere. A table of hashed counts first leaves out those of too few
+        documents, so only features that can take part are counted by name."""
+        def of(text: str) -> set[bytes]:
+            return {f for w in set(encoded(text).translate(ALNUM_BYTES).split()) for f in features_of(w)}
+
+        rough = np.zeros(BUCKETS, np.int32)
+        for text, y in sample:
+            if y:
+                rough[np.unique(np.fromiter((zlib.crc32(f) % BUCKETS for f in of(text)), np.int64))] += 1
+        seen = {0: Counter(), 1: Counter()}
+        for text, y in sample:
+            seen[y].update(f for f in of(text) if rough[zlib.crc32(f) % BUCKETS] >= MIN_DOCS)
+        return sorted(f for f, k1 in seen[1].items() if k1 >= MIN_DOCS and self._associated(k1, seen[0][f], n1, n0))
+
     @staticmethod
     def _associated(k1: int, k0: int, n1: int, n0: int) -> bool:
         lift = math.log((k1 + 0.5) / (n1 - k1 + 0.5)) - math.log((k0 + 0.5) / (n0 - k0 + 0.5))
