@@ -6,6 +6,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.session import shared_dir
