@@ -103,7 +103,7 @@ def parse_judge_reply(raw: Column) -> Column:
 
     def read(text: Column) -> Column:
         doc = F.try_parse_json(text)
-        outcome = F.try_variant_get(doc, "$.verdict", "string")
+        outcome = F.try_variant_get(doc, "$.outcome", "string")
         confidence = F.try_variant_get(doc, "$.confidence", "variant")
         reasoning = F.try_variant_get(doc, "$.reasoning", "variant")
         value = F.try_variant_get(doc, "$.confidence", "double")

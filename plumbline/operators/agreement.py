@@ -15,7 +15,6 @@ WEAK_RECALL = 0.5
 ONE_TASK_SHARE = 0.5
 FAST_LABEL_MS = 5_000
 FAST_SHARE = 0.15
-GROUND_TRUTH_LIMIT = 150
 # -------------------------------------------------------------------------------------------
 
 CELLS = [(h, j) for h in stats.CLASSES for j in stats.CLASSES]

@@ -78,7 +78,7 @@ def label_pairs(items: DataFrame, models: Sequence[str], reference: str, n: int,
 def split_of(rank: Column, size: Column, weights: Mapping[str, float] = SPLIT_WEIGHTS) -> Column:
     """Split by rank: exact sizes, floor(n*w), the remainder one each from the first split on."""
     if abs(sum(weights.values()) - 1.0) > 1e-9:
-        raise ValueError(f"split weights must sum to 1.0, got {sum(weights.values())}")
+        raise ValueError(f"the shares of the splits add up to {sum(weights.values())} instead of one")
     floors = [F.floor(size * F.lit(float(weights[s]))) for s in SPLITS]
     rest = size - sum(floors[1:], floors[0])
     label, upto = None, F.lit(0)
@@ -96,10 +96,12 @@ def assign_splits(df: DataFrame, strata: Sequence[str], seed: int, key: str,
 
 def build_corpus(raw: DataFrame, targets: Mapping[str, int], seed: int,
                  weights: Mapping[str, float] = SPLIT_WEIGHTS) -> DataFrame:
-    """Exactly ``targets[task]`` items per task with slugs and splits; a short pool is an error.
+    """Exactly ``targets[task]`` items per task with slugs and splits.
 
+    A pool that is short or empty and equal prompts (``prompt`` or ``text``) among the chosen items are errors.
     Each task draws from its own hash order, so a new task leaves the others as they were.
     """
+    _require_pools(raw, targets)
     want = None
     for task, n in targets.items():
         want = (F if want is None else want).when(F.col("task_type") == task, F.lit(n))
@@ -110,6 +112,7 @@ def build_corpus(raw: DataFrame, targets: Mapping[str, int], seed: int,
                                .otherwise(F.raise_error(short).cast("int")))
     chosen = enough.filter(F.col("draw_rank") <= F.col("_want")).withColumn(
         "slug", F.format_string("%s-%04d", F.col("task_type"), F.col("draw_rank") - 1))
+    _require_distinct_prompts(chosen)
     split = assign_splits(chosen, ["task_type"], seed + 1, "_key", weights)
     verifier = None
     for task, name in TASK_VERIFIERS.items():
@@ -119,6 +122,23 @@ def build_corpus(raw: DataFrame, targets: Mapping[str, int], seed: int,
         "_key", "_want", "draw_rank", "stratum_size")
 
 
+def _require_pools(raw: DataFrame, targets: Mapping[str, int]) -> None:
+    wanted = [t for t, n in targets.items() if n > 0]
+    met = {r["task_type"] for r in raw.filter(F.col("task_type").isin(wanted)).select("task_type").distinct().collect()}
+    if missing := sorted(set(wanted) - met):
+        raise ValueError(f"no candidate at all for {missing}")
+
+
+def _require_distinct_prompts(chosen: DataFrame) -> None:
+    column = next((c for c in ("prompt", "text") if c in chosen.columns), None)
+    if column is None:
+        return
+    digest = sha256(F.col(column))
+    copies = chosen.filter(F.col(column).isNotNull()).groupBy(digest.alias("_d")).agg(F.count(F.lit(1)).alias("n"), F.min("slug").alias("slug"))
+    if found := copies.filter("n > 1").orderBy("slug").limit(5).collect():
+        raise ValueError(f"equal prompts among the chosen items, e.g. {[(r['slug'], r['n']) for r in found]}")
+
+
 def corpus_profile(items: DataFrame) -> DataFrame:
     """Item counts by task, by split and in all, with the gradable ones."""
     sets = items.groupingSets([["task_type"], ["split"], []], "task_type", "split")
@@ -203,12 +223,3 @@ def fingerprint(df: DataFrame, columns: Sequence[str], levels: Sequence[int] = (
             F.sum("_rows").alias("_rows"),
         ).withColumnRenamed("_p", "_at")
     return node.select(F.col("_hash").alias("fingerprint"), F.col("_rows").alias("rows"))
-
-
-def flat_fingerprint(df: DataFrame, columns: Sequence[str], max_rows: int = 100_000) -> DataFrame:
-    """sha256 over all sorted row digests in one string: for tables of benchmark size only."""
-    rows = df.count()
-    if rows > max_rows:
-        raise ValueError(f"{rows} rows exceed {max_rows}; use fingerprint()")
-    digests = F.array_join(F.array_sort(F.collect_list(row_digest(*columns))), "")
-    return df.agg(sha256(digests).alias("fingerprint"), F.count(F.lit(1)).alias("rows"))

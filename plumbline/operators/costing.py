@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions import answers, money, text
 from plumbline.operators.ranking import running_total
@@ -18,7 +18,6 @@ ASSUMED_OUTPUT_TOKENS = {
     "support_reply": 260,
 }
 OTHER_OUTPUT_TOKENS = 300
-MAX_REPLICATES = 8
 # -------------------------------------------------------------------------------------------
 
 
@@ -192,54 +191,45 @@ def first_over_cap(traces: DataFrame, cap_nano: int, by: Sequence[str], ts: str
     return over.groupBy(*by).agg(first.alias("_first")).select(*by, "_first.*")
 
 
-def usable_samples(mask: Column, limit: int = MAX_REPLICATES) -> Column:
-    """Replicates before the first gap, from a bit mask of the ones present."""
-    first_gap = F.lit(limit)
-    for idx in range(limit - 1, -1, -1):
-        first_gap = F.when(F.shiftright(mask, idx).bitwiseAND(1) == 0, F.lit(idx)).otherwise(first_gap)
-    return first_gap
-
-
-def self_consistency(answers_by_idx: Column, usable: Column) -> Column:
-    """Share of the modal answer; a sample nobody can read counts as its own answer."""
-    used = F.slice(answers_by_idx, F.lit(1), usable)
-    alike = F.transform(used, lambda a: F.when(a.isNull(), F.lit(1)).otherwise(F.size(F.filter(used, lambda b: b == a))))
-    return F.when(usable > 0, F.array_max(alike) / usable)
-
-
-def samples_per_item(gens: DataFrame, limit: int = MAX_REPLICATES) -> DataFrame:
+def samples_per_item(gens: DataFrame) -> DataFrame:
     """One row per (slug, model): usable replicates, agreement, and the graded first sample.
 
-    ``gens`` carries the verifier and ground truth of its item. Texts are read where they lie: an
-    answer becomes a 64-bit hash in the slot of its replicate, the first sample becomes a flag and
-    its token counts. So only numbers are shuffled, no group is collected, and the aggregation
-    runs on fixed-width buffers. Repeated copies of a sample count once.
+    ``gens`` carries the verifier and ground truth of its item. Texts are read where they lie: only the
+    answer of each sample is shuffled, first grouped by replicate (repeated copies of a sample count once,
+    the largest answer if copies differ), then counted by answer among the replicates before the first gap.
+    Any number of replicates is exact; no group is collected.
     """
     idx = F.col("replicate_idx")
     answer = answers.extract_answer(F.col("verifier"), F.col("text"))
-    read = gens.filter(idx.between(0, limit - 1)).select(
-        "slug", "model", "replicate_idx", "input_tokens", "output_tokens", answer.alias("_text"),
+    first = lambda c: F.max(F.when(idx == 0, c))
+    once = gens.filter(idx >= 0).select(
+        "slug", "model", idx, "input_tokens", "output_tokens", answer.alias("_answer"),
         F.when(idx == 0, answers.verify(F.col("verifier"), F.col("text"), F.col("ground_truth"))).alias("_passed"),
-    ).withColumn("_answer", F.when(F.col("_text").isNotNull(), F.xxhash64("_text")))
-    first = lambda c: F.max(F.when(idx == 0, F.col(c)))
-    grouped = read.groupBy("slug", "model").agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1), idx.cast("int"))).alias("_mask"),
-        *[F.max(F.when(idx == i, F.col("_answer"))).alias(f"_a{i}") for i in range(limit)],
-        first("_passed").alias("success"), first("input_tokens").alias("input_tokens"), first("output_tokens").alias("output_tokens"),
-    )
-    counted = grouped.withColumn("samples", usable_samples(F.col("_mask"), limit))
-    slots = F.array(*[F.col(f"_a{i}") for i in range(limit)])
-    return counted.select(
-        "slug", "model", "samples", F.when(F.col("samples") > 1, self_consistency(slots, F.col("samples"))).alias("agreement"),
-        "success", "input_tokens", "output_tokens")
-
-
-def contiguous_replicates(gens: DataFrame, limit: int = MAX_REPLICATES) -> DataFrame:
+    ).groupBy("slug", "model", idx).agg(
+        F.max("_answer").alias("_answer"), F.max("_passed").alias("_passed"),
+        F.max("input_tokens").alias("input_tokens"), F.max("output_tokens").alias("output_tokens"))
+    usable = _before_first_gap(once)
+    # A sample nobody can read is an answer of its own.
+    alone = F.when(F.col("_answer").isNull(), idx)
+    counted = usable.groupBy("slug", "model", "_answer", alone.alias("_alone")).agg(
+        F.count_if("_usable").alias("_n"), first(F.col("_passed")).alias("success"), first(F.col("input_tokens")).alias("input_tokens"),
+        first(F.col("output_tokens")).alias("output_tokens"))
+    samples = F.sum("_n")
+    return counted.groupBy("slug", "model").agg(
+        samples.cast("int").alias("samples"), F.when(samples > 1, F.max("_n") / samples).alias("agreement"),
+        F.max("success").alias("success"), F.max("input_tokens").alias("input_tokens"), F.max("output_tokens").alias("output_tokens"))
+
+
+def _before_first_gap(once: DataFrame) -> DataFrame:
+    """Adds ``_usable`` to rows of distinct replicates: an index equals its rank exactly before the first gap."""
+    rank = F.row_number().over(Window.partitionBy("slug", "model").orderBy("replicate_idx")) - 1
+    return once.withColumn("_usable", F.col("replicate_idx") == rank)
+
+
+def contiguous_replicates(gens: DataFrame) -> DataFrame:
     """Replicates used per (slug, model): those before the first missing index."""
-    masks = gens.filter(F.col("replicate_idx").between(0, limit - 1)).groupBy("slug", "model").agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("replicate_idx").cast("int"))).alias("_mask")
-    )
-    return masks.select("slug", "model", usable_samples(F.col("_mask"), limit).alias("samples"))
+    once = gens.filter(F.col("replicate_idx") >= 0).select("slug", "model", "replicate_idx").distinct()
+    return _before_first_gap(once).groupBy("slug", "model").agg(F.count_if("_usable").cast("int").alias("samples"))
 
 
 def cheapest_first(catalog: DataFrame) -> DataFrame:

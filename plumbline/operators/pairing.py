@@ -74,22 +74,25 @@ def compare_runs(scored: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequen
 
 
 def bh_qvalues(tests: DataFrame, family: Sequence[str], p: str = "p_value", tie: Sequence[str] = ()) -> DataFrame:
-    """Benjamini-Hochberg q-values; tests are already aggregated, one row each."""
+    """Benjamini-Hochberg q-values; tests are already aggregated, one row each.
+
+    A row without a p-value is no test: it has no q-value and does not count in its family."""
     from pyspark.sql import Window
 
     value = F.col(p)
     checked = tests.withColumn(
         p, F.when(value.between(0.0, 1.0) | value.isNull(), value)
-        .otherwise(F.raise_error(F.lit("p-values must be in [0, 1]")).cast("double"))
+        .otherwise(F.raise_error(F.lit("a p-value lies outside 0 to 1")).cast("double"))
     )
-    order = [F.col(p), *[F.col(t) for t in tie]]
+    order = [F.col(p).asc_nulls_last(), *[F.col(t) for t in tie]]
     rank = F.row_number().over(Window.partitionBy(*family).orderBy(*order))
-    size = F.count(F.lit(1)).over(Window.partitionBy(*family))
+    size = F.count(p).over(Window.partitionBy(*family))
     ranked = checked.withColumn("_rank", rank).withColumn("family_size", size)
     scaled = F.col(p) * F.col("family_size") / F.col("_rank")
     below = Window.partitionBy(*family).orderBy(F.col("_rank").desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    return ranked.withColumn("q_value", F.round(F.least(F.lit(1.0), F.min(scaled).over(below)), 8)).drop("_rank")
+    q = F.when(F.col(p).isNotNull(), F.round(F.least(F.lit(1.0), F.min(scaled).over(below)), 8))
+    return ranked.withColumn("q_value", q).drop("_rank")
 
 
 def poisson_bootstrap(scores: DataFrame, by: Sequence[str], key: str, value: str, seed: int, replicates: int,

@@ -63,6 +63,13 @@ def require_one_split(records: DataFrame) -> None:
         raise ValueError(f"items in more than one split, e.g. {[r['slug'] for r in shared]}")
 
 
+def _require_splits(records: DataFrame) -> None:
+    """A fit needs rows to choose from and rows to report on."""
+    met = {r["split"] for r in records.select("split").distinct().collect()}
+    if missing := [s for s in (FIT_SPLIT, REPORT_SPLIT) if s not in met]:
+        raise ValueError(f"no records in split {missing}")
+
+
 def build_records(items: DataFrame, samples: DataFrame, catalog: DataFrame, models: Sequence[str],
                   require_agreement: bool = True) -> DataFrame:
     """Per item: why it is skipped, or its long-form evidence for every model.
@@ -78,11 +85,12 @@ def build_records(items: DataFrame, samples: DataFrame, catalog: DataFrame, mode
     # An item has one row per model by now, so this window never holds more than the ladder.
     of_item = Window.partitionBy("slug")
     cheap_agreement = F.when(F.col("model") == models[0], F.col("agreement"))
-    status = priced.withColumn("_n_models", F.count("success").over(of_item)).withColumn(
+    status = priced.withColumn("_n_models", F.count("success").over(of_item)).withColumn("_n_priced", F.count("cost_nano").over(of_item)).withColumn(
         "_cheap_agreement", F.max(cheap_agreement).over(of_item))
     reason = (
         F.when(~F.col("_gradable"), F.lit("not_gradable"))
         .when(F.col("_n_models") != len(models), F.lit("incomplete"))
+        .when(F.col("_n_priced") != len(models), F.lit("unpriced"))
     )
     if require_agreement:
         reason = reason.when(F.col("_cheap_agreement").isNull(), F.lit("no_agreement"))
@@ -100,6 +108,7 @@ def record_stats(records: DataFrame, models: Sequence[str]) -> DataFrame:
         F.count_if(reason.isNull()).alias("items"),
         F.count_if(reason == "not_gradable").alias("skipped_not_gradable"),
         F.count_if(reason == "incomplete").alias("skipped_incomplete"),
+        F.count_if(reason == "unpriced").alias("skipped_unpriced"),
         F.count_if(reason == "no_agreement").alias("skipped_no_agreement"),
         F.coalesce(F.sum(F.when(gradable_item, F.lit(len(models)) - F.col("found"))), F.lit(0)).alias("lookups_missed"),
     )
@@ -123,6 +132,13 @@ def cascade_inputs(records: DataFrame, cheap: str, strong: str, k_samples: int =
         of(cheap, "cost_nano").alias("cheap_nano"), of(strong, "cost_nano").alias("strong_nano"),
         of(cheap, "agreement").alias("agreement"), of(cheap, "verifier_confidence").alias("verifier_confidence"),
     )
+    def arm(model: str, column: str, name: str) -> Column:
+        missing = F.concat(F.col("slug"), F.lit(f": no {column} of {model}"))
+        return F.coalesce(F.col(name), F.raise_error(missing).cast(wide.schema[name].dataType)).alias(name)
+
+    # An item that lacks an arm or its price would count as concordant or free: refuse it.
+    wide = wide.select(*[arm(m, c, n) if n in ("cheap_ok", "strong_ok", "cheap_nano", "strong_nano") else F.col(n)
+                         for n in wide.columns for m, c in [(cheap if n.startswith("cheap") else strong, "success" if n.endswith("ok") else "cost_nano")]])
     check = F.when(is_gradable(F.col("task_type")), F.col("cheap_nano") * k_samples).otherwise(
         F.col("cheap_nano") + verifier_cost_nano)
     return wide.select(*by, "slug", "cheap_ok", "strong_ok", "cheap_nano", "strong_nano",
@@ -300,6 +316,7 @@ def fit_and_report(records: DataFrame, cheap: str, strong: str, ladder: Sequence
     """
     both = records.filter(F.col("split").isin(FIT_SPLIT, REPORT_SPLIT))
     require_one_split(both)
+    _require_splits(both)
     points = sweep(cascade_inputs(both, cheap, strong, k_samples, verifier_cost_nano), grid, margin=margin)
     # The sweep is one row per split and threshold; both roles are read off it in one go.
     usable = (F.col("split") == FIT_SPLIT) & F.col("eligible")

@@ -45,14 +45,16 @@ def validate_requests(requests: DataFrame) -> DataFrame:
         return F.col(column).isNotNull() & ~ok
 
     rules = [
-        ("model", F.length("model") == 0),
-        ("messages", F.size("messages") == 0),
+        ("model", F.coalesce(F.length("model"), F.lit(0)) == 0),
+        ("messages", F.coalesce(F.array_size("messages"), F.lit(0)) == 0),
         ("non_system_message", (F.size("messages") > 0) & ~F.exists("messages", lambda m: ~m["role"].isin(*SYSTEM_ROLES))),
         ("n", outside("n", F.col("n") == 1)),
         ("temperature", outside("temperature", F.col("temperature").between(0.0, MAX_TEMPERATURE))),
         ("top_p", outside("top_p", (F.col("top_p") > 0.0) & (F.col("top_p") <= 1.0))),
         ("stop", outside("stop", F.size("stop") <= MAX_STOPS)),
         ("max_tokens", outside("max_tokens", F.col("max_tokens") > 0)),
+        *([("max_completion_tokens", outside("max_completion_tokens", F.col("max_completion_tokens") > 0))]
+          if "max_completion_tokens" in requests.columns else []),
     ]
     failed = F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules]))
     return requests.withColumn("failed_rules", failed)

@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions import stats
@@ -57,6 +58,9 @@ def cosine(a: Column, b: Column) -> Column:
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     rows = len(flat)
+    sizes = pa.compute.list_value_length(flat).unique().to_pylist()
+    if len(sizes) > 1 or None in sizes:
+        raise ValueError(f"vectors must have one number of dimensions, found {sizes}")
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1) if rows else np.zeros((0, 0))
 
 

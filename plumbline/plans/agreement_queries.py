@@ -10,10 +10,10 @@ from plumbline.plans import fixtures as fx, oracle as o
 from plumbline.plans.planning_queries import CHOICE_SQL, NUMBER_SQL
 from plumbline.plans.registry import registered
 
-_VALID = "json_valid({x}) AND json_type({x})='OBJECT' AND ({x}::JSON->>'$.verdict') IN ('A','B','tie') AND coalesce(({x}::JSON->>'$.confidence')::DOUBLE,0.5) BETWEEN 0 AND 1"
+_VALID = "json_valid({x}) AND json_type({x})='OBJECT' AND ({x}::JSON->>'$.outcome') IN ('A','B','tie') AND coalesce(({x}::JSON->>'$.confidence')::DOUBLE,0.5) BETWEEN 0 AND 1"
 _PARSED = f"""SELECT pair_id, position, CASE WHEN {_VALID.format(x='fenced')} THEN fenced WHEN {_VALID.format(x='obj')} THEN obj WHEN {_VALID.format(x='raw2')} THEN raw2 END AS doc FROM (
   SELECT pair_id, position, nullif(regexp_extract(raw, '(?s)```(?:json)?\\s*(.*?)\\s*```',1),'') AS fenced, nullif(regexp_extract(raw,'(?s)\\{{.*\\}}',0),'') AS obj, nullif(trim(raw),'') AS raw2 FROM replies)"""
-_SLOTS = """SELECT pair_id, position, CASE WHEN doc IS NULL THEN NULL WHEN doc::JSON->>'$.verdict'='tie' THEN 'tie' WHEN doc::JSON->>'$.verdict'=position THEN 'win' ELSE 'loss' END AS outcome,
+_SLOTS = """SELECT pair_id, position, CASE WHEN doc IS NULL THEN NULL WHEN doc::JSON->>'$.outcome'='tie' THEN 'tie' WHEN doc::JSON->>'$.outcome'=position THEN 'win' ELSE 'loss' END AS outcome,
   CASE WHEN doc IS NOT NULL THEN coalesce((doc::JSON->>'$.confidence')::DOUBLE,0.5) END AS conf FROM parsed"""
 _JUDGED = """SELECT pair_id, a AS outcome_a, b AS outcome_b, CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN a=b THEN a ELSE 'tie' END AS outcome,
   coalesce(a<>b,false) AS position_flip, a IS NULL OR b IS NULL AS unparseable, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN round_even((ca+cb)/2.0,4) END AS confidence FROM (

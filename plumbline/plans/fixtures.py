@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.functions.hashing import uniform
 
-PARTS_PER_FILE = 64
 CHEAP, MID, STRONG = "m-small", "m-mid", "m-large"
 LADDER = (CHEAP, MID, STRONG)
 PASS_RATES = {CHEAP: 0.62, MID: 0.82, STRONG: 0.90}
@@ -22,11 +21,8 @@ TASKS = {"1": "math_word_problem", "2": "multiple_choice", "3": "summarization",
 
 
 def load(spark: SparkSession, d: str, table: str) -> DataFrame:
-    """A given table. One with fewer files than there are task slots is spread over the slots
-    first, since a file of one row group is one task; a table of many files is read as it lies."""
-    df = spark.read.parquet(f"{d}/{table}.parquet")
-    files, slots = len(df.inputFiles()), spark.sparkContext.defaultParallelism
-    return df.repartition(min(slots, PARTS_PER_FILE * files)) if files < slots else df
+    """A given table, read as it lies."""
+    return spark.read.parquet(f"{d}/{table}.parquet")
 
 
 def catalog(spark: SparkSession) -> DataFrame:
@@ -230,8 +226,8 @@ def judge_replies(spark: SparkSession, d: str) -> DataFrame:
     u = uniform(F.lit("reply"), doc, F.col("position"))
     mark = F.when(u < 0.4, "A").when(u < 0.8, "B").otherwise("tie")
     conf = (F.floor(u * 100) / 100).cast("string")
-    plain = F.concat(F.lit('{"verdict": "'), mark, F.lit('", "confidence": '), conf, F.lit("}"))
-    bare = F.concat(F.lit('{"verdict": "'), mark, F.lit('"}'))
+    plain = F.concat(F.lit('{"outcome": "'), mark, F.lit('", "confidence": '), conf, F.lit("}"))
+    bare = F.concat(F.lit('{"outcome": "'), mark, F.lit('"}'))
     form = (doc + F.when(F.col("position") == "A", 0).otherwise(1)) % 8
     raw = (
         F.when(form == 0, plain)
@@ -239,8 +235,8 @@ def judge_replies(spark: SparkSession, d: str) -> DataFrame:
         .when(form == 2, F.concat(F.lit("My view: "), plain, F.lit(" as said.")))
         .when(form == 3, bare)
         .when(form == 4, F.concat(F.lit("```\n"), bare, F.lit("\n```")))
-        .when((form == 5) & (doc % 3 == 0), F.lit('{"verdict": "C", "confidence": 0.9}'))
-        .when((form == 6) & (doc % 3 == 0), F.concat(F.lit('{"verdict": "'), mark, F.lit('", "confidence": 5}')))
+        .when((form == 5) & (doc % 3 == 0), F.lit('{"outcome": "C", "confidence": 0.9}'))
+        .when((form == 6) & (doc % 3 == 0), F.concat(F.lit('{"outcome": "'), mark, F.lit('", "confidence": 5}')))
         .when((form == 7) & (doc % 3 == 0), F.lit(""))
         .otherwise(plain))
     return base.select(F.concat(F.lit("doc-"), doc).alias("pair_id"), "position", raw.alias("raw"))

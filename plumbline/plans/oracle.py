@@ -104,9 +104,9 @@ CTES["joined"] = """SELECT l.*, j.outcome, j.unparseable, j.position_flip, CASE
   FROM labelled l LEFT JOIN judgments j USING (pair_id)"""
 _REPLY = U("'reply'", "doc_id", "position")
 CTES["replies"] = f"""SELECT 'doc-'||doc_id AS pair_id, position, CASE WHEN form=0 THEN plain WHEN form=1 THEN '```json'||chr(10)||plain||chr(10)||'```' WHEN form=2 THEN 'My view: '||plain||' as said.'
-    WHEN form=3 THEN bare WHEN form=4 THEN '```'||chr(10)||bare||chr(10)||'```' WHEN form=5 AND doc_id%3=0 THEN '{{"verdict": "C", "confidence": 0.9}}'
-    WHEN form=6 AND doc_id%3=0 THEN '{{"verdict": "'||mark||'", "confidence": 5}}' WHEN form=7 AND doc_id%3=0 THEN '' ELSE plain END AS raw FROM (
-  SELECT *, '{{"verdict": "'||mark||'", "confidence": '||(floor(u*100)/100)::VARCHAR||'}}' AS plain, '{{"verdict": "'||mark||'"}}' AS bare FROM (
+    WHEN form=3 THEN bare WHEN form=4 THEN '```'||chr(10)||bare||chr(10)||'```' WHEN form=5 AND doc_id%3=0 THEN '{{"outcome": "C", "confidence": 0.9}}'
+    WHEN form=6 AND doc_id%3=0 THEN '{{"outcome": "'||mark||'", "confidence": 5}}' WHEN form=7 AND doc_id%3=0 THEN '' ELSE plain END AS raw FROM (
+  SELECT *, '{{"outcome": "'||mark||'", "confidence": '||(floor(u*100)/100)::VARCHAR||'}}' AS plain, '{{"outcome": "'||mark||'"}}' AS bare FROM (
   SELECT *, CASE WHEN u<0.4 THEN 'A' WHEN u<0.8 THEN 'B' ELSE 'tie' END AS mark, (doc_id+CASE WHEN position='A' THEN 0 ELSE 1 END)%8 AS form FROM (
   SELECT doc_id, position, {_REPLY} AS u FROM documents, (VALUES ('A'),('B')) p(position))))"""
 CTES["raw_items"] = "SELECT source AS source_dataset, doc_id::VARCHAR AS source_id, lang AS task_type, text, doc_id FROM documents"
@@ -139,7 +139,9 @@ def query(body: str, *ctes: str, **extra: str) -> str:
 
     for name in ctes:
         add(name)
-    parts = [f"{n} AS ({CTES[n]})" for n in order] + [f"{n} AS ({sql})" for n, sql in extra.items()]
+    named = [(n, CTES[n]) for n in order] + list(extra.items())
+    # Derived once each, however often later parts read them.
+    parts = [f"{n} AS {'' if '/*recursive*/' in sql else 'MATERIALIZED '}({sql})" for n, sql in named]
     recursive = "RECURSIVE " if any("/*recursive*/" in p for p in parts) else ""
     return (f"WITH {recursive}" + ",\n".join(parts) + "\n" if parts else "") + body
 

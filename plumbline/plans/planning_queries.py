@@ -128,8 +128,9 @@ def first_over_cap(spark, d):
     return costing.first_over_cap(traces, 80_000_000, ["day"]).select("day", "id", "spent_nano")
 
 
-_MASK = """SELECT slug, model, coalesce(min(i) FILTER (NOT present), 8)::INT AS samples FROM (
-  SELECT slug, model, i, list_contains(idx, i) AS present FROM (SELECT slug, model, list(DISTINCT replicate_idx) AS idx FROM generations WHERE replicate_idx BETWEEN 0 AND 7 GROUP BY ALL), range(8) r(i)) GROUP BY slug, model"""
+_MASK = """SELECT g.slug, g.model, (CASE WHEN bool_or(g.replicate_idx=0) THEN min(g.replicate_idx) FILTER (n.replicate_idx IS NULL)+1 ELSE 0 END)::INT AS samples
+  FROM (SELECT DISTINCT slug, model, replicate_idx FROM generations WHERE replicate_idx>=0) g
+  LEFT JOIN (SELECT DISTINCT slug, model, replicate_idx FROM generations) n ON n.slug=g.slug AND n.model=g.model AND n.replicate_idx=g.replicate_idx+1 GROUP BY g.slug, g.model"""
 
 
 @registered("contiguous_replicates", o.query("SELECT slug, model, samples FROM used", "generations", used=_MASK))

@@ -63,7 +63,7 @@ def build_records(spark, d):
 
 @registered("record_stats", o.query(
     """SELECT count(*) FILTER (skip_reason IS NULL) AS items, count(*) FILTER (skip_reason='not_gradable') AS skipped_not_gradable,
-       count(*) FILTER (skip_reason='incomplete') AS skipped_incomplete, count(*) FILTER (skip_reason='no_agreement') AS skipped_no_agreement,
+       count(*) FILTER (skip_reason='incomplete') AS skipped_incomplete, 0::BIGINT AS skipped_unpriced, count(*) FILTER (skip_reason='no_agreement') AS skipped_no_agreement,
        (sum(3-found) FILTER (skip_reason IS DISTINCT FROM 'not_gradable'))::BIGINT AS lookups_missed FROM status""", "generations", "items", **_RECORD_CTES))
 def record_stats(spark, d):
     return routing.record_stats(_built(spark, d), fx.LADDER)

@@ -34,9 +34,9 @@ def labels_last_wins(spark, d):
     log = fx.labels(spark, d).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
     files.write_sorted_json(log.select(
         "pair_id", F.col("pair_id").alias("slug"), "task_type", F.lit("m").alias("candidate_model"), F.lit("p").alias("labeler"), "elapsed_ms",
-        F.when(F.col("k") == 0, F.col("human")).otherwise("tie").alias("verdict"),
+        F.when(F.col("k") == 0, F.col("human")).otherwise("tie").alias("outcome"),
         F.concat(F.lit("2024-01-0"), 1 + (F.col("doc_id") + F.col("k")) % 3).alias("labeled_at")), path)
-    return files.read_labels(spark, path).select("pair_id", F.col("verdict").alias("label"), "labeled_at")
+    return files.read_labels(spark, path).select("pair_id", F.col("outcome").alias("label"), "labeled_at")
 
 
 @registered("pairs_roundtrip", o.query("SELECT 'pair-'||doc_id AS pair_id, text AS left_text, 'different' AS label, (doc_id%10)/10.0::DOUBLE AS similarity FROM documents"))

@@ -15,7 +15,8 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
-    return spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(d)
+    """The table's files as a stream: the pattern matches one file as well as a folder of part files."""
+    return spark.readStream.schema(EVENTS).parquet(f"{d}/event[s].parquet")
 
 
 def finished(stream: DataFrame, name: str) -> DataFrame:

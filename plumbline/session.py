@@ -29,12 +29,16 @@ def build_session(app: str = "plumbline", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the folder the cluster names in ``spark.checkpoint.dir``.
 
-    A local folder is made only when the session names none, as in tests.
+    A local folder is made only when the session names none and runs on one machine, as in tests; on a
+    cluster other executors could not see it, so there the setting is required.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="plumbline-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/plumbline/{purpose}-{uuid.uuid4().hex}"

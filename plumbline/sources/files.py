@@ -14,7 +14,7 @@ CORPUS_SCHEMA = (
     "source_license string, split string, task_type string, verifiable boolean, verifier string")
 LABEL_SCHEMA = (
     "candidate_model string, elapsed_ms bigint, labeled_at string, labeler string, pair_id string, "
-    "slug string, task_type string, verdict string")
+    "slug string, task_type string, outcome string")
 PAIR_SCHEMA = (
     "human_verified boolean, label string, left_slug string, left_text string, pair_id string, "
     "right_slug string, right_text string, similarity double, source string")

@@ -79,7 +79,7 @@ def test_statuses_and_findings(spark):
 
 
 def test_reply_log_excludes_unreadable_positions(spark):
-    rows = [("p", "A", '{"verdict":"A"}'), ("p", "B", '{"verdict":"B","confidence":0.8}'), ("q", "A", '{"verdict":"A"}'), ("q", "B", '{"verdict":"A"}'), ("r", "A", "?"), ("r", "B", '{"verdict":"B"}')]
+    rows = [("p", "A", '{"outcome":"A"}'), ("p", "B", '{"outcome":"B","confidence":0.8}'), ("q", "A", '{"outcome":"A"}'), ("q", "B", '{"outcome":"A"}'), ("r", "A", "?"), ("r", "B", '{"outcome":"B"}')]
     got = {r["pair_id"]: r for r in ag.score_judge_log(spark.createDataFrame(rows, "pair_id string, position string, raw string")).collect()}
     assert got["p"]["outcome"] == "win" and got["p"]["confidence"] == 0.65 and not got["p"]["position_flip"]
     assert got["q"]["outcome"] == "tie" and got["q"]["position_flip"]

@@ -101,14 +101,6 @@ def test_fingerprint(spark):
     assert doubled["fingerprint"] != base["fingerprint"] and doubled["rows"] == 501
 
 
-def test_flat_fingerprint(spark):
-    df = spark.createDataFrame([("x", 1), ("y", 2)], "k string, n int")
-    rows = sorted(hashlib.sha256(t.encode()).hexdigest() for t in ('{"k":"x","n":1}', '{"k":"y","n":2}'))
-    assert corpus.flat_fingerprint(df, ["n", "k"]).first()["fingerprint"] == hashlib.sha256("".join(rows).encode()).hexdigest()
-    with pytest.raises(ValueError):
-        corpus.flat_fingerprint(df, ["k"], max_rows=1)
-
-
 def test_label_pairs_balance_cells(spark):
     items = spark.createDataFrame([(f"{t}-{i}", t) for t in "ab" for i in range(30)], "slug string, task_type string")
     got = corpus.label_pairs(items, ["m1", "m2"], "ref", 20, 1).collect()

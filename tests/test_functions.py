@@ -62,10 +62,10 @@ def test_user_verifier(spark):
 
 def test_judge_reply(spark):
     good = {
-        '{"verdict": "A", "confidence": 0.9}': ("A", 0.9), '```json\n{"verdict": "B"}\n```': ("B", 0.5), 'Well: {"verdict": "tie", "confidence": 1} ok': ("tie", 1.0),
-        '{"verdict": "A", "extra": [1]}': ("A", 0.5), '```\nnot json\n``` {"verdict": "B"}': ("B", 0.5)}
-    bad = ["", "   ", "null", '{"verdict": "C"}', '{"verdict": "A", "confidence": 5}', '{"verdict": "A", "confidence": null}', '[1]', "A wins",
-           '{"verdict": "A", "reasoning": 3}', '{"confidence": 0.4}']
+        '{"outcome": "A", "confidence": 0.9}': ("A", 0.9), '```json\n{"outcome": "B"}\n```': ("B", 0.5), 'Well: {"outcome": "tie", "confidence": 1} ok': ("tie", 1.0),
+        '{"outcome": "A", "extra": [1]}': ("A", 0.5), '```\nnot json\n``` {"outcome": "B"}': ("B", 0.5)}
+    bad = ["", "   ", "null", '{"outcome": "C"}', '{"outcome": "A", "confidence": 5}', '{"outcome": "A", "confidence": null}', '[1]', "A wins",
+           '{"outcome": "A", "reasoning": 3}', '{"confidence": 0.4}']
     got = column(spark, [*good, *bad], answers.parse_judge_reply)
     assert [(r["outcome"], r["confidence"]) for r in got[: len(good)]] == list(good.values())
     assert got[len(good):] == [None] * len(bad)
@@ -298,7 +298,7 @@ def test_bh(spark):
         running = min(running, p[rank - 1] * 10 / rank)
         want[rank - 1] = round(running, 8)
     assert got == pytest.approx(want)
-    with pytest.raises(Exception, match="p-values"):
+    with pytest.raises(Exception, match="p-value lies outside"):
         pairing.bh_qvalues(spark.createDataFrame([(1.5, "f")], "p_value double, f string"), ["f"]).collect()
 
 

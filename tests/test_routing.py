@@ -139,9 +139,11 @@ def test_self_consistency(spark):
     rows = [("a", "m", i, t, 1, 1, "final_number") for i, t in enumerate(["#### 1", "is 1", "#### 2", "?", "none"])]
     rows += [("b", "m", 0, "?", 1, 1, "final_number"), ("b", "m", 1, "!", 1, 1, "final_number")]
     rows += [("gap", "m", i, "#### 1", 1, 1, "final_number") for i in (0, 1, 3, 4)] + [("late", "m", 1, "#### 1", 1, 1, "final_number")]
-    rows += [("many", "m", i, "#### 1", 1, 1, "final_number") for i in range(12)]
+    rows += [("many", "m", i, "#### 1" if i % 3 else f"#### {i + 5}", 1, 1, "final_number") for i in range(12)]
     got = {r["slug"]: (r["samples"], r["agreement"]) for r in costing.samples_per_item(gens(spark, rows * 2)).collect()}
-    assert got == {"a": (5, 0.4), "b": (2, 0.5), "gap": (2, 1.0), "late": (0, None), "many": (8, 1.0)}
+    assert got == {"a": (5, 0.4), "b": (2, 0.5), "gap": (2, 1.0), "late": (0, None), "many": (12, 8 / 12)}
+    used = {r["slug"]: r["samples"] for r in costing.contiguous_replicates(gens(spark, rows * 2)).collect()}
+    assert used == {k: v[0] for k, v in got.items()}
 
 
 def test_records_skip_reasons(spark):
@@ -159,7 +161,7 @@ def test_records_skip_reasons(spark):
     assert {r["slug"]: r["skip_reason"] for r in built.select("slug", "skip_reason").distinct().collect()} == {
         "ok": None, "free": "not_gradable", "half": "incomplete", "single": "no_agreement"}
     assert routing.record_stats(built, [fx.CHEAP, fx.MID]).first().asDict() == {
-        "items": 1, "skipped_not_gradable": 1, "skipped_incomplete": 1, "skipped_no_agreement": 1, "lookups_missed": 1}
+        "items": 1, "skipped_not_gradable": 1, "skipped_incomplete": 1, "skipped_unpriced": 0, "skipped_no_agreement": 1, "lookups_missed": 1}
     assert {r["cost_nano"] for r in built.filter("slug = 'ok'").collect()} == {10 * 75 + 20 * 300, 10 * 1000 + 20 * 5000}
 
 
