@@ -205,11 +205,12 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of each group's smallest id, with all their columns; rows that share that id leave one of them.
 
-    Only numbers are grouped. The texts move once, to meet the ids that stay, and again only where ids repeat."""
+    Only numbers are grouped. The texts move once, to meet the ids that stay, and again only where ids repeat. The ids
+    that stay grow with the corpus, so the join is a merge join at every size."""
     found = near_duplicates(docs, block)
     chosen = stored(found.filter((F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull())
                     .groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "chosen")
-    kept = docs.join(chosen.select(F.col("doc_id").alias("_kept_id")), docs["doc_id"] == F.col("_kept_id"), "left_semi")
+    kept = docs.join(chosen.select(F.col("doc_id").alias("_kept_id")).hint("merge"), docs["doc_id"] == F.col("_kept_id"), "left_semi")
     if not chosen.filter("doc_id is not null and n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     lone = chosen.filter("doc_id is null")
