@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-MEMORY = 1_000_000
+MEMORY = 700_000
 _LONGEST_KEPT = 40
 _ODD_SPACES = re.compile(r" \s|\s |\A | \Z")
 
