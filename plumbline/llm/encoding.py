@@ -87,12 +87,9 @@ class Encoder:
             self.known.update((w, x) for w, x in learnt.items() if len(w) <= _LONGEST_KEPT)
 
     def of_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word as it stands behind a space; words must hold no white space."""
-        fresh = [w for w in words if w not in self.known]
-        learnt = self._learn(fresh) if fresh else {}
-        out = [learnt[w] if w in learnt else self.known[w] for w in words]
-        self._keep(learnt)
-        return out
+        """Ids of each word as it stands behind a space; words must hold no white space. Nothing is kept."""
+        learnt = self._learn(words) if words else {}
+        return [learnt[w] for w in words]
 
 
 @functools.lru_cache(maxsize=2)

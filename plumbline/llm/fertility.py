@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ LOWER, UPPER, REACH = 0.05, 0.95, 2.0
 MIN_GROUP = 50
 SCRIPTS = (("cyrillic", 0x400, 0x52F), ("greek", 0x370, 0x3FF), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF),
            ("devanagari", 0x900, 0x97F), ("thai", 0xE00, 0xE7F), ("hangul", 0xAC00, 0xD7AF), ("cjk", 0x3040, 0x9FFF))
-_KEPT_WORDS = 400_000
+_KEPT_WORDS = 600_000
 _NOT_SYMBOLS = bytes(b for b in range(256) if b not in SYMBOLS)
 
 
@@ -82,20 +83,20 @@ class Rods:
 
         self.encoder = encoder(bpe)
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        size = self.pieces.get_piece_size()
-        self.is_byte = np.array([self.pieces.is_byte(i) for i in range(size)])
+        self.bytes = frozenset(i for i in range(self.pieces.get_piece_size()) if self.pieces.is_byte(i))
         self.known: dict[bytes, tuple[bytes, int, int]] = {}
 
     def of(self, words: list[bytes]) -> dict[bytes, tuple[bytes, int, int]]:
         """Per word: its byte-level ids, its pieces, and how many of them are single bytes."""
         fresh = [w for w in words if w not in self.known]
-        texts = [w.decode("utf-8", "replace") for w in fresh]
-        plain = [t if not re.search(r"\s", t) else re.sub(r"\s", "·", t) for t in texts]  # white space beyond ASCII
+        plain = [w.decode("utf-8", "replace") for w in fresh]
+        if re.search(r"\s", "".join(plain)):  # white space beyond ASCII
+            plain = [re.sub(r"\s", "·", t) for t in plain]
         if len(self.known) + len(fresh) > _KEPT_WORDS:
             self.known = {w: self.known[w] for w in words if w in self.known}
         if fresh:
             for w, ids, found in zip(fresh, self.encoder.of_words(plain), self.pieces.encode(plain, num_threads=1)):
-                self.known[w] = ids, len(found), int(self.is_byte[found].sum()) if len(found) else 0
+                self.known[w] = ids, len(found), len(found) - len(list(filterfalse(self.bytes.__contains__, found)))
         return self.known
 
 
