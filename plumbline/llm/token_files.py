@@ -34,7 +34,7 @@ from plumbline.session import shared_dir
 
 END_ID = 2
 FRAME_TOKENS = 65_536
-LEVEL = 3
+LEVEL = 1
 #: Fixed by the zstandard formats.
 SKIPPABLE, SEEKABLE_FOOTER, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
 DIRECTORY = 0x184D2A5D
