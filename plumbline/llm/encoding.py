@@ -10,13 +10,17 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 
 import numpy as np
 
 MEMORY = 700_000
 _LONGEST_KEPT = 40
-_ODD_SPACES = re.compile(r" \s|\s |\A | \Z")
+#: White space other than single spaces and line feeds, and line feeds beside a space.
+_ODD_SPACES = ("  ", " \n", "\n ", *(chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def _odd(text: str) -> bool:
+    return text[0] == " " or text[-1] == " " or any(map(text.__contains__, _ODD_SPACES))
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -59,7 +63,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if _ODD_SPACES.search(text):
+            if _odd(text):
                 whole.append(i)
                 continue
             words = text.split(" ")
