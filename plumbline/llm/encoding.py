@@ -2,7 +2,7 @@
 
 A single space between two characters that are not white space always begins a new pre-token of these
 vocabularies, so a text may be encoded word by word and the ids joined; a worker keeps the ids of up to
-``MEMORY`` words. Texts with any other arrangement of spaces are encoded as they are. Either way the ids are
+``MEMORY`` words in two generations. Texts with any other arrangement of spaces are encoded as they are. Either way the ids are
 those of the library for the whole text.
 """
 
@@ -13,7 +13,7 @@ import os
 
 import numpy as np
 
-MEMORY = 700_000
+MEMORY = 1_000_000
 _LONGEST_KEPT = 40
 #: White space other than single spaces and line feeds, and line feeds beside a space.
 _ODD_SPACES = ("  ", " \n", "\n ", *(chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -40,6 +40,7 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.bytes_of[i] = len(token)  # the byte alphabet has one character per byte
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # words of the last generation; those met again move on, the rest goes
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -74,7 +75,9 @@ class Encoder:
                 split.append((i, words[1:], found))
             else:
                 split.append((i, None, found))
-        learnt = self._learn(list(fresh)) if fresh else {}
+        learnt = {w: self.older[w] for w in fresh if w in self.older}
+        unmet = [w for w in fresh if w not in learnt]
+        learnt.update(self._learn(unmet) if unmet else {})
         for (i, words, found), head in zip(split, self._plain(heads)):
             if words is not None:
                 found = [learnt[w] if x is None else x for w, x in zip(words, found)]
@@ -85,9 +88,9 @@ class Encoder:
         return out
 
     def _keep(self, learnt: dict[str, bytes]) -> None:
-        if len(self.known) + len(learnt) > MEMORY:
-            self.known.clear()
-        if len(learnt) <= MEMORY:
+        if len(self.known) + len(learnt) > MEMORY // 2:
+            self.older, self.known = self.known, {}
+        if len(learnt) <= MEMORY // 2:
             self.known.update((w, x) for w, x in learnt.items() if len(w) <= _LONGEST_KEPT)
 
     def of_words(self, words: list[str]) -> list[bytes]:
