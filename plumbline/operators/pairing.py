@@ -127,11 +127,11 @@ def poisson_bootstrap(scores: DataFrame, by: Sequence[str], key: str, value: str
         *by, "n", (F.col("total") / F.col("n")).alias("mean"), "ci_low", "ci_high")
 
 
-# Cumulative Poisson(1) probabilities on the 32-bit scale, from the definition.
+# Cumulative Poisson(1) probabilities on the 32-bit scale, from the definition, until the scale is exhausted.
 def _poisson_cuts() -> list[int]:
     import math
     cuts, total, k = [], 0.0, 0
-    while len(cuts) < 11:
+    while not cuts or cuts[-1] < 4294967295:
         total += math.exp(-1.0) / math.factorial(k)
         cuts.append(int(total * 4294967296.0))
         k += 1
