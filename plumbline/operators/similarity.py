@@ -295,11 +295,12 @@ def discover_routes(vectors: DataFrame, k_range: Sequence[int], seed: int = 1) -
     score, model = best
     centres = spark.createDataFrame(
         [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "prediction int, centroid array<double>")
-    features.unpersist()
     tasks = model.transform(features).groupBy("prediction", "task_type").agg(F.count(F.lit(1)).alias("n"))
     routes = tasks.groupBy("prediction").agg(
         F.sum("n").alias("n_items"), F.max(F.struct("n", "task_type"))["task_type"].alias("task_type"))
-    return routes.join(centres, "prediction").select(
+    sizes = spark.createDataFrame(routes.collect(), routes.schema)  # one row for each of the k routes
+    features.unpersist()
+    return sizes.join(centres, "prediction").select(
         F.format_string("route-%02d", "prediction").alias("route_key"), "task_type", "n_items", "centroid",
         F.lit(float(score)).alias("silhouette"))
 

@@ -47,9 +47,11 @@ _COL = {"win": "(win_win+tie_win+loss_win)", "tie": "(win_tie+tie_tie+loss_tie)"
 _CHANCE = "(" + "+".join(f"{_ROW[k]}::DOUBLE*{_COL[k]}::DOUBLE" for k in stats.CLASSES) + ")"
 _HITS = "(win_win+tie_tie+loss_loss)"
 _KAPPA = f"CASE WHEN {_N}=0 OR {_N}::DOUBLE*{_N}::DOUBLE={_CHANCE} THEN 0.0 ELSE ({_HITS}*{_N}::DOUBLE-{_CHANCE})/({_N}::DOUBLE*{_N}::DOUBLE-{_CHANCE}) END"
-_AGREED = f"SELECT {{by}} {_N} AS n, {_HITS}/{_N}::DOUBLE AS raw_agreement, {_KAPPA} AS kappa, " + ", ".join(
+_AGREED_COLUMNS = f"SELECT {{by}} {_N} AS n, {_HITS}/{_N}::DOUBLE AS raw_agreement, {_KAPPA} AS kappa, " + ", ".join(
     f"CASE WHEN {_ROW[k]}>0 THEN {k}_{k}/{_ROW[k]}::DOUBLE ELSE 0.0 END AS recall_{k}" for k in stats.CLASSES) + ", " + ", ".join(
-    f"{h}_{j}" for h in stats.CLASSES for j in stats.CLASSES) + " FROM cells"
+    f"{h}_{j}" for h in stats.CLASSES for j in stats.CLASSES)
+_AGREED = _AGREED_COLUMNS + " FROM cells"
+_AGREED_SEEDED = _AGREED_COLUMNS + " FROM seeded"
 
 
 @registered("confusion", o.query(
@@ -68,9 +70,32 @@ def agreement_by_task(spark, d):
     return ag.agreement_by_task(_COMPARED(spark, d))
 
 
-@registered("kappa_ci")
+# The redraws of the nine cells of every row of ``seeded``, which names the row in ``seed``.
+_M = "12*sqrt(m)"
+_REDRAWN = dict(
+    counted="SELECT seed, unnest(range(9)) AS cell, unnest([" + ",".join(f"{h}_{j}" for h in stats.CLASSES for j in stats.CLASSES) + "])::BIGINT AS m FROM seeded",
+    mass=f"""SELECT seed, cell, k, exp(k*ln(m)-m-lgamma(k+1)) AS p FROM (
+      SELECT *, unnest(range(greatest(0,floor(m-{_M}))::BIGINT, ceil(m+{_M})::BIGINT+21)) AS k FROM counted WHERE m>0)""",
+    below="SELECT seed, cell, k, sum(p) OVER (PARTITION BY seed, cell ORDER BY k) AS c FROM mass",
+    hashed=f"SELECT seed, cell, m, blk, md5(concat_ws('|',seed,cell,blk)) AS h FROM counted, range({stats.RESAMPLES // 4}) b(blk)",
+    units="SELECT seed, cell, m, blk*4+lane AS r, ('0x'||substr(h,1+8*lane,8))::BIGINT/4294967296.0::DOUBLE AS u FROM hashed, range(4) l(lane)",
+    drawn=f"""SELECT u.seed, u.r, u.cell, CASE WHEN m=0 THEN 0 ELSE coalesce(b.k+1, greatest(0,floor(m-{_M}))::BIGINT) END AS x
+      FROM units u ASOF LEFT JOIN below b ON u.seed=b.seed AND u.cell=b.cell AND u.u>=b.c""",
+    draws="SELECT seed, r, " + ", ".join(f"max(x) FILTER (cell={3 * i + j})::BIGINT AS {h}_{k}" for i, h in enumerate(stats.CLASSES) for j, k in enumerate(stats.CLASSES))
+          + " FROM drawn GROUP BY ALL",
+    ordered=f"SELECT seed, list_sort(list({_KAPPA})) AS ks FROM draws GROUP BY seed",
+    bounds=f"""SELECT seed, CASE WHEN {_N}<2 THEN 0.0::DOUBLE ELSE round(ks[{int(stats.ALPHA / 2 * stats.RESAMPLES) + 1}],4) END AS low,
+      CASE WHEN {_N}<2 THEN 0.0::DOUBLE ELSE round(ks[{int((1 - stats.ALPHA / 2) * stats.RESAMPLES) + 1}],4) END AS high FROM ordered JOIN seeded USING (seed)""")
+_BAND = """CASE WHEN kappa<0 THEN 'worse than chance' WHEN kappa<0.2 THEN 'slight' WHEN kappa<0.4 THEN 'fair' WHEN kappa<0.6 THEN 'moderate'
+  WHEN kappa<0.8 THEN 'substantial' ELSE 'almost perfect' END"""
+_WITH_INTERVAL = f"SELECT a.* EXCLUDE (seed), low AS kappa_ci_low, high AS kappa_ci_high, low>={stats.KAPPA_GATE} AS clears_gate, {_BAND} AS kappa_band FROM agreed a JOIN bounds USING (seed)"
+_SEEDED_TASKS = f"SELECT concat_ws('|','kappa',task_type) AS seed, * FROM cells WHERE {_N}>=5"
+
+
+@registered("kappa_ci", o.query(
+    _WITH_INTERVAL, "joined", cells=_TASK_CELLS, seeded=_SEEDED_TASKS, **_REDRAWN, agreed=_AGREED_SEEDED.format(by="seed, task_type,")))
 def kappa_ci(spark, d):
-    """Interval of kappa per task: redraws nine cells, so it has no SQL twin."""
+    """Interval of kappa per task."""
     return ag.kappa_ci(ag.agreement_by_task(_COMPARED(spark, d)), ["task_type"])
 
 
@@ -103,20 +128,35 @@ def disagreement_profile(spark, d):
     return ag.disagreement_profile(_JOINED(spark, d))
 
 
-@registered("diagnose")
+_ONE_ROW = dict(
+    cells=_CELLS, seeded="SELECT 'kappa' AS seed, * FROM cells", **_REDRAWN, agreed=_AGREED_SEEDED.format(by="seed,"),
+    agreed_ci=_WITH_INTERVAL, diagnostics=_DIAG, profile=_PROFILE,
+    facts="SELECT *, least(recall_win, recall_tie, recall_loss) AS weakest FROM agreed_ci, diagnostics, profile")
+_RULES = [  # finding, condition, subject, value
+    ("gate_cleared", "clears_gate", "NULL", "kappa_ci_low"),
+    ("gate_not_cleared", "NOT clears_gate", "NULL", "kappa_ci_low"),
+    ("tie_happy", "judge_tie>2*greatest(1,human_tie)", "NULL", "judge_tie"),
+    ("over_deciding", "human_tie>2*greatest(1,judge_tie)", "NULL", "human_tie"),
+    ("position_flips", "flip_rate>0.2", "NULL", "flip_rate"),
+    ("favours_candidate", "toward_win>2*greatest(1,toward_loss)", "NULL", "toward_win"),
+    ("favours_reference", "toward_loss>2*greatest(1,toward_win)", "NULL", "toward_loss"),
+    ("weak_class", "weakest<0.5", "CASE WHEN recall_win=weakest THEN 'win' WHEN recall_tie=weakest THEN 'tie' ELSE 'loss' END", "weakest"),
+    ("one_task", "top_task_n>disagreements*0.5", "top_task", "top_task_n"),
+    ("fast_labels", "fast>greatest(1,n)*0.15", "NULL", "fast"),
+]
+_FINDINGS = " UNION ALL ".join(
+    f"SELECT {i} AS position, '{name}' AS finding, CAST({subject} AS VARCHAR) AS subject, ({value})::DOUBLE AS value FROM facts WHERE {applies}"
+    for i, (name, applies, subject, value) in enumerate(_RULES, 1))
+
+
+@registered("diagnose", o.query("SELECT * FROM findings", "joined", **_ONE_ROW, findings=_FINDINGS))
 def diagnose(spark, d):
-    """Findings about the judge; they rest on the kappa interval, so there is no SQL twin."""
+    """Findings about the judge."""
     joined = _JOINED(spark, d)
     agreed = ag.kappa_ci(ag.agreement(ag.confusion(joined.filter("status = 'compared'"))))
     return ag.diagnose(agreed, ag.judge_diagnostics(joined), ag.disagreement_profile(joined))
 
 
-@registered("calibration_report")
-def calibration_report(spark, d):
-    report = ag.calibration_report(fx.labels(spark, d), fx.judgments(spark, d), _discriminable(spark, d))
-    return report.withColumn("findings", F.array_join("findings", ","))
-
-
 _FIRST = "SELECT DISTINCT slug, model, text FROM generations WHERE replicate_idx=0"
 _SIDES = """SELECT i.slug, i.verifier, i.ground_truth, c.model AS candidate_model, r.model AS reference_model, c.text AS candidate_text, r.text AS reference_text FROM items i
   JOIN firsts c ON c.slug=i.slug AND c.model IN ('m-small','m-mid') JOIN firsts r ON r.slug=i.slug AND r.model='m-large'"""
@@ -132,6 +172,15 @@ _TRUTH = f"SELECT *, CASE WHEN ok THEN 'win' ELSE 'loss' END AS expected FROM (S
 _CALL = f"CASE WHEN {o.U(chr(39) + 'call' + chr(39), 'slug', 'candidate_model')}<0.8 THEN expected WHEN {o.U(chr(39) + 'call' + chr(39), 'slug', 'candidate_model')}<0.95 THEN 'tie' END"
 
 
+@registered("calibration_report", o.query(
+    """SELECT a.*, g.*, (SELECT string_agg(finding, ',' ORDER BY position) FROM findings) AS findings, t.* FROM agreed_ci a, diagnostics g,
+       (SELECT count(called) AS ground_truth_n, count(*) FILTER (called=expected)/count(called)::DOUBLE AS ground_truth_accuracy FROM (SELECT *, """ + _CALL + """ AS called FROM truth)) t""",
+    "joined", "items", "generations", **_ONE_ROW, findings=_FINDINGS, firsts=_FIRST, sides=_SIDES, truth=_TRUTH))
+def calibration_report(spark, d):
+    report = ag.calibration_report(fx.labels(spark, d), fx.judgments(spark, d), _discriminable(spark, d))
+    return report.withColumn("findings", F.array_join("findings", ","))
+
+
 def _compared_texts(spark, d):
     first = fx.generations(spark, d).filter("replicate_idx = 0").select("slug", "model", "text").distinct()
     pairs = fx.items(spark, d).select(

@@ -139,19 +139,19 @@ _B = 100
 
 
 @registered("poisson_bootstrap", o.query(
-    """SELECT split, n, total/n::DOUBLE AS mean, list_sort(means)[3] AS ci_low, list_sort(means)[98] AS ci_high FROM point JOIN
-      (SELECT split, list(s/w::DOUBLE) AS means FROM sums GROUP BY split) USING (split)""",
+    """SELECT split, model, n, total/n::DOUBLE AS mean, list_sort(means)[3] AS ci_low, list_sort(means)[98] AS ci_high FROM point JOIN
+      (SELECT split, model, list(s/w::DOUBLE) AS means FROM sums GROUP BY ALL) USING (split, model)""",
     "records",
-    scores="SELECT slug, split, (cost_nano//1000000)::BIGINT AS v FROM records WHERE model='m-mid'",
-    digests=f"SELECT split, v, blk, md5(concat_ws('|','7',slug,blk)) AS h FROM scores, range({_B // 4}) r(blk)",
-    lanes="SELECT split, v, blk, lane, ('0x'||substr(h,1+8*lane,8))::BIGINT AS u FROM digests, range(4) l(lane)",
-    sums=f"SELECT split, blk*4+lane AS r, sum({o.poisson('u')}) AS w, sum({o.poisson('u')}*v) AS s FROM lanes GROUP BY ALL",
-    point="SELECT split, count(*) AS n, sum(v) AS total FROM scores GROUP BY split"))
+    scores="SELECT slug, split, model, (cost_nano//1000000)::BIGINT AS v FROM records",
+    digests=f"SELECT split, model, v, blk, md5(concat_ws('|','7',slug,blk)) AS h FROM scores, range({_B // 4}) r(blk)",
+    lanes="SELECT split, model, v, blk, lane, ('0x'||substr(h,1+8*lane,8))::BIGINT AS u FROM digests, range(4) l(lane)",
+    sums=f"SELECT split, model, blk*4+lane AS r, sum({o.poisson('u')}) AS w, sum({o.poisson('u')}*v) AS s FROM lanes GROUP BY ALL",
+    point="SELECT split, model, count(*) AS n, sum(v) AS total FROM scores GROUP BY ALL"))
 def poisson_bootstrap(spark, d):
-    """Interval of a mean that is not a pass rate: cost of the middle arm in milli-dollars."""
-    scores = fx.records_long(spark, d).filter(F.col("model") == fx.MID).select(
-        "slug", "split", F.floor(F.col("cost_nano") / 1000000).alias("milli"))
-    return pairing.poisson_bootstrap(scores, ["split"], "slug", "milli", 7, _B)
+    """Interval of a mean that is not a pass rate: cost of every arm in milli-dollars."""
+    scores = fx.records_long(spark, d).select(
+        "slug", "split", "model", F.floor(F.col("cost_nano") / 1000000).alias("milli"))
+    return pairing.poisson_bootstrap(scores, ["split", "model"], "slug", "milli", 7, _B)
 
 
 @registered("classify_intervals", o.query(

@@ -75,9 +75,9 @@ def assign_splits(spark, d):
 
 
 _POOL = "SELECT task_type, 'orders' AS source_dataset, key::VARCHAR AS source_id, ground_truth, 'orders|'||key AS k FROM items"
-_TARGETS = {"math_word_problem": 150, "multiple_choice": 120, "summarization": 90}
-_DRAWN = f"""SELECT *, row_number() OVER (PARTITION BY task_type ORDER BY {o.U(str(SEED), 'task_type', 'k')}, k) AS r FROM pool WHERE task_type IN ('math_word_problem','multiple_choice','summarization')"""
-_PICKED = "SELECT * FROM drawn WHERE r<=CASE task_type WHEN 'math_word_problem' THEN 150 WHEN 'multiple_choice' THEN 120 ELSE 90 END"
+_TARGETS = {"math_word_problem": 150, "multiple_choice": 120, "summarization": 90, "long_form_qa": 75, "support_reply": 60}
+_DRAWN = f"""SELECT *, row_number() OVER (PARTITION BY task_type ORDER BY {o.U(str(SEED), 'task_type', 'k')}, k) AS r FROM pool"""
+_PICKED = "SELECT * FROM drawn WHERE r<=CASE task_type " + " ".join(f"WHEN '{t}' THEN {n}" for t, n in _TARGETS.items()) + " END"
 _BUILT = f"""SELECT printf('%s-%04d', task_type, r-1) AS slug, task_type, source_id, {_CUT.format(r='r2', n='n')} AS split, ground_truth IS NOT NULL AS verifiable,
   CASE task_type WHEN 'math_word_problem' THEN 'final_number' WHEN 'multiple_choice' THEN 'choice_letter' END AS verifier FROM (
   SELECT *, row_number() OVER (PARTITION BY task_type ORDER BY {o.U(str(SEED + 1), 'task_type', 'k')}, k) AS r2, count(*) OVER (PARTITION BY task_type) AS n FROM picked)"""

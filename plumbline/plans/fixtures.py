@@ -253,9 +253,11 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reworded(spark: SparkSession, d: str) -> DataFrame:
-    """A second vector per item, drawn toward the next item by a share that depends on the id."""
+    """A second vector per item, drawn toward the next item by a share that depends on the id; the first follows the last."""
     base = vectors(spark, d)
-    after = base.select((F.col("slug") - 1).alias("slug"), F.col("vec").alias("_next"))
+    ends = base.agg(F.min("slug").alias("_first"), F.max("slug").alias("_last"))  # one row
+    after = base.crossJoin(ends).select(
+        F.when(F.col("slug") == F.col("_first"), F.col("_last")).otherwise(F.col("slug") - 1).alias("slug"), F.col("vec").alias("_next"))
     share = (F.col("slug") % 21) / F.lit(10.0)
     mixed = F.zip_with("vec", "_next", lambda a, b: (a.cast("double") + share * b.cast("double")).cast("float"))
     return base.join(after, "slug").select("slug", mixed.alias("vec"))

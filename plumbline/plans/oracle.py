@@ -112,7 +112,7 @@ CTES["replies"] = f"""SELECT 'doc-'||doc_id AS pair_id, position, CASE WHEN form
 CTES["raw_items"] = "SELECT source AS source_dataset, doc_id::VARCHAR AS source_id, lang AS task_type, text, doc_id FROM documents"
 CTES["vectors"] = "SELECT vec_id AS slug, embedding AS vec, label FROM embeddings"
 CTES["reworded"] = """SELECT a.slug, list_transform(list_zip(a.vec,b.vec), lambda z: (z[1]::DOUBLE + ((a.slug%21)/10.0::DOUBLE)*z[2]::DOUBLE)::FLOAT) AS vec
-  FROM vectors a JOIN vectors b ON b.slug=a.slug+1"""
+  FROM (SELECT *, CASE WHEN slug=max(slug) OVER () THEN min(slug) OVER () ELSE slug+1 END AS after FROM vectors) a JOIN vectors b ON b.slug=a.after"""
 CTES["requests"] = f"""SELECT event_id AS request_id, CASE WHEN event_id%4=0 THEN 'm-small' ELSE 'auto' END AS model,
   CASE event_id%5 WHEN 0 THEN '  ' WHEN 1 THEN ' '||event_type||' ' WHEN 2 THEN 'elsewhere' WHEN 3 THEN event_type END AS route_hint,
   CASE event_id%7 WHEN 0 THEN ' OFF ' WHEN 1 THEN 'bogus' WHEN 2 THEN 'offline' END AS mode_header,

@@ -239,12 +239,15 @@ def candidate_models(spark, d):
 
 @registered("cost_change", o.query(
     """SELECT split, comparison, b AS baseline_nano, c AS candidate_nano, c-b AS cost_delta_nano, CASE WHEN b>0 THEN (c-b)/b::DOUBLE*100 END AS cost_change_pct FROM (
-       SELECT split, 'm-small->m-mid' AS comparison, sum(cost_nano) FILTER (model='m-small')::BIGINT AS b, sum(cost_nano) FILTER (model='m-mid')::BIGINT AS c FROM records GROUP BY split)""", "records"))
+       SELECT x.split, x.model||'->'||y.model AS comparison, x.spent AS b, y.spent AS c FROM spent x JOIN spent y ON x.split=y.split AND x.rung<y.rung)""", "records",
+    spent="SELECT split, model, rung, sum(cost_nano)::BIGINT AS spent FROM records GROUP BY ALL"))
 def cost_change(spark, d):
-    arm = lambda m: F.sum(F.when(F.col("model") == m, F.col("cost_nano")))
-    summary = fx.records_long(spark, d).groupBy("split", F.lit("m-small->m-mid").alias("comparison")).agg(
-        arm(fx.CHEAP).alias("baseline_nano"), arm(fx.MID).alias("candidate_nano"))
-    return rules.cost_change(summary)
+    """Every pair of arms, from one sum per arm."""
+    arms = fx.records_long(spark, d).groupBy("split").agg(
+        *[F.sum(F.when(F.col("model") == m, F.col("cost_nano"))).alias(m) for m in fx.LADDER])
+    pairs = [F.struct(F.lit(f"{a}->{b}").alias("comparison"), F.col(a).alias("baseline_nano"), F.col(b).alias("candidate_nano"))
+             for i, a in enumerate(fx.LADDER) for b in fx.LADDER[i + 1:]]
+    return rules.cost_change(arms.select("split", F.inline(F.array(*pairs))))
 
 
 @registered("token_estimates", o.query(
