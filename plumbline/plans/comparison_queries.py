@@ -173,12 +173,11 @@ def classify_intervals(spark, d):
           '(?i)(?:answer\\s*(?:is)?\\s*:?|option\\s*:?|\\\\boxed\\{|####)\\s*\\(?([A-J])\\)?\\b', 1)),
           list_last(regexp_extract_all(g.text, '\\b\\(?([A-J])\\)?\\b', 1)))) = i.ground_truth, false) END AS success
       FROM generations g JOIN (SELECT *, CASE WHEN verifier IS NOT NULL THEN ground_truth END AS gt FROM items) i ON g.slug=i.slug AND g.replicate_idx=0""",
-    wide="SELECT slug, task_type, bool_or(success) FILTER (model='m-small') AS a, bool_or(success) FILTER (model='m-mid') AS b FROM graded WHERE gradable GROUP BY ALL",
-    paired="SELECT slug, task_type, 'm-small->m-mid' AS comparison, a, b FROM wide", counts=_counts("task_type, comparison")))
+    records="SELECT slug, task_type, NULL AS split, model, success FROM graded WHERE gradable", wide=_WIDE, paired=_PAIRED, counts=_counts("task_type, comparison")))
 def graded_comparison(spark, d):
     """Raw texts to a table of counts: grade, pair, tabulate."""
     first = fx.generations(spark, d).filter("replicate_idx = 0")
     graded = pairing.grade_generations(routing.gradable(fx.items(spark, d)), first)
     scored = graded.withColumnRenamed("passed", "success")
-    paired = pairing.pair_arms(scored, [(fx.CHEAP, fx.MID)], ["task_type"])
+    paired = pairing.pair_arms(scored, PAIRS, ["task_type"])
     return pairing.contingency(paired, ["task_type", "comparison"])

@@ -60,18 +60,18 @@ def records_roundtrip(spark, d):
 
 
 @registered("generation_store", o.query(
-    """SELECT model, count(*) AS stored, sum(output_tokens)::BIGINT AS output_tokens, (SELECT count(DISTINCT slug||model) FROM generations g2 WHERE replicate_idx=1 AND g2.model=f.model
-         AND slug||model NOT IN (SELECT slug||model FROM generations WHERE replicate_idx=0)) AS missing FROM firsts f GROUP BY model""", "generations",
-    firsts="SELECT DISTINCT slug, model, text, output_tokens FROM generations WHERE replicate_idx=0"))
+    """SELECT model, count(*) AS stored, sum(output_tokens)::BIGINT AS output_tokens, (SELECT count(DISTINCT slug||model||'|'||replicate_idx//2) FROM generations g2 WHERE replicate_idx%2=1 AND g2.model=f.model
+         AND slug||model||'|'||replicate_idx//2 NOT IN (SELECT slug||model||'|'||part FROM firsts)) AS missing FROM firsts f GROUP BY model""", "generations",
+    firsts="SELECT DISTINCT slug, model, replicate_idx//2 AS part, text, output_tokens FROM generations WHERE replicate_idx%2=0"))
 def generation_store(spark, d):
-    """First samples go into the store twice; the second time nothing is added. Second samples are looked up."""
-    keyed = fx.generations(spark, d).withColumn("cache_key", F.sha2(F.concat("slug", "model"), 256))
+    """Samples come in twos: the first of each goes into the store twice, and the second time nothing is added; the second is looked up."""
+    keyed = fx.generations(spark, d).withColumn("cache_key", F.sha2(F.concat("slug", "model", F.lit("|"), F.floor(F.col("replicate_idx") / 2)), 256))
     store = files.KeyedStore(spark, shared_dir(spark, "generations"), "cache_key string, model string, text string, output_tokens bigint")
-    firsts = keyed.filter("replicate_idx = 0").select("cache_key", "model", "text", F.col("output_tokens").cast("bigint").alias("output_tokens"))
+    firsts = keyed.filter("replicate_idx % 2 = 0").select("cache_key", "model", "text", F.col("output_tokens").cast("bigint").alias("output_tokens"))
     store.put(firsts)
     store.put(firsts)
     held = store.table().groupBy("model").agg(F.count(F.lit(1)).alias("stored"), F.sum("output_tokens").alias("output_tokens"))
-    wanted = keyed.filter("replicate_idx = 1").select("cache_key", "model").distinct()
+    wanted = keyed.filter("replicate_idx % 2 = 1").select("cache_key", "model").distinct()
     lost = store.missing(wanted).groupBy("model").agg(F.count(F.lit(1)).alias("missing"))
     return held.join(lost, "model", "left").select("model", "stored", "output_tokens", F.coalesce("missing", F.lit(0)).alias("missing"))
 
