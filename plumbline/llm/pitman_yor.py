@@ -1,17 +1,20 @@
 """Hierarchical Pitman-Yor language model, seated by Gibbs sampling over the whole training corpus.
 
-Restaurants: one for each context of a word (the preceding word if it is one of the most frequent, the beginning
-of the text, or any other word), which share one parent, the restaurant of all words, whose own parent is uniform
-over the vocabulary and one unknown word. Customers are word occurrences; the tables of a context's restaurant
+Restaurants: one for each context of a word (the preceding word, whichever it is, or the beginning of the text),
+which share one parent, the restaurant of all words, whose own parent is uniform over the vocabulary and one
+unknown word. Customers are word occurrences; the tables of a context's restaurant
 are the customers of the parent. A Gibbs sweep empties the tables of a dish in a restaurant and seats its
 customers again, one after the other, at an old table with weight (customers - discount * tables) or at a new one
 with weight (strength + discount * all tables) * parent probability. Restaurant totals are those of the sweep
 before. Predictive probabilities are averaged over the last sweeps.
 
-How it is spread: a first pass counts words. The ``HOT`` most frequent words have dense tables of fixed size,
-sampled on the driver and sent to all tasks; every other word belongs to one of many parts by its hash, so that no
-part is ruled by one word. A second pass turns blocks of documents into packed arrays, one row per block and part,
-used both for counting and for scoring; texts are never shuffled. Words are known by 64-bit hashes.
+How it is spread: a first pass counts words. Contexts are near (the beginning, and the ``OWN_CONTEXTS`` most frequent
+words, whose restaurants are spread over all parts) or far (every other word). The near dishes of the ``HOT`` most
+frequent words have dense tables of fixed size, sampled on the driver and sent to all tasks; those of every other word
+belong to one of many parts by the word's hash, so that no part is ruled by one word. A far restaurant lies whole in
+one far part, by the context's hash. In a sweep the far parts send each word's tables to the word's part, which seats
+the parent restaurant and replies with its counts. A second pass turns blocks of documents into packed arrays, one row
+per block and part, used both for counting and for scoring; texts are never shuffled. Words are known by 64-bit hashes.
 
 Inputs: a null or empty text is one end token. Rows are scored one by one, also when ids repeat or are null (a null
 id counts as the empty id for the split). Extra columns are ignored. Without training tokens every probability
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -37,16 +40,19 @@ from plumbline.llm.common import LOWER_BYTES, encoded, remainder, slices, stored
 
 MODULUS, LEFT_OUT = 7, 2
 HOT = 4096
-#: Contexts: beginning of a text, any other word, and this many of the most frequent words.
+#: Near contexts: beginning of a text, and this many of the most frequent words. FAR stands for all other words, each
+#: with a restaurant of its own in a far part; as a near context it has no customers.
 OWN_CONTEXTS = 62
-START, OTHER = 0, 1
+START, FAR = 0, 1
 CONTEXTS = OWN_CONTEXTS + 2
 SWEEPS, AVERAGED = 4, 2
 STRENGTH = 1.0
-#: Customers seated one by one; beyond, a 32nd of those already seated at a time.
+#: Customers seated by a draw each; beyond, the next customer who takes a new table is drawn.
 SINGLE_SEATS = 64
 BLOCK_BYTES = 6 << 20
 TOKENS_PER_PART = 8_000_000
+#: Far parts for each part.
+FAR_PARTS = 3
 HELD_WORDS = 300_000
 SEED = 5
 
@@ -82,16 +88,18 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, draw: np.ra
     order = np.argsort(-customers, kind="stable")
     c, w, t = customers[order], weight[order], tables[order]
     seated, active = 1, int(np.searchsorted(-c, -1, "left"))
-    while active:
-        step = 1 if seated < SINGLE_SEATS else max(1, seated // 32)
-        left = c[:active] - seated
-        p = w[:active] / (w[:active] + seated - discount * t[:active])
-        if step == 1:
-            t[:active] += draw.random(active) < p
-        else:
-            t[:active] += draw.binomial(np.minimum(step, left), p)
-        seated += step
+    while active and seated < SINGLE_SEATS:
+        t[:active] += draw.random(active) < w[:active] / (w[:active] + seated - discount * t[:active])
+        seated += 1
         active = int(np.searchsorted(-c, -seated, "left"))
+    # Between two new tables the odds are those of an urn, so the wait is geometric with a beta-distributed chance.
+    at, who = np.full(active, seated, np.int64), np.arange(active)
+    while len(who):
+        chance = np.maximum(draw.beta(w[who], at - discount * t[who]), 1e-15)
+        at = at + np.minimum(draw.geometric(chance), 1 << 60)
+        stays = at <= c[who]
+        at, who = at[stays], who[stays]
+        t[who] += 1
     tables[order] = t
     return tables.astype(np.int64)
 
@@ -122,9 +130,10 @@ class Totals:
 
 @dataclass
 class Seating:
-    """Dishes (word, context) with customers and tables, and the words' tables in the parent restaurant.
+    """Near dishes (word, context) with customers and tables, and the words' tables in the parent restaurant.
 
-    ``word`` indexes the sorted ``hashes``; dishes are sorted by (word, context)."""
+    ``word`` indexes the sorted ``hashes``; dishes are sorted by (word, context). ``outer`` are the words' tables in
+    far restaurants, ``count`` their training occurrences."""
 
     hashes: np.ndarray
     word: np.ndarray
@@ -134,35 +143,39 @@ class Seating:
     top_tables: np.ndarray
     old_tables: np.ndarray
     old_top_tables: np.ndarray
+    outer: np.ndarray
+    old_outer: np.ndarray
+    count: np.ndarray
 
     @classmethod
-    def begin(cls, hashes, word, context, customers) -> Seating:
+    def begin(cls, hashes, word, context, customers, outer, count) -> Seating:
         one = np.ones(len(word), np.int64)
         top = np.ones(len(hashes), np.int64)
-        return cls(hashes, word, context, customers, one, top, one, top)
+        return cls(hashes, word, context, customers, one, top, one, top, outer, outer, count)
 
     @classmethod
     def load(cls, blob: bytes) -> Seating:
         hashes, counts, context, *rest = unpacked(blob)
         word = np.repeat(np.arange(len(hashes)), counts)
-        customers, tables, top, old, old_top = (x.astype(np.int64) for x in rest)
-        return cls(hashes, word, context.astype(np.int64), customers, tables, top, old, old_top)
+        return cls(hashes, word, context.astype(np.int64), *(x.astype(np.int64) for x in rest))
 
     def dump(self) -> bytes:
         return packed(self.hashes, np.bincount(self.word, minlength=len(self.hashes)).astype("u1"), self.context.astype("u1"),
-                      *(x.astype("u4") for x in (self.customers, self.tables, self.top_tables, self.old_tables, self.old_top_tables)))
+                      *(x.astype("u4") for x in (
+                          self.customers, self.tables, self.top_tables, self.old_tables, self.old_top_tables, self.outer, self.old_outer, self.count)))
 
     def top_customers(self, old: bool = False) -> np.ndarray:
-        return np.bincount(self.word, self.old_tables if old else self.tables, len(self.hashes)).astype(np.int64)
+        near = np.bincount(self.word, self.old_tables if old else self.tables, len(self.hashes)).astype(np.int64)
+        return near + (self.old_outer if old else self.outer)
 
-    def sweep(self, totals: Totals, draw: np.random.Generator) -> Seating:
+    def sweep(self, totals: Totals, outer: np.ndarray, draw: np.random.Generator) -> Seating:
         top = totals.top(self.top_customers(), self.top_tables)
         weight = totals.new_table(self.context, top[self.word])
         tables = seat(self.customers, weight, totals.discount, draw)
-        above = np.bincount(self.word, tables, len(self.hashes)).astype(np.int64)
+        above = np.bincount(self.word, tables, len(self.hashes)).astype(np.int64) + outer
         share = np.full(len(above), (STRENGTH + totals.top_discount * totals.top_tables) / (totals.vocabulary + 1))
         return Seating(self.hashes, self.word, self.context, self.customers, tables,
-                       seat(above, share, totals.top_discount, draw), self.tables, self.top_tables)
+                       seat(above, share, totals.top_discount, draw), self.tables, self.top_tables, outer, self.outer, self.count)
 
     def sums(self) -> np.ndarray:
         """Customers and tables by context, parent customers and tables, dishes and words with one and two customers."""
@@ -182,6 +195,64 @@ class Seating:
         return tops, dishes
 
 
+@dataclass
+class FarSeating:
+    """Dishes (context, word) of the far restaurants of a part, also those only met outside training (no customers).
+
+    ``context`` and ``word`` index the sorted hashes; dishes are sorted by (context, word)."""
+
+    contexts: np.ndarray
+    words: np.ndarray
+    context: np.ndarray
+    word: np.ndarray
+    customers: np.ndarray
+    tables: np.ndarray
+    old_tables: np.ndarray
+
+    @classmethod
+    def begin(cls, heads: Iterator[bytes]) -> FarSeating:
+        found = []
+        for blob in heads:
+            contexts, counts, words, word, trained = unpacked(blob)
+            found.append((np.repeat(contexts, counts), words[word], trained.astype(np.int64)))
+        h, g, trained = (np.concatenate(x) for x in zip(*found))
+        contexts, context = np.unique(h, return_inverse=True)
+        words, word = np.unique(g, return_inverse=True)
+        key, dish = np.unique(context * len(words) + word, return_inverse=True)
+        customers = np.bincount(dish, trained, len(key)).astype(np.int64)
+        tables = (customers > 0).astype(np.int64)
+        return cls(contexts, words, key // len(words), key % len(words), customers, tables, tables)
+
+    @classmethod
+    def load(cls, fixed: bytes, tables: bytes) -> FarSeating:
+        contexts, counts, words, word, customers = unpacked(fixed)
+        return cls(contexts, words, np.repeat(np.arange(len(contexts)), counts), word.astype(np.int64), customers.astype(np.int64),
+                   *(x.astype(np.int64) for x in unpacked(tables)))
+
+    def fixed(self) -> bytes:
+        return packed(self.contexts, np.bincount(self.context, minlength=len(self.contexts)).astype("u4"), self.words,
+                      self.word.astype("u4"), self.customers.astype("u4"))
+
+    def by_word(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.word, values, len(self.words)).astype(np.int64)
+
+    def totals(self, totals: Totals, tables: np.ndarray) -> Totals:
+        """Those of the sweep, with this part's restaurants as contexts."""
+        by = lambda w: np.bincount(self.context, w, len(self.contexts)).astype(np.int64)
+        return replace(totals, customers=by(self.customers), tables=by(tables))
+
+    def sweep(self, totals: Totals, top: np.ndarray, draw: np.random.Generator) -> FarSeating:
+        weight = self.totals(totals, self.tables).new_table(self.context, top[self.word])
+        return replace(self, tables=seat(self.customers, weight, totals.discount, draw), old_tables=self.tables)
+
+    def probabilities(self, samples: list[Totals], tops: list[np.ndarray]) -> np.ndarray:
+        """The dishes' probabilities averaged over the samples; ``tops`` are the words' parent probabilities."""
+        out = np.zeros(len(self.word))
+        for totals, tables, top in zip(samples, (self.old_tables, self.tables)[-len(samples):], tops):
+            out += self.totals(totals, tables).in_context(self.customers, tables, self.context, top[self.word]) / len(samples)
+        return out
+
+
 def totals_of(sums: np.ndarray, vocabulary: int) -> Totals:
     n1, n2, m1, m2 = sums[2 * CONTEXTS + 2:].tolist()
     share = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a + b else 0.5
@@ -213,12 +284,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return _prepared(docs).select("held_out", "text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def blocks(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
+def rank_of(hot: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Place of each hash in ``hot``, or -1."""
+    if not len(hot):
+        return np.full(len(h), -1)
+    by_hash = np.argsort(hot)
+    place = np.minimum(np.searchsorted(hot, h, sorter=by_hash), len(hot) - 1)
+    return np.where(hot[by_hash[place]] == h, by_hash[place], -1)
+
+
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    return ((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+
+
+def blocks(docs: DataFrame, hot: np.ndarray, parts: int, far_parts: int) -> DataFrame:
     """(part, block, head, tail): packed occurrences of the words of each part in a block of documents.
 
-    Part -1 has the block's documents and its hot words. ``hot`` lists hashes by falling frequency."""
-    by_hash = np.argsort(hot)
-    sorted_hot = hot[by_hash]
+    Part -1 has the block's documents and its hot words in near contexts, part -2 - n has far part n. ``hot`` lists
+    hashes by falling frequency."""
 
     def of_block(batch: pa.RecordBatch, number: int) -> pa.RecordBatch:
         split = [tokens_of(t) for t in batch.column(2).to_pylist()]
@@ -227,14 +310,14 @@ def blocks(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
         lengths = np.fromiter(map(len, split), np.int64, len(split))
         ids = np.fromiter((numbers[w] for words in split for w in words), np.int64, int(lengths.sum()))
         h = hashes_of(list(numbers))
-        place = np.minimum(np.searchsorted(sorted_hot, h), max(len(hot) - 1, 0))
-        rank = np.where(sorted_hot[place] == h, by_hash[place], -1) if len(hot) else np.full(len(h), -1)
-        follows = np.where((rank >= 0) & (rank < OWN_CONTEXTS), rank + 2, OTHER)
+        rank = rank_of(hot, h)
+        follows = np.where((rank >= 0) & (rank < OWN_CONTEXTS), rank + 2, FAR)
         context = np.empty(len(ids), np.int64)
         context[1:] = follows[ids[:-1]]
         context[np.concatenate(([0], np.cumsum(lengths)[:-1]))] = START
         doc = np.repeat(np.arange(len(split)), lengths)
-        is_hot = rank[ids] >= 0
+        far = context == FAR
+        is_hot, is_cold = (rank[ids] >= 0) & ~far, (rank[ids] < 0) & ~far
         rows = []
 
         def entries(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -247,20 +330,35 @@ def blocks(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
 
         key, trained, n, where = entries(rank[ids[is_hot]] * CONTEXTS + context[is_hot], doc[is_hot])
         rows.append((-1, packed(key.astype("u4"), trained.astype("u4")), packed(n.astype("u4"), where)))
-        part_of = ((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
         # Cold words in the order of (part, hash), so each part is a range of word numbers.
-        order = np.lexsort((h, part_of))
+        own_part = part_of(h, parts)
+        order = np.lexsort((h, own_part))
         turn = np.empty(len(h), np.int64)
         turn[order] = np.arange(len(h))
-        key, trained, n, where = entries(turn[ids[~is_hot]] * CONTEXTS + context[~is_hot], doc[~is_hot])
+        key, trained, n, where = entries(turn[ids[is_cold]] * CONTEXTS + context[is_cold], doc[is_cold])
         word, ctx, ends = key // CONTEXTS, key % CONTEXTS, np.concatenate(([0], np.cumsum(n)))
-        cuts = np.searchsorted(part_of[order][word], np.arange(parts + 1))
+        cuts = np.searchsorted(own_part[order][word], np.arange(parts + 1))
         for part in range(parts):
             a, b = cuts[part], cuts[part + 1]
             if a < b:
                 own, count = np.unique(word[a:b], return_counts=True)
                 rows.append((part, packed(h[order][own], count.astype("u1"), ctx[a:b].astype("u1"), trained[a:b].astype("u4")),
                              packed(n[a:b].astype("u4"), where[ends[a]: ends[b]])))
+        # Far occurrences by (far part of the preceding word, its hash, word).
+        far_part = part_of(h, far_parts)
+        order = np.lexsort((h, far_part))
+        turn[order] = np.arange(len(h))
+        at = np.nonzero(far)[0]
+        key, trained, n, where = entries(turn[ids[at - 1]] * len(h) + ids[at], doc[at])
+        before, word, ends = key // max(len(h), 1), key % max(len(h), 1), np.concatenate(([0], np.cumsum(n)))
+        cuts = np.searchsorted(far_part[order][before], np.arange(far_parts + 1))
+        for part in range(far_parts):
+            a, b = cuts[part], cuts[part + 1]
+            if a < b:
+                own, count = np.unique(before[a:b], return_counts=True)
+                words, index = np.unique(word[a:b], return_inverse=True)
+                rows.append((-2 - part, packed(h[order][own], count.astype("u4"), h[words], index.astype("u4"), trained[a:b].astype("u4")),
+                             packed(n[a:b].astype("u4"), where[ends[a]: ends[b]])))
         part, head, tail = zip(*rows)
         ids_of = [batch.column(0).to_pylist(), *[None] * (len(rows) - 1)]
         held = [(~train).tolist(), *[None] * (len(rows) - 1)]
@@ -295,43 +393,139 @@ def hot_counts(table: DataFrame) -> DataFrame:
     return table.filter("part = -1").select("head").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-_STATE = "part int, state binary, sums array<long>"
-
-
-def _row(part: int, seating: Seating) -> pd.DataFrame:
-    return pd.DataFrame({"part": [part], "state": [seating.dump()], "sums": [seating.sums().tolist()]})
-
-
-def first_seating(table: DataFrame) -> DataFrame:
-    """Dishes of each part, every dish at one table."""
+#: Rows of a part: what is fixed (a far part's dishes, the words a far part asks for), the state, tables or counts sent.
+_STATE = "part int, kind int, other int, state binary, sums array<long>"
+FIXED, STATE, SENT = 0, 1, 2
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["part", "kind", "other", "state", "sums"])
+
+
+def _of_kind(rows: pd.DataFrame, kind: int) -> dict[int, bytes]:
+    own = rows[rows["kind"] == kind]
+    return dict(zip(own["other"].tolist(), own["state"]))
+
+
+class FarStep:
+    """The far parts' side of a sweep. Rows it sends go to the words' parts (part >= 0), its own have part -2 - n."""
+
+    def __init__(self, hot: np.ndarray, parts: int):
+        self.hot, self.parts = hot, parts
+
+    def dealt(self, seating: FarSeating) -> Iterator[tuple[int, np.ndarray]]:
+        """The cold words of each part, in the order of their hashes."""
+        cold = np.nonzero(rank_of(self.hot, seating.words) < 0)[0]
+        own = part_of(seating.words[cold], self.parts)
+        for part in np.unique(own).tolist():
+            yield part, cold[own == part]
+
+    def rows(self, part: int, seating: FarSeating) -> list[tuple]:
+        sent = seating.by_word(seating.tables)
+        rank = rank_of(self.hot, seating.words)
+        outer = np.zeros(len(self.hot), np.int64)
+        outer[rank[rank >= 0]] = sent[rank >= 0]
+        sums = [int((seating.customers == 1).sum()), int((seating.customers == 2).sum()), *outer.tolist()]
+        return [(part, STATE, 0, packed(seating.tables.astype("u4"), seating.old_tables.astype("u4")), sums),
+                *((to, SENT, part, packed(sent[at].astype("u4")), None) for to, at in self.dealt(seating))]
+
+    def first(self, rows: pd.DataFrame) -> pd.DataFrame:
+        part, seating = int(rows["part"].iloc[0]), FarSeating.begin(rows["head"])
+        count = seating.by_word(seating.customers)
+        return _frame([(part, FIXED, 0, seating.fixed(), None), *self.rows(part, seating),
+                       *((to, FIXED, part, packed(seating.words[at], count[at].astype("u4")), None) for to, at in self.dealt(seating))])
+
+    def replies(self, rows: pd.DataFrame, hot_count: np.ndarray, hot_tops: list[np.ndarray], samples: list[Totals]) -> tuple[FarSeating, np.ndarray, list[np.ndarray]]:
+        """The seating, and its words' training occurrences and parent probabilities in each sample."""
+        seating = FarSeating.load(_of_kind(rows, FIXED)[0], _of_kind(rows, STATE)[0])
+        rank = rank_of(self.hot, seating.words)
+        met, count, tops = rank >= 0, np.zeros(len(rank), np.int64), [np.zeros(len(rank)) for _ in samples]
+        count[met] = hot_count[rank[met]]
+        for top, hot_top in zip(tops, hot_tops):
+            top[met] = hot_top[rank[met]]
+        sent = _of_kind(rows, SENT)
+        for part, at in self.dealt(seating):
+            count[at], *states = (x.astype(np.int64) for x in unpacked(sent[part]))
+            for top, totals, (customers, tables) in zip(tops, samples, (states[:2], states[2:])[-len(samples):]):
+                top[at] = totals.top(customers, tables)
+        return seating, count, tops
+
+    def sweep(self, hot_count: np.ndarray, hot_top: np.ndarray, totals: Totals, n: int):
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            part = int(rows["part"].iloc[0])
+            seating, _, (top,) = self.replies(rows, hot_count, [hot_top], [totals])
+            return _frame(self.rows(part, seating.sweep(totals, top, np.random.default_rng([SEED, n, -1 - part, 1]))))
+
+        return run
+
+
+def _outer(hashes: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
+    """Tables of the part's words in far restaurants."""
+    asked, outer = _of_kind(rows, FIXED), np.zeros(len(hashes), np.int64)
+    for other, blob in _of_kind(rows, SENT).items():
+        h, count = unpacked(asked[other])
+        outer[np.searchsorted(hashes, h[count > 0])] += unpacked(blob)[0][count > 0]
+    return outer
+
+
+def _near_rows(part: int, seating: Seating, rows: pd.DataFrame) -> pd.DataFrame:
+    """The state, and the reply to each far part: occurrences, and parent customers and tables of two sweeps."""
+    counts = [seating.count, seating.top_customers(True), seating.old_top_tables, seating.top_customers(), seating.top_tables]
+    out = [(part, STATE, 0, seating.dump(), seating.sums().tolist())]
+    for other, blob in _of_kind(rows, FIXED).items():
+        h, _ = unpacked(blob)
+        values = np.zeros((5, len(h)), "u4")
+        # A word without training occurrences behind far contexts may have some behind near ones.
+        place = np.minimum(np.searchsorted(seating.hashes, h), max(len(seating.hashes) - 1, 0))
+        met = seating.hashes[place] == h if len(seating.hashes) else np.zeros(len(h), bool)
+        values[:, met] = np.stack(counts)[:, place[met]]
+        out.append((other, SENT, part, packed(*values), None))
+    return _frame(out)
+
+
+def first_seating(rows: pd.DataFrame) -> pd.DataFrame:
+    """Dishes of a part, every dish at one table."""
+    hashes, contexts, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for blob in rows["state"][rows["kind"] == STATE]:
+        h, n, ctx, trained = unpacked(blob)
+        keep = trained > 0
+        hashes.append(np.repeat(h, n)[keep])
+        contexts.append(ctx[keep].astype(np.int64))
+        counts.append(trained[keep].astype(np.int64))
+    asked = [unpacked(b) for b in _of_kind(rows, FIXED).values()]
+    h, ctx, c = (np.concatenate(x) for x in (hashes, contexts, counts))
+    words = np.unique(np.concatenate([h, *(w[n > 0] for w, n in asked)]))
+    key, dish = np.unique(np.searchsorted(words, h) * CONTEXTS + ctx, return_inverse=True)
+    customers = np.bincount(dish, c, len(key)).astype(np.int64)
+    count = np.bincount(key // CONTEXTS, customers, len(words)).astype(np.int64)
+    for w, n in asked:
+        count[np.searchsorted(words, w[n > 0])] += n[n > 0]
+    seating = Seating.begin(words, key // CONTEXTS, key % CONTEXTS, customers, _outer(words, rows), count)
+    return _near_rows(int(rows["part"].iloc[0]), seating, rows)
+
+
+def near_sweep(totals: Totals, n: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        hashes, contexts, counts = [], [], []
-        for blob in rows["head"]:
-            h, n, ctx, trained = unpacked(blob)
-            keep = trained > 0
-            hashes.append(np.repeat(h, n)[keep])
-            contexts.append(ctx[keep])
-            counts.append(trained[keep])
-        h, ctx, c = np.concatenate(hashes), np.concatenate(contexts), np.concatenate(counts).astype(np.int64)
-        words, word = np.unique(h, return_inverse=True)
-        key, dish = np.unique(word.astype(np.int64) * CONTEXTS + ctx, return_inverse=True)
-        customers = np.bincount(dish, c, len(key)).astype(np.int64)
-        return _row(int(rows["part"].iloc[0]), Seating.begin(words, key // CONTEXTS, key % CONTEXTS, customers))
-
-    return table.filter("part >= 0").select("part", "head").groupBy("part").applyInPandas(run, _STATE)
+        part, seating = int(rows["part"].iloc[0]), Seating.load(_of_kind(rows, STATE)[0])
+        return _near_rows(part, seating.sweep(totals, _outer(seating.hashes, rows), np.random.default_rng([SEED, n, part + 1])), rows)
+
+    return run
 
 
 @dataclass
 class Model:
-    """What scoring needs: totals of the averaged sweeps, the hot tables, and the parts' seating as a table."""
+    """What scoring needs: totals of the averaged sweeps, the hot tables, and the parts' seating as tables."""
 
     tokens: int
     vocabulary: int
     hot: np.ndarray
     hot_customers: np.ndarray
     samples: list[Totals]
-    hot_dishes: np.ndarray  # log10 probability by hot word and context
-    states: DataFrame | None
+    hot_dishes: np.ndarray  # log10 probability by hot word and near context
+    hot_tops: list[np.ndarray]
+    states: DataFrame
+    far: DataFrame  # the far parts' rows: fixed, state and replies
+    far_step: FarStep
     table: DataFrame
 
 
@@ -340,43 +534,57 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, hot_words: int = HOT, tokens_per_
     tokens, vocabulary = (int(x or 0) for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
     top = counts.orderBy(F.col("n").desc(), "h").limit(min(hot_words, HOT)).collect()  # HOT rows at most
     hot = np.array([r["h"] for r in top], np.int64).view(np.uint64)
-    parts = max(4, -(-tokens // tokens_per_part))
-    table = stored(blocks(docs, hot, parts), "blocks")
+    parts, far_parts = (max(4, -(-tokens * n // tokens_per_part)) for n in (1, FAR_PARTS))
+    table = stored(blocks(docs, hot, parts, far_parts), "blocks")
+    hot_count = np.array([r["n"] for r in top], np.int64)
 
     dense = np.zeros((max(len(hot), 1), CONTEXTS), np.int64)
     for r in hot_counts(table).collect():  # HOT * CONTEXTS rows at most
         dense[r["key"] // CONTEXTS, r["key"] % CONTEXTS] = r["n"]
     word, context = np.nonzero(dense)
-    trained, word = np.unique(word, return_inverse=True)
-    seating = Seating.begin(trained.astype(np.uint64), word, context, dense[trained[word], context])
-    states = stored(first_seating(table), "seating")
+    far_step = FarStep(hot, parts)
+    deal = lambda rows, run: stored(rows.groupBy("part").applyInPandas(run, _STATE), "seating")
+    far = deal(table.filter("part < -1").select("part", "head"), lambda rows: far_step.first(rows))
+    fixed = far.filter(F.col("kind") == FIXED)
+    heads = table.filter("part >= 0").select("part", F.lit(STATE).alias("kind"), F.lit(0).alias("other"), F.col("head").alias("state"), F.lit(None).cast("array<long>").alias("sums"))
+    near = deal(heads.unionByName(far.filter("part >= 0")), first_seating)
+
+    def far_sums() -> np.ndarray:
+        """Dishes with one and two customers, and tables of the hot words: added up by Spark, HOT + 2 rows."""
+        out = np.zeros(2 + len(hot), np.int64)
+        for r in far.filter("part < -1 and sums is not null").select(F.posexplode("sums").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():
+            out[r["i"]] = r["n"]
+        return out
+
+    seen = far_sums()
+    seating = Seating.begin(np.arange(len(hot), dtype=np.uint64), word, context, dense[word, context], seen[2:], hot_count)
     samples: list[Totals] = []
     for n in range(sweeps + 1):
         sums = seating.sums()
-        for r in states.select("sums").collect():  # one row per part
+        for r in near.filter(F.col("kind") == STATE).select("sums").collect():  # one row per part
             sums = sums + np.array(r["sums"], np.int64)
+        sums[2 * CONTEXTS + 2: 2 * CONTEXTS + 4] += seen[:2]
         samples.append(totals_of(sums, vocabulary))
         if n == sweeps:
             break
         totals = samples[-1]
-
-        def swept(rows: Iterator[pd.DataFrame], totals: Totals = totals, n: int = n) -> Iterator[pd.DataFrame]:
-            for frame in rows:
-                for part, blob in zip(frame["part"], frame["state"]):
-                    yield _row(int(part), Seating.load(blob).sweep(totals, np.random.default_rng([SEED, n, int(part) + 1])))
-
-        seating = seating.sweep(totals, np.random.default_rng([SEED, n, 0]))
-        states = stored(states.select("part", "state").mapInPandas(swept, _STATE), "seating")
+        hot_top = totals.top(seating.top_customers(), seating.top_tables)
+        far = deal(fixed.filter("part < -1").unionByName(far.filter((F.col("part") < -1) & (F.col("kind") == STATE))).unionByName(
+            near.filter("part < -1")), far_step.sweep(hot_count, hot_top, totals, n))
+        near = deal(near.filter("part >= 0").unionByName(fixed.filter("part >= 0")).unionByName(far.filter("part >= 0")), near_sweep(totals, n))
+        seen = far_sums()
+        seating = seating.sweep(totals, seen[2:], np.random.default_rng([SEED, n, 0]))
     samples = samples[-AVERAGED:]
     tops, dishes = seating.probabilities(samples)
     # Hot words: a dense table, with the probability of every context, met or not.
     table_p = np.zeros(dense.shape)
     for totals, top_p in zip(samples, tops):
-        everywhere = np.full(len(dense), totals.top(0, 0))
-        everywhere[trained] = top_p
+        everywhere = top_p if len(hot) else np.full(1, totals.top(0, 0))
         table_p += (totals.new_table(np.arange(CONTEXTS), everywhere[:, None]) / (STRENGTH + totals.customers)) / len(samples)
-    table_p[trained[word], context] = dishes
-    return Model(tokens, vocabulary, hot, dense.sum(axis=1), samples, np.log10(table_p), states.select("part", "state"), table)
+    table_p[word, context] = dishes
+    held = fixed.unionByName(far.filter(F.col("kind") == STATE)).unionByName(near).filter("part < -1")
+    return Model(tokens, vocabulary, hot, hot_count, samples, np.log10(table_p), tops,
+                 near.filter("part >= 0").select("part", "state"), held, far_step, table)
 
 
 def _by_document(doc: np.ndarray, n: np.ndarray, size: int, *values: np.ndarray) -> list[np.ndarray]:
@@ -386,6 +594,7 @@ def _by_document(doc: np.ndarray, n: np.ndarray, size: int, *values: np.ndarray)
 def score(model: Model, doc_type: str) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     samples, hot_dishes, hot_customers, tokens = model.samples, model.hot_dishes, model.hot_customers, model.tokens
+    far_step, hot_tops = model.far_step, model.hot_tops
     size_plus = tokens + model.vocabulary + 1
 
     def base(counts: np.ndarray) -> np.ndarray:
@@ -403,9 +612,9 @@ def score(model: Model, doc_type: str) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(sums, pa.binary()), *batch.columns[3:]], names=["block", "sums", "doc_ids", "held", "lengths"])
 
     def cold_rows(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        seating = Seating.load(state["state"].iloc[0]) if len(state) else Seating.begin(*(np.zeros(0, k) for k in (np.uint64, np.int64, np.int64, np.int64)))
+        seating = Seating.load(state["state"].iloc[0]) if len(state) else Seating.begin(*(np.zeros(0, k) for k in (np.uint64, *[np.int64] * 5)))
         tops, dishes = seating.probabilities(samples)
-        count = np.bincount(seating.word, seating.customers, len(seating.hashes))
+        count = seating.count
         keys = seating.word.astype(np.int64) * CONTEXTS + seating.context
         sums = []
         for head, tail in zip(rows["head"], rows["tail"]):
@@ -428,8 +637,20 @@ def score(model: Model, doc_type: str) -> DataFrame:
             sums.append(packed(documents.astype("u4"), *_by_document(doc, n, len(documents), (c > 0).astype(float), base(c), np.log10(p))))
         return pd.DataFrame({"block": rows["block"], "sums": sums})
 
+    def far_rows(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        seating, count, tops = far_step.replies(state, hot_customers, hot_tops, samples)
+        p, sums = np.log10(seating.probabilities(samples, tops)), []
+        keys = seating.context * len(seating.words) + seating.word
+        for head, tail in zip(rows["head"], rows["tail"]):
+            (contexts, per_context, words, index, _), (n, doc) = unpacked(head), unpacked(tail)
+            word = np.searchsorted(seating.words, words)[index]
+            dish = np.searchsorted(keys, np.repeat(np.searchsorted(seating.contexts, contexts), per_context) * len(seating.words) + word)
+            documents, doc = np.unique(doc, return_inverse=True)
+            sums.append(packed(documents.astype("u4"), *_by_document(doc, n, len(documents), (count[word] > 0).astype(float), base(count[word]), p[dish])))
+        return pd.DataFrame({"block": rows["block"], "sums": sums})
+
     def per_document(rows: pa.Table) -> pa.Table:
-        """Adds up a block's sums from all parts: at most one entry for each word of the block."""
+        """Adds up a block's sums from all parts: at most two entries for each word of the block."""
         lists = rows.filter(pa.compute.is_valid(rows["lengths"])).combine_chunks()
         ids, held, lengths = (lists[c].chunk(0).flatten() for c in ("doc_ids", "held", "lengths"))
         totals = np.zeros((3, len(lengths)))
@@ -444,7 +665,9 @@ def score(model: Model, doc_type: str) -> DataFrame:
         hot_rows, f"block long, sums binary, {lists}")
     cold = model.table.filter("part >= 0").select("part", "block", "head", "tail").groupBy("part").cogroup(
         model.states.groupBy("part")).applyInPandas(cold_rows, "block long, sums binary")
-    return first.unionByName(cold, allowMissingColumns=True).groupBy("block").applyInArrow(
+    far = model.table.filter("part < -1").select("part", "block", "head", "tail").groupBy("part").cogroup(
+        model.far.groupBy("part")).applyInPandas(far_rows, "block long, sums binary")
+    return first.unionByName(cold.unionByName(far), allowMissingColumns=True).groupBy("block").applyInArrow(
         per_document, f"doc_id {doc_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -194,6 +194,15 @@ def test_seating_distribution():
     assert pitman_yor.seat(np.array([0, 1]), np.ones(2), 0.5, np.random.default_rng(1)).tolist() == [0, 1]
 
 
+def test_every_preceding_word_has_a_restaurant(make):
+    """300 words, each followed by one of its own: only contexts of all 300 tell what follows."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"a{k} b{k}" for k in (rng.randrange(300) for _ in range(60)))) for i in range(150)]
+    for settings in ({"hot_words": 30}, {}):
+        got = [r for r in pitman_yor.score_documents(make(rows), tokens_per_part=2000, **settings).collect() if r["held_out"]]
+        assert sum(r["score"] for r in got) / sum(r["n_tokens"] for r in got) > -1.6
+
+
 def test_no_documents(make):
     assert pitman_yor.score_documents(make([])).count() == 0
     assert default_path().endswith(".json")
