@@ -9,9 +9,9 @@ outside a band is rejected. Words are encoded as they stand behind a space, so e
 The base rules come first: fewer than ``MIN_WORDS`` words, or more than 30 % of the words in 8-word windows
 that occur again in the document, reject it.
 
-Inputs: a null text has no words. Rows are judged one by one, also when ids repeat or are null. Groups of fewer
-than ``MIN_GROUP`` measured documents use the bands of all documents together. Extra columns are ignored; a
-table without ``lang`` is grouped by script. An empty table gives an empty result.
+Inputs: a null text has no words. Rows are judged one by one, also when ids repeat or are null. Languages of fewer
+than ``MIN_GROUP`` measured documents use the bands of the document's script, and where the script has as few, there
+is no band and the base rules decide. Extra columns are ignored; a table without ``lang`` is grouped by script. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -156,29 +156,32 @@ def measured(docs: DataFrame, bpe: str | None = None, pieces: str | None = None)
 
 
 def bands(rows: DataFrame) -> DataFrame:
-    """Per group (null: all documents) the lower and upper end of each measure, from the documents the base rules keep."""
+    """Per language and script of enough documents the lower and upper end of each measure, from the documents the base rules keep."""
     quantiles = [F.percentile_approx(m, F.array(F.lit(LOWER), F.lit(0.5), F.lit(UPPER)), 10_000).alias(m) for m in MEASURES]
-    found = rows.rollup("group").agg(F.count(F.lit(1)).alias("n"), *quantiles)
+    groups = rows.select(F.explode(F.array_compact(F.array("lang_group", "script_group"))).alias("group"), *MEASURES)
+    found = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *quantiles)
     ends = []
     for m in MEASURES:
         low, mid, high = (F.col(m)[i] for i in range(3))
         ends += [(low - REACH * (mid - low)).alias(f"{m}_low"), (high + REACH * (high - mid)).alias(f"{m}_high")]
-    return found.filter((F.col("n") >= MIN_GROUP) | F.col("group").isNull()).select("group", *ends)
+    return found.filter(F.col("n") >= MIN_GROUP).select("group", *ends)
 
 
 def apply_rules(docs: DataFrame, bpe: str | None = None, pieces: str | None = None) -> DataFrame:
     """Per document: the base columns, base_failed, kept, the measures and the reasons; see the module's text."""
     rows = measured(docs, bpe, pieces)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words"))
-    rows = stored(rows.withColumn("base_failed", failed).withColumn(
-        "group", F.coalesce(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("script:"), "script"))), "fertility")
+    rows = stored(rows.withColumn("base_failed", failed).withColumn("lang_group", F.concat(F.lit("lang:"), "lang"))
+                  .withColumn("script_group", F.concat(F.lit("script:"), "script")), "fertility")
     ends = stored(bands(rows.filter(~F.col("base_failed"))), "bands")
-    whole = ends.filter(F.col("group").isNull()).drop("group").toDF(*[f"all_{c}" for c in ends.columns if c != "group"])
-    # One row for each language and script, and one row for all: joined by name and as a single row.
-    joined = rows.join(ends.filter(F.col("group").isNotNull()), "group", "left").join(F.broadcast(whole), F.lit(True), "left")
+    # One row for each language and script, joined by name: the language's bands, or those of the script.
+    joined, names = rows, [c for c in ends.columns if c != "group"]
+    for kind in ("lang", "script"):
+        own = ends.filter(F.startswith("group", F.lit(f"{kind}:"))).select(F.col("group").alias(f"{kind}_group"), *[F.col(c).alias(f"{kind}_{c}") for c in names])
+        joined = joined.join(own, f"{kind}_group", "left")
     reasons = []
     for m in MEASURES:
-        low, high = (F.coalesce(f"{m}_{e}", f"all_{m}_{e}") for e in ("low", "high"))
+        low, high = (F.coalesce(f"lang_{m}_{e}", f"script_{m}_{e}") for e in ("low", "high"))
         reasons.append(F.when((F.col(m) < low) | (F.col(m) > high), F.lit(m)))
     reason = F.array_compact(F.array(*reasons))
     return joined.withColumn("reasons", F.when(F.col("base_failed"), F.array(F.lit("base"))).otherwise(reason)).select(

@@ -117,6 +117,19 @@ def test_odd_language_is_outside_the_bands(make):
     assert sum(got[i]["kept"] for i in range(150)) >= 148
 
 
+def test_small_groups_are_not_measured_by_others(spark, make):
+    """A few Greek documents among many English ones are kept, like fifty of them; a small language uses its script's bands."""
+    rng = random.Random(5)
+    english = [(i, " ".join(prose(rng, 10) for _ in range(6)), "en") for i in range(150)]
+    greek = [(1000 + i, " ".join("".join(rng.choice("αβγδεζηθικλμνξο") for _ in range(7)) for _ in range(60)), "el") for i in range(60)]
+    odd = [(2000, " ".join("qzxjvk" + "".join(rng.choice("qzxjvkw") for _ in range(7)) for _ in range(60)), "xx")]
+    for n in (5, 60):
+        rows = spark.createDataFrame(english + greek[:n] + odd, "doc_id long, text string, lang string")
+        for docs in (rows, rows.drop("lang")):
+            got = {r["doc_id"]: r for r in fertility.apply_rules(docs).collect()}
+            assert sum(got[1000 + i]["kept"] for i in range(n)) >= n - 1 and not got[2000]["kept"]
+
+
 def test_license_scan(make):
     filler = "some words before it"
     rows = [(1, f"{filler}. Licensed under the Apache License, Version 2.0. more"), (2, "All rights reserved. ALL RIGHTS RESERVED!"), (3, f"{filler} CC BY and cc-by"),
