@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 MESSAGES = "array<struct<content:string,role:string>>"
@@ -93,16 +94,18 @@ def write_records(long: DataFrame, path: str) -> None:
 class KeyedStore:
     """Write-once Parquet table addressed by a content key, partitioned by the key's prefix.
 
-    An unreadable file is a miss. Writes append only keys that are not there yet, each once.
+    Writes append only keys that are not there yet, each once. Reading and writing stop at a file that cannot be
+    read, as its keys would be lost or written twice; only a lookup (``get``, ``missing``) takes them for misses.
+    ``repair`` sets such files aside and writes their keys anew.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "cache_key", prefix_chars: int = 1) -> None:
         self.spark, self.path, self.key, self.prefix_chars = spark, path, key, prefix_chars
         self.schema = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField("prefix", T.StringType())])
 
-    def table(self) -> DataFrame:
+    def table(self, readable_only: bool = False) -> DataFrame:
         try:
-            return (self.spark.read.schema(self.schema).option("ignoreCorruptFiles", "true")
+            return (self.spark.read.schema(self.schema).option("ignoreCorruptFiles", str(readable_only).lower())
                     .parquet(self.path).drop("prefix"))
         except AnalysisException as err:
             if err.getCondition() == "PATH_NOT_FOUND":
@@ -110,18 +113,46 @@ class KeyedStore:
             raise
 
     def get(self, wanted: DataFrame) -> DataFrame:
-        return wanted.join(self.table(), self.key)
+        return wanted.join(self.table(readable_only=True), self.key)
 
     def missing(self, wanted: DataFrame) -> DataFrame:
-        return wanted.join(self.table().select(self.key), self.key, "left_anti")
+        return wanted.join(self.table(readable_only=True).select(self.key), self.key, "left_anti")
 
     def put(self, rows: DataFrame) -> None:
         content = [c for c in rows.columns if c != self.key]
         once = rows.groupBy(self.key).agg(F.min(F.struct(*content)).alias("_r")).select(self.key, "_r.*")
-        fresh = self.missing(once).withColumn("prefix", F.substring(self.key, 1, self.prefix_chars))
+        fresh = once.join(self.table().select(self.key), self.key, "left_anti").withColumn("prefix", F.substring(self.key, 1, self.prefix_chars))
         # Rows of a prefix are brought together for few files; AQE splits the large ones.
         fresh.hint("rebalance", "prefix").write.mode("append").partitionBy("prefix").parquet(self.path)
 
+    def unreadable(self) -> list[str]:
+        """The files that cannot be read to their end; one read of each file."""
+        bad = []
+        for file in sorted(self.table().inputFiles()):
+            try:
+                rows = self.spark.read.schema(self.schema).option("ignoreCorruptFiles", "false").parquet(file)
+                rows.write.format("noop").mode("overwrite").save()
+            except (PySparkException, Py4JJavaError) as err:
+                if "FAILED_READ_FILE" not in str(err) and "CANNOT_READ_FILE_FOOTER" not in str(err):
+                    raise
+                bad.append(file)
+        return bad
+
+    def repair(self, rows: DataFrame) -> list[str]:
+        """Sets unreadable files aside under a hidden name, and puts those of ``rows`` whose keys no other file has.
+
+        The files are kept, for a reader that can still use them, and their former names are returned. ``rows`` must not
+        read this store."""
+        bad = self.unreadable()
+        jvm = self.spark._jvm
+        for file in bad:
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+            aside = jvm.org.apache.hadoop.fs.Path(path.getParent(), f"_unreadable-{path.getName()}")
+            if not path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).rename(path, aside):
+                raise OSError(f"cannot set {file} aside")
+        self.put(rows)
+        return bad
+
 
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 

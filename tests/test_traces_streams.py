@@ -152,6 +152,31 @@ def test_trace_store_and_corrupt_files(spark):
     assert store.get(wanted).count() == 1 and [r[0] for r in store.missing(wanted).collect()] == ["k9"]
 
 
+def test_unreadable_files_stop_writes_until_repaired(spark):
+    import glob
+
+    import pytest
+    from plumbline.sources.files import KeyedStore, embed_all
+
+    store = KeyedStore(spark, shared_dir(spark, "damaged"), "cache_key string, vec array<float>")
+    texts = spark.createDataFrame([("d1", "a1", "x"), ("d2", "b1", "yy")], "key string, text_hash string, text string")
+    embed = lambda: batch_rows(embed_all(texts, lambda ts: [[len(t)] for t in ts], 1, store))
+    whole = embed()
+    (file,) = glob.glob(f"{store.path}/prefix=a/*.parquet")
+    with open(file, "r+b") as fh:
+        raw = fh.read()
+        fh.seek(0)
+        fh.write(b"\0" * len(raw))
+    rows = spark.createDataFrame([("a1", [1.0]), ("b1", [2.0])], "cache_key string, vec array<float>")
+    for step in (embed, lambda: store.put(rows), lambda: store.table().collect()):
+        with pytest.raises(Exception, match="FAILED_READ_FILE"):
+            step()
+    assert [f.rsplit("/", 1)[1] for f in store.repair(rows)] == [file.rsplit("/", 1)[1]]
+    assert store.unreadable() == [] and batch_rows(store.table()) == [("a1", [1.0]), ("b1", [2.0])] and embed() == whole
+    (aside,) = glob.glob(f"{store.path}/prefix=a/_unreadable-*")
+    assert len(open(aside, "rb").read()) == len(raw)
+
+
 def test_strict_json(spark):
     import pytest
     from plumbline.sources import files
