@@ -6,9 +6,9 @@
 4 decontamination: documents that hold benchmark passages go.
 5 packing: the rest is cut into pieces and packed; this stage returns pieces, the others documents.
 
-Odd rows: null and empty texts are judged like any text. Of rows that share an id, near-duplicate removal keeps
-one, for they have the same id in the same group. Rows without an id are kept by stage 3 unless another row of
-their group has one. Empty tables pass through all stages.
+Odd rows: null and empty texts are judged like any text. Rows that share an id are judged each by its own text.
+Of rows without an id, stage 3 keeps one of each group that has no row with an id. Empty tables pass through all
+stages.
 """
 
 from __future__ import annotations

@@ -139,15 +139,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The rows, with all their columns, that are not contaminated. Rows that share an id go together; those without one are
-    compared by their texts."""
-    gone = decontaminate(docs.select("doc_id", "text"), benchmark, window, block_rows).filter("contaminated")
-    gone = stored(gone.select(F.col("doc_id").alias("_gone_id")).distinct(), "contaminated")
-    kept = docs.join(gone.filter("_gone_id is not null"), docs["doc_id"] == F.col("_gone_id"), "left_anti")
-    if gone.filter("_gone_id is null").isEmpty():
-        return kept
-    lone = docs.filter(F.col("doc_id").isNull()).withColumn("_digest", F.sha2("text", 256))
-    numbered = decontaminate(lone.select(F.xxhash64("_digest").alias("doc_id"), "text"), benchmark, window, block_rows)
-    bad = numbered.filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    clean = lone.join(bad, F.xxhash64("_digest") == F.col("_bad"), "left_anti").select(*docs.columns)
-    return kept.filter(F.col("doc_id").isNotNull()).unionByName(clean)
+    """The rows, with all their columns, that are not contaminated. Each is judged by its text, whatever its id."""
+    digest = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    found = decontaminate(docs.select(digest.alias("doc_id"), "text"), benchmark, window, block_rows).filter("contaminated")
+    gone = stored(found.select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
+    return docs.withColumn("_digest", digest).join(gone, F.col("_digest") == F.col("_gone"), "left_anti").drop("_digest")

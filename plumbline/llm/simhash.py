@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.llm import components
 from plumbline.llm.common import LOWER_BYTES, encoded, slices, stored
@@ -62,16 +62,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """One row (doc_id, fp) per document; fp is the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, digest: Column | None = None) -> DataFrame:
+    """One row (doc_id, fp, digest) per document; fp is the fingerprint as a signed 64-bit number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cut in slices(batch, "text"):
                 fps = np.array([fingerprint(t) for t in cut.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-                yield pa.record_batch([cut.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+                yield pa.record_batch([cut.column(0), pa.array(fps, pa.int64()), cut.column(2)], names=["doc_id", "fp", "digest"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       (F.lit(None) if digest is None else digest).cast("long").alias("digest")).mapInArrow(
+        run, "doc_id long, fp long, digest long")
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -203,26 +204,21 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of each group's smallest id, with all their columns; rows that share that id leave one of them.
-
-    Only numbers are grouped. The texts move once, to meet the ids that stay, and again only where ids repeat. The ids
-    that stay grow with the corpus, so the join is a merge join at every size."""
-    found = near_duplicates(docs, block)
-    chosen = stored(found.filter((F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull())
-                    .groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "chosen")
-    kept = docs.join(chosen.select(F.col("doc_id").alias("_kept_id")).hint("merge"), docs["doc_id"] == F.col("_kept_id"), "left_semi")
-    if not chosen.filter("doc_id is not null and n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    lone = chosen.filter("doc_id is null")
-    return kept if lone.isEmpty() else kept.unionByName(_without_id(docs, block))
-
-
-def _without_id(docs: DataFrame, block: int) -> DataFrame:
-    """Rows without an id in groups where no row has one: one of each group, by its text."""
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    own = numbered.filter(F.col("doc_id").isNull())
-    # Ids of their own behind all others, so that a row with an id stays before any without.
-    last = numbered.agg(F.max("doc_id")).first()[0] or 0
-    placed = near_duplicates(numbered.select(F.coalesce("doc_id", F.lit(last) + 1 + F.col("_row")).alias("doc_id"), "text"), block)
-    chosen = placed.filter((F.col("doc_id") == F.col("component_id")) & (F.col("doc_id") > last)).select((F.col("doc_id") - last - 1).alias("_kept_row"))
-    return own.join(chosen, own["_row"] == F.col("_kept_row"), "left_semi").select(*docs.columns)
+    """One row of each group, with all its columns: that with the smallest id, of several by a digest of the row.
+
+    Groups are named by fingerprints, as texts without anything in common may share an id. Rows without an id come
+    behind those with one. Only numbers are grouped. The texts move once, to meet the rows that stay, and again only
+    where equal rows repeat. The rows that stay grow with the corpus, so the join is a merge join at every size."""
+    digest = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    prints = stored(fingerprints(docs, digest), "simhash")
+    classes = stored(prints.select("fp", F.col("fp").alias("first_id")).distinct(), "classes")
+    label = components.smallest_reachable(stored(links(classes.select("fp"), block), "links"), classes)
+    grouped = prints.join(label, "fp", "left").groupBy(F.coalesce("component", "fp").alias("group"), "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "digest", "n")).alias("m")
+    chosen = stored(grouped.groupBy("group").agg(first).select("m.doc_id", "m.digest", "m.n"), "chosen")
+    keys = chosen.select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).hint("merge")
+    marked = docs.withColumn("_digest", digest)
+    kept = marked.join(keys, (F.col("_digest") == F.col("_kept_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    if not chosen.filter("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "_digest"])
+    return kept.drop("_digest")

@@ -140,3 +140,16 @@ def test_decontamination_equals_brute_force(make, block_rows):
     kept = decontaminate.keep_uncontaminated(make(docs), make(items).withColumnRenamed("doc_id", "item_id"), block_rows=block_rows)
     bad = {r[0] for r in plain_decontamination(docs, items) if r[5]}
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in docs if i is not None and i not in bad)
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(make):
+    """Two texts of one id are two groups; a copy with the id of another group's smallest row goes."""
+    rng = random.Random(21)
+    a, b, c = (text(rng, 60) for _ in range(3))
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, c), (8, c), (None, c), (9, None)]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(make(rows)).collect()]
+    assert sorted(kept, key=repr) == sorted([(3, a), (5, b), (8, c), (9, None)], key=repr)
+    rows = [(1, a), (1, b), (None, a), (None, b), (2, c)]
+    benchmark = make([("x", a)], "item_id string, text string")
+    kept = [(r["doc_id"], r["text"]) for r in decontaminate.keep_uncontaminated(make(rows), benchmark).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, b), (None, b), (2, c)], key=repr)
