@@ -2,8 +2,8 @@
 
 A single space between two characters that are not white space always begins a new pre-token of these
 vocabularies, so a text may be encoded word by word and the ids joined; a worker keeps the ids of up to
-``MEMORY`` words in two generations. Texts with any other arrangement of spaces are encoded as they are. Either way the ids are
-those of the library for the whole text.
+``MEMORY`` words in two generations. Texts with any other arrangement of spaces, or with the string of an added token such as <|endoftext|>, are encoded
+as they are. Either way the ids are those of the library for the whole text.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.bytes_of[i] = len(token)  # the byte alphabet has one character per byte
@@ -45,6 +45,9 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _has_added(self, text: str) -> bool:
+        return any(map(text.__contains__, self.added))
+
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of each word behind a space, encoded as one text and cut by the bytes of its tokens."""
         ids = np.frombuffer(self._plain([" " + " ".join(words)])[0], "<u4")
@@ -64,7 +67,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if _odd(text):
+            if _odd(text) or self._has_added(text):
                 whole.append(i)
                 continue
             words = text.split(" ")
@@ -95,7 +98,10 @@ class Encoder:
 
     def of_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word as it stands behind a space; words must hold no white space. Nothing is kept."""
-        learnt = self._learn(words) if words else {}
+        plain = [w for w in words if not self._has_added(w)]
+        learnt = self._learn(plain) if plain else {}
+        added = [w for w in words if w not in learnt]
+        learnt.update(zip(added, self._plain([" " + w for w in added])))
         return [learnt[w] for w in words]
 
 
