@@ -162,13 +162,15 @@ def test_term_matrix_holds_every_word(spark, make):
 
     rows, _ = audit_rows(3)
     docs = make([r[:2] for r in rows])
-    shards, numbers = filter_audit.term_matrix(docs, 2000)
-    words = {r["id"]: bytes(r["word"]) for r in numbers.collect()}
+    shards, dictionary = filter_audit.term_matrix(docs, 2000, range_words=300)
+    parts = dictionary.collect()
+    words = {r["first"] + i: w for r in parts for i, w in enumerate(bytes(r["words"]).split(b" "))}
+    assert len(parts) > 3
     assert sorted(words) == list(range(len(words))) and len(set(words.values())) == len(words)
     got = Counter()
     for s in shards.collect():
         ends = [0, *np.frombuffer(s["ends"], "<i4").tolist()]
-        columns, counts = np.frombuffer(s["columns"], "<i8").tolist(), np.frombuffer(s["counts"], "<i4").tolist()
+        columns, counts = np.frombuffer(s["columns"], "<i8").tolist(), np.frombuffer(s["counts"], f"<u{s['width']}").tolist()
         for i, doc in enumerate(s["doc_id"]):
             got[doc, tuple(sorted((words[c], n) for c, n in zip(columns[ends[i]: ends[i + 1]], counts[ends[i]: ends[i + 1]])))] += 1
     assert got == Counter((d, tuple(sorted(Counter((t or "").encode().split()).items()))) for d, t, _ in rows)
