@@ -142,8 +142,8 @@ def median_output_tokens(observed: DataFrame) -> DataFrame:
 def run_summary(outcomes: DataFrame) -> DataFrame:
     """Per model: calls, tokens, cost, pass rate and median latency of a run.
 
-    Tokens count successful rows only; cost counts all; cache hits cost nothing and stay out of
-    the latency median.
+    Tokens count successful rows only; cost counts all that have a price, and ``unpriced`` those that have none;
+    cache hits cost nothing and stay out of the latency median.
     """
     ok = F.col("error_kind").isNull()
     graded = ok & F.col("passed").isNotNull()
@@ -157,6 +157,7 @@ def run_summary(outcomes: DataFrame) -> DataFrame:
         F.sum(F.when(ok, F.col("input_tokens")).otherwise(0)).alias("input_tokens"),
         F.sum(F.when(ok, F.col("output_tokens")).otherwise(0)).alias("output_tokens"),
         F.sum(cost).alias("cost_nano"),
+        F.count_if(~F.col("from_cache") & F.col("cost_nano").isNull()).alias("unpriced"),
         F.count_if(ok & ~F.col("usage_is_final")).alias("unconfirmed_usage_calls"),
         F.count_if(graded & F.col("passed")).alias("_passed"),
         F.count_if(graded).alias("graded_n"),
@@ -177,9 +178,12 @@ def errors_by_kind(outcomes: DataFrame) -> DataFrame:
 
 
 def cumulative_spend(traces: DataFrame, cap_nano: int, by: Sequence[str], ts: str = "created_at", key: str = "id") -> DataFrame:
-    """Running spend per ``by`` in time order, what is left of the cap, and whether it is exceeded."""
-    running = running_total(traces, by, ts, [key], F.col("cost_nano"), "spent_nano")
-    return running.withColumn(
+    """Running spend per ``by`` in time order, what is left of the cap, and whether it is exceeded.
+
+    A row without a price adds nothing and is marked ``unpriced``: from there on the spend is a lower bound.
+    """
+    running = running_total(traces, by, ts, [key], F.coalesce("cost_nano", F.lit(0)), "spent_nano")
+    return running.withColumn("unpriced", F.col("cost_nano").isNull()).withColumn(
         "remaining_nano", F.greatest(F.lit(0), F.lit(cap_nano) - F.col("spent_nano"))
     ).withColumn("over_cap", F.col("spent_nano") > cap_nano)
 

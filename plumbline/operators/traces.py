@@ -140,26 +140,31 @@ def trace_provenance(items: DataFrame, traces: DataFrame, policy: DataFrame) ->
 
 # ---- spend and volume ---------------------------------------------------------------------
 
+def spend() -> list[Column]:
+    """What the priced rows cost, and how many rows have no price: the sum is the whole only where that is 0."""
+    return [F.coalesce(F.sum("cost_nano"), F.lit(0)).alias("cost_nano"), F.count_if(F.col("cost_nano").isNull()).alias("unpriced")]
+
+
 def spend_by_hour(traces: DataFrame) -> DataFrame:
-    return traces.groupBy(F.date_trunc("hour", F.col("created_at")).alias("hour"), "model_served").agg(
-        F.count(F.lit(1)).alias("requests"), F.sum("cost_nano").alias("cost_nano"))
+    return traces.groupBy(F.date_trunc("hour", F.col("created_at")).alias("hour"), "model_served").agg(F.count(F.lit(1)).alias("requests"), *spend())
 
 
 def peak_hour(hourly: DataFrame) -> DataFrame:
-    per_hour = hourly.groupBy("hour").agg(F.sum("cost_nano").alias("cost_nano"))
-    best = F.max_by(F.struct("hour", "cost_nano"), F.struct(F.col("cost_nano"), -F.unix_seconds("hour")))
+    """The most expensive hour by what is priced; an hour with unpriced rows may have cost more."""
+    per_hour = hourly.groupBy("hour").agg(F.sum("cost_nano").alias("cost_nano"), F.sum("unpriced").alias("unpriced"))
+    best = F.max_by(F.struct("hour", "cost_nano", "unpriced"), F.struct(F.col("cost_nano"), -F.unix_seconds("hour")))
     return per_hour.agg(best.alias("_b")).select("_b.*")
 
 
 def spend_by_model(traces: DataFrame) -> DataFrame:
-    """Total, share and mean per request of every model; the total comes from the per-model rows."""
-    per_model = traces.groupBy("model_served").agg(
-        F.count(F.lit(1)).alias("requests"), F.sum("cost_nano").alias("cost_nano")).withColumn("_one", F.lit(1))
+    """Total, share and mean per priced request of every model; the total comes from the per-model rows."""
+    per_model = traces.groupBy("model_served").agg(F.count(F.lit(1)).alias("requests"), *spend()).withColumn("_one", F.lit(1))
     total = per_model.groupBy("_one").agg(F.sum("cost_nano").alias("_total"))
+    priced = F.nullif(F.col("requests") - F.col("unpriced"), F.lit(0))
     return per_model.join(total, "_one").select(
-        "model_served", "requests", "cost_nano",
+        "model_served", "requests", "cost_nano", "unpriced",
         F.when(F.col("_total") > 0, F.col("cost_nano") / F.col("_total")).otherwise(0.0).alias("share"),
-        (F.col("cost_nano") / F.col("requests")).alias("mean_nano"))
+        (F.col("cost_nano") / priced).alias("mean_nano"))
 
 
 def spend_ranking(traces: DataFrame) -> DataFrame:
@@ -172,14 +177,14 @@ def pass_rate_ranking(rates: DataFrame) -> DataFrame:
 
 def route_rollup(traces: DataFrame, window: str = "1 day") -> DataFrame:
     return traces.groupBy("route_key", F.window("created_at", window).alias("_w")).agg(
-        F.count(F.lit(1)).alias("requests"), F.sum("cost_nano").alias("cost_nano"),
-    ).select("route_key", F.col("_w.start").alias("window_start"), "requests", "cost_nano")
+        F.count(F.lit(1)).alias("requests"), *spend(),
+    ).select("route_key", F.col("_w.start").alias("window_start"), "requests", "cost_nano", "unpriced")
 
 
 def duplicate_requests(traces: DataFrame) -> DataFrame:
     return traces.groupBy("request_hash").agg(
         F.count(F.lit(1)).alias("requests"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"),
-        F.sum("cost_nano").alias("cost_nano")).filter("requests > 1")
+        *spend()).filter("requests > 1")
 
 
 # ---- latency and health -------------------------------------------------------------------

@@ -90,7 +90,7 @@ def trace_provenance(spark, d):
     return joined.select("slug", F.when(known, F.col("source_trace_id")).alias("source_trace_id"), "route_key", "model_served", "assigned_model")
 
 
-_HOURLY = "SELECT date_trunc('hour',created_at) AS hour, model_served, count(*) AS requests, sum(cost_nano)::BIGINT AS cost_nano FROM traces GROUP BY ALL"
+_HOURLY = "SELECT date_trunc('hour',created_at) AS hour, model_served, count(*) AS requests, coalesce(sum(cost_nano),0)::BIGINT AS cost_nano, count(*) FILTER (cost_nano IS NULL) AS unpriced FROM traces GROUP BY ALL"
 
 
 @registered("spend_by_hour", o.query("SELECT * FROM hourly", "traces", hourly=_HOURLY))
@@ -98,12 +98,29 @@ def spend_by_hour(spark, d):
     return traces.spend_by_hour(fx.traces(spark, d))
 
 
-@registered("peak_hour", o.query("SELECT hour, sum(cost_nano)::BIGINT AS cost_nano FROM hourly GROUP BY hour ORDER BY 2 DESC, 1 LIMIT 1", "traces", hourly=_HOURLY))
+@registered("peak_hour", o.query("SELECT hour, sum(cost_nano)::BIGINT AS cost_nano, sum(unpriced)::BIGINT AS unpriced FROM hourly GROUP BY hour ORDER BY 2 DESC, 1 LIMIT 1", "traces", hourly=_HOURLY))
 def peak_hour(spark, d):
     return traces.peak_hour(traces.spend_by_hour(fx.traces(spark, d)))
 
 
-_BYMODEL = "SELECT model_served, count(*) AS requests, sum(cost_nano)::BIGINT AS cost_nano, sum(cost_nano)/(SELECT sum(cost_nano) FROM traces)::DOUBLE AS share, sum(cost_nano)/count(*)::DOUBLE AS mean_nano FROM traces GROUP BY model_served"
+_BYMODEL = "SELECT model_served, count(*) AS requests, sum(cost_nano)::BIGINT AS cost_nano, count(*) FILTER (cost_nano IS NULL) AS unpriced, sum(cost_nano)/(SELECT sum(cost_nano) FROM traces)::DOUBLE AS share, sum(cost_nano)/count(cost_nano)::DOUBLE AS mean_nano FROM traces GROUP BY model_served"
+
+#: Every 97th trace was served by a model the catalogue does not price.
+_SOME_UNPRICED = "SELECT * REPLACE (CASE WHEN id%97<>0 THEN cost_nano END AS cost_nano) FROM traces"
+
+
+def some_unpriced(rows):
+    return rows.withColumn("cost_nano", F.when(F.col("id") % 97 != 0, F.col("cost_nano")))
+
+
+@registered("spend_by_hour_unpriced", o.query("SELECT * FROM hourly", "traces", partly=_SOME_UNPRICED, hourly=_HOURLY.replace("FROM traces", "FROM partly")))
+def spend_by_hour_unpriced(spark, d):
+    return traces.spend_by_hour(some_unpriced(fx.traces(spark, d)))
+
+
+@registered("spend_ranking_unpriced", o.query(_BYMODEL.replace("FROM traces", "FROM partly"), "traces", partly=_SOME_UNPRICED))
+def spend_ranking_unpriced(spark, d):
+    return traces.spend_ranking(some_unpriced(fx.traces(spark, d)))
 
 
 @registered("spend_ranking", o.query(f"{_BYMODEL} ORDER BY cost_nano DESC", "traces"))
@@ -119,13 +136,13 @@ def pass_rate_ranking(spark, d):
 
 
 @registered("route_rollup", o.query(
-    "SELECT route_key, date_trunc('day',created_at)::TIMESTAMP AS window_start, count(*) AS requests, sum(cost_nano)::BIGINT AS cost_nano FROM traces GROUP BY ALL", "traces"))
+    "SELECT route_key, date_trunc('day',created_at)::TIMESTAMP AS window_start, count(*) AS requests, sum(cost_nano)::BIGINT AS cost_nano, count(*) FILTER (cost_nano IS NULL) AS unpriced FROM traces GROUP BY ALL", "traces"))
 def route_rollup(spark, d):
     return traces.route_rollup(fx.traces(spark, d))
 
 
 @registered("duplicate_requests", o.query(
-    "SELECT request_hash, count(*) AS requests, min(created_at) AS first_at, max(created_at) AS last_at, sum(cost_nano)::BIGINT AS cost_nano FROM traces GROUP BY request_hash HAVING count(*)>1", "traces"))
+    "SELECT request_hash, count(*) AS requests, min(created_at) AS first_at, max(created_at) AS last_at, sum(cost_nano)::BIGINT AS cost_nano, count(*) FILTER (cost_nano IS NULL) AS unpriced FROM traces GROUP BY request_hash HAVING count(*)>1", "traces"))
 def duplicate_requests(spark, d):
     return traces.duplicate_requests(fx.traces(spark, d))
 
@@ -214,7 +231,8 @@ def cache_keys(spark, d):
 @registered("validate_requests", o.query(
     """SELECT request_id, array_to_string(list_filter([CASE WHEN role='system' THEN 'non_system_message' END, CASE WHEN n IS NOT NULL AND n<>1 THEN 'n' END,
        CASE WHEN temperature IS NOT NULL AND NOT temperature BETWEEN 0 AND 2 THEN 'temperature' END, CASE WHEN top_p IS NOT NULL AND NOT (top_p>0 AND top_p<=1) THEN 'top_p' END,
-       CASE WHEN stops IS NOT NULL AND stops>4 THEN 'stop' END, CASE WHEN max_tokens IS NOT NULL AND max_tokens<=0 THEN 'max_tokens' END], lambda x: x IS NOT NULL),',') AS failed_rules FROM requests""", "requests"))
+       CASE WHEN stops IS NOT NULL AND stops>4 THEN 'stop' END, CASE WHEN max_tokens IS NOT NULL AND max_tokens<=0 THEN 'max_tokens' END,
+       CASE WHEN max_completion_tokens IS NOT NULL AND max_completion_tokens<=0 THEN 'max_completion_tokens' END], lambda x: x IS NOT NULL),',') AS failed_rules FROM requests""", "requests"))
 def validate_requests(spark, d):
     return rules.validate_requests(fx.requests(spark, d)).select("request_id", F.array_join("failed_rules", ",").alias("failed_rules"))
 

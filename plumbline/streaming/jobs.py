@@ -1,24 +1,16 @@
-"""Structured Streaming forms of the trace, spend, health, routing and cache jobs.
+"""Structured Streaming sinks, and the spend, routing and cache jobs that need no state of their own.
 
-Anything per request or per window is a declarative aggregation under a watermark. Jobs that carry
-a value from batch to batch (a running total, an open failure run) use ``foreachBatch``: the batch
-is reduced with the same skew-safe operators as in batch mode, and only one small row per key is
-handed on.
+Jobs that remember open requests, a day's spend or a provider's failures are in ``stateful``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from plumbline.operators import routing, traces
-from plumbline.operators.ranking import join_null_safe, running_total, top_n
+from plumbline.operators import routing
 
 # ---- fixed values -------------------------------------------------------------------------
-REQUEST_TIMEOUT = "120 seconds"
 DELIVERY_WINDOW = "24 hours"
 FLUSH_INTERVAL = "1 second"
 # -------------------------------------------------------------------------------------------
@@ -39,130 +31,20 @@ def stream_traces_sink(stream: DataFrame, path: str, checkpoint: str, available_
     return append_sink(dated, path, checkpoint, available_now, "date")
 
 
-def assemble_traces_stream(events: DataFrame, catalog: DataFrame | None = None, lateness: str = "10 seconds",
-                           timeout: str = REQUEST_TIMEOUT) -> DataFrame:
-    """One trace per request once it has been silent for the timeout; unfinished ones are aborts.
-
-    Events may arrive in any order within the lateness: folding goes by sequence number.
-    """
-    sessions = events.withWatermark("at", lateness).groupBy("request_id", F.session_window("at", timeout))
-    return traces.finish_trace(sessions.agg(*traces.event_partials()).drop("session_window"), catalog)
-
-
 def dedupe_deliveries(deliveries: DataFrame, ts: str = "at", key: str = "delivery_id", window: str = DELIVERY_WINDOW) -> DataFrame:
     return deliveries.withWatermark(ts, window).dropDuplicatesWithinWatermark([key])
 
 
 def stream_spend(stream: DataFrame, lateness: str = "1 hour") -> DataFrame:
     hours = stream.withWatermark("created_at", lateness).groupBy(F.window("created_at", "1 hour").alias("_w"), "model_served")
-    return hours.agg(F.count(F.lit(1)).alias("requests"), F.sum("cost_nano").alias("cost_nano")).select(
-        F.col("_w.start").alias("hour"), "model_served", "requests", "cost_nano")
+    return hours.agg(F.count(F.lit(1)).alias("requests"), F.sum("cost_nano").alias("cost_nano"), F.count_if(F.col("cost_nano").isNull()).alias("unpriced")).select(
+        F.col("_w.start").alias("hour"), "model_served", "requests", "cost_nano", "unpriced")
 
 
 def stream_route(requests: DataFrame, policy: DataFrame, default_mode: str, fallback: str, safe_default: str) -> DataFrame:
     return routing.route_traffic(requests, policy, default_mode, fallback, safe_default)
 
 
-# ---- values carried from batch to batch ---------------------------------------------------
-
-class Carry:
-    """One small row per key, handed on between micro-batches; a folder per batch.
-
-    A batch that runs again reads what it read before and overwrites its own folder, so a restart
-    changes nothing.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def before(self, batch_id: int) -> DataFrame:
-        try:
-            return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={batch_id - 1}")
-        except AnalysisException as err:
-            if batch_id == 0 and err.getCondition() == "PATH_NOT_FOUND":
-                return self.spark.createDataFrame([], self.schema)
-            raise
-
-    def save(self, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
-
-
-def carry_query(stream: DataFrame, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], out: str,
-                state: str, state_schema: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Run ``step(batch, carried) -> (rows out, carried on)`` over every micro-batch."""
-    carry = Carry(stream.sparkSession, state, state_schema)
-
-    def process(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        rows, onward = step(batch, carry.before(batch_id))
-        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        carry.save(onward, batch_id)
-        batch.unpersist()
-
-    trigger = {"availableNow": True} if available_now else {"processingTime": FLUSH_INTERVAL}
-    return stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(**trigger).start()
-
-
-CAP_STATE = "day date, spent_nano bigint"
-
-
-def cap_alert_step(cap_nano: int, ts: str = "created_at", key: str = "id") -> Callable:
-    """Rows that take a day's spend over the cap; batches come in time order."""
-    def step(batch: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataFrame]:
-        costed = batch.withColumn("day", F.to_date(ts)).withColumn("cost_nano", F.coalesce("cost_nano", F.lit(0)))
-        so_far = running_total(costed, ["day"], ts, [key], F.col("cost_nano"), "_in_batch")
-        known = so_far.join(carried.withColumnRenamed("spent_nano", "_carried"), "day", "left").withColumn(
-            "spent_nano", F.col("_in_batch") + F.coalesce("_carried", F.lit(0)))
-        crossing = (F.col("spent_nano") > cap_nano) & (F.col("spent_nano") - F.col("cost_nano") <= cap_nano)
-        onward = carried.unionByName(costed.groupBy("day").agg(F.sum("cost_nano").alias("spent_nano"))).groupBy("day").agg(
-            F.sum("spent_nano").alias("spent_nano"))
-        return known.filter(crossing).select("day", key, ts, "spent_nano"), onward
-
-    return step
-
-
-RUN_STATE = "provider string, open_failures bigint"
-
-
-def failure_run_step(threshold: int = traces.BREAKER_THRESHOLD, ts: str = "created_at", key: str = "id") -> Callable:
-    """Incidents opened in a batch; a run of failures may have started in an earlier one."""
-    def step(batch: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataFrame]:
-        health = batch.filter(F.col("counts").isNotNull())
-        numbered = running_total(health, ["provider"], ts, [key], (~F.col("counts")).cast("bigint"), "run")
-        failures = numbered.filter("counts")
-        head = carried.select("provider", F.lit(0).cast("bigint").alias("run"), F.col("open_failures").alias("_carried"))
-        ranked = top_n(failures, ["provider", "run"], [F.col(ts), F.col(key)], threshold)
-        opened = join_null_safe(ranked, head, ["provider", "run"], "left").filter(
-            F.col("rn") + F.coalesce("_carried", F.lit(0)) == threshold)
-        # The run still open at the end is the one after the last success.
-        last = numbered.groupBy("provider").agg(F.max("run").alias("run"))
-        tail = failures.groupBy("provider", "run").agg(F.count(F.lit(1)).alias("_n"))
-        ended = join_null_safe(last, tail, ["provider", "run"], "left")
-        merged = join_null_safe(ended, head, ["provider", "run"], "left").select(
-            "provider", (F.coalesce("_n", F.lit(0)) + F.coalesce("_carried", F.lit(0))).cast("bigint").alias("open_failures"))
-        untouched = carried.join(merged, "provider", "left_anti")
-        return opened.select("provider", F.col(ts).alias("opened_at")), merged.unionByName(untouched)
-
-    return step
-
-
-LATE_STATE = "one int, newest timestamp"
-
-
-def late_rows_step(lateness_seconds: int, ts: str = "at") -> Callable:
-    """Rows behind the watermark of the batches before: these no window counts any more."""
-    def step(batch: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataFrame]:
-        seen = batch.withColumn("one", F.lit(1)).join(carried, "one", "left")
-        edge = F.timestamp_add("SECOND", F.lit(-lateness_seconds), F.col("newest"))
-        late = seen.agg(F.count(F.lit(1)).alias("rows"),
-                        F.count_if(F.coalesce(F.col(ts) < edge, F.lit(False))).alias("late"))
-        newest = carried.unionByName(batch.select(F.lit(1).alias("one"), F.col(ts).alias("newest"))).groupBy("one").agg(
-            F.max("newest").alias("newest"))
-        return late, newest
-
-    return step
-
-
 # ---- semantic cache table -----------------------------------------------------------------
 
 CACHE_KEY = ("request_hash", "model", "prompt_version")

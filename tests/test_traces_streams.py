@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import rules, traces
 from plumbline.plans import fixtures as fx
-from plumbline.plans.stream_queries import EVENTS, carried, finished
+from plumbline.plans.stream_queries import EVENTS, again, finished, in_arrivals
 from plumbline.session import shared_dir
-from plumbline.streaming import jobs
+from plumbline.streaming import jobs, stateful
 
 LOG = ("request_id string, seq bigint, kind string, at timestamp, model string, input_tokens bigint, output_tokens bigint, cache_read_tokens bigint, "
        "cache_write_tokens bigint, delta string, finish_reason string")
@@ -77,13 +77,16 @@ def test_streams_give_what_batches_give(spark, data):
     events, stream = several_files(spark, data)
     batch, live = fx.trace_columns(events), fx.trace_columns(stream)
 
-    opened = carried(live, jobs.failure_run_step(), jobs.RUN_STATE, "provider string, opened_at timestamp", "t-runs")
-    want = traces.failure_runs(batch).select("provider", "opened_at")
-    assert batch_rows(opened) == batch_rows(want) and want.count() > 0
+    opened = finished(stateful.incidents(again(finished(stateful.health_slices(live, "1 second"), "t-health"))), "t-runs")
+    last = batch.agg(F.max("created_at")).first()[0]
+    want = traces.failure_runs(batch).filter(F.col("opened_at") < F.lit(last - dt.timedelta(minutes=2))).select("provider", "first_failure_at", "opened_at")
+    assert batch_rows(opened.drop("half_open_at")) == batch_rows(want) and want.count() > 0
+    assert opened.filter("half_open_at <> opened_at + INTERVAL 30 SECOND").count() == 0
 
     from plumbline.operators.costing import first_over_cap
     cap = 5_000_000
-    crossed = carried(live, jobs.cap_alert_step(cap), jobs.CAP_STATE, "day date, id bigint, created_at timestamp, spent_nano bigint", "t-cap")
+    alerts = finished(stateful.cap_alerts(again(finished(stateful.spend_slices(live, "1 second"), "t-slices")), cap), "t-cap")
+    crossed = stateful.crossing_rows(alerts, batch, cap)
     want = first_over_cap(batch.withColumn("day", F.to_date("created_at")), cap, ["day"])
     assert batch_rows(crossed.select("day", "id", "spent_nano")) == batch_rows(want.select("day", "id", "spent_nano")) and want.count() > 0
 
@@ -92,21 +95,57 @@ def test_streams_give_what_batches_give(spark, data):
     assert batch_rows(hours) == batch_rows(traces.spend_by_hour(batch).filter(F.col("hour") <= F.lit(edge)))
 
     log = fx.event_log_columns(stream)
-    folded = finished(jobs.assemble_traces_stream(log), "t-folded")
+    folded = finished(stateful.assemble_traces_stream(log), "t-folded")
     want = traces.assemble_traces(fx.event_log_columns(events))
     done = {r["request_id"]: tuple(r) for r in folded.collect()}
     all_of = {r["request_id"]: tuple(r) for r in want.select(*folded.columns).collect()}
     assert len(done) > 0.9 * len(all_of) and all(all_of[k] == v for k, v in done.items())
 
 
-def test_late_rows_are_counted(spark):
-    path = shared_dir(spark, "late")
-    for hours in ([0, 1, 2], [3, 1, 2], [4, 5]):
-        rows = [(T0 + dt.timedelta(hours=h),) for h in hours]
-        spark.createDataFrame(rows, "at timestamp").coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema("at timestamp").option("maxFilesPerTrigger", 1).parquet(path)
-    total = carried(stream, jobs.late_rows_step(60), jobs.LATE_STATE, "rows bigint, late bigint", "t-late").agg(F.sum("rows"), F.sum("late")).first()
-    assert tuple(total) == (8, 1)
+def arriving(spark, schema, *arrivals):
+    """One table with the arrival of each row."""
+    rows = [(*r, i) for i, batch in enumerate(arrivals) for r in batch]
+    return spark.createDataFrame(rows, schema + ", _arrival int")
+
+
+def test_late_rows_are_left_behind(spark):
+    table = arriving(spark, "key int, at timestamp", *[[(10 * i + h, T0 + dt.timedelta(hours=h)) for h in hours] for i, hours in enumerate(([0, 1, 2], [3, 1, 2], [4, 5], [0]))])
+    on_time = in_arrivals(spark, [table], 4, lambda s: stateful.accepted_on_time(s, "90 minutes", "at", "key", "seen"), "t-on-time")
+    assert batch_rows(stateful.left_behind(table, on_time, "key").select("key")) == [(30,)]
+
+
+def test_a_request_leaves_with_the_last_event_before_its_finish(spark):
+    a = [event("a", 0, "start", 0, 1, 20), event("a", 1, "text", 300, delta="Hel\nlo"), event("a", 2, "finish", 500, 9, reason="stop")]
+    b = [event("b", 0, "start", 0, 1, 5), event("b", 1, "text", 100, delta="x")]
+    late = [event("c", 0, "start", 600_000, None, 3), event("d", 1, "finish", 600_500, 4, reason="stop")]
+    table = arriving(spark, LOG, [a[2], a[0], b[0]], [a[1], b[1]], [a[2], a[1]], late, [event("z", 0, "start", 2_000_000, None, 1)])
+    out = []
+    for n in range(1, 6):
+        got = in_arrivals(spark, [table.filter(F.col("_arrival") < n)], n, lambda s: stateful.assemble_traces_stream(s, lateness="20 minutes"), "t-request")
+        out.append({r["request_id"]: (r["text"], r["output_tokens"], r["usage_is_final"], r["error_kind"], r["events"]) for r in got.collect()})
+    whole = ("Hel\nlo", 9, True, None, 3)
+    assert out[0] == {} and out[1] == out[2] == out[3] == {"a": whole}  # delivered again, it does not come back
+    assert out[4] == {"a": whole, "b": ("x", 1, False, "stream_abort", 2), "c": ("", 0, False, "stream_abort", 1), "d": ("", 4, True, None, 1)}
+
+
+def test_usage_that_comes_late_is_a_floor(spark):
+    at = lambda minutes: T0 + dt.timedelta(minutes=minutes)
+    done = arriving(spark, "request_id int, finished_at timestamp, floor_tokens bigint", [(1, at(0), 5), (2, at(0), 6), (3, at(1), 7)], [(4, at(60), 8)], [(5, at(300), 9)])
+    usage = arriving(spark, "request_id int, reported_at timestamp, output_tokens bigint", [(1, at(1), 50)], [(3, at(30), 70), (9, at(61), 1)], [(2, at(1), 60), (4, at(61), 80), (8, at(300), 2)])
+    rows = in_arrivals(spark, [done, usage], 3, lambda f, u: stateful.settle_usage(f, u, "10 minutes", "2 minutes"), "t-usage")
+    assert batch_rows(rows.select("request_id", "output_tokens", "usage_is_final")) == [(1, 50, True), (2, 6, False), (3, 7, False), (4, 80, True)]
+    assert batch_rows(traces.confirmed_usage(rows).select("request_id")) == [(1,), (4,)]
+
+
+def test_a_day_with_unpriced_rows_and_a_crossing_inside_a_minute(spark):
+    at = lambda seconds: T0 + dt.timedelta(seconds=seconds)
+    first = [(1, at(5), 40), (3, at(70), 50), (5, at(80), 5)]
+    second = [(2, at(10), None), (4, at(75), 20), (6, at(90_000), 200), (7, at(90_001), None), (8, at(200_000), 1)]
+    table = arriving(spark, "id int, created_at timestamp, cost_nano bigint", first, second)
+    alerts = finished(stateful.cap_alerts(again(in_arrivals(spark, [table], 2, lambda s: stateful.spend_slices(s, "1 hour"), "t-cap-slices")), 100), "t-cap-alerts")
+    assert batch_rows(alerts.select("day", "kind", "before_nano", "unpriced")) == [
+        (dt.date(2024, 1, 1), "cap", 40, 0), (dt.date(2024, 1, 1), "unpriced", 0, 1), (dt.date(2024, 1, 2), "cap", 0, 1), (dt.date(2024, 1, 2), "unpriced", 0, 1)]
+    assert batch_rows(stateful.crossing_rows(alerts, table, 100).select("id", "spent_nano")) == [(4, 110), (6, 200)]
 
 
 def test_deliveries_come_once(spark):
