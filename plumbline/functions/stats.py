@@ -162,16 +162,14 @@ def classify_interval(low: Column, high: Column, margin: Column | float) -> Colu
 
 
 def required_items(effect: Column, discordant_rate: Column) -> Column:
-    """Planning estimate: items needed to see ``effect`` at 5 % and 80 % power."""
-    p = F.lit(0.5) + effect / (F.lit(2.0) * discordant_rate)
-    z2 = (Z_ALPHA_HALF + Z_POWER_80) ** 2
-    discordant = F.lit(z2 * 0.25) / ((p - 0.5) * (p - 0.5))
-    return (
-        F.when(effect.isNull() | discordant_rate.isNull() | (effect <= 0) | (discordant_rate <= 0) | (discordant_rate > 1),
-               F.lit(None).cast("bigint"))
-        .when(p >= 1.0, F.lit(0).cast("bigint"))
-        .otherwise(F.ceil(discordant / discordant_rate))
-    )
+    """Items needed to see ``effect`` at 5 % and 80 % power: the squared quantiles times the variance of a difference, over effect squared.
+
+    An effect as large as the discordant rate needs no planning; impossible rates give NULL.
+    """
+    quantiles = Z_ALPHA_HALF + Z_POWER_80
+    plannable = (effect > 0) & (discordant_rate > 0) & (discordant_rate <= 1)
+    per_item = F.lit(quantiles * quantiles) * discordant_rate
+    return F.when(plannable, F.when(effect >= discordant_rate, F.lit(0)).otherwise(F.ceil(per_item / (effect * effect)))).cast("bigint")
 
 
 def interpret_kappa(kappa: Column) -> Column:
@@ -207,6 +205,8 @@ def _beta_tail(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
                 h = h * d * c
             if np.all(np.abs(d * c - 1.0) < 1e-15):
                 break
+        else:
+            raise ArithmeticError("the continued fraction of the beta tail did not settle")
         value = np.where(x_ <= 0.0, 0.0, front * h)
     return np.where(flip, 1.0 - value, value)
 

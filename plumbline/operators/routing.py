@@ -259,10 +259,8 @@ def ladder_walk(bounds: DataFrame, ladder: Sequence[str], safe_default: str, flo
         "route_key", F.coalesce("_rung.model", F.lit(safe_default)).alias("assigned_model"), "n_items",
         F.coalesce("_rung.quality", F.lit(0.0)).alias("quality"), F.coalesce("_rung.ci_low", F.lit(0.0)).alias("ci_low"),
         F.coalesce("_rung.ci_high", F.lit(0.0)).alias("ci_high"), F.lit(float(floor)).alias("floor"),
-        F.when(thin, F.format_string(f"insufficient evidence: %d items < {min_items} minimum", "n_items"))
-        .when(taken, F.format_string(f"cheapest rung whose CI lower bound %.4f >= floor {floor:.4f}",
-                                     F.coalesce("_rung.ci_low", F.lit(0.0))))
-        .otherwise(F.lit("no rung's lower bound cleared the floor")).alias("reason"),
+        F.when(thin, "thin").when(taken, "cleared").otherwise("none_cleared").alias("reason"),
+        F.lit(min_items).cast("long").alias("min_items"),
         F.when(thin, 0).otherwise(F.col("rungs_considered")).alias("rungs_considered"),
     )
 

@@ -53,10 +53,12 @@ def _built(spark, d):
 
 
 @registered("build_records", o.query(
-    """SELECT e.slug, i.task_type, i.split, e.model, e.success, g.input_tokens*c.input_nano+g.output_tokens*c.output_nano AS cost_nano, CASE WHEN u.samples>1 THEN a.agreement END AS agreement
-       FROM evidence e JOIN status s USING (slug) JOIN items i USING (slug) JOIN catalog c ON c.model=e.model JOIN used u ON u.slug=e.slug AND u.model=e.model
-       LEFT JOIN agree a ON a.slug=e.slug AND a.model=e.model JOIN (SELECT DISTINCT * FROM generations WHERE replicate_idx=0) g ON g.slug=e.slug AND g.model=e.model
-       WHERE s.skip_reason IS NULL""", "generations", "items", "catalog", **_RECORD_CTES))
+    """SELECT p.slug, i.task_type, i.split, p.model, success, input_tokens*input_nano+output_tokens*output_nano AS cost_nano, CASE WHEN samples>1 THEN agreement END AS agreement
+       FROM parts p JOIN kept USING (slug) JOIN items i USING (slug) JOIN catalog c ON c.model=p.model""", "generations", "items", "catalog", **_RECORD_CTES,
+    first="SELECT DISTINCT slug, model, input_tokens, output_tokens FROM generations WHERE replicate_idx=0",
+    kept="SELECT slug FROM status WHERE skip_reason IS NULL",
+    counted="SELECT e.slug, e.model, success, samples FROM evidence e JOIN used u USING (slug, model)", sized="SELECT * FROM counted JOIN first USING (slug, model)",
+    parts="SELECT * FROM sized LEFT JOIN agree USING (slug, model)"))
 def build_records(spark, d):
     return _built(spark, d).filter(F.col("skip_reason").isNull()).drop("skip_reason")
 
@@ -137,8 +139,7 @@ def _policy_ctes(where: str, prefix: str = "") -> dict[str, str]:
 
 def _walk(rates: str, cond: str = "true", models: str = "true") -> str:
     return f"""SELECT s.route_key, coalesce(w.model,'m-large') AS assigned_model, s.n_items, coalesce(w.quality,0.0) AS quality, coalesce(w.ci_low,0.0) AS ci_low, coalesce(w.ci_high,0.0) AS ci_high, {FLOOR}::DOUBLE AS floor,
-      CASE WHEN s.n_items<25 THEN 'insufficient evidence: '||s.n_items||' items < 25 minimum' WHEN w.model IS NOT NULL THEN printf('cheapest rung whose CI lower bound %.4f >= floor {FLOOR:.4f}', w.ci_low)
-      ELSE 'no rung''s lower bound cleared the floor' END AS reason, CASE WHEN s.n_items<25 THEN 0 ELSE s.k END AS rungs_considered
+      CASE WHEN s.n_items<25 THEN 'thin' WHEN w.model IS NOT NULL THEN 'cleared' ELSE 'none_cleared' END AS reason, 25::BIGINT AS min_items, CASE WHEN s.n_items<25 THEN 0 ELSE s.k END AS rungs_considered
       FROM (SELECT route_key, max(n_items) AS n_items, count(*) AS k FROM {rates} WHERE {models} GROUP BY route_key) s
       LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY route_key ORDER BY rung) AS rk FROM {rates} WHERE ci_low>={FLOOR} AND n_items>=25 AND {models} AND {cond}) w ON w.route_key=s.route_key AND w.rk=1"""
 
