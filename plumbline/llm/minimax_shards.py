@@ -4,11 +4,12 @@ Documents with equal texts form one atomic group. Groups are ordered by the dige
 capacity under which the ordered groups fill at most ``shards`` contiguous runs is found by binary search, each
 trial checked greedily. The order is summarised as a tree of digest prefixes: the driver holds the sizes of
 ``16 ** LEVEL`` prefixes and asks for finer ones only where a cut of a trial falls inside a prefix, so what it
-holds does not grow with the number of groups. When the capacity is set by one huge group, later cuts aim at
-equal shares of what is left, never above the capacity.
+holds does not grow with the number of groups. Where single groups set the capacity, each gets a shard of its own
+and the cuts between them aim at equal shares of the rest, never above the capacity.
 
-Inputs: a null text is the empty text. Rows that repeat an id are each placed. A null ``doc_id`` is placed like
-any other. Extra columns are ignored. Shards may be empty when there are fewer groups than shards.
+Inputs: a null text is the empty text. Rows that repeat an id are each placed, and rows that repeat altogether are
+numbered as one row with a count. A null ``doc_id`` is placed like any other. Extra columns are ignored. Shards are
+empty only when there are fewer groups than shards.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ SHARDS = 24
 LEVEL = 3
 #: Rows numbered by one task at a time.
 SLICE_ROWS = 200_000
+#: Copies of one row that are written out at a time.
+RUN = 4096
 OVERHEAD = 8
 
 
@@ -53,6 +56,26 @@ class Outline:
     def _sum(self) -> None:
         self.ends = list(accumulate(r[1] for r in self.rows))
         self.total = self.ends[-1] if self.ends else 0
+        self.prefixes = [r[0] for r in self.rows]
+        self.behind = list(accumulate((r[2] for r in reversed(self.rows)), initial=0))[::-1]  # groups from a leaf on
+
+    def before(self, leaf: int) -> int:
+        return self.ends[leaf - 1] if leaf else 0
+
+    def nearest(self, target: float) -> tuple[int, int | None]:
+        """The leaf before which bytes come closest to the target, and the leaf around it if it could be cut inside."""
+        n, inside = self.below(int(target))
+        if n < len(self.rows) and abs(self.ends[n] - target) < abs(self.before(n) - target):
+            n += 1
+        return n, inside
+
+    def leaf(self, key: str) -> int:
+        return bisect_right(self.prefixes, key) - 1
+
+    def isolate(self, keys: list[str]) -> None:
+        """Refines until each of the groups is a leaf of its own."""
+        while crowded := {i for i in map(self.leaf, keys) if self.rows[i][2] > 1}:
+            self.refine(crowded)
 
     def refine(self, at: set[int]) -> None:
         """Two more digits below each of the given leaves that holds several groups."""
@@ -111,41 +134,74 @@ def smallest_capacity(outline: Outline, largest: int, shards: int) -> int:
     return low
 
 
-def boundaries(outline: Outline, capacity: int, shards: int) -> list[str]:
-    """The digest prefix at which each shard but the first begins; an empty shard begins where the next one does."""
+def even_share(total: int, shards: int, sizes: list[int]) -> float:
+    """Bytes for each shard when groups larger than that have shards of their own."""
+    for size in sorted(sizes, reverse=True):
+        if shards == 1 or size * shards <= total:
+            break
+        total, shards = total - size, shards - 1
+    return total / shards
+
+
+def boundaries(outline: Outline, capacity: int, shards: int, large: list[tuple[str, int]]) -> list[str]:
+    """The digest prefix at which each shard but the first begins; an empty shard begins where the next one does.
+
+    ``large`` are the ``shards`` largest groups, since no more of them can have a shard of their own.
+    """
+    outline.isolate([key for key, _ in large])
     while True:
         starts, coarse = outline.backward(capacity, shards)
+        places = sorted((outline.leaf(key), size) for key, size in large)
         firsts, at, doubtful = [], 0, set(coarse)
         for s in range(shards - 1):
-            base = outline.ends[at - 1] if at else 0
-            share = base + -(-(outline.total - base) // (shards - s))
+            base, left = outline.before(at), shards - s
+            ahead = [(i, size) for i, size in places if i >= at]
+            share = even_share(outline.total - base, left, [size for _, size in ahead])
+            big, size = next(((i, size) for i, size in ahead if size > share), (None, 0))
             lowest, (highest, inside) = starts[s + 1], outline.below(base + capacity)
-            if inside is not None and outline.below(share)[0] >= highest:
-                doubtful.add(inside)
-            near, inside = outline.below(share)
-            if inside is not None:
+            if big is not None and (gap := outline.before(big) - base) <= 1.5 * share:
+                alone = big > at and (gap + size > capacity or 2 * gap >= share)
+                near = big if alone else big + 1
+            else:
+                part = share if big is None else gap / round(gap / share)
+                near, within = outline.nearest(base + part)
+                if within is not None:
+                    doubtful.add(within)
+            if inside is not None and near >= highest:
                 doubtful.add(inside)
-            if near < len(outline.rows) and abs(outline.ends[near] - share) < abs((outline.ends[near - 1] if near else 0) - share):
-                near += 1
-            at = max(min(near, highest), lowest, at)
-            firsts.append(at)
+            near = max(min(near, highest), lowest, at)
+            # A shard holds a group as long as there are any, and leaves one for each shard behind it.
+            while near > at and near > lowest and outline.behind[near] < left - 1:
+                near -= 1
+            if near == at < len(outline.rows) and outline.behind[at] >= left:
+                near = min(at + 1, highest)
+                if outline.rows[at][2] > 1:
+                    doubtful.add(at)
+            firsts.append(at := near)
         if not doubtful:
             return [outline.rows[i][0] if i < len(outline.rows) else "g" for i in firsts]
         outline.refine(doubtful)
 
 
-def _slots(placed: DataFrame, slice_rows: int) -> DataFrame:
-    """Gapless numbers in each shard: rank inside a slice plus the rows of the slices before it.
+def _numbered(placed: DataFrame, slice_rows: int) -> DataFrame:
+    """Gapless numbers in each shard: rows before it in its slice plus the rows of the slices before.
 
-    Slices are dealt by a hash of all columns, so a shard that one huge group fills is many slices as well."""
+    Slices are dealt by a hash of the row, so a shard that one huge group fills is many slices as well. Equal rows are one
+    row with a count until they are numbered."""
+    distinct = placed.groupBy("shard", "doc_id", "size", "text_crc32", "key").agg(F.count(F.lit(1)).alias("copies"))
     counts = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("rows")).collect()  # one row per shard
     width = max([1, *(-(-r["rows"] // slice_rows) for r in counts)]) * 4
-    sliced = placed.withColumn("slice", F.pmod(F.xxhash64("doc_id", "key"), F.lit(width)))
-    sizes = sliced.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("rows"))
+    sliced = distinct.withColumn("slice", F.pmod(F.xxhash64("doc_id", "key"), F.lit(width)))
+    sizes = sliced.groupBy("shard", "slice").agg(F.sum("copies").alias("rows"))
     before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("shard", "slice", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("shard", "slice").orderBy("doc_id", "key"))
-    return sliced.withColumn("rank", rank).join(offsets, ["shard", "slice"]).withColumn("slot", (F.col("before") + F.col("rank") - 1).cast("long"))
+    earlier = Window.partitionBy("shard", "slice").orderBy("doc_id", "key").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = sliced.withColumn("rank", F.coalesce(F.sum("copies").over(earlier), F.lit(0))).join(offsets, ["shard", "slice"])
+    first = F.col("before") + F.col("rank")
+    # In two steps, so that no array grows with the number of copies beyond its square root or so.
+    runs = ranked.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / RUN))).alias("run"))
+    last = F.least(F.col("copies") - 1, F.col("run") * RUN + RUN - 1)
+    return runs.select("*", F.explode(F.sequence(F.col("run") * RUN, last)).alias("copy")).withColumn("slot", first + F.col("copy"))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, slice_rows: int = SLICE_ROWS, level: int = LEVEL) -> DataFrame:
@@ -155,9 +211,10 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slice_rows: int = SLI
     outline = Outline(groups, level)
     largest = groups.agg(F.max("bytes")).first()[0] or 0
     capacity = smallest_capacity(outline, largest, shards)
-    firsts = boundaries(outline, capacity, shards)
+    large = groups.orderBy(F.col("bytes").desc(), "key").limit(shards).select("key", "bytes").collect()
+    firsts = boundaries(outline, capacity, shards, [tuple(r) for r in large])
     shard: Column = sum([(F.col("key") >= first).cast("int") for first in firsts], F.lit(0))
     placed = stored(rows.withColumn("shard", shard), "placed")
-    return _slots(placed, slice_rows).select(
+    return _numbered(placed, slice_rows).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
         F.lit(None).cast("int").alias("grown_shard"), F.lit(capacity).cast("long").alias("capacity"))

@@ -58,14 +58,23 @@ def test_minimax_capacity_is_optimal(make, level, slice_rows):
     check_shards(rows, minimax_shards.shard_documents(make(rows), slice_rows=slice_rows, level=level).collect(), 24)
 
 
-def test_a_huge_group_leaves_the_others_even(make):
+@pytest.mark.parametrize("copies", [("copied text ",), ("another ",), ("third ",), ("fourth ",), ("copied text ", "another "), ("x", "third ", "y")])
+def test_huge_groups_leave_the_others_even(make, copies):
     rng = random.Random(4)
-    rows = [(i, "copied text " * 20) for i in range(300)] + [(i, text(rng, 20)) for i in range(300, 900)]
-    loads = check_shards(rows, minimax_shards.shard_documents(make(rows), slice_rows=50).collect(), 24)
-    others = sorted(loads.values())[:-1]
+    rows = [(i, copies[i % len(copies)] * 20) for i in range(300)] + [(i, text(rng, 20)) for i in range(300, 900)]
+    got = minimax_shards.shard_documents(make(rows), slice_rows=50).collect()
+    loads = check_shards(rows, got, 24)
+    huge = {r["shard"] for r in got if (r["doc_id"] or 0) < 300}
+    others = sorted(n for s, n in loads.items() if s not in huge)
     assert len(loads) == 24 and others[-1] < 2 * others[0]
 
 
+def test_equal_rows_are_numbered_apart(make, monkeypatch):
+    monkeypatch.setattr(minimax_shards, "RUN", 7)
+    rows = [(1, "the same row")] * 100 + [(None, "the same row")] * 50 + [(i, f"text {i}") for i in range(30)]
+    check_shards(rows, minimax_shards.shard_documents(make(rows), 5, 10).collect(), 5)
+
+
 def test_few_or_no_groups(make):
     assert minimax_shards.shard_documents(make([])).count() == 0
     got = minimax_shards.shard_documents(make([(1, "a"), (2, "bb"), (3, "a")])).collect()
