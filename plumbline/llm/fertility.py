@@ -4,39 +4,40 @@ Public vocabularies are used as measuring rods: text that a vocabulary was not m
 tokens. Per document: characters per token of a byte-level BPE, the share of byte-fallback tokens of a piece
 vocabulary, and the entropy of the token distribution. Each measure has a band per language (or, where a
 document names none, per script), placed around the quantiles of all documents of that group; a document
-outside a band is rejected. Words are encoded as they stand behind a space, so equal words are encoded once.
+outside a band is rejected. The byte-level tokens are those of the whole text as it stands; the piece vocabulary, which
+knows white space only as the beginning of a word, measures the words.
 
 The base rules come first: fewer than ``MIN_WORDS`` words, or more than 30 % of the words in 8-word windows
 that occur again in the document, reject it.
 
-Inputs: a null text has no words. Rows are judged one by one, also when ids repeat or are null. Languages of fewer
-than ``MIN_GROUP`` measured documents use the bands of the document's script, and where the script has as few, there
-is no band and the base rules decide. Extra columns are ignored; a table without ``lang`` is grouped by script. An empty table gives an empty result.
+Inputs: a null text has no words. Rows are judged one by one, also when ids repeat or are null. The ends of a language's
+band lean on those of the document's script by ``LEAN`` to the language's number of documents, so that a small language
+is judged mostly by its script, and no number is a step. A script's own ends need no such help: those of a few documents
+enclose them all. Extra columns are ignored; a table without ``lang`` is grouped by script. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.llm.common import encoded, slices, stored
-from plumbline.llm.encoding import default_path, encoder
+from plumbline.llm.encoding import WordMemory, default_path, encoder
 
 MIN_WORDS, REPEAT_SHARE, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("chars_per_token", "fallback_share", "entropy")
 #: A band reaches from the lower to the upper quantile and this many times the distance to the median beyond.
 LOWER, UPPER, REACH = 0.05, 0.95, 2.0
-MIN_GROUP = 50
+#: Documents of a language that weigh as much as its script.
+LEAN = 50
 SCRIPTS = (("cyrillic", 0x400, 0x52F), ("greek", 0x370, 0x3FF), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF),
            ("devanagari", 0x900, 0x97F), ("thai", 0xE00, 0xE7F), ("hangul", 0xAC00, 0xD7AF), ("cjk", 0x3040, 0x9FFF))
-_KEPT_WORDS = 600_000
 _NOT_SYMBOLS = bytes(b for b in range(256) if b not in SYMBOLS)
 
 
@@ -75,34 +76,31 @@ def repeated_words(ids: np.ndarray, window: int = WINDOW) -> int:
     return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
-class Rods:
-    """Both vocabularies, and what is known of words met before."""
+class Pieces:
+    """The piece vocabulary: how many pieces a word has, and how many of them are single bytes."""
 
-    def __init__(self, bpe: str, pieces: str):
+    def __init__(self, path: str):
         import sentencepiece
 
-        self.encoder = encoder(bpe)
-        self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        self.bytes = frozenset(i for i in range(self.pieces.get_piece_size()) if self.pieces.is_byte(i))
-        self.known: dict[bytes, tuple[bytes, int, int]] = {}
-
-    def of(self, words: list[bytes]) -> dict[bytes, tuple[bytes, int, int]]:
-        """Per word: its byte-level ids, its pieces, and how many of them are single bytes."""
-        fresh = [w for w in words if w not in self.known]
-        plain = [w.decode("utf-8", "replace") for w in fresh]
-        if re.search(r"\s", "".join(plain)):  # white space beyond ASCII
-            plain = [re.sub(r"\s", "·", t) for t in plain]
-        if len(self.known) + len(fresh) > _KEPT_WORDS:
-            self.known = {w: self.known[w] for w in words if w in self.known}
-        if fresh:
-            for w, ids, found in zip(fresh, self.encoder.of_words(plain), self.pieces.encode(plain, num_threads=1)):
-                self.known[w] = ids, len(found), len(found) - len(list(filterfalse(self.bytes.__contains__, found)))
-        return self.known
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
+        self.memory = WordMemory(self._learn)
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.model.encode(words, num_threads=1)
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        single = np.concatenate(([0], np.cumsum(self.is_byte[np.fromiter((i for ids in found for i in ids), np.int64, int(lengths.sum()))])))
+        ends = np.cumsum(lengths)
+        return np.stack((lengths, single[ends] - single[ends - lengths]), 1).astype("<u4").ravel(), np.full(len(found), 2, np.int64)
+
+    def counts(self, words: pa.Array) -> np.ndarray:
+        """(pieces, single bytes) of distinct words."""
+        return self.memory.numbers(self.memory.find(words)).reshape(-1, 2).astype(np.int64)
 
 
 @functools.lru_cache(maxsize=1)
-def rods(bpe: str, pieces: str) -> Rods:
-    return Rods(bpe, pieces)
+def pieces_of(path: str) -> Pieces:
+    return Pieces(path)
 
 
 def _entropy(ids: np.ndarray) -> float:
@@ -118,20 +116,21 @@ def measure(texts: list[str | None], bpe: str, pieces: str) -> list[tuple]:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, three measures, script) of each text."""
     data = [encoded(t) for t in texts]
     split = [d.split() for d in data]
-    numbers = {w: i for i, w in enumerate(set().union(*split))}
-    known = rods(bpe, pieces).of(list(numbers))
-    counts = np.array([known[w][1:] for w in numbers], np.int64).reshape(-1, 2)
-    out = []
-    for text, raw, words in zip(texts, data, split):
-        ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+    tokens, token_ends = encoder(bpe).encoded([t or "" for t in texts])
+    coded = pa.array([w for words in split for w in words], pa.binary()).cast(pa.string()).dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = pieces_of(pieces).counts(coded.dictionary)[codes]
+    out, start, first = [], 0, 0
+    for text, raw, words, end in zip(texts, data, split, token_ends.tolist()):
+        last = first + len(words)
         points = np.frombuffer(raw, np.uint8)
-        space = int(((points == 0x20) | ((points >= 9) & (points <= 13))).sum())
-        chars = int(((points & 0xC0) != 0x80).sum()) - space
+        chars = len(points) - int(((points & 0xC0) == 0x80).sum() + (points == 0x20).sum() + ((points >= 9) & (points <= 13)).sum())
         lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
-        tokens = np.frombuffer(b"".join([known[w][0] for w in words]), "<u4")
-        n_pieces, n_bytes = counts[ids].sum(axis=0).tolist() if len(ids) else (0, 0)
-        out.append((len(words), chars, len(raw.translate(None, _NOT_SYMBOLS)), len(lines) - len(set(lines)), repeated_words(ids),
-                    chars / len(tokens) if len(tokens) else 0.0, n_bytes / n_pieces if n_pieces else 0.0, _entropy(tokens), script_of(text or "") if raw and not raw.isascii() else "latin"))
+        n_pieces, n_bytes = counts[first:last].sum(axis=0).tolist()
+        out.append((len(words), chars, len(raw.translate(None, _NOT_SYMBOLS)), len(lines) - len(set(lines)), repeated_words(codes[first:last]),
+                    chars / (end - start) if end > start else 0.0, n_bytes / n_pieces if n_pieces else 0.0, _entropy(tokens[start:end]),
+                    script_of(text or "") if raw and not raw.isascii() else "latin"))
+        start, first = end, last
     return out
 
 
@@ -156,7 +155,7 @@ def measured(docs: DataFrame, bpe: str | None = None, pieces: str | None = None)
 
 
 def bands(rows: DataFrame) -> DataFrame:
-    """Per language and script of enough documents the lower and upper end of each measure, from the documents the base rules keep."""
+    """Per language and script the number of documents the base rules keep, and the lower and upper end of each measure."""
     quantiles = [F.percentile_approx(m, F.array(F.lit(LOWER), F.lit(0.5), F.lit(UPPER)), 10_000).alias(m) for m in MEASURES]
     groups = rows.select(F.explode(F.array_compact(F.array("lang_group", "script_group"))).alias("group"), *MEASURES)
     found = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *quantiles)
@@ -164,7 +163,7 @@ def bands(rows: DataFrame) -> DataFrame:
     for m in MEASURES:
         low, mid, high = (F.col(m)[i] for i in range(3))
         ends += [(low - REACH * (mid - low)).alias(f"{m}_low"), (high + REACH * (high - mid)).alias(f"{m}_high")]
-    return found.filter(F.col("n") >= MIN_GROUP).select("group", *ends)
+    return found.select("group", "n", *ends)
 
 
 def apply_rules(docs: DataFrame, bpe: str | None = None, pieces: str | None = None) -> DataFrame:
@@ -174,14 +173,15 @@ def apply_rules(docs: DataFrame, bpe: str | None = None, pieces: str | None = No
     rows = stored(rows.withColumn("base_failed", failed).withColumn("lang_group", F.concat(F.lit("lang:"), "lang"))
                   .withColumn("script_group", F.concat(F.lit("script:"), "script")), "fertility")
     ends = stored(bands(rows.filter(~F.col("base_failed"))), "bands")
-    # One row for each language and script, joined by name: the language's bands, or those of the script.
+    # One row for each language and script, joined by name.
     joined, names = rows, [c for c in ends.columns if c != "group"]
     for kind in ("lang", "script"):
         own = ends.filter(F.startswith("group", F.lit(f"{kind}:"))).select(F.col("group").alias(f"{kind}_group"), *[F.col(c).alias(f"{kind}_{c}") for c in names])
         joined = joined.join(own, f"{kind}_group", "left")
+    weight = F.coalesce("lang_n", F.lit(0)) / (F.coalesce("lang_n", F.lit(0)) + LEAN)
     reasons = []
     for m in MEASURES:
-        low, high = (F.coalesce(f"lang_{m}_{e}", f"script_{m}_{e}") for e in ("low", "high"))
+        low, high = (weight * F.coalesce(f"lang_{m}_{e}", F.lit(0.0)) + (1 - weight) * F.col(f"script_{m}_{e}") for e in ("low", "high"))
         reasons.append(F.when((F.col(m) < low) | (F.col(m) > high), F.lit(m)))
     reason = F.array_compact(F.array(*reasons))
     return joined.withColumn("reasons", F.when(F.col("base_failed"), F.array(F.lit("base"))).otherwise(reason)).select(

@@ -109,6 +109,42 @@ def test_fertility_rules(make):
     assert fertility.apply_rules(make(rows).drop("lang")).count() == len(rows)
 
 
+def test_fertility_measures_equal_plain_python():
+    import math
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from plumbline.llm.encoding import default_path
+
+    bpe, pieces = default_path(), default_path("piece_bpe_32k.model")
+    plain, model = Tokenizer.from_file(bpe), sentencepiece.SentencePieceProcessor(model_file=pieces)
+    rng = random.Random(8)
+    texts = [t for _, t in ODD] + [text(rng, n) for n in (1, 30, 90)] + ["two  spaces\n\nand lines ", "日本語 ひら\u00a0がな", "ж 😀😀 x", "<|endoftext|> a"]
+    for t, row in zip(texts, fertility.measure(texts, bpe, pieces)):
+        ids = plain.encode(t or "", add_special_tokens=False).ids
+        words = [w.decode() for w in (t or "").encode().split()]
+        found = [p for ids_of in model.encode(words) for p in ids_of]
+        counts = Counter(ids)
+        assert row[5] == (sum(map(len, words)) / len(ids) if ids else 0)
+        assert row[6] == (sum(map(model.is_byte, found)) / len(found) if found else 0)
+        assert math.isclose(row[7], -sum(n / len(ids) * math.log2(n / len(ids)) for n in counts.values()), abs_tol=1e-9)
+
+
+def test_bands_lean_on_the_script_smoothly(make):
+    """One document more or less moves the ends of a band a little, whatever the number."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(prose(rng, 10) for _ in range(6))) for i in range(120)]
+    wide = [(1000, " ".join(prose(rng, 10) for _ in range(6)) + " 日本 語 ひら" * 3)]
+    kept = []
+    for n in (48, 49, 50, 51):
+        docs = make(rows + wide).withColumn("lang", F.when(F.col("doc_id") < n, "aa").otherwise("bb"))
+        kept.append(sum(r["kept"] for r in fertility.apply_rules(docs).collect()))
+    assert max(kept) - min(kept) <= 1
+
+
 def test_odd_language_is_outside_the_bands(make):
     rng = random.Random(4)
     rows = [(i, " ".join(prose(rng, 10) for _ in range(6))) for i in range(150)] + [(500, " ".join("qzxjvk" + "".join(rng.choice("qzxjvkw") for _ in range(7)) for _ in range(60)))]

@@ -177,6 +177,10 @@ def test_word_memory_gives_the_library_ids():
     texts = [t or "" for _, t in ROWS] + [text(rng, 50) for _ in range(20)] + ["", " ", "  ", "\n", "a  b", "x \ny", "don't won't 'll", "é" * 50 + " " + "ß" * 60]
     want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert e.ids(texts) == want and e.ids(texts) == want
+    e.memory.limit = 4000  # words are forgotten and learned again
+    for _ in range(3):
+        for lo in range(0, len(texts), 5):
+            assert e.ids(texts[lo: lo + 5]) == want[lo: lo + 5] and e.memory.words.nbytes < 60_000
 
 
 def test_added_tokens_are_those_of_the_plain_library():
@@ -187,5 +191,3 @@ def test_added_tokens_are_those_of_the_plain_library():
     texts = ["foo <|endoftext|> bar", "a<|endoftext|>b c", "<|endoftext|>", "x <|endoftext|>", "two  spaces <|endoftext|>\n", "plain words only", "<|endof text|>"]
     want = [np.array(x.ids, "<u4").tobytes() for x in plain.encode_batch(texts, add_special_tokens=False)]
     assert e.ids(texts) == want and e.ids(texts) == want
-    words = ["foo", "a<|endoftext|>b", "<|endoftext|>", "bar"]
-    assert e.of_words(words) == [np.array(plain.encode(" " + w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
