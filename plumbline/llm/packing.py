@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from plumbline.llm.common import slices, stored
+from plumbline.llm.common import slices, stored, tidy
 from plumbline.llm.encoding import default_path, encoder
 
 CAPACITY = 1024
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+        tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class Plan:
@@ -150,4 +150,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, sli
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return ranked(found, slice_rows).select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
-        run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+        tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

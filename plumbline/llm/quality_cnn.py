@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import encoded, labelled_sample, remainder, slices
+from plumbline.llm.common import encoded, labelled_sample, remainder, slices, tidy
 
 MODULUS, LEFT_OUT = 4, 2
 THRESHOLD = 0.7
@@ -166,7 +166,7 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
 
     held_out = remainder(F.col("doc_id"), MODULUS) == LEFT_OUT
     return docs.select("doc_id", held_out.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+        tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, network: Network) -> DataFrame:
@@ -176,4 +176,4 @@ def keep_good(docs: DataFrame, network: Network) -> DataFrame:
             for cut in slices(batch, "text", 1 << 20):
                 yield cut.filter(pa.array(_scores(network, cut.column(cut.schema.get_field_index("text"))) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.llm import components
-from plumbline.llm.common import LOWER_BYTES, encoded, slices, stored
+from plumbline.llm.common import LOWER_BYTES, encoded, slices, stored, tidy
 
 SEED = 42
 SHINGLE = 3
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, digest: Column | None = None) -> DataFrame:
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        (F.lit(None) if digest is None else digest).cast("long").alias("digest")).mapInArrow(
-        run, "doc_id long, fp long, digest long")
+        tidy(run), "doc_id long, fp long, digest long")
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -185,7 +185,7 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
              .select("t", "k", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "fp"))
     dealt = tasks.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j")
     return dealt.select(F.col("t").cast("long"), F.col("k").cast("long"), F.col("i").cast("long"), F.col("j").cast("long"), "fp").mapInArrow(
-        _block_links, "a long, b long").distinct()
+        tidy(_block_links), "a long, b long").distinct()
 
 
 def hex16(fp: str):

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import ALNUM_BYTES, SENTENCE_BYTES, encoded, labelled_sample, remainder, slices
+from plumbline.llm.common import ALNUM_BYTES, SENTENCE_BYTES, encoded, labelled_sample, remainder, slices, tidy
 
 MODULUS, LEFT_OUT = 3, 1
 THRESHOLD = 0.7
@@ -158,7 +158,7 @@ def score(docs: DataFrame, model: SentenceModel) -> DataFrame:
 
     held_out = remainder(F.col("doc_id"), MODULUS) == LEFT_OUT
     return docs.select("doc_id", held_out.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int, offending array<int>, worst int")
+        tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int, offending array<int>, worst int")
 
 
 def keep_clean(docs: DataFrame, model: SentenceModel) -> DataFrame:
@@ -169,4 +169,4 @@ def keep_clean(docs: DataFrame, model: SentenceModel) -> DataFrame:
                 texts = cut.column(cut.schema.get_field_index("text")).to_pylist()
                 yield cut.filter(pa.array([model.combine(f) < THRESHOLD for f in model.located(texts)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
