@@ -51,7 +51,17 @@ def stored(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     df.write.mode("overwrite").options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(table: DataFrame | None) -> None:
+    """Removes what ``stored`` has written, once nothing reads it any more."""
+    if table is not None:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @functools.lru_cache(maxsize=1)

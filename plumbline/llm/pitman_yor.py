@@ -3,10 +3,12 @@
 Restaurants: one for each context of a word (the preceding word, whichever it is, or the beginning of the text),
 which share one parent, the restaurant of all words, whose own parent is uniform over the vocabulary and one
 unknown word. Customers are word occurrences; the tables of a context's restaurant
-are the customers of the parent. A Gibbs sweep empties the tables of a dish in a restaurant and seats its
-customers again, one after the other, at an old table with weight (customers - discount * tables) or at a new one
-with weight (strength + discount * all tables) * parent probability. Restaurant totals are those of the sweep
-before. Predictive probabilities are averaged over the last sweeps.
+are the customers of the parent. A Gibbs sweep seats the customers of every dish in a restaurant anew: the number of
+tables is drawn from its law given all other dishes, which is proportional to the ways to seat the customers at so many
+tables (generalised Stirling numbers) times the weight of a new table, (strength + discount * all tables) * parent
+probability, to that power. Restaurant totals are those of the sweep before. Each sweep draws the strength of the context
+restaurants from its law over a grid; discounts follow from the dishes with one and two customers. Predictive
+probabilities are averaged over the last sweeps.
 
 How it is spread: a first pass counts words. Contexts are near (the beginning, and the ``OWN_CONTEXTS`` most frequent
 words, whose restaurants are spread over all parts) or far (every other word). The near dishes of the ``HOT`` most
@@ -23,6 +25,8 @@ is one, and an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
@@ -36,7 +40,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import LOWER_BYTES, encoded, remainder, slices, stored
+from plumbline.llm.common import LOWER_BYTES, discard, encoded, remainder, slices, stored
 
 MODULUS, LEFT_OUT = 7, 2
 HOT = 4096
@@ -45,10 +49,12 @@ HOT = 4096
 OWN_CONTEXTS = 62
 START, FAR = 0, 1
 CONTEXTS = OWN_CONTEXTS + 2
-SWEEPS, AVERAGED = 4, 2
+SWEEPS, AVERAGED = 6, 2
 STRENGTH = 1.0
-#: Customers seated by a draw each; beyond, the next customer who takes a new table is drawn.
-SINGLE_SEATS = 64
+#: Customers of a dish up to which its tables are drawn from their law; proposals in a sweep for a larger one.
+EXACT_SEATS, PROPOSALS = 256, 4
+#: Strengths of the context restaurants among which each sweep draws.
+GRID = tuple(4.0 ** k for k in range(-2, 10))
 BLOCK_BYTES = 6 << 20
 TOKENS_PER_PART = 8_000_000
 #: Far parts for each part.
@@ -82,26 +88,80 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def seat(customers: np.ndarray, weight: np.ndarray, discount: float, draw: np.random.Generator) -> np.ndarray:
-    """Tables after seating each dish's customers; ``weight`` is that of a new table. No customers, no tables."""
-    tables = (customers > 0).astype(np.float64)
-    order = np.argsort(-customers, kind="stable")
-    c, w, t = customers[order], weight[order], tables[order]
-    seated, active = 1, int(np.searchsorted(-c, -1, "left"))
-    while active and seated < SINGLE_SEATS:
-        t[:active] += draw.random(active) < w[:active] / (w[:active] + seated - discount * t[:active])
-        seated += 1
-        active = int(np.searchsorted(-c, -seated, "left"))
-    # Between two new tables the odds are those of an urn, so the wait is geometric with a beta-distributed chance.
-    at, who = np.full(active, seated, np.int64), np.arange(active)
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(math.lgamma, x.tolist()), float, len(x))
+
+
+@functools.lru_cache(maxsize=4)
+def log_ways(discount: float, most: int = EXACT_SEATS) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers: ways to seat c customers at t tables, by [c, t]."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(most + 1)
+    with np.errstate(divide="ignore"):
+        for c in range(1, most):
+            stay = out[c] + np.log(np.maximum(c - discount * t, 0))
+            out[c + 1] = np.logaddexp(np.concatenate(([-np.inf], out[c, :-1])), stay)
+    return out
+
+
+def seat(customers: np.ndarray, tables: np.ndarray, weight: np.ndarray, discount: float, draw: np.random.Generator) -> np.ndarray:
+    """New numbers of tables of each dish, given all others; ``weight`` is that of a new table.
+
+    The probability of t tables is proportional to the ways to seat the customers at them times weight ** t. Up to
+    ``EXACT_SEATS`` customers it is drawn from directly; a larger dish moves by proposals from a restaurant of its own, in
+    which the ways cancel. No customers, no tables.
+    """
+    out = (customers > 0).astype(np.int64)
+    discount = min(max(discount, 1e-3), 1 - 1e-9)
+    few = np.nonzero((customers > 1) & (customers <= EXACT_SEATS))[0]
+    few = few[np.argsort(customers[few], kind="stable")]
+    log_w, edges = np.log(weight), np.flatnonzero(np.diff(customers[few], prepend=0))
+    ways = log_ways(round(discount, 6), EXACT_SEATS) if len(few) else None
+    for a, b in zip(edges, [*edges[1:], len(few)]):
+        c = int(customers[few[a]])
+        t = np.arange(1, c + 1)
+        for lo in range(a, b, max(1, (1 << 20) // c)):
+            own = few[lo: min(b, lo + max(1, (1 << 20) // c))]
+            law = ways[c, 1: c + 1] + t * log_w[own, None]
+            mass = np.cumsum(np.exp(law - law.max(axis=1, keepdims=True)), axis=1)
+            out[own] = 1 + (mass < draw.random(len(own))[:, None] * mass[:, -1:]).sum(axis=1)
+    many = np.nonzero(customers > EXACT_SEATS)[0]
+    if len(many):
+        c, w, t = customers[many], weight[many], np.clip(tables[many], 1, customers[many])
+        strength = np.maximum(w - discount * np.minimum(c, w * np.log1p(c / w) + 1), 1e-3)
+        for _ in range(PROPOSALS):
+            new = _open_tables(c, strength, discount, draw)
+            gain = (new - t) * (np.log(w) - math.log(discount)) + _lgamma(strength / discount + t) - _lgamma(strength / discount + new)
+            t = np.where(np.log(draw.random(len(c)) + 1e-300) < gain, new, t)
+        out[many] = t
+    return out
+
+
+def _open_tables(customers: np.ndarray, strength: np.ndarray, discount: float, draw: np.random.Generator) -> np.ndarray:
+    """Tables that restaurants of these strengths have after so many customers."""
+    tables, at, who = np.ones(len(customers), np.int64), np.ones(len(customers), np.int64), np.arange(len(customers))
     while len(who):
-        chance = np.maximum(draw.beta(w[who], at - discount * t[who]), 1e-15)
+        # Between two new tables the odds are those of an urn, so the wait is geometric with a beta-distributed chance.
+        chance = np.maximum(draw.beta(strength[who] + discount * tables[who], at - discount * tables[who]), 1e-15)
         at = at + np.minimum(draw.geometric(chance), 1 << 60)
-        stays = at <= c[who]
+        stays = at <= customers[who]
         at, who = at[stays], who[stays]
-        t[who] += 1
-    tables[order] = t
-    return tables.astype(np.int64)
+        tables[who] += 1
+    return tables
+
+
+def strength_evidence(customers: np.ndarray, tables: np.ndarray, discount: float) -> np.ndarray:
+    """Log probability of restaurants' customers and tables under each strength of ``GRID``, in 1024ths."""
+    met = tables > 0
+    c, t, d = customers[met].astype(float), tables[met].astype(float), max(discount, 1e-3)
+    # Restaurants alike count once.
+    pairs, n = np.unique(np.stack((c, t), 1), axis=0, return_counts=True)
+    if not len(pairs):
+        return np.zeros(len(GRID), np.int64)
+    c, t = pairs.T
+    logs = [_lgamma(s / d + t) - math.lgamma(s / d + 1) + (t - 1) * math.log(d) - _lgamma(s + c) + math.lgamma(s + 1) for s in GRID]
+    return np.array([round(1024 * float((n * x).sum())) for x in logs], np.int64)
 
 
 @dataclass
@@ -115,6 +175,7 @@ class Totals:
     top_tables: int = 0
     discount: float = 0.5
     top_discount: float = 0.5
+    strength: float = STRENGTH
 
     def top(self, customers, tables):
         """Probability of words in the parent restaurant."""
@@ -122,10 +183,10 @@ class Totals:
         return (np.maximum(customers - self.top_discount * tables, 0) + new) / (STRENGTH + self.top_customers)
 
     def new_table(self, contexts: np.ndarray, top: np.ndarray) -> np.ndarray:
-        return (STRENGTH + self.discount * self.tables[contexts]) * top
+        return (self.strength + self.discount * self.tables[contexts]) * top
 
     def in_context(self, customers, tables, contexts, top):
-        return (np.maximum(customers - self.discount * tables, 0) + self.new_table(contexts, top)) / (STRENGTH + self.customers[contexts])
+        return (np.maximum(customers - self.discount * tables, 0) + self.new_table(contexts, top)) / (self.strength + self.customers[contexts])
 
 
 @dataclass
@@ -171,11 +232,11 @@ class Seating:
     def sweep(self, totals: Totals, outer: np.ndarray, draw: np.random.Generator) -> Seating:
         top = totals.top(self.top_customers(), self.top_tables)
         weight = totals.new_table(self.context, top[self.word])
-        tables = seat(self.customers, weight, totals.discount, draw)
+        tables = seat(self.customers, self.tables, weight, totals.discount, draw)
         above = np.bincount(self.word, tables, len(self.hashes)).astype(np.int64) + outer
         share = np.full(len(above), (STRENGTH + totals.top_discount * totals.top_tables) / (totals.vocabulary + 1))
         return Seating(self.hashes, self.word, self.context, self.customers, tables,
-                       seat(above, share, totals.top_discount, draw), self.tables, self.top_tables, outer, self.outer, self.count)
+                       seat(above, self.top_tables, share, totals.top_discount, draw), self.tables, self.top_tables, outer, self.outer, self.count)
 
     def sums(self) -> np.ndarray:
         """Customers and tables by context, parent customers and tables, dishes and words with one and two customers."""
@@ -243,7 +304,7 @@ class FarSeating:
 
     def sweep(self, totals: Totals, top: np.ndarray, draw: np.random.Generator) -> FarSeating:
         weight = self.totals(totals, self.tables).new_table(self.context, top[self.word])
-        return replace(self, tables=seat(self.customers, weight, totals.discount, draw), old_tables=self.tables)
+        return replace(self, tables=seat(self.customers, self.tables, weight, totals.discount, draw), old_tables=self.tables)
 
     def probabilities(self, samples: list[Totals], tops: list[np.ndarray]) -> np.ndarray:
         """The dishes' probabilities averaged over the samples; ``tops`` are the words' parent probabilities."""
@@ -255,7 +316,7 @@ class FarSeating:
 
 def totals_of(sums: np.ndarray, vocabulary: int) -> Totals:
     n1, n2, m1, m2 = sums[2 * CONTEXTS + 2:].tolist()
-    share = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a + b else 0.5
+    share = lambda a, b: min(1 - 1e-4, a / (a + 2 * b)) if a + b else 0.5
     return Totals(vocabulary, sums[:CONTEXTS], sums[CONTEXTS: 2 * CONTEXTS], int(sums[2 * CONTEXTS]), int(sums[2 * CONTEXTS + 1]),
                   share(n1, n2), share(m1, m2))
 
@@ -420,12 +481,14 @@ class FarStep:
         for part in np.unique(own).tolist():
             yield part, cold[own == part]
 
-    def rows(self, part: int, seating: FarSeating) -> list[tuple]:
+    def rows(self, part: int, seating: FarSeating, discount: float = 0.5) -> list[tuple]:
         sent = seating.by_word(seating.tables)
         rank = rank_of(self.hot, seating.words)
         outer = np.zeros(len(self.hot), np.int64)
         outer[rank[rank >= 0]] = sent[rank >= 0]
-        sums = [int((seating.customers == 1).sum()), int((seating.customers == 2).sum()), *outer.tolist()]
+        own = seating.totals(Totals(0), seating.tables)
+        sums = [int((seating.customers == 1).sum()), int((seating.customers == 2).sum()),
+                *strength_evidence(own.customers, own.tables, discount).tolist(), *outer.tolist()]
         return [(part, STATE, 0, packed(seating.tables.astype("u4"), seating.old_tables.astype("u4")), sums),
                 *((to, SENT, part, packed(sent[at].astype("u4")), None) for to, at in self.dealt(seating))]
 
@@ -454,7 +517,7 @@ class FarStep:
         def run(rows: pd.DataFrame) -> pd.DataFrame:
             part = int(rows["part"].iloc[0])
             seating, _, (top,) = self.replies(rows, hot_count, [hot_top], [totals])
-            return _frame(self.rows(part, seating.sweep(totals, top, np.random.default_rng([SEED, n, -1 - part, 1]))))
+            return _frame(self.rows(part, seating.sweep(totals, top, np.random.default_rng([SEED, n, -1 - part, 1])), totals.discount))
 
         return run
 
@@ -550,14 +613,14 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, hot_words: int = HOT, tokens_per_
     near = deal(heads.unionByName(far.filter("part >= 0")), first_seating)
 
     def far_sums() -> np.ndarray:
-        """Dishes with one and two customers, and tables of the hot words: added up by Spark, HOT + 2 rows."""
-        out = np.zeros(2 + len(hot), np.int64)
+        """Dishes with one and two customers, evidence of strengths, and tables of the hot words: added up by Spark, some HOT rows."""
+        out = np.zeros(2 + len(GRID) + len(hot), np.int64)
         for r in far.filter("part < -1 and sums is not null").select(F.posexplode("sums").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():
             out[r["i"]] = r["n"]
         return out
 
     seen = far_sums()
-    seating = Seating.begin(np.arange(len(hot), dtype=np.uint64), word, context, dense[word, context], seen[2:], hot_count)
+    seating = Seating.begin(np.arange(len(hot), dtype=np.uint64), word, context, dense[word, context], seen[2 + len(GRID):], hot_count)
     samples: list[Totals] = []
     for n in range(sweeps + 1):
         sums = seating.sums()
@@ -565,22 +628,29 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, hot_words: int = HOT, tokens_per_
             sums = sums + np.array(r["sums"], np.int64)
         sums[2 * CONTEXTS + 2: 2 * CONTEXTS + 4] += seen[:2]
         samples.append(totals_of(sums, vocabulary))
+        near_evidence = strength_evidence(samples[-1].customers, samples[-1].tables, samples[-1].discount)
+        law = (seen[2: 2 + len(GRID)] + near_evidence) / 1024
+        law = np.exp(law - law.max())
+        samples[-1].strength = float(np.random.default_rng([SEED, n, 2]).choice(GRID, p=law / law.sum()))
         if n == sweeps:
             break
         totals = samples[-1]
         hot_top = totals.top(seating.top_customers(), seating.top_tables)
+        before = (far if n else None, near)
         far = deal(fixed.filter("part < -1").unionByName(far.filter((F.col("part") < -1) & (F.col("kind") == STATE))).unionByName(
             near.filter("part < -1")), far_step.sweep(hot_count, hot_top, totals, n))
         near = deal(near.filter("part >= 0").unionByName(fixed.filter("part >= 0")).unionByName(far.filter("part >= 0")), near_sweep(totals, n))
+        for gone in before:  # recovery needs the last sweep only; the first far table holds what is fixed
+            discard(gone)
         seen = far_sums()
-        seating = seating.sweep(totals, seen[2:], np.random.default_rng([SEED, n, 0]))
+        seating = seating.sweep(totals, seen[2 + len(GRID):], np.random.default_rng([SEED, n, 0]))
     samples = samples[-AVERAGED:]
     tops, dishes = seating.probabilities(samples)
     # Hot words: a dense table, with the probability of every context, met or not.
     table_p = np.zeros(dense.shape)
     for totals, top_p in zip(samples, tops):
         everywhere = top_p if len(hot) else np.full(1, totals.top(0, 0))
-        table_p += (totals.new_table(np.arange(CONTEXTS), everywhere[:, None]) / (STRENGTH + totals.customers)) / len(samples)
+        table_p += (totals.new_table(np.arange(CONTEXTS), everywhere[:, None]) / (totals.strength + totals.customers)) / len(samples)
     table_p[word, context] = dishes
     held = fixed.unionByName(far.filter(F.col("kind") == STATE)).unionByName(near).filter("part < -1")
     return Model(tokens, vocabulary, hot, hot_count, samples, np.log10(table_p), tops,

@@ -234,13 +234,28 @@ def test_probabilities_add_up_to_one(make, corpus):
     assert np.allclose(mass + unknown, 1, atol=1e-9)
 
 
-def test_seating_distribution():
-    """With no discount, tables are a sum of independent draws w / (w + m): compare the mean."""
-    c = np.full(4000, 50)
-    t = pitman_yor.seat(c, np.full(4000, 2.0), 0.0, np.random.default_rng(1))
-    want = 1 + sum(2 / (2 + m) for m in range(1, 50))
-    assert abs(t.mean() - want) < 0.15 and t.min() >= 1 and (t <= c).all()
-    assert pitman_yor.seat(np.array([0, 1]), np.ones(2), 0.5, np.random.default_rng(1)).tolist() == [0, 1]
+@pytest.mark.parametrize("discount", [0.2, 0.5, 0.9])
+@pytest.mark.parametrize("customers, weight", [(2, 0.3), (5, 0.1), (10, 0.05), (30, 1.0), (60, 20.0)])
+@pytest.mark.parametrize("exact", [256, 1])
+def test_tables_follow_their_law(monkeypatch, customers, weight, discount, exact):
+    """Mean and variance against the law, for direct draws and for proposals: ways[t] * weight ** t by the plain recursion."""
+    ways = {1: 1.0}
+    for c in range(1, customers):
+        ways = {t: ways.get(t - 1, 0) + (c - discount * t) * ways.get(t, 0) for t in range(1, c + 2)}
+    law = np.array([ways[t] * weight ** t for t in range(1, customers + 1)])
+    law /= law.sum()
+    mean = float((law * np.arange(1, customers + 1)).sum())
+    spread = float((law * (np.arange(1, customers + 1) - mean) ** 2).sum())
+    monkeypatch.setattr(pitman_yor, "EXACT_SEATS", exact)
+    if exact == 1:
+        monkeypatch.setattr(pitman_yor, "PROPOSALS", 60)
+    t = pitman_yor.seat(np.full(6000, customers), np.ones(6000, np.int64), np.full(6000, weight), discount, np.random.default_rng(1))
+    assert t.min() >= 1 and t.max() <= customers
+    assert abs(t.mean() - mean) < 0.03 + 4 * math.sqrt(spread / 6000) and abs(t.var() - spread) < 0.03 + 0.12 * spread
+
+
+def test_no_customers_no_tables():
+    assert pitman_yor.seat(np.array([0, 1]), np.ones(2, np.int64), np.ones(2), 0.5, np.random.default_rng(1)).tolist() == [0, 1]
 
 
 def test_every_preceding_word_has_a_restaurant(make):
