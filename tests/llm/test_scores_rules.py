@@ -246,10 +246,12 @@ def test_tables_follow_their_law(monkeypatch, customers, weight, discount, exact
     law /= law.sum()
     mean = float((law * np.arange(1, customers + 1)).sum())
     spread = float((law * (np.arange(1, customers + 1) - mean) ** 2).sum())
-    monkeypatch.setattr(pitman_yor, "EXACT_SEATS", exact)
-    if exact == 1:
-        monkeypatch.setattr(pitman_yor, "PROPOSALS", 60)
-    t = pitman_yor.seat(np.full(6000, customers), np.ones(6000, np.int64), np.full(6000, weight), discount, np.random.default_rng(1))
+    draw = np.random.default_rng(1)
+    t = pitman_yor.seat(np.full(6000, customers), np.ones(6000, np.int64), np.full(6000, weight), discount, draw)
+    if exact == 1:  # proposals leave the law as it is
+        monkeypatch.setattr(pitman_yor, "EXACT_SEATS", exact)
+        t, before = pitman_yor.seat(np.full(6000, customers), t, np.full(6000, weight), discount, draw), t
+        assert (t != before).any()
     assert t.min() >= 1 and t.max() <= customers
     assert abs(t.mean() - mean) < 0.03 + 4 * math.sqrt(spread / 6000) and abs(t.var() - spread) < 0.03 + 0.12 * spread
 
