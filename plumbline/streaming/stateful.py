@@ -66,7 +66,12 @@ def is_whole(events: list[dict]) -> bool:
     return last is not None and len({e["seq"] for e in events if e["seq"] <= last}) == last + 1
 
 
-def assemble_traces_stream(events: DataFrame, catalog: DataFrame | None = None, lateness: str = "10 seconds", timeout: str = REQUEST_TIMEOUT) -> DataFrame:
+#: Groups of requests whose open ones are kept together: one call for many requests of a batch, not one for each.
+REQUEST_GROUPS = 512
+
+
+def assemble_traces_stream(events: DataFrame, catalog: DataFrame | None = None, lateness: str = "10 seconds", timeout: str = REQUEST_TIMEOUT,
+                           groups: int = REQUEST_GROUPS) -> DataFrame:
     """One trace per request, in the batch that brings the last event before its finish.
 
     Events may come in any order, over any number of batches within the lateness. A request without a finish, or with a
@@ -74,29 +79,40 @@ def assemble_traces_stream(events: DataFrame, catalog: DataFrame | None = None,
     that has left is remembered as long, so that an event delivered again does not bring it back.
     """
     wait = _millis(timeout)
+    kind = events.schema["request_id"].dataType
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        log, last, gone = state.get if state.exists else ("", 0, False)
-        lines = log.split("\n") if log else []
-        if state.hasTimedOut:
+        # Of each open request its events so far; of one that has left none. ``last`` is the time of its last event.
+        known = json.loads(state.get[0]) if state.exists else {}
+        now, out = state.getCurrentWatermarkMs(), []
+        for frame in () if state.hasTimedOut else frames:
+            for request, at, event in zip(frame["request"].tolist(), frame["at_ms"].tolist(), frame["event"].tolist()):
+                held = known.setdefault(request, {"log": [], "last": at})
+                held["last"] = max(held["last"], at)
+                if held["log"] is not None:
+                    held["log"].append(json.loads(event))
+                    held["new"] = True
+        for request, held in list(known.items()):
+            if held.pop("new", False) and is_whole(held["log"]):
+                out.append((request, json.dumps(fold_events(held["log"]))))
+                held["log"] = None
+            elif held["last"] + wait < now:
+                if held["log"] is not None:
+                    out.append((request, json.dumps(fold_events(held["log"]))))
+                del known[request]
+        if known:
+            _remember(state, (json.dumps(known),), min(held["last"] for held in known.values()) + wait)
+        else:
             state.remove()
-            if not gone:
-                yield pd.DataFrame({"request_id": [key[0]], "trace": [json.dumps(fold_events(list(map(json.loads, lines))))]})
-            return
-        for frame in frames:
-            lines += frame["event"].tolist()
-            last = max(last, int(frame["at_ms"].max()))
-        parsed = [] if gone else list(map(json.loads, lines))
-        if not gone and is_whole(parsed):
-            gone = True
-            yield pd.DataFrame({"request_id": [key[0]], "trace": [json.dumps(fold_events(parsed))]})
-        _remember(state, ("" if gone else "\n".join(lines), last, gone), last + wait)
-
-    kind = events.schema["request_id"].dataType.simpleString()
+        if out:
+            yield pd.DataFrame(out, columns=["request", "trace"])
+
     packed = F.to_json(F.struct("seq", "kind", F.unix_micros("at").alias("at"), "model", *money.USAGE_FIELDS, "delta", "finish_reason"))
-    keyed = events.withWatermark("at", lateness).select("request_id", "at", F.unix_millis("at").alias("at_ms"), packed.alias("event"))
-    folded = keyed.groupBy("request_id").applyInPandasWithState(
-        fold, f"request_id {kind}, trace string", "log string, last bigint, gone boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    keyed = events.withWatermark("at", lateness).select(
+        F.pmod(F.xxhash64("request_id"), F.lit(groups)).alias("group"), F.col("request_id").cast("string").alias("request"), "at",
+        F.unix_millis("at").alias("at_ms"), packed.alias("event"))
+    folded = keyed.groupBy("group").applyInPandasWithState(
+        fold, "request string, trace string", "known string", "append", GroupStateTimeout.EventTimeTimeout).withColumn("request_id", F.col("request").cast(kind))
     parts = folded.select("request_id", F.from_json("trace", _FOLDED).alias("t")).select("request_id", "t.*")
     return traces.finish_trace(parts.select(
         "request_id", "model", *[F.struct(F.col(f).alias("v")).alias(f) for f in money.USAGE_FIELDS], "text", "thinking_chars", "events",
