@@ -19,7 +19,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbline.llm.common import LOWER, UPPER, stored
+from plumbline.llm.common import LOWER, UPPER, free_names, stored
 
 #: Everything in ASCII that is neither a digit nor a lower-case letter; applied after A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -142,5 +142,6 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     """The rows, with all their columns, that are not contaminated. Each is judged by its text, whatever its id."""
     digest = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     found = decontaminate(docs.select(digest.alias("doc_id"), "text"), benchmark, window, block_rows).filter("contaminated")
-    gone = stored(found.select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
-    return docs.withColumn("_digest", digest).join(gone, F.col("_digest") == F.col("_gone"), "left_anti").drop("_digest")
+    mark, hit = free_names(docs, "_digest", "_gone")
+    gone = stored(found.select(F.col("doc_id").alias(hit)).distinct(), "contaminated")
+    return docs.withColumn(mark, digest).join(gone, F.col(mark) == F.col(hit), "left_anti").drop(mark)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.llm import components
-from plumbline.llm.common import LOWER_BYTES, encoded, slices, stored, tidy
+from plumbline.llm.common import LOWER_BYTES, encoded, free_names, slices, stored, tidy
 
 SEED = 42
 SHINGLE = 3
@@ -216,9 +216,10 @@ def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     grouped = prints.join(label, "fp", "left").groupBy(F.coalesce("component", "fp").alias("group"), "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "digest", "n")).alias("m")
     chosen = stored(grouped.groupBy("group").agg(first).select("m.doc_id", "m.digest", "m.n"), "chosen")
-    keys = chosen.select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).hint("merge")
-    marked = docs.withColumn("_digest", digest)
-    kept = marked.join(keys, (F.col("_digest") == F.col("_kept_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    mark, kept_id, kept_digest = free_names(docs, "_digest", "_kept_id", "_kept_digest")
+    keys = chosen.select(F.col("doc_id").alias(kept_id), F.col("digest").alias(kept_digest)).hint("merge")
+    marked = docs.withColumn(mark, digest)
+    kept = marked.join(keys, (F.col(mark) == F.col(kept_digest)) & F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)), "left_semi")
     if not chosen.filter("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_digest"])
-    return kept.drop("_digest")
+        kept = kept.dropDuplicates(["doc_id", mark])
+    return kept.drop(mark)

@@ -20,6 +20,7 @@ def make(spark):
         df = spark.createDataFrame([tuple(r) for r in rows], schema).repartition(3)
         from pyspark.sql import functions as F
 
-        return df.select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("row"), F.lit(2).alias("fp"), F.lit("x").alias("key"), F.lit(3).alias("slice"))
+        return df.select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("row"), F.lit(2).alias("fp"), F.lit("x").alias("key"), F.lit(3).alias("slice"),
+                         *[F.lit(7).alias(c) for c in ("_digest", "__digest", "_gone", "_kept_id", "_KEPT_DIGEST")])
 
     return build
