@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions import answers, stats
+from plumbline.operators.ranking import join_null_safe
+from plumbline.session import stored
 
 
 def grade_generations(items: DataFrame, gens: DataFrame) -> DataFrame:
@@ -73,27 +75,43 @@ def compare_runs(scored: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequen
     return compare(counts, margin, alpha, resamples)
 
 
-def bh_qvalues(tests: DataFrame, family: Sequence[str], p: str = "p_value", tie: Sequence[str] = ()) -> DataFrame:
+def bh_qvalues(tests: DataFrame, family: Sequence[str], p: str = "p_value", slices: int = 64) -> DataFrame:
     """Benjamini-Hochberg q-values; tests are already aggregated, one row each.
 
-    A row without a p-value is no test: it has no q-value and does not count in its family."""
-    from pyspark.sql import Window
-
-    value = F.col(p)
-    checked = tests.withColumn(
+    A row without a p-value is no test: it has no q-value and does not count in its family. Equal
+    p-values have equal q-values, so only distinct ones are ranked, with their counts. They are cut
+    into ranges at approximate quantiles; each range is ordered in a task of its own, and the count
+    of the ranges below and the least ratio of the ranges above are carried in.
+    """
+    value, keys = F.col(p), list(family)
+    checked = stored(tests.withColumn(
         p, F.when(value.between(0.0, 1.0) | value.isNull(), value)
         .otherwise(F.raise_error(F.lit("a p-value lies outside 0 to 1")).cast("double"))
-    )
-    order = [F.col(p).asc_nulls_last(), *[F.col(t) for t in tie]]
-    rank = F.row_number().over(Window.partitionBy(*family).orderBy(*order))
-    size = F.count(p).over(Window.partitionBy(*family))
-    ranked = checked.withColumn("_rank", rank).withColumn("family_size", size)
-    scaled = F.col(p) * F.col("family_size") / F.col("_rank")
-    below = Window.partitionBy(*family).orderBy(F.col("_rank").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    q = F.when(F.col(p).isNotNull(), F.round(F.least(F.lit(1.0), F.min(scaled).over(below)), 8))
-    return ranked.withColumn("q_value", q).drop("_rank")
-
+    ), "tests")
+    distinct = checked.filter(value.isNotNull()).groupBy(*keys, value.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    fractions = F.array(*[F.lit((i + 1) / slices) for i in range(slices - 1)])
+    cuts = distinct.groupBy(*keys).agg(
+        F.sum("_n").alias("family_size"),
+        (F.percentile_approx("_p", fractions, 100 * slices) if slices > 1 else F.array().cast("array<double>")).alias("_cuts"))
+    ranged = join_null_safe(distinct, cuts, keys).withColumn(
+        "_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_p")))).drop("_cuts")
+
+    def carried(parts: DataFrame, amount: Column, name: str, order: Column) -> DataFrame:
+        """Each range with what the ranges before it bring: at most ``slices`` rows of a family."""
+        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return parts.select(*keys, "_slice", amount.over(before).alias(name))
+
+    inside = Window.partitionBy(*keys, "_slice")
+    below = carried(ranged.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_n")), F.sum("_n"), "_below", F.col("_slice"))
+    upto = F.sum("_n").over(inside.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ratios = join_null_safe(ranged, below, [*keys, "_slice"]).withColumn(
+        "_ratio", F.col("_p") * F.col("family_size") / (upto + F.coalesce("_below", F.lit(0))))
+    above = carried(ratios.groupBy(*keys, "_slice").agg(F.min("_ratio").alias("_least")), F.min("_least"), "_above", F.col("_slice").desc())
+    least = F.min("_ratio").over(inside.orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = join_null_safe(ratios, above, [*keys, "_slice"]).select(
+        *keys, F.col("_p").alias(p), F.round(F.least(F.lit(1.0), least, "_above"), 8).alias("q_value"))
+    sized = join_null_safe(checked, cuts.drop("_cuts"), keys, "left").withColumn("family_size", F.coalesce("family_size", F.lit(0)))
+    return join_null_safe(sized, found, [*keys, p], "left")
 
 def poisson_bootstrap(scores: DataFrame, by: Sequence[str], key: str, value: str, seed: int, replicates: int,
                       alpha: float = stats.ALPHA) -> DataFrame:

@@ -279,7 +279,7 @@ def policy_tests(records: DataFrame, ladder: Sequence[str], reference: str) -> D
     tests = compared.select(
         F.col("task_type").alias("route_key"), F.col("candidate").alias("model"), F.col("mcnemar_p").alias("p_value"),
         F.lit("fit").alias("family"))
-    return pairing.bh_qvalues(tests, ["family"], tie=["route_key", "model"]).drop("family")
+    return pairing.bh_qvalues(tests, ["family"]).drop("family")
 
 
 def bh_gate(records: DataFrame, ladder: Sequence[str], reference: str, safe_default: str, floor: float,

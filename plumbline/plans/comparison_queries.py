@@ -120,7 +120,7 @@ def mcnemar(spark, d):
 def bh_qvalues(spark, d):
     tests = pairing.compare_runs(fx.records_long(spark, d), PAIRS, ["task_type"]).select(
         "task_type", "comparison", F.col("mcnemar_p").alias("p_value"))
-    return pairing.bh_qvalues(tests, ["comparison"], tie=["task_type"])
+    return pairing.bh_qvalues(tests, ["comparison"])
 
 
 _PLAN = f"z2*0.25/((p-0.5)*(p-0.5))/rate"
@@ -181,3 +181,15 @@ def graded_comparison(spark, d):
     scored = graded.withColumnRenamed("passed", "success")
     paired = pairing.pair_arms(scored, PAIRS, ["task_type"])
     return pairing.contingency(paired, ["task_type", "comparison"])
+
+
+@registered("bh_by_day", o.query(
+    """SELECT day, comparison, p_value, family_size, CASE WHEN p_value IS NOT NULL THEN round(least(1.0, min(p_value*family_size/rk) OVER
+      (PARTITION BY comparison ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)),8) END AS q_value FROM (
+      SELECT *, row_number() OVER (PARTITION BY comparison ORDER BY p_value NULLS LAST, day) AS rk, count(p_value) OVER (PARTITION BY comparison) AS family_size FROM tests)""",
+    "records", wide=_WIDE, paired=_PAIRED, counts=_DAY,
+    tests=f"SELECT day, comparison, CASE WHEN b+c>0 THEN {o.mcnemar_p('b', 'c')} END AS p_value FROM counts"))
+def bh_by_day(spark, d):
+    """Families of one test a day, many of them tied at 1, ranked in four ranges; days without a discordant pair have no test."""
+    tests = mcnemar(spark, d).select("day", "comparison", F.when(F.col("b") + F.col("c") > 0, F.col("p_value")).alias("p_value"))
+    return pairing.bh_qvalues(tests, ["comparison"], slices=4)

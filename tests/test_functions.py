@@ -288,11 +288,12 @@ def test_min_trials(spark):
     assert column(spark, [0.01, 0.1], stats.min_trials, "double") == [368, 36]
 
 
-def test_bh(spark):
+@pytest.mark.parametrize("slices", [1, 4, 64])
+def test_bh(spark, slices):
     p = [0.001, 0.008, 0.039, 0.041, 0.042, 0.06, 0.074, 0.205, 0.212, 0.216]
     order = [3, 0, 9, 5, 1, 7, 2, 8, 4, 6]
     df = spark.createDataFrame([(i, p[i], "f") for i in order], "i int, p_value double, f string")
-    got = {r["i"]: r["q_value"] for r in pairing.bh_qvalues(df, ["f"], tie=["i"]).collect()}
+    got = {r["i"]: r["q_value"] for r in pairing.bh_qvalues(df, ["f"], slices=slices).collect()}
     want, running = {}, 1.0
     for rank in range(10, 0, -1):
         running = min(running, p[rank - 1] * 10 / rank)
@@ -302,6 +303,27 @@ def test_bh(spark):
         pairing.bh_qvalues(spark.createDataFrame([(1.5, "f")], "p_value double, f string"), ["f"]).collect()
 
 
+def test_a_large_family_in_four_ranges(spark):
+    """Ties, a value that a third of the rows share, rows without a value and a family without a name."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    p = np.where(rng.random(900) < 0.33, 1.0, np.round(rng.random(900) ** 3, 3))
+    rows = [(i, None if i % 50 == 0 else float(x), None if i % 7 == 0 else "f") for i, x in enumerate(p)]
+    got = {r["i"]: (r["q_value"], r["family_size"]) for r in pairing.bh_qvalues(
+        spark.createDataFrame(rows, "i int, p_value double, f string").repartition(6), ["f"], slices=4).collect()}
+    assert len(got) == 900
+    for name in (None, "f"):
+        tests = sorted((x, i) for i, x, f in rows if f == name and x is not None)
+        least, want = 1.0, {}
+        for rank in range(len(tests), 0, -1):
+            x, i = tests[rank - 1]
+            least = min(least, x * len(tests) / rank)
+            want[i] = (round(least, 8), len(tests))
+        assert {i: got[i] for i in want} == {i: (pytest.approx(q, abs=1e-9), n) for i, (q, n) in want.items()}
+        assert all(got[i] == (None, len(tests)) for i, x, f in rows if f == name and x is None)
+
+
 def test_required_items(spark):
     got = spark.createDataFrame([(0.05, 0.2), (0.3, 0.2), (0.0, 0.2)], "e double, r double").select(stats.required_items(F.col("e"), F.col("r"))).collect()
     assert got[0][0] == 628 and got[1][0] == 0 and got[2][0] is None
