@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions import stats
 from plumbline.operators.ranking import join_null_safe, top_n
-from plumbline.operators.routing import at_thresholds, grid_bucket
-from plumbline.session import shared_dir
+from plumbline.operators.routing import at_thresholds, grid_bucket, require_one_split
+from plumbline.session import shared_dir, stored
 
 # ---- fixed values -------------------------------------------------------------------------
 CACHE_GRID = tuple(round(0.80 + i * 0.005, 4) for i in range(41))
@@ -33,6 +33,11 @@ BLOCK_ROWS = 1024
 CHUNK_ROWS = 4096
 MAX_PIVOTS = 2048
 SLACK = 1e-6
+TRAINING_SPLITS = ("calibration", "dev")
+CLOSENESS = float(1 << 30)
+DRAWN = 16
+# Squares of lengths below this keep every sum of a distance under 2^53, where doubles are exact.
+EXACT_SQUARE = float(1 << 51)
 
 
 # ---- vector columns -----------------------------------------------------------------------
@@ -212,9 +217,7 @@ def top_k_similar(queries: DataFrame, entries: DataFrame, k: int, scope: Sequenc
         spark = queries.sparkSession
         home = _with_cells(q, pivot_vectors).drop("gap")
         first = _scan(home, placed, cells, scope, k, None, exclude_self, block_rows, chunk_rows)
-        path = shared_dir(spark, "neighbours")
-        first.write.parquet(path)
-        first = spark.read.schema(first.schema).parquet(path)
+        first = stored(first, "neighbours")
         kth = top_n(first, ["qid"], [F.col("similarity").desc(), F.col("eid").desc()], k).groupBy("qid").agg(
             F.when(F.count(F.lit(1)) == k, F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * F.min("similarity")))).alias("reach"))
         bounded = q.join(kth, "qid", "left")
@@ -277,32 +280,115 @@ def nearest_route(vectors: DataFrame, centroids: DataFrame, threshold: float, sa
         F.when(near, F.lit("nearest_route")).otherwise(F.lit("out_of_distribution")).alias("reason"))
 
 
-def discover_routes(vectors: DataFrame, k_range: Sequence[int], seed: int = 1) -> DataFrame:
-    """Cluster training items; the k with the best silhouette wins. One row per route."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.functions import array_to_vector
-
-    spark = vectors.sparkSession
-    features = vectors.select("slug", "task_type", array_to_vector(F.col("vec").cast("array<double>")).alias("features")).persist()
-    evaluator = ClusteringEvaluator()
-    best = None
-    for k in k_range:
-        model = KMeans(k=k, seed=seed).fit(features)
-        score = evaluator.evaluate(model.transform(features))
-        if best is None or score > best[0]:
-            best = (score, model)
-    score, model = best
-    centres = spark.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "prediction int, centroid array<double>")
-    tasks = model.transform(features).groupBy("prediction", "task_type").agg(F.count(F.lit(1)).alias("n"))
-    routes = tasks.groupBy("prediction").agg(
-        F.sum("n").alias("n_items"), F.max(F.struct("n", "task_type"))["task_type"].alias("task_type"))
-    sizes = spark.createDataFrame(routes.collect(), routes.schema)  # one row for each of the k routes
-    features.unpersist()
-    return sizes.join(centres, "prediction").select(
-        F.format_string("route-%02d", "prediction").alias("route_key"), "task_type", "n_items", "centroid",
-        F.lit(float(score)).alias("silhouette"))
+def _cluster_parts(vectors: DataFrame, centres: dict[int, np.ndarray], width: int) -> DataFrame:
+    """Sums for every set of centres: (k, cluster, task_type, n, closeness, sums), a few rows from each task.
+
+    A row goes to its nearest centre, of equally near ones to the first. ``closeness`` is the sum of
+    (other - own) / max(other, own) over the distances to the own and the next nearest centre, as whole
+    numbers of 2^-30. All sums are whole numbers, so the order of rows has no part in them.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int, str | None], list] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = _matrix(batch.column("vec"))
+            if rows.shape[1] != width:
+                raise ValueError(f"vectors must have one number of dimensions, found {rows.shape[1]} and {width}")
+            squares = (rows * rows).sum(axis=1)
+            if squares.max() >= EXACT_SQUARE:
+                raise ValueError("a vector is too long for exact distances; give unit vectors")
+            tasks, task = np.unique(np.array(["" if t is None else "t" + t for t in batch.column("task_type").to_pylist()], dtype=object), return_inverse=True)
+            for k, centre in centres.items():
+                apart = squares[:, None] - 2.0 * (rows @ centre.T) + (centre * centre).sum(axis=1)[None, :]
+                own = apart.argmin(axis=1)
+                near = np.sqrt(np.sort(apart, axis=1)[:, :2])
+                far = near[:, 1]
+                close = np.divide(far - near[:, 0], far, out=np.zeros_like(far), where=far > 0)
+                units = np.floor(close * CLOSENESS + 0.5).astype(np.int64)
+                for c, t in {*zip(own.tolist(), task.tolist())}:
+                    here = (own == c) & (task == t)
+                    held = sums.setdefault((k, c, tasks[t][1:] if tasks[t] else None), [0, 0, np.zeros(width, np.int64)])
+                    held[0] += int(here.sum())
+                    held[1] += int(units[here].sum())
+                    held[2] += rows[here].astype(np.int64).sum(axis=0)
+        if sums:
+            keys = list(sums)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([k for k, _, _ in keys], pa.int32()), pa.array([c for _, c, _ in keys], pa.int32()),
+                pa.array([t for _, _, t in keys], pa.string()), pa.array([sums[x][0] for x in keys], pa.int64()),
+                pa.array([sums[x][1] for x in keys], pa.int64()), pa.array([sums[x][2].tolist() for x in keys], pa.list_(pa.int64())),
+            ], names=["k", "cluster", "task_type", "n", "closeness", "sums"])
+
+    return vectors.select("task_type", "vec").mapInArrow(
+        run, "k int, cluster int, task_type string, n bigint, closeness bigint, sums array<bigint>")
+
+
+def _spread(pool: np.ndarray, k: int) -> np.ndarray:
+    """The first vector, then k - 1 times the one farthest from all taken; of equally far ones the first."""
+    taken, nearest = [0], np.full(len(pool), np.inf)
+    while len(taken) < k:
+        last = pool[taken[-1]]
+        nearest = np.minimum(nearest, (pool * pool).sum(axis=1) - 2.0 * (pool @ last) + (last * last).sum())
+        taken.append(int(nearest.argmax()))
+    return pool[taken]
+
+
+def _moved(parts: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """The mean of every cluster, to whole numbers; a cluster without rows keeps its centre."""
+    placed = parts.select("k", "cluster", "n", F.posexplode("sums").alias("i", "x")).groupBy("k", "cluster", "i").agg(
+        F.floor(F.sum("x").cast("double") / F.sum("n").cast("double") + 0.5).cast("double").alias("x"))
+    out = {k: centre.copy() for k, centre in centres.items()}
+    for r in placed.collect():  # as many numbers as the centres have
+        out[r["k"]][r["cluster"], r["i"]] = r["x"]
+    return out
+
+
+def discover_routes(vectors: DataFrame, k_range: Sequence[int], seed: int = 1, rounds: int = 20) -> DataFrame:
+    """Cluster items by k-means; the k with the highest simplified silhouette wins. One row per route.
+
+    ``vectors`` has slug, vec and task_type, and split if there are several: routes are learned from the
+    rows of ``calibration`` and ``dev``, and a table that holds an item on both sides is refused. Without a
+    split column all rows are taken for training rows. The start centres are spread out over the DRAWN * k
+    different vectors whose items have the smallest hashes: the first of them, then always the one that is
+    farthest from those taken. Every round reads the rows once for all k, until no centre moves or
+    ``rounds`` are done. Vectors and centres are whole numbers of 2^-24, distances and sums are exact, so
+    neither the partitioning nor a lost task changes a digit. Of equal silhouettes the smaller k wins. The
+    task of a route is its most frequent one, of equally frequent ones the last by name. Rows without a
+    vector are skipped; fewer distinct vectors than the largest k, or none, are refused.
+    """
+    ks = sorted(set(k_range))
+    if not ks or ks[0] < 2:
+        raise ValueError("at least two routes are needed")
+    if "split" in vectors.columns:
+        require_one_split(vectors.select("slug", "split"))
+        vectors = vectors.filter(F.col("split").isin(*TRAINING_SPLITS))
+    train = stored(vectors.filter(F.col("vec").isNotNull()).select(
+        "slug", F.col("task_type").cast("string").alias("task_type"), fixed_point(F.col("vec")).alias("vec")), "routes")
+    # A bounded draw of different vectors; a vector that several items share counts once.
+    drawn = F.struct(F.md5(F.concat_ws("|", F.lit(seed), F.col("slug").cast("string"))).alias("h"), F.col("slug").cast("string").alias("s"))
+    pool = [r["vec"] for r in train.groupBy("vec").agg(F.min(drawn).alias("_at")).orderBy("_at").limit(DRAWN * ks[-1]).collect()]
+    if len(pool) < ks[-1]:
+        raise ValueError(f"{ks[-1]} routes need as many different vectors, found {len(pool)}")
+    starts = _spread(np.array(pool, dtype=float), ks[-1])
+    width = starts.shape[1]
+    centres = {k: starts[:k] for k in ks}
+    moving = dict(centres)
+    for _ in range(rounds):
+        after = _moved(_cluster_parts(train, moving, width), moving)
+        centres.update(after)
+        moving = {k: c for k, c in after.items() if not np.array_equal(c, moving[k])}
+        if not moving:
+            break
+    spark = train.sparkSession
+    parts = stored(_cluster_parts(train, centres, width).drop("sums"), "route-parts")
+    scores = {r["k"]: r["s"] for r in parts.groupBy("k").agg((F.sum("closeness") / F.lit(CLOSENESS) / F.sum("n")).alias("s")).collect()}
+    best = max(ks, key=lambda k: (scores[k], -k))
+    middle = spark.createDataFrame([(i, [float(x) / SCALE for x in c]) for i, c in enumerate(centres[best])], "cluster int, centroid array<double>")
+    tasks = parts.filter(F.col("k") == best).groupBy("cluster", "task_type").agg(F.sum("n").alias("n"))
+    routes = tasks.groupBy("cluster").agg(F.sum("n").alias("n_items"), F.max(F.struct("n", "task_type"))["task_type"].alias("task_type"))
+    return routes.join(middle, "cluster").select(
+        F.format_string("route-%02d", "cluster").alias("route_key"), "task_type", "n_items", "centroid", F.lit(float(scores[best])).alias("silhouette"))
 
 
 # ---- cache calibration --------------------------------------------------------------------

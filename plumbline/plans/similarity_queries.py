@@ -151,8 +151,40 @@ def nearest_route(spark, d):
     return sim.nearest_route(v, centroids(v), 0.3, fx.STRONG)
 
 
-@registered("discover_routes")
+_ROUTE_KS, _ROUNDS = (3, 6), 5
+
+
+def _route_ctes() -> dict[str, str]:
+    """Rounds of k-means written out: spread start centres, then means of the nearest rows, for every k."""
+    far = "min(list_inner_product(p.v,p.v)-2.0*list_inner_product(p.v,q.v)+list_inner_product(q.v,q.v))"
+    last = max(_ROUTE_KS) - 1
+    ctes = {
+        "train": f"SELECT slug, 'task-'||label AS task, {_FIXED.format(v='vec')} AS v FROM vectors WHERE {o.split('slug')}<>'test'",
+        "pool": f"SELECT row_number() OVER (ORDER BY h, s) AS rk, v FROM (SELECT v, min(h) AS h, arg_min(s,(h,s)) AS s FROM (SELECT v, md5('1|'||slug) AS h, slug::VARCHAR AS s FROM train) GROUP BY v) ORDER BY rk LIMIT {sim.DRAWN * max(_ROUTE_KS)}",
+        "pick0": "SELECT 0 AS c, v FROM pool WHERE rk=1",
+    }
+    for i in range(1, last + 1):
+        ctes[f"pick{i}"] = f"""SELECT * FROM pick{i - 1} UNION ALL SELECT {i} AS c, v FROM (SELECT rk, p.v AS v FROM pool p, pick{i - 1} q GROUP BY rk, p.v ORDER BY {far} DESC, rk LIMIT 1)"""
+    ctes["centre0"] = f"SELECT k, c, v, list_inner_product(v,v) AS vv FROM pick{last}, (VALUES " + ",".join(f"({k})" for k in _ROUTE_KS) + ") t(k) WHERE c<k"
+    for r in range(_ROUNDS + 1):
+        ctes[f"placed{r}"] = f"""SELECT k, slug, task, v, c, near, lead_near FROM (SELECT k, slug, task, a.v AS v, c, sqrt(d) AS near, lead(sqrt(d)) OVER w AS lead_near, row_number() OVER w AS rk FROM (
+          SELECT k, slug, task, a.v, c, list_inner_product(a.v,a.v)-2.0*list_inner_product(a.v,b.v)+vv AS d FROM train a, centre{r} b) a WINDOW w AS (PARTITION BY k, slug ORDER BY d, c)) WHERE rk=1"""
+        if r < _ROUNDS:
+            ctes[f"centre{r + 1}"] = f"""SELECT k, c, v, list_inner_product(v,v) AS vv FROM (SELECT k, c, coalesce(m.v, b.v) AS v FROM centre{r} b LEFT JOIN (
+              SELECT k, c, list(x ORDER BY i) AS v FROM (SELECT k, c, i, floor(sum(v[i]::BIGINT)::DOUBLE/count(*)::DOUBLE+0.5) AS x FROM placed{r}, range(1,65) r(i) GROUP BY k, c, i) GROUP BY k, c) m USING (k, c))"""
+    ctes["scores"] = f"""SELECT k, sum(CASE WHEN lead_near>0 THEN floor((lead_near-near)/lead_near*1073741824.0::DOUBLE+0.5) ELSE 0 END::BIGINT)::DOUBLE/1073741824.0::DOUBLE/count(*)::DOUBLE AS silhouette
+      FROM placed{_ROUNDS} GROUP BY k"""
+    ctes["best"] = "SELECT arg_max(k,(silhouette,-k)) AS k FROM scores"
+    return ctes
+
+
+@registered("discover_routes", o.query(
+    f"""SELECT 'route-'||lpad(c::VARCHAR,2,'0') AS route_key, arg_max(task,(n,task)) AS task_type, sum(n)::BIGINT AS n_items, any_value(array_to_string(list_transform(b.v, lambda x: x::BIGINT::VARCHAR),',')) AS centre,
+       any_value(silhouette) AS silhouette FROM (SELECT k, c, task, count(*) AS n FROM placed{_ROUNDS} GROUP BY ALL) JOIN best USING (k) JOIN scores USING (k) JOIN centre{_ROUNDS} b USING (k, c) GROUP BY c""",
+    "vectors", **_route_ctes()))
 def discover_routes(spark, d):
-    """Iterative clustering; no SQL twin."""
-    v = fx.vectors(spark, d)
-    return sim.discover_routes(v.withColumn("task_type", F.concat(F.lit("task-"), "label")), [4, 8]).select("route_key", "task_type", "n_items", "silhouette")
+    """Routes of all training rows, centres in units of 2^-24; the rounds are written out in the SQL."""
+    v = fx.vectors(spark, d).withColumn("task_type", F.concat(F.lit("task-"), "label")).withColumn("split", fx.split_of_key(F.col("slug")))
+    units = F.transform("centroid", lambda x: (x * sim.SCALE).cast("bigint").cast("string"))
+    return sim.discover_routes(v, _ROUTE_KS, rounds=_ROUNDS).select(
+        "route_key", "task_type", "n_items", "silhouette", F.array_join(units, ",").alias("centre"))

@@ -24,5 +24,4 @@ def test_contract():
 
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    # Iterative clustering is the only one of these without SQL.
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"discover_routes"}
+    assert set(registry.QUERIES) == set(registry.ORACLES)

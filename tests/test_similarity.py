@@ -133,3 +133,42 @@ def test_price_table(spark):
 def test_evidence_gap(spark):
     row = sim.evidence_gap(sim.threshold_counts(pairs(spark, [0.9], [0.5] * 100))).first()
     assert (row["required"], row["shortfall"]) == (368, 268)
+
+
+def routed(spark, v, parts, **extra):
+    rows = [(f"i{i}", [float(x) for x in row], f"task-{i % 3}", extra.get("split", ["dev"] * len(v))[i]) for i, row in enumerate(v)]
+    return spark.createDataFrame(rows, "slug string, vec array<float>, task_type string, split string").repartition(parts)
+
+
+def test_routes_do_not_depend_on_partitions(spark):
+    v = clustered(240, 8, 4)
+    a, b = (sorted(map(tuple, sim.discover_routes(routed(spark, v, n), (2, 6, 9)).collect())) for n in (1, 7))
+    assert a == b and sum(r[2] for r in a) == 240 and len(a) in (2, 6, 9)
+
+
+def test_routes_separate_far_groups(spark):
+    rng = np.random.default_rng(8)
+    v = np.vstack([np.eye(3)[i] + 0.01 * rng.normal(size=(40, 3)) for i in range(3)])
+    got = sim.discover_routes(routed(spark, v, 3), (2, 3), seed=5).collect()
+    found = {tuple(np.round(r["centroid"], 1) + 0.0): r["n_items"] for r in got}
+    means = {tuple(np.round(v[i * 40:i * 40 + 40].mean(axis=0), 1) + 0.0): 40 for i in range(3)}
+    assert found == means
+
+
+def test_routes_are_learned_from_training_rows_only(spark):
+    v = clustered(90, 6, 2)
+    splits = ["test" if i < 30 else "dev" for i in range(90)]
+    assert sum(r["n_items"] for r in sim.discover_routes(routed(spark, v, 2, split=splits), (2, 4)).collect()) == 60
+    both = routed(spark, v, 2).unionByName(routed(spark, v[:1], 1, split=["test"]))
+    with pytest.raises(ValueError, match="more than one split"):
+        sim.discover_routes(both, (2,))
+
+
+def test_copies_are_one_start_and_too_few_vectors_are_refused(spark):
+    v = np.repeat(clustered(2, 6, 3), 40, axis=0)
+    got = sim.discover_routes(routed(spark, v, 3), (2,)).collect()
+    assert sorted(r["n_items"] for r in got) == [40, 40] and got[0]["silhouette"] == 1.0
+    with pytest.raises(ValueError, match="3 routes need"):
+        sim.discover_routes(routed(spark, v, 3), (2, 3))
+    with pytest.raises(ValueError, match="found 0"):
+        sim.discover_routes(routed(spark, v, 3).limit(0), (2,))
