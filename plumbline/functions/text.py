@@ -80,15 +80,18 @@ def sorted_params(params: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
 
 
-def exact_key(canonical: Column, model: Column, prompt_version: Column, params: Column) -> Column:
-    """sha256 over canonical text, scope and the parameters; their order does not matter."""
-    payload = F.concat(
-        F.lit('{"messages":'), json_string(canonical),
+def exact_key_scope(model: Column, prompt_version: Column, params: Column) -> Column:
+    """What follows the messages in the payload of an exact key."""
+    return F.concat(
         F.lit(',"model":'), json_string(model),
         F.lit(',"promptVersion":'), json_string(prompt_version),
         F.lit(',"params":'), sorted_params(params), F.lit("}"),
     )
-    return sha256(payload)
+
+
+def exact_key(canonical: Column, model: Column, prompt_version: Column, params: Column) -> Column:
+    """sha256 over canonical text, scope and the parameters; their order does not matter."""
+    return sha256(F.concat(F.lit('{"messages":'), json_string(canonical), exact_key_scope(model, prompt_version, params)))
 
 
 def cache_key(model: Column, messages: Column, params: Column, replicate: Column) -> Column:

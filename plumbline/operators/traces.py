@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import money, text
@@ -276,3 +278,90 @@ def conversation_keys(turns: DataFrame, key: str = "conv_id", fan_out: int = 102
         key, F.col("_turns").alias("turns"), (F.col("_chars") + F.col("_turns") - 1).alias("canonical_chars"),
         text.token_estimate(F.col("_raw") + 2 * (F.col("_turns") - 1)).alias("token_estimate"),
         F.col("_h").alias("conversation_key"))
+
+
+def turn_request_keys(turns: DataFrame, requests: DataFrame, key: str = "conv_id") -> DataFrame:
+    """What ``request_keys`` gives, for messages stored one turn per row: the same keys for the same messages.
+
+    ``turns`` has the key, turn, role and text, ``requests`` one row per key with model, prompt_version and
+    params. The hashes are fed turn by turn from sorted rows, so a conversation of any length is never one
+    value; a task holds one batch and four hash states. Turns without a number come first; turns with equal
+    numbers are ordered by role and text; a missing role or text is empty. A request without turns has the
+    keys of no messages. Turns without a request are left out, and requests that repeat a key are refused.
+    """
+    role, body = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
+    line = text.canonical_turn(role, body)
+    literal = text.json_string(line)
+    said = turns.filter(F.col(key).isNotNull()).select(
+        F.col(key).alias("_key"), F.lit(1).alias("_part"), F.col("turn").cast("bigint").alias("_at"), role.alias("_role"), body.alias("_body"),
+        line.alias("_line"), F.substring(literal, F.lit(2), F.length(literal) - 2).alias("_quoted"),
+        F.length(line).cast("bigint").alias("_chars"), F.length(body).cast("bigint").alias("_raw"), role.isin(*text.SPOKEN_ROLES).alias("_spoken"))
+    closing = text.exact_key_scope(F.col("model"), F.col("prompt_version"), F.col("params"))
+    asked = requests.filter(F.col(key).isNotNull()).select(
+        F.col(key).alias("_key"), F.lit(0).alias("_part"), F.lit(None).cast("bigint").alias("_at"), F.lit("").alias("_role"), F.lit("").alias("_body"),
+        F.col("model").cast("string").alias("_line"), closing.alias("_quoted"), F.lit(0).cast("bigint").alias("_chars"),
+        F.lit(0).cast("bigint").alias("_raw"), F.lit(False).alias("_spoken"))
+    # The bodies only break ties; they are sorted where they lie and do not reach Python.
+    rows = asked.unionByName(said).repartition("_key").sortWithinPartitions("_key", "_part", "_at", "_role", "_body").drop("_role", "_body", "_at")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: _KeyState | None = None
+        for batch in batches:
+            done = []
+            for value, part, words, quoted, chars, raw, spoken in zip(*(c.to_pylist() for c in batch.columns)):
+                if part == 0:
+                    if state is not None and state.key == value:
+                        raise ValueError(f"request {value} is listed twice")
+                    done += [state] if state is not None else []
+                    state = _KeyState(value, words, quoted)
+                elif state is not None and state.key == value:
+                    state.add(words, quoted, chars, raw, spoken)
+            if done:
+                yield _KeyState.batch(done, batch.schema.field("_key").type)
+        if state is not None:
+            yield _KeyState.batch([state], batch.schema.field("_key").type)
+
+    kind = rows.schema["_key"].dataType.simpleString()
+    found = rows.mapInArrow(fold, f"_key {kind}, turns bigint, canonical_chars bigint, canonical_sha string, exact_key string, "
+                                  "embedding_hash string, user_prompt_chars bigint, _all_chars bigint")
+    return found.select(
+        F.col("_key").alias(key), "turns", "canonical_chars", "canonical_sha", "exact_key", "embedding_hash", "user_prompt_chars",
+        text.token_estimate(F.col("_all_chars")).alias("token_estimate"),
+        text.worst_case_tokens(F.col("_all_chars")).alias("worst_case_tokens"))
+
+
+class _KeyState:
+    """Hashes and sizes of one conversation, fed turn by turn."""
+
+    def __init__(self, key: object, model: str | None, closing: str | None):
+        self.key, self.model, self.closing = key, model, closing
+        self.canonical, self.exact = hashlib.sha256(), hashlib.sha256(b'{"messages":"')
+        opening = f"{model}\0".encode()
+        self.every, self.spoken = hashlib.sha256(opening), hashlib.sha256(opening)
+        self.turns = self.chars = self.raw = self.spoken_turns = self.spoken_raw = 0
+
+    def add(self, line: str, quoted: str, chars: int, raw: int, spoken: bool) -> None:
+        joint = "\n" if self.turns else ""
+        self.canonical.update((joint + line).encode())
+        self.every.update((joint + line).encode())
+        self.exact.update(((r"\n" if self.turns else "") + quoted).encode())
+        if spoken:
+            self.spoken.update((("\n" if self.spoken_turns else "") + line).encode())
+            self.spoken_turns, self.spoken_raw = self.spoken_turns + 1, self.spoken_raw + raw
+        self.turns, self.chars, self.raw = self.turns + 1, self.chars + chars, self.raw + raw
+
+    def row(self) -> tuple:
+        joined = self.raw + 2 * max(self.turns - 1, 0)
+        exact = None
+        if self.closing is not None:
+            self.exact.update(('"' + self.closing).encode())
+            exact = self.exact.hexdigest()
+        embedding = None if self.model is None else (self.spoken if self.spoken_turns else self.every).hexdigest()
+        prompt = self.spoken_raw + 2 * (self.spoken_turns - 1) if self.spoken_turns else joined
+        return self.key, self.turns, self.chars + max(self.turns - 1, 0), self.canonical.hexdigest(), exact, embedding, prompt, joined
+
+    @staticmethod
+    def batch(states: Sequence[_KeyState], key_type: pa.DataType) -> pa.RecordBatch:
+        kinds = [key_type, pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+        names = ["_key", "turns", "canonical_chars", "canonical_sha", "exact_key", "embedding_hash", "user_prompt_chars", "_all_chars"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*(s.row() for s in states)), kinds)], names=names)

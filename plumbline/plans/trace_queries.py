@@ -215,6 +215,23 @@ def conversation_keys(spark, d):
     return traces.conversation_keys(fx.load(spark, d, "conversations"))
 
 
+@registered("turn_request_keys", o.query(
+    """SELECT conv_id, count(*) AS turns, length(string_agg(line,chr(10) ORDER BY turn)) AS canonical_chars, sha256(string_agg(line,chr(10) ORDER BY turn)) AS canonical_sha,
+       sha256('{"messages":'||to_json(string_agg(line,chr(10) ORDER BY turn))||',"model":"'||model||'","promptVersion":"v'||(conv_id%2)||'","params":{"max_tokens":256,"temperature":'||(conv_id%3)||'}}') AS exact_key,
+       sha256(model||chr(0)||coalesce(string_agg(line,chr(10) ORDER BY turn) FILTER (spoken), string_agg(line,chr(10) ORDER BY turn))) AS embedding_hash,
+       coalesce(sum(raw+2) FILTER (spoken), sum(raw+2))::BIGINT-2 AS user_prompt_chars, greatest(1,(sum(raw+2)-2)//4)::BIGINT AS token_estimate, greatest(1,(sum(raw+2)-2)//3)::BIGINT AS worst_case_tokens
+       FROM said GROUP BY conv_id, model""",
+    said=f"SELECT conv_id, turn, {o.model('conv_id')} AS model, lower(role)||':'||{_canon('text')} AS line, length(text) AS raw, role IN ('user','assistant') AS spoken FROM conversations"))
+def turn_request_keys(spark, d):
+    """Exact keys, embedding hashes and sizes of all conversations, from one row per turn."""
+    turns = fx.load(spark, d, "conversations")
+    key = F.col("conv_id")
+    params = F.create_map(F.lit("temperature"), (key % 3).cast("string"), F.lit("max_tokens"), F.lit("256"))
+    requests = turns.select("conv_id").distinct().select(
+        key, fx.model_of(key).alias("model"), F.concat(F.lit("v"), key % 2).alias("prompt_version"), params.alias("params"))
+    return traces.turn_request_keys(turns, requests)
+
+
 @registered("cache_keys", o.query(
     """SELECT doc_id, model, sha256('{"messages":[{"content":'||to_json(text)||',"role":"user"}],"model":"'||model||'","params":{"max_tokens":'||least(40000,max_output_tokens)||
        CASE WHEN supports_sampling_params THEN ',"temperature":0.0' ELSE '' END||'},"replicate_idx":'||(doc_id%3)||'}') AS cache_key FROM documents, catalog""", "catalog"))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import rules, traces
@@ -234,3 +235,32 @@ def test_wrong_embedding_size_stops(spark):
     texts = spark.createDataFrame([("a", "h", "x")], "key string, text_hash string, text string")
     with pytest.raises(Exception, match="one vector of 3 numbers"):
         embed_all(texts, lambda ts: [[1.0, 2.0] for _ in ts], 3).collect()
+
+
+def test_keys_of_turn_rows_equal_those_of_arrays(spark):
+    """Escapes, a conversation longer than a batch, one without spoken turns, one without turns, repeated turn numbers."""
+    said = [(1, 0, " System", 'say "x"\n\t\u00e9\u2028 \\ \x01'), (1, 1, "user", "a  b"), (1, 2, "assistant", "\U0001f600 c"), (2, 5, "system", "only rules"),
+            (3, 1, "user", "tie b"), (3, 1, "user", "tie a"), (None, 0, "user", "no conversation"), (9, 0, "user", "no request")]
+    said += [(4, i, "user" if i % 2 else "assistant", f"turn {i} " * (i % 3)) for i in range(25000)]
+    turns = spark.createDataFrame(said, "conv_id bigint, turn int, role string, text string").repartition(7)
+    params = F.create_map(F.lit("b"), F.lit('"q"'), F.lit("a"), F.lit("1"))
+    requests = spark.createDataFrame([(i, f"m{i}", "v'1") for i in (1, 2, 3, 4, 5)], "conv_id bigint, model string, prompt_version string").withColumn("params", params)
+    got = {r["conv_id"]: r.asDict() for r in traces.turn_request_keys(turns, requests).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5] and got[4]["turns"] == 25000 and got[5]["turns"] == 0
+    messages = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
+    arrays = requests.join(turns.groupBy("conv_id").agg(messages.alias("messages")), "conv_id", "left")
+    arrays = arrays.withColumn("messages", F.coalesce("messages", F.array().cast("array<struct<role:string,content:string>>")))
+    for r in traces.request_keys(arrays.withColumnRenamed("conv_id", "request_id")).collect():
+        want = r.asDict()
+        assert {k: got[want["request_id"]][k] for k in want if k != "request_id"} == {k: v for k, v in want.items() if k != "request_id"}
+
+
+def test_odd_turn_rows(spark):
+    schema = "conv_id string, turn bigint, role string, text string"
+    requests = spark.createDataFrame([("a", "m", "v")], "conv_id string, model string, prompt_version string").withColumn("params", F.create_map(F.lit("a"), F.lit("1")))
+    keys = lambda rows: [r["exact_key"] for r in traces.turn_request_keys(spark.createDataFrame(rows, schema), requests).collect()]
+    assert keys([("a", None, None, None), ("a", 0, "user", "x")]) == keys([("a", -1, "", ""), ("a", 0, "user", "x")])
+    assert len(keys([])) == 1
+    with pytest.raises(Exception, match="listed twice"):
+        traces.turn_request_keys(spark.createDataFrame([("a", 0, "user", "x")], schema), requests.unionAll(requests)).collect()
+    assert traces.turn_request_keys(spark.createDataFrame([], schema), requests.limit(0)).collect() == []
