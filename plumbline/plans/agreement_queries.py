@@ -172,10 +172,14 @@ _TRUTH = f"SELECT *, CASE WHEN ok THEN 'win' ELSE 'loss' END AS expected FROM (S
 _CALL = f"CASE WHEN {o.U(chr(39) + 'call' + chr(39), 'slug', 'candidate_model')}<0.8 THEN expected WHEN {o.U(chr(39) + 'call' + chr(39), 'slug', 'candidate_model')}<0.95 THEN 'tie' END"
 
 
+REPORT = """SELECT a.*, g.*, {findings} AS findings, t.* FROM agreed_ci a, diagnostics g,
+       (SELECT count(called) AS ground_truth_n, count(*) FILTER (called=expected)/count(called)::DOUBLE AS ground_truth_accuracy FROM (SELECT *, """ + _CALL + """ AS called FROM truth)) t"""
+REPORT_TABLES = ("joined", "items", "generations")
+REPORT_CTES = dict(**_ONE_ROW, findings=_FINDINGS, firsts=_FIRST, sides=_SIDES, truth=_TRUTH)
+
+
 @registered("calibration_report", o.query(
-    """SELECT a.*, g.*, (SELECT string_agg(finding, ',' ORDER BY position) FROM findings) AS findings, t.* FROM agreed_ci a, diagnostics g,
-       (SELECT count(called) AS ground_truth_n, count(*) FILTER (called=expected)/count(called)::DOUBLE AS ground_truth_accuracy FROM (SELECT *, """ + _CALL + """ AS called FROM truth)) t""",
-    "joined", "items", "generations", **_ONE_ROW, findings=_FINDINGS, firsts=_FIRST, sides=_SIDES, truth=_TRUTH))
+    REPORT.format(findings="(SELECT string_agg(finding, ',' ORDER BY position) FROM findings)"), *REPORT_TABLES, **REPORT_CTES))
 def calibration_report(spark, d):
     report = ag.calibration_report(fx.labels(spark, d), fx.judgments(spark, d), _discriminable(spark, d))
     return report.withColumn("findings", F.array_join("findings", ","))

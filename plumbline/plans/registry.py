@@ -27,5 +27,5 @@ def registered(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def load_all() -> None:
     from plumbline.plans import (  # noqa: F401
         agreement_queries, comparison_queries, corpus_queries, planning_queries, routing_queries,
-        similarity_queries, source_queries, stream_queries, trace_queries,
+        report_queries, similarity_queries, source_queries, stream_queries, trace_queries,
     )

@@ -88,18 +88,22 @@ def evidence_gap(spark, d):
     return sim.evidence_gap(sim.threshold_counts(_pairs(spark, d), GRID))
 
 
-@registered("chosen_threshold", o.query(
-    """SELECT s.n_duplicates, s.n_different, s.safe_points, c.threshold, c.hit_rate, c.false_hit_rate, c.false_hit_ci_high,
+_CHOSEN = """SELECT s.n_duplicates, s.n_different, s.safe_points, c.threshold, c.hit_rate, c.false_hit_rate, c.false_hit_ci_high,
        CASE WHEN c.threshold IS NOT NULL THEN NULL WHEN s.n_different<368 THEN 'sample_size' WHEN s.safe_points>0 THEN 'safe_not_useful' ELSE 'none_safe' END AS refusal
        FROM (SELECT max(n_duplicates) AS n_duplicates, max(n_different) AS n_different, count(*) FILTER (acceptable) AS safe_points FROM curve) s
-       LEFT JOIN (SELECT * FROM curve WHERE acceptable AND hit_rate>=0.05 ORDER BY hit_rate DESC, threshold LIMIT 1) c ON true""", "reworded", **_CURVED))
+       LEFT JOIN (SELECT * FROM curve WHERE acceptable AND hit_rate>=0.05 ORDER BY hit_rate DESC, threshold LIMIT 1) c ON true"""
+
+
+@registered("chosen_threshold", o.query(_CHOSEN, "reworded", **_CURVED))
 def chosen_threshold(spark, d):
     return sim.chosen_threshold(_curve(spark, d))
 
 
-@registered("price_of_usefulness", o.query(
-    """SELECT tolerance, coalesce(max_by(hit_rate,(hit_rate,-threshold)) FILTER (ok),0.0) AS hit_rate, coalesce(max_by(threshold,(hit_rate,-threshold)) FILTER (ok),0.0) AS threshold FROM (
-       SELECT *, false_hit_ci_high<=tolerance AND hit_rate>=0.05 AS ok FROM curve, (VALUES (0.01::DOUBLE),(0.02),(0.03),(0.05),(0.10)) t(tolerance)) GROUP BY tolerance""", "reworded", **_CURVED))
+_PRICE = """SELECT tolerance, coalesce(max_by(hit_rate,(hit_rate,-threshold)) FILTER (ok),0.0) AS hit_rate, coalesce(max_by(threshold,(hit_rate,-threshold)) FILTER (ok),0.0) AS threshold FROM (
+       SELECT *, false_hit_ci_high<=tolerance AND hit_rate>=0.05 AS ok FROM curve, (VALUES (0.01::DOUBLE),(0.02),(0.03),(0.05),(0.10)) t(tolerance)) GROUP BY tolerance"""
+
+
+@registered("price_of_usefulness", o.query(_PRICE, "reworded", **_CURVED))
 def price_of_usefulness(spark, d):
     return sim.price_of_usefulness(_curve(spark, d))
 
