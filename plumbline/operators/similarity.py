@@ -36,6 +36,10 @@ SLACK = 1e-6
 TRAINING_SPLITS = ("calibration", "dev")
 CLOSENESS = float(1 << 30)
 DRAWN = 16
+# Rows and columns that are ruled out together, and the share of dimensions that is looked at first.
+TILE = 64
+HEAD_SHARE = 4
+MARKS = 32
 # Squares of lengths below this keep every sum of a distance under 2^53, where doubles are exact.
 EXACT_SQUARE = float(1 << 51)
 
@@ -101,52 +105,103 @@ def _with_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     return df.mapInArrow(assign, schema)
 
 
-def _visits(queries: DataFrame, cells: DataFrame, scope: list[str], pivots: np.ndarray, skip_home: bool) -> DataFrame:
-    """One row per (query, cell that may still hold a near enough entry).
+def _visits(queries: DataFrame, radii: dict[int, float], pivots: np.ndarray, skip_home: bool) -> DataFrame:
+    """One row per (query, cell that may still hold a near enough entry), with the distance to the cell's pivot.
 
-    ``queries`` carries ``reach``: the distance beyond which nothing matters, NULL if unknown.
+    ``queries`` carries ``reach``: the distance beyond which nothing matters, NULL if unknown. ``radii`` has at
+    most MAX_PIVOTS numbers, each the largest over all scopes, so that a cell is never left out wrongly.
     """
-    listed = cells.groupBy(*scope).agg(
-        F.array_sort(F.collect_list(F.struct("cell", "radius"))).alias("_cells"))
-    if scope:
-        offered = join_null_safe(queries, listed, scope)
-    else:
-        # At most MAX_PIVOTS (cell, radius) pairs, attached as a literal.
-        found = listed.first()
-        pairs = [F.struct(F.lit(c["cell"]).alias("cell"), F.lit(c["radius"]).alias("radius")) for c in (found["_cells"] if found else [])]
-        offered = queries.withColumn("_cells", F.array(*pairs)) if pairs else queries.limit(0).withColumn(
-            "_cells", F.array(F.struct(F.lit(0).alias("cell"), F.lit(0.0).alias("radius"))))
-    if len(pivots) <= 1:
-        home_only = offered.select(*queries.columns, F.inline("_cells")).drop("radius")
-        return home_only.filter(F.lit(False)) if skip_home else home_only
-
     kept = queries.columns
+    schema = T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType())])
+    if len(pivots) <= 1:
+        home = queries.select("*", F.lit(0).alias("cell"), F.lit(None).cast("double").alias("gap"))
+        return home.filter(F.lit(False)) if skip_home or not radii else home
+    cells = np.array(sorted(radii), dtype=np.int32)
+    radius = np.array([radii[c] for c in cells.tolist()], dtype=float)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not len(cells):
                 continue
             gaps = _gaps(_matrix(batch.column("vec")), pivots)
-            home = gaps.argmin(axis=1)
-            reach = batch.column("reach").to_numpy(zero_copy_only=False).astype(float)
-            reach = np.where(np.isnan(reach), np.inf, reach)
-            offers = batch.column("_cells")
-            row = np.repeat(np.arange(batch.num_rows), offers.value_lengths().to_numpy(zero_copy_only=False))
-            cell = offers.flatten().field("cell").to_numpy(zero_copy_only=False)
-            radius = offers.flatten().field("radius").to_numpy(zero_copy_only=False)
-            near = gaps[row, cell] - radius <= reach[row] + SLACK
+            reach = _reach(batch.column("reach"))
+            near = gaps[:, cells] - radius[None, :] <= reach[:, None] + SLACK
             if skip_home:
-                near &= cell != home[row]
-            out = batch.select(kept).take(pa.array(row[near], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell[near], pa.int32())], names=[*kept, "cell"])
+                near &= cells[None, :] != gaps.argmin(axis=1)[:, None]
+            row, at = np.nonzero(near)
+            out = batch.select(kept).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*out.columns, pa.array(cells[at], pa.int32()), pa.array(gaps[row, cells[at]])], names=[*kept, "cell", "gap"])
+
+    return queries.mapInArrow(choose, schema)
+
+
+def _reach(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Distances; an unknown one is unbounded."""
+    values = column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
+    values = values.astype(float)
+    return np.where(np.isnan(values), np.inf, values)
+
 
-    schema = T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType())])
-    return offered.mapInArrow(choose, schema)
+def _nearest(a: np.ndarray, b: np.ndarray, k: int, low: np.ndarray, order: np.ndarray, own: np.ndarray,
+             a_gap: np.ndarray, b_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(row, column, similarity) of the k best columns of every row, and how many pairs were multiplied out.
+
+    ``low`` is a similarity below which a row needs nothing; it rises to the k-th best found so far. Rows and
+    columns lie in tiles by the nearest of a few marks and their distance to the pivot. A tile is left out if the triangle inequality, or the
+    dot product of the first dimensions plus the product of what is left of both lengths (Cauchy-Schwarz),
+    shows that all its pairs are below. Components are whole numbers, so every order of sums gives the same.
+    """
+    lengths = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
+    ua, ub = _unit(a), _unit(b)
+    head = max(1, a.shape[1] // HEAD_SHARE)
+    rest = [np.sqrt(np.clip((u[:, head:] ** 2).sum(axis=1), 0.0, None)) for u in (ua, ub)]
+    low, best = low.copy(), np.full((len(a), k), -np.inf)
+    marks = ub[np.linspace(0, len(b) - 1, min(len(b), MARKS)).astype(int)]
+    by_row, by_column = (np.lexsort((gap, (u @ marks.T).argmax(axis=1))) for u, gap in ((ua, a_gap), (ub, b_gap)))
+    tiles = [by_column[c0:c0 + TILE] for c0 in range(0, len(b), TILE)]
+    middles = np.array([ub[t].mean(axis=0) for t in tiles])
+    found, multiplied = [], 0
+    for r0 in range(0, len(a), TILE):
+        rows = by_row[r0:r0 + TILE]
+        # The nearest tiles first: they raise the bounds soonest.
+        for columns in (tiles[t] for t in np.argsort(-(middles @ ua[rows].mean(axis=0)), kind="stable")):
+            reach = np.sqrt(np.clip(2.0 - 2.0 * low[rows], 0.0, None)) + SLACK
+            ring = np.maximum(b_gap[columns].min() - a_gap[rows], a_gap[rows] - b_gap[columns].max())
+            some = rows[~(ring > reach)]
+            if not len(some):
+                continue
+            ceiling = ua[some, :head] @ ub[columns, :head].T + rest[0][some][:, None] * rest[1][columns][None, :]
+            may = ceiling >= low[some][:, None] - SLACK
+            some, few = some[may.any(axis=1)], columns[may.any(axis=0)]
+            if not len(some) or not len(few):
+                continue
+            multiplied += len(some) * len(few)
+            norms = lengths[0][some][:, None] * lengths[1][few][None, :]
+            sims = np.divide(a[some] @ b[few].T, norms, out=np.zeros_like(norms), where=norms > 0)
+            sims[order[few][None, :] == own[some][:, None]] = -np.inf
+            best[some] = -np.partition(-np.hstack([best[some], sims]), k - 1, axis=1)[:, :k]
+            low[some] = np.maximum(low[some], best[some].min(axis=1))
+            at = np.nonzero(sims >= low[some][:, None])
+            found.append((some[at[0]], few[at[1]], sims[at]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), multiplied
+    row, column, value = (np.concatenate(x) for x in zip(*found))
+    ok = np.isfinite(value) & (value >= low[row])
+    row, column, value = row[ok], column[ok], value[ok]
+    sort = np.lexsort((order[column], -value, row))
+    row, column, value = row[sort], column[sort], value[sort]
+    first = np.searchsorted(row, row)
+    ok = np.arange(len(row)) - first < k
+    return row[ok], column[ok], value[ok], multiplied
 
 
 def _scan(visits: DataFrame, placed: DataFrame, cells: DataFrame, scope: list[str], k: int,
           floor: float | None, exclude_self: bool, block_rows: int, chunk_rows: int) -> DataFrame:
-    """k best entries per query and block; both sides of a task are bounded."""
+    """k best entries per query and block; both sides of a task are bounded.
+
+    Each task adds one row without a query: how many pairs it had and how many of them it multiplied out.
+    """
     cell_key = [*scope, "cell"]
     demand = visits.groupBy(*cell_key).agg(F.count(F.lit(1)).alias("_visits"))
     plan = join_null_safe(demand, cells.select(*cell_key, "size"), cell_key).select(
@@ -154,76 +209,91 @@ def _scan(visits: DataFrame, placed: DataFrame, cells: DataFrame, scope: list[st
         F.ceil(F.col("_visits") / chunk_rows).cast("int").alias("_chunks"))
     left = join_null_safe(visits, plan, cell_key).select(
         *cell_key, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"),
-        F.pmod(F.xxhash64("qid"), F.col("_chunks")).cast("int").alias("_chunk"), "qid", "vec")
+        F.pmod(F.xxhash64("qid"), F.col("_chunks")).cast("int").alias("_chunk"), "qid", "vec", "reach", "gap")
     right = join_null_safe(placed, plan, cell_key).select(
         *cell_key, F.pmod(F.xxhash64("eid"), F.col("_blocks")).cast("int").alias("_block"),
-        F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), "eid", "vec")
+        F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), "eid", "vec", "gap")
     keys = [*cell_key, "_block", "_chunk"]
 
     def best(q: pa.Table, e: pa.Table) -> pa.Table:
-        names = ["qid", "eid", "similarity"]
+        names = ["qid", "eid", "similarity", "pairs", "multiplied"]
         if not q.num_rows or not e.num_rows:
-            return pa.Table.from_arrays([q["qid"].slice(0, 0), e["eid"].slice(0, 0), pa.array([], pa.float64())], names=names)
+            return pa.Table.from_arrays([q["qid"].slice(0, 0), e["eid"].slice(0, 0), *[pa.array([], t) for t in (pa.float64(), pa.int64(), pa.int64())]], names=names)
         e = e.sort_by([("eid", "descending")])
-        a, b = _matrix(q["vec"]), _matrix(e["vec"])
-        norms = np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :]
-        sims = np.divide(a @ b.T, norms, out=np.zeros_like(norms), where=norms > 0)
+        own = np.full(q.num_rows, -1)
         if exclude_self:
             at = {v: i for i, v in enumerate(e["eid"].to_pylist())}
-            for row, qid in enumerate(q["qid"].to_pylist()):
-                if qid in at:
-                    sims[row, at[qid]] = -np.inf
-        take = min(k, sims.shape[1])
-        cols = sims.argmax(axis=1)[:, None] if take == 1 else np.argsort(-sims, axis=1, kind="stable")[:, :take]
-        rows = np.repeat(np.arange(sims.shape[0]), take)
-        cols = cols.ravel()
-        values = sims[rows, cols]
-        ok = np.isfinite(values) if floor is None else values >= floor
-        rows, cols, values = rows[ok], cols[ok], values[ok]
-        return pa.Table.from_arrays(
-            [q["qid"].take(pa.array(rows)), e["eid"].take(pa.array(cols)), pa.array(values)], names=names)
+            own = np.array([at.get(v, -1) for v in q["qid"].to_pylist()])
+        low = 1.0 - _reach(q["reach"]) ** 2 / 2.0 - SLACK
+        if floor is not None:
+            low = np.maximum(low, floor)
+        gaps = [_reach(t["gap"].combine_chunks()) if t["gap"].null_count == 0 else np.full(t.num_rows, np.nan) for t in (q, e)]
+        row, column, value, multiplied = _nearest(
+            _matrix(q["vec"]), _matrix(e["vec"]), min(k, e.num_rows), low, np.arange(e.num_rows), own, *gaps)
+        blank = [pa.nulls(len(row), pa.int64())] * 2
+        hits = pa.Table.from_arrays([q["qid"].take(pa.array(row)), e["eid"].take(pa.array(column)), pa.array(value), *blank], names=names)
+        work = pa.Table.from_arrays([
+            pa.nulls(1, q["qid"].type), pa.nulls(1, e["eid"].type), pa.nulls(1, pa.float64()),
+            pa.array([q.num_rows * e.num_rows]), pa.array([multiplied])], names=names)
+        return pa.concat_tables([hits, work])
 
     schema = T.StructType([
         T.StructField("qid", visits.schema["qid"].dataType), T.StructField("eid", placed.schema["eid"].dataType),
-        T.StructField("similarity", T.DoubleType())])
+        T.StructField("similarity", T.DoubleType()), T.StructField("pairs", T.LongType()), T.StructField("multiplied", T.LongType())])
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, schema)
 
 
-def top_k_similar(queries: DataFrame, entries: DataFrame, k: int, scope: Sequence[str] = (),
-                  min_similarity: float | None = None, exclude_self: bool = False, pivots: int | None = None,
-                  block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """The k most similar entries of every query: (qid, eid, similarity, rank), exact.
-
-    ``queries`` has qid, vec and the scope columns, ``entries`` eid, vec and the scope columns; a
-    query meets entries of its own scope only. Ties go to the larger id.
-    """
-    scope = list(scope)
+def _search(queries: DataFrame, entries: DataFrame, k: int, scope: list[str], min_similarity: float | None, exclude_self: bool,
+            pivots: int | None, block_rows: int, chunk_rows: int) -> DataFrame:
+    """Candidates of every task, the k best of every query among them, and the rows that count the work."""
     q = queries.select(*scope, "qid", fixed_point(F.col("vec")).alias("vec"))
     e = entries.select(*scope, "eid", fixed_point(F.col("vec")).alias("vec"))
     if pivots is None:
         pivots = max(1, min(MAX_PIVOTS, entries.count() // block_rows))
     pivot_vectors = _pick_pivots(e, pivots) if pivots > 1 else np.zeros((1, 1))
-    placed = _with_cells(e, pivot_vectors)
-    cells = placed.groupBy(*scope, "cell").agg(F.count(F.lit(1)).alias("size"), F.max("gap").alias("radius"))
     several = len(pivot_vectors) > 1
+    placed = stored(_with_cells(e, pivot_vectors), "cells") if several else _with_cells(e, pivot_vectors)
+    cells = placed.groupBy(*scope, "cell").agg(F.count(F.lit(1)).alias("size"), F.max("gap").alias("radius"))
+    radii = {r["cell"]: r["radius"] for r in cells.groupBy("cell").agg(F.max("radius").alias("radius")).collect()} if several else {0: 2.0}
 
     if min_similarity is not None or not several:
         reach = F.lit(None if min_similarity is None else float(np.sqrt(max(0.0, 2.0 - 2.0 * min_similarity)))).cast("double")
-        visits = _visits(q.withColumn("reach", reach), cells, scope, pivot_vectors, skip_home=False)
-        found = _scan(visits, placed, cells, scope, k, min_similarity, exclude_self, block_rows, chunk_rows)
-    else:
-        # First the query's own cell, which bounds how far the k-th neighbour can be; then only
-        # the cells that bound cannot rule out. The first round is stored, as both rounds need it.
-        spark = queries.sparkSession
-        home = _with_cells(q, pivot_vectors).drop("gap")
-        first = _scan(home, placed, cells, scope, k, None, exclude_self, block_rows, chunk_rows)
-        first = stored(first, "neighbours")
-        kth = top_n(first, ["qid"], [F.col("similarity").desc(), F.col("eid").desc()], k).groupBy("qid").agg(
-            F.when(F.count(F.lit(1)) == k, F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * F.min("similarity")))).alias("reach"))
-        bounded = q.join(kth, "qid", "left")
-        visits = _visits(bounded, cells, scope, pivot_vectors, skip_home=True)
-        found = first.unionByName(_scan(visits, placed, cells, scope, k, None, exclude_self, block_rows, chunk_rows))
-    return top_n(found, ["qid"], [F.col("similarity").desc(), F.col("eid").desc()], k, "rank")
+        visits = _visits(q.withColumn("reach", reach), radii, pivot_vectors, skip_home=False)
+        return _scan(visits, placed, cells, scope, k, min_similarity, exclude_self, block_rows, chunk_rows)
+    # First the query's own cell, which bounds how far the k-th neighbour can be; then only
+    # the cells that bound cannot rule out. The first round is stored, as both rounds need it.
+    home = _with_cells(q, pivot_vectors).withColumn("reach", F.lit(None).cast("double"))
+    first = stored(_scan(home, placed, cells, scope, k, None, exclude_self, block_rows, chunk_rows), "neighbours")
+    kth = top_n(first.filter(F.col("qid").isNotNull()), ["qid"], [F.col("similarity").desc(), F.col("eid").desc()], k).groupBy("qid").agg(
+        F.when(F.count(F.lit(1)) == k, F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * F.min("similarity")))).alias("reach"))
+    visits = _visits(q.join(kth, "qid", "left"), radii, pivot_vectors, skip_home=True)
+    return first.unionByName(_scan(visits, placed, cells, scope, k, None, exclude_self, block_rows, chunk_rows))
+
+
+def top_k_similar(queries: DataFrame, entries: DataFrame, k: int, scope: Sequence[str] = (),
+                  min_similarity: float | None = None, exclude_self: bool = False, pivots: int | None = None,
+                  block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The k most similar entries of every query: (qid, eid, similarity, rank), exact.
+
+    ``queries`` has qid, vec and the scope columns, ``entries`` eid, vec and the scope columns; a
+    query meets entries of its own scope only. Ties go to the larger id.
+    """
+    found = _search(queries, entries, k, list(scope), min_similarity, exclude_self, pivots, block_rows, chunk_rows)
+    hits = found.filter(F.col("qid").isNotNull()).select("qid", "eid", "similarity")
+    return top_n(hits, ["qid"], [F.col("similarity").desc(), F.col("eid").desc()], k, "rank")
+
+
+def search_work(queries: DataFrame, entries: DataFrame, k: int, scope: Sequence[str] = (),
+                min_similarity: float | None = None, exclude_self: bool = False, pivots: int | None = None,
+                block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """One row about that search: pairs brought together in tasks, pairs multiplied out, and their share of all pairs."""
+    found = _search(queries, entries, k, list(scope), min_similarity, exclude_self, pivots, block_rows, chunk_rows)
+    done = found.filter(F.col("pairs").isNotNull()).agg(
+        F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("multiplied"), F.lit(0)).alias("multiplied"))
+    count = lambda df, name: df.groupBy(*scope).agg(F.count(F.lit(1)).alias(name))
+    total = join_null_safe(count(queries, "_q"), count(entries, "_e"), list(scope)).agg(F.sum(F.col("_q") * F.col("_e")).alias("_all"))
+    one = F.lit(1).alias("_one")
+    return done.select("*", one).join(total.select("*", one), "_one").select("pairs", "multiplied", (F.col("multiplied") / F.col("_all")).alias("share"))
 
 
 def hard_negatives(vectors: DataFrame, k: int = 1, **options: int) -> DataFrame:

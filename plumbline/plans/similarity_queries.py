@@ -35,6 +35,14 @@ def top_k_similar(spark, d):
     return sim.top_k_similar(v.select(F.col("slug").alias("qid"), "vec"), v.select(F.col("slug").alias("eid"), "vec"), 5, exclude_self=True)
 
 
+@registered("top_k_cells", o.query("SELECT l AS qid, r AS eid, s AS similarity, rk AS rank FROM near WHERE rk<=5", "vectors", fixed=_VEC, near=_NEAR))
+def top_k_cells(spark, d):
+    """The same search in 16 cells, blocks of 64 entries and chunks of 128 queries."""
+    v = fx.vectors(spark, d)
+    return sim.top_k_similar(v.select(F.col("slug").alias("qid"), "vec"), v.select(F.col("slug").alias("eid"), "vec"), 5, exclude_self=True,
+                             pivots=16, block_rows=64, chunk_rows=128)
+
+
 _POS = f"SELECT 'pos:'||a.slug AS pair_id, a.slug AS left_slug, a.slug||'#paraphrase' AS right_slug, 'duplicate' AS label, {_SIM} AS similarity FROM fixed a JOIN fixed_r b ON a.slug=b.slug"
 
 

@@ -48,6 +48,18 @@ def test_search_is_exact(spark, pivots, block, chunk, hot):
     assert collected(got) == brute(v, v, 4, exclude_self=True)
 
 
+@pytest.mark.parametrize("pivots", [1, 24])
+def test_most_pairs_of_clustered_vectors_are_never_multiplied(spark, pivots):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(24, 48))[rng.integers(0, 24, 2400)] + 0.1 * rng.normal(size=(2400, 48))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    args = dict(exclude_self=True, pivots=pivots, block_rows=2400 if pivots == 1 else 200, chunk_rows=600)
+    work = sim.search_work(frame(spark, v, "qid"), frame(spark, v, "eid"), 3, **args).first()
+    assert work["multiplied"] <= work["pairs"] <= 2400 * 2400 and work["share"] == work["multiplied"] / 2400**2
+    assert work["share"] < 0.5
+    assert collected(sim.top_k_similar(frame(spark, v, "qid"), frame(spark, v, "eid"), 3, **args)) == brute(v, v, 3, exclude_self=True)
+
+
 def test_more_neighbours_than_a_cell_holds(spark):
     v = clustered(60, 8, 9)
     got = sim.top_k_similar(frame(spark, v, "qid"), frame(spark, v, "eid"), 25, exclude_self=True, pivots=10, block_rows=10, chunk_rows=10)
