@@ -298,3 +298,14 @@ def serving_rules(spark, d):
         serving.status_tone(F.col("status")).alias("tone"))
 
 
+@registered("custom_verifier", o.query(
+    """SELECT task_type, model, count(*) FILTER (verifier IS NOT NULL AND contains(text, ground_truth)) AS passes, count(*) FILTER (verifier IS NULL OR ground_truth IS NULL) AS ungraded,
+       count(DISTINCT nullif(regexp_extract(text,'[0-9]+'),'')) AS answers FROM generations g JOIN items i USING (slug) GROUP BY ALL""", "generations", "items"))
+def custom_verifier(spark, d):
+    """A check and an extractor of the user's own, over all samples: the truth is named somewhere; the first number is the answer."""
+    answers.register_verifier("names_it", lambda out, truth: out.contains(truth), lambda out: F.nullif(F.regexp_extract(out, "[0-9]+", 0), F.lit("")))
+    items = fx.items(spark, d).withColumn("verifier", F.when(F.col("verifier").isNotNull(), "names_it"))
+    graded = pairing.grade_generations(items, fx.generations(spark, d))
+    return graded.groupBy("task_type", "model").agg(
+        F.count_if("passed").alias("passes"), F.count_if(F.col("passed").isNull()).alias("ungraded"),
+        F.count_distinct(answers.extract_answer(F.lit("names_it"), F.col("text"))).alias("answers"))

@@ -215,6 +215,21 @@ def conversation_keys(spark, d):
     return traces.conversation_keys(fx.load(spark, d, "conversations"))
 
 
+@registered("request_bodies", o.query(
+    """SELECT doc_id AS request_id, length('be brief'||chr(10)||chr(10)||text) AS prompt_chars, sha256('be brief'||chr(10)||chr(10)||text) AS prompt_sha,
+       sha256('{"model":"m-mid","messages":[{"role":"user","content":'||to_json(text)||'}]}') AS body_hash,
+       sha256('{"messages":[{"role":"user","content":'||to_json(text)||'}],"model":"m-mid"}') AS reordered_hash FROM documents"""))
+def request_bodies(spark, d):
+    """Joined prompts and hashes of raw bodies of all documents; a body with its keys in another order is another body."""
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    prompt = text.prompt_text(F.array(message("system", F.lit("be brief")), message("user", F.col("text"))))
+    said = F.concat(F.lit('"messages":[{"role":"user","content":'), text.json_string(F.col("text")), F.lit("}]"))
+    return fx.load(spark, d, "documents").select(
+        F.col("doc_id").alias("request_id"), F.length(prompt).alias("prompt_chars"), F.sha2(prompt, 256).alias("prompt_sha"),
+        text.request_hash(F.concat(F.lit('{"model":"m-mid",'), said, F.lit("}"))).alias("body_hash"),
+        text.request_hash(F.concat(F.lit("{"), said, F.lit(',"model":"m-mid"}'))).alias("reordered_hash"))
+
+
 @registered("turn_request_keys", o.query(
     """SELECT conv_id, count(*) AS turns, length(string_agg(line,chr(10) ORDER BY turn)) AS canonical_chars, sha256(string_agg(line,chr(10) ORDER BY turn)) AS canonical_sha,
        sha256('{"messages":'||to_json(string_agg(line,chr(10) ORDER BY turn))||',"model":"'||model||'","promptVersion":"v'||(conv_id%2)||'","params":{"max_tokens":256,"temperature":'||(conv_id%3)||'}}') AS exact_key,
