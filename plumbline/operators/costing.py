@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions import answers, money, text
-from plumbline.operators.ranking import running_total
+from plumbline.operators.ranking import join_shuffled, running_total
 
 # ---- fixed values -------------------------------------------------------------------------
 ASSUMED_OUTPUT_TOKENS = {
@@ -50,7 +50,7 @@ def replicate_map(items: DataFrame, subset: int, k: int) -> DataFrame:
 
 def build_tasks(items: DataFrame, models: Sequence[str], replicates: DataFrame | None = None) -> DataFrame:
     """One row per (item, model, replicate). The model list is exploded per item, never cross-joined."""
-    reps = items.join(replicates, "slug", "left") if replicates is not None else items.withColumn("replicates", F.lit(1))
+    reps = join_shuffled(items, replicates, "slug", "left") if replicates is not None else items.withColumn("replicates", F.lit(1))
     ladder = F.array(*[F.lit(m) for m in models])
     return (
         reps.select(*items.columns, F.posexplode(ladder).alias("model_pos", "model"),
@@ -65,11 +65,11 @@ def in_task_order(tasks: DataFrame) -> DataFrame:
 
 
 def pending_tasks(tasks: DataFrame, cache: DataFrame, key: str = "cache_key") -> DataFrame:
-    return tasks.join(cache.select(key), key, "left_anti")
+    return join_shuffled(tasks, cache.select(key), key, "left_anti")
 
 
 def cached_tasks(tasks: DataFrame, cache: DataFrame, key: str = "cache_key") -> DataFrame:
-    return tasks.join(cache.select(key), key, "left_semi")
+    return join_shuffled(tasks, cache.select(key), key, "left_semi")
 
 
 def cache_stats(lookups: DataFrame, hit: Column, by: Sequence[str] = ()) -> DataFrame:

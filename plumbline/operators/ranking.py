@@ -24,6 +24,15 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def join_shuffled(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join of two sides that both grow with the data.
+
+    Spark guesses the size of a side from its files, and knows nothing of rows that are exploded or of strings that
+    are put together; a side that looks small is sent whole through the driver. Here both sides are dealt by key.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rn") -> DataFrame:
     """First n rows per key. The rank filter becomes a per-task limit before the shuffle."""
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

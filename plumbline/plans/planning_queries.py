@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import answers, money, serving, text
 from plumbline.operators import costing, pairing, rules
+from plumbline.operators.ranking import join_shuffled
 from plumbline.plans import fixtures as fx, oracle as o
 from plumbline.plans.registry import registered
 from plumbline.sources.catalog import price_catalog
@@ -68,7 +69,7 @@ _PROJ = f"""SELECT model, sum(replicates)::BIGINT AS calls, sum(replicates*great
 
 def _projection(spark, d):
     items = fx.items(spark, d)
-    sized = items.join(costing.replicate_map(items, 100, 3), "slug")
+    sized = join_shuffled(items, costing.replicate_map(items, 100, 3), "slug")
     return costing.project_cost(sized, fx.catalog(spark))
 
 
