@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import stats
 from plumbline.operators import pairing, routing
+from plumbline.operators.ranking import join_shuffled
 from plumbline.plans import fixtures as fx, oracle as o
 from plumbline.plans.registry import registered
 
@@ -104,7 +105,7 @@ def mcnemar(spark, d):
     """One test per pair of arms and order day: many small tables, mostly in the exact range."""
     days = fx.load(spark, d, "orders").select(
         F.concat(F.lit("item-"), F.col("o_orderkey")).alias("slug"), F.col("o_orderdate").alias("day"))
-    paired = pairing.pair_arms(fx.records_long(spark, d), PAIRS).join(days, "slug")
+    paired = join_shuffled(pairing.pair_arms(fx.records_long(spark, d), PAIRS), days, "slug")
     counts = pairing.contingency(paired, ["day", "comparison"])
     b, c = F.col("b"), F.col("c")
     return counts.select("day", "comparison", "b", "c", F.round(stats.mcnemar_p(b, c), 8).alias("p_value"),
