@@ -1,10 +1,11 @@
 """Nearest neighbours, semantic-cache lookups and cache-threshold calibration.
 
 Neighbour search is exact and never emits pairs as rows. Entries are grouped around pivot vectors
-into cells, cells are cut into blocks of bounded size, and a task multiplies one block of entries
-with one chunk of queries and keeps k candidates per query. A cell is skipped for a query only
-when the triangle inequality proves that nothing in it can be near enough, so hot cells and hot
-scopes become more blocks, not bigger ones.
+into cells, the cells are laid one after the other and cut into a few blocks of bounded size, and a
+task takes one block of entries and one chunk of queries, multiplies them a tile at a time and keeps
+k candidates per query. A row is sent to few tasks, whatever the number of cells. A block or a cell
+is skipped for a query only when the triangle inequality proves that nothing in it can be near
+enough. Hot cells and hot scopes become more blocks, not bigger ones.
 """
 
 from __future__ import annotations
@@ -40,6 +41,14 @@ DRAWN = 16
 TILE = 64
 HEAD_SHARE = 4
 MARKS = 32
+# Rows on each side of a task at most, and sides cut into so many parts below that. A row is copied so often at most
+# until its side has SIDE * TASK_ROWS rows.
+TASK_ROWS, SIDE = 1 << 16, 8
+# Rows that Python takes at once from a stream, and pairs that are multiplied exactly at once.
+BATCH_ROWS, PAIRS_AT_ONCE = 1024, 1 << 15
+# Groups of tiles for which the first dimensions are not tried after they ruled out little. Error of a rough product a dimension.
+SELDOM, ROUGH = 7, 2.0 ** -23
+LONGEST = float(1 << 63)
 # Squares of lengths below this keep every sum of a distance under 2^53, where doubles are exact.
 EXACT_SQUARE = float(1 << 51)
 
@@ -73,6 +82,11 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1) if rows else np.zeros((0, 0))
 
 
+def _whole(matrix: np.ndarray) -> np.ndarray:
+    """Components as the whole numbers of ``fixed_point``."""
+    return np.clip(np.nan_to_num(np.floor(matrix.astype(float) * SCALE + 0.5), nan=0.0, posinf=LONGEST, neginf=-LONGEST), -LONGEST, LONGEST)
+
+
 def _unit(matrix: np.ndarray) -> np.ndarray:
     norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
@@ -85,7 +99,7 @@ def _gaps(matrix: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 def _pick_pivots(entries: DataFrame, count: int) -> np.ndarray:
     """Up to MAX_PIVOTS entries in hash order: a bounded number of rows by construction."""
-    chosen = entries.orderBy(F.md5(F.col("eid").cast("string")), "eid").select("vec").limit(min(count, MAX_PIVOTS)).collect()
+    chosen = entries.orderBy(F.md5(F.col("eid").cast("string")), "eid").select(fixed_point(F.col("vec")).alias("vec")).limit(min(count, MAX_PIVOTS)).collect()
     return _unit(np.array([r["vec"] for r in chosen], dtype=float)) if chosen else np.zeros((1, 1))
 
 
@@ -95,45 +109,78 @@ def _with_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
         return df.select("*", F.lit(0).alias("cell"), F.lit(2.0).alias("gap"))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gaps = _gaps(_matrix(batch.column("vec")), pivots) if batch.num_rows else np.zeros((0, 1))
-            nearest = gaps.argmin(axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(nearest), pa.array(gaps.min(axis=1))], names=[*batch.schema.names, "cell", "gap"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(start, BATCH_ROWS)
+                gaps = _gaps(_whole(_matrix(batch.column("vec"))), pivots)
+                nearest = gaps.argmin(axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(nearest), pa.array(gaps.min(axis=1))], names=[*batch.schema.names, "cell", "gap"])
 
     schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType())])
     return df.mapInArrow(assign, schema)
 
 
-def _visits(queries: DataFrame, radii: dict[int, float], pivots: np.ndarray, skip_home: bool) -> DataFrame:
-    """One row per (query, cell that may still hold a near enough entry), with the distance to the cell's pivot.
+class _Blocks:
+    """Entries in the order of their cells, cut into blocks of about ``rows``; at most MAX_PIVOTS cells.
 
-    ``queries`` carries ``reach``: the distance beyond which nothing matters, NULL if unknown. ``radii`` has at
-    most MAX_PIVOTS numbers, each the largest over all scopes, so that a cell is never left out wrongly.
+    A small cell shares its block with the next ones, a large one goes on in several blocks, over which its entries are
+    dealt by the hash of their id.
     """
-    kept = queries.columns
-    schema = T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType())])
-    if len(pivots) <= 1:
-        home = queries.select("*", F.lit(0).alias("cell"), F.lit(None).cast("double").alias("gap"))
-        return home.filter(F.lit(False)) if skip_home or not radii else home
-    cells = np.array(sorted(radii), dtype=np.int32)
-    radius = np.array([radii[c] for c in cells.tolist()], dtype=float)
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not len(cells):
-                continue
-            gaps = _gaps(_matrix(batch.column("vec")), pivots)
-            reach = _reach(batch.column("reach"))
-            near = gaps[:, cells] - radius[None, :] <= reach[:, None] + SLACK
-            if skip_home:
-                near &= cells[None, :] != gaps.argmin(axis=1)[:, None]
-            row, at = np.nonzero(near)
-            out = batch.select(kept).take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*out.columns, pa.array(cells[at], pa.int32()), pa.array(gaps[row, cells[at]])], names=[*kept, "cell", "gap"])
+    def __init__(self, cells: list[tuple[int, int, float]], least: int) -> None:
+        self.cells = np.array([c for c, _, _ in cells], np.int32)
+        self.sizes = np.array([n for _, n, _ in cells], np.int64)
+        self.radius = np.array([r for _, _, r in cells], float)
+        total = int(self.sizes.sum())
+        self.rows = max(1, least, min(TASK_ROWS, -(-total // SIDE)))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.first, self.last = self.starts // self.rows, (self.starts + self.sizes - 1) // self.rows
+        self.count = -(-total // self.rows)
+        #: Whether a cell has entries in a block.
+        self.holds = (self.first[:, None] <= np.arange(self.count)) & (np.arange(self.count) <= self.last[:, None])
+
+    def place(self, placed: DataFrame) -> DataFrame:
+        """Adds every entry's block."""
+        known = list(zip(self.cells.tolist(), self.starts.tolist(), self.sizes.tolist()))
+        plan = placed.sparkSession.createDataFrame(known, "cell int, _start long, _size long")
+        at = F.col("_start") + F.pmod(F.xxhash64("eid"), F.col("_size"))
+        return placed.join(plan, "cell").withColumn("block", F.floor(at / self.rows).cast("int")).drop("_start", "_size")
+
+
+def _visits(queries: DataFrame, blocks: _Blocks, pivots: np.ndarray, home: bool | None) -> DataFrame:
+    """One row per (query, block that may still hold a near enough entry), at most as many as there are blocks.
+
+    ``queries`` carries ``reach``: the distance beyond which nothing matters, NULL if unknown. ``home``: only the blocks
+    of the query's own cell, or only the others; None: all. Radii are the largest over all scopes, so that no block is
+    left out wrongly.
+    """
+    if blocks.count <= 1 or len(pivots) <= 1:
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks.count - 1))).alias("block") if blocks.count else F.lit(0).alias("block")
+        return queries.select("*", every).filter(F.lit(blocks.count > 0 and (home is not False or blocks.count > 1)))
+    kept, others = queries.columns, [i for i in range(len(pivots)) if i not in set(blocks.cells.tolist())]
 
-    return queries.mapInArrow(choose, schema)
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(start, BATCH_ROWS)
+                gaps = _gaps(_whole(_matrix(batch.column("vec"))), pivots)
+                gaps[:, others] = np.inf
+                own = blocks.holds[np.searchsorted(blocks.cells, gaps.argmin(axis=1))]
+                if home:
+                    needed = own
+                else:
+                    near = gaps[:, blocks.cells] - blocks.radius[None, :] <= _reach(batch.column("reach"))[:, None] + SLACK
+                    needed = near.astype(np.float32) @ blocks.holds.astype(np.float32) > 0
+                    if home is False:
+                        needed &= ~own
+                row, at = np.nonzero(needed)
+                for part in range(0, len(row), BATCH_ROWS):
+                    taken = slice(part, part + BATCH_ROWS)
+                    out = batch.select(kept).take(pa.array(row[taken], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(at[taken], pa.int32())], names=[*kept, "block"])
+
+    return queries.mapInArrow(choose, T.StructType([*queries.schema.fields, T.StructField("block", T.IntegerType())]))
 
 
 def _reach(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -143,77 +190,108 @@ def _reach(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.where(np.isnan(values), np.inf, values)
 
 
-def _nearest(a: np.ndarray, b: np.ndarray, k: int, low: np.ndarray, order: np.ndarray, own: np.ndarray,
-             a_gap: np.ndarray, b_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def _keep_best(values: np.ndarray, places: np.ndarray, row: np.ndarray, place: np.ndarray, value: np.ndarray) -> None:
+    """Puts hits among the best of their rows; of equal ones the lower place stays."""
+    better = (value > values[row, -1]) | ((value == values[row, -1]) & (place < places[row, -1]))
+    if not better.any():
+        return
+    held, at = np.unique(row[better], return_inverse=True)
+    k = values.shape[1]
+    r = np.concatenate([np.repeat(np.arange(len(held)), k), at])
+    v = np.concatenate([values[held].ravel(), value[better]])
+    p = np.concatenate([places[held].ravel(), place[better]])
+    sort = np.lexsort((p, -v, r))
+    r, v, p = r[sort], v[sort], p[sort]
+    first = np.arange(len(r)) - np.searchsorted(r, r) < k
+    values[held], places[held] = v[first].reshape(-1, k), p[first].reshape(-1, k)
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, k: int, low: np.ndarray, own: np.ndarray, a_gaps: np.ndarray | None,
+             b_cell: np.ndarray, b_gap: np.ndarray, block_rows: int, chunk_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(row, column, similarity) of the k best columns of every row, and how many pairs were multiplied out.
 
-    ``low`` is a similarity below which a row needs nothing; it rises to the k-th best found so far. Rows and
-    columns lie in tiles by the nearest of a few marks and their distance to the pivot. A tile is left out if the triangle inequality, or the
-    dot product of the first dimensions plus the product of what is left of both lengths (Cauchy-Schwarz),
-    shows that all its pairs are below. Components are whole numbers, so every order of sums gives the same.
+    ``low`` is a similarity below which a row needs nothing; it rises to the k-th best found so far, and no more than
+    the k best of a row are held. Rows lie in tiles by the nearest of a few marks, columns by their cell, the nearest
+    mark and the distance to the cell's pivot; ``a_gaps`` are the rows' distances to the pivots of the cells. Tiles are
+    left out if the triangle inequality, columns if the dot product of the first dimensions plus the product of what is
+    left of both lengths (Cauchy-Schwarz), shows that all their pairs are below; where that rules out little it is tried
+    only now and then. What is left is multiplied roughly, and exactly where the rough number does not rule a pair out.
+    Components are whole numbers, so every order of sums gives the same.
     """
     lengths = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
-    ua, ub = _unit(a), _unit(b)
-    head = max(1, a.shape[1] // HEAD_SHARE)
-    rest = [np.sqrt(np.clip((u[:, head:] ** 2).sum(axis=1), 0.0, None)) for u in (ua, ub)]
-    low, best = low.copy(), np.full((len(a), k), -np.inf)
+    ua, ub = (_unit(x).astype(np.float32) for x in (a, b))
+    head, error = max(1, a.shape[1] // HEAD_SHARE), ROUGH * (a.shape[1] + 8)
+    rest = [np.sqrt((u[:, head:] ** 2).sum(axis=1)) for u in (ua, ub)]
+    low, values, places = low.copy(), np.full((len(a), k), -np.inf), np.full((len(a), k), len(b))
     marks = ub[np.linspace(0, len(b) - 1, min(len(b), MARKS)).astype(int)]
-    by_row, by_column = (np.lexsort((gap, (u @ marks.T).argmax(axis=1))) for u, gap in ((ua, a_gap), (ub, b_gap)))
-    tiles = [by_column[c0:c0 + TILE] for c0 in range(0, len(b), TILE)]
+    by_row = np.argsort((ua @ marks.T).argmax(axis=1), kind="stable")
+    by_column = np.lexsort((b_gap, (ub @ marks.T).argmax(axis=1), b_cell))
+    edges = np.concatenate([[0], np.nonzero(np.diff(b_cell[by_column]))[0] + 1, [len(b)]])
+    step, wide = max(1, min(TILE, block_rows)), max(1, block_rows // TILE)
+    tiles = [by_column[c:min(c + step, end)] for start, end in zip(edges, edges[1:]) for c in range(start, end, step)]
     middles = np.array([ub[t].mean(axis=0) for t in tiles])
-    found, multiplied = [], 0
-    for r0 in range(0, len(a), TILE):
-        rows = by_row[r0:r0 + TILE]
+    tile_cell = b_cell[[t[0] for t in tiles]]
+    nearest, farthest = (np.array([f(b_gap[t]) for t in tiles]) for f in (np.min, np.max))
+    multiplied = 0
+    for r0 in range(0, len(a), min(TILE, max(1, chunk_rows))):
+        rows = by_row[r0:r0 + min(TILE, max(1, chunk_rows))]
         # The nearest tiles first: they raise the bounds soonest.
-        for columns in (tiles[t] for t in np.argsort(-(middles @ ua[rows].mean(axis=0)), kind="stable")):
-            reach = np.sqrt(np.clip(2.0 - 2.0 * low[rows], 0.0, None)) + SLACK
-            ring = np.maximum(b_gap[columns].min() - a_gap[rows], a_gap[rows] - b_gap[columns].max())
-            some = rows[~(ring > reach)]
-            if not len(some):
-                continue
-            ceiling = ua[some, :head] @ ub[columns, :head].T + rest[0][some][:, None] * rest[1][columns][None, :]
-            may = ceiling >= low[some][:, None] - SLACK
-            some, few = some[may.any(axis=1)], columns[may.any(axis=0)]
-            if not len(some) or not len(few):
-                continue
-            multiplied += len(some) * len(few)
-            norms = lengths[0][some][:, None] * lengths[1][few][None, :]
-            sims = np.divide(a[some] @ b[few].T, norms, out=np.zeros_like(norms), where=norms > 0)
-            sims[order[few][None, :] == own[some][:, None]] = -np.inf
-            best[some] = -np.partition(-np.hstack([best[some], sims]), k - 1, axis=1)[:, :k]
-            low[some] = np.maximum(low[some], best[some].min(axis=1))
-            at = np.nonzero(sims >= low[some][:, None])
-            found.append((some[at[0]], few[at[1]], sims[at]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), multiplied
-    row, column, value = (np.concatenate(x) for x in zip(*found))
-    ok = np.isfinite(value) & (value >= low[row])
-    row, column, value = row[ok], column[ok], value[ok]
-    sort = np.lexsort((order[column], -value, row))
-    row, column, value = row[sort], column[sort], value[sort]
-    first = np.searchsorted(row, row)
-    ok = np.arange(len(row)) - first < k
-    return row[ok], column[ok], value[ok], multiplied
-
-
-def _scan(visits: DataFrame, placed: DataFrame, cells: DataFrame, scope: list[str], k: int,
+        turn = np.argsort(-(middles @ ua[rows].mean(axis=0)), kind="stable")
+        at, width, unseen = 0, 1, 0
+        while at < len(turn):
+            group, some = turn[at:at + width], rows
+            at, full = at + width, width >= wide
+            width = min(2 * width, wide)
+            if a_gaps is not None:
+                reach = np.sqrt(np.clip(2.0 - 2.0 * low[some], 0.0, None)) + SLACK
+                gap = a_gaps[some][:, tile_cell[group]]
+                may = ~(np.maximum(nearest[group] - gap, gap - farthest[group]) > reach[:, None])
+                some, group = some[may.any(axis=1)], group[may.any(axis=0)]
+                if not len(some):
+                    continue
+            columns = np.concatenate([tiles[t] for t in group])
+            if full and unseen:
+                unseen -= 1
+            else:
+                ceiling = ua[some, :head] @ ub[columns, :head].T + rest[0][some][:, None] * rest[1][columns][None, :]
+                may = ceiling >= (low[some] - SLACK - error)[:, None]
+                before = len(columns)
+                some, columns = some[may.any(axis=1)], columns[may.any(axis=0)]
+                unseen = SELDOM if full and 4 * len(columns) > 3 * before else 0
+                if not len(some):
+                    continue
+            multiplied += len(some) * len(columns)
+            row, column = np.nonzero(ua[some] @ ub[columns].T >= (low[some] - error)[:, None])
+            for part in range(0, len(row), PAIRS_AT_ONCE):
+                r, c = some[row[part:part + PAIRS_AT_ONCE]], columns[column[part:part + PAIRS_AT_ONCE]]
+                keep = c != own[r]
+                r, c = r[keep], c[keep]
+                norms = lengths[0][r] * lengths[1][c]
+                sims = np.divide(np.einsum("ij,ij->i", a[r], b[c]), norms, out=np.zeros_like(norms), where=norms > 0)
+                keep = sims >= low[r]
+                _keep_best(values, places, r[keep], c[keep], sims[keep])
+                low[some] = np.maximum(low[some], values[some, -1])
+    row, at = np.nonzero(places < len(b))
+    return row, places[row, at], values[row, at], multiplied
+
+
+def _scan(visits: DataFrame, placed: DataFrame, pivots: np.ndarray, scope: list[str], k: int,
           floor: float | None, exclude_self: bool, block_rows: int, chunk_rows: int) -> DataFrame:
     """k best entries per query and block; both sides of a task are bounded.
 
-    Each task adds one row without a query: how many pairs it had and how many of them it multiplied out.
+    The queries of a block are dealt into chunks of at least ``chunk_rows``, at most SIDE until a chunk has TASK_ROWS, so
+    an entry is copied no more than that. Each task adds one row without a query: how many pairs it had and how many of
+    them it multiplied out.
     """
-    cell_key = [*scope, "cell"]
-    demand = visits.groupBy(*cell_key).agg(F.count(F.lit(1)).alias("_visits"))
-    plan = join_null_safe(demand, cells.select(*cell_key, "size"), cell_key).select(
-        *cell_key, F.ceil(F.col("size") / block_rows).cast("int").alias("_blocks"),
-        F.ceil(F.col("_visits") / chunk_rows).cast("int").alias("_chunks"))
-    left = join_null_safe(visits, plan, cell_key).select(
-        *cell_key, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"),
-        F.pmod(F.xxhash64("qid"), F.col("_chunks")).cast("int").alias("_chunk"), "qid", "vec", "reach", "gap")
-    right = join_null_safe(placed, plan, cell_key).select(
-        *cell_key, F.pmod(F.xxhash64("eid"), F.col("_blocks")).cast("int").alias("_block"),
-        F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), "eid", "vec", "gap")
-    keys = [*cell_key, "_block", "_chunk"]
+    block_key = [*scope, "block"]
+    many = F.greatest(F.lit(chunk_rows), F.least(F.lit(TASK_ROWS), F.ceil(F.col("_visits") / SIDE)))
+    plan = visits.groupBy(*block_key).agg(F.count(F.lit(1)).alias("_visits")).select(
+        *block_key, F.ceil(F.col("_visits") / many).cast("int").alias("_chunks"))
+    left = join_null_safe(visits, plan, block_key).select(
+        *block_key, F.pmod(F.xxhash64("qid"), F.col("_chunks")).cast("int").alias("_chunk"), "qid", "vec", "reach")
+    right = join_null_safe(placed, plan, block_key).select(
+        *block_key, F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), "eid", "vec", "cell", "gap")
+    keys = [*block_key, "_chunk"]
 
     def best(q: pa.Table, e: pa.Table) -> pa.Table:
         names = ["qid", "eid", "similarity", "pairs", "multiplied"]
@@ -227,9 +305,13 @@ def _scan(visits: DataFrame, placed: DataFrame, cells: DataFrame, scope: list[st
         low = 1.0 - _reach(q["reach"]) ** 2 / 2.0 - SLACK
         if floor is not None:
             low = np.maximum(low, floor)
-        gaps = [_reach(t["gap"].combine_chunks()) if t["gap"].null_count == 0 else np.full(t.num_rows, np.nan) for t in (q, e)]
-        row, column, value, multiplied = _nearest(
-            _matrix(q["vec"]), _matrix(e["vec"]), min(k, e.num_rows), low, np.arange(e.num_rows), own, *gaps)
+        a, b = _matrix(q["vec"]), _matrix(e["vec"])
+        if a.shape[1] != b.shape[1]:
+            raise ValueError(f"vectors must have one number of dimensions, found {[a.shape[1], b.shape[1]]}")
+        a, b = _whole(a), _whole(b)
+        cells, cell = np.unique(e["cell"].to_numpy(), return_inverse=True)
+        gaps = _gaps(a, pivots[cells]) if len(pivots) > 1 else None
+        row, column, value, multiplied = _nearest(a, b, min(k, e.num_rows), low, own, gaps, cell, e["gap"].to_numpy(), block_rows, chunk_rows)
         blank = [pa.nulls(len(row), pa.int64())] * 2
         hits = pa.Table.from_arrays([q["qid"].take(pa.array(row)), e["eid"].take(pa.array(column)), pa.array(value), *blank], names=names)
         work = pa.Table.from_arrays([
@@ -246,28 +328,29 @@ def _scan(visits: DataFrame, placed: DataFrame, cells: DataFrame, scope: list[st
 def _search(queries: DataFrame, entries: DataFrame, k: int, scope: list[str], min_similarity: float | None, exclude_self: bool,
             pivots: int | None, block_rows: int, chunk_rows: int) -> DataFrame:
     """Candidates of every task, the k best of every query among them, and the rows that count the work."""
-    q = queries.select(*scope, "qid", fixed_point(F.col("vec")).alias("vec"))
-    e = entries.select(*scope, "eid", fixed_point(F.col("vec")).alias("vec"))
+    # Columns of their own on both sides, as both may come from the same rows.
+    q, e = (df.select(*[F.col(c).alias(c) for c in [*scope, name, "vec"]]) for df, name in ((queries, "qid"), (entries, "eid")))
     if pivots is None:
         pivots = max(1, min(MAX_PIVOTS, entries.count() // block_rows))
     pivot_vectors = _pick_pivots(e, pivots) if pivots > 1 else np.zeros((1, 1))
     several = len(pivot_vectors) > 1
     placed = stored(_with_cells(e, pivot_vectors), "cells") if several else _with_cells(e, pivot_vectors)
-    cells = placed.groupBy(*scope, "cell").agg(F.count(F.lit(1)).alias("size"), F.max("gap").alias("radius"))
-    radii = {r["cell"]: r["radius"] for r in cells.groupBy("cell").agg(F.max("radius").alias("radius")).collect()} if several else {0: 2.0}
+    found = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.max("gap").alias("radius"))
+    blocks = _Blocks(sorted(tuple(r) for r in found.collect()), block_rows)  # MAX_PIVOTS rows at most
+    placed = blocks.place(placed)
+
+    def scan(visits: DataFrame) -> DataFrame:
+        return _scan(visits, placed, pivot_vectors, scope, k, min_similarity, exclude_self, block_rows, chunk_rows)
 
-    if min_similarity is not None or not several:
+    if min_similarity is not None or not several or blocks.count <= 1:
         reach = F.lit(None if min_similarity is None else float(np.sqrt(max(0.0, 2.0 - 2.0 * min_similarity)))).cast("double")
-        visits = _visits(q.withColumn("reach", reach), radii, pivot_vectors, skip_home=False)
-        return _scan(visits, placed, cells, scope, k, min_similarity, exclude_self, block_rows, chunk_rows)
-    # First the query's own cell, which bounds how far the k-th neighbour can be; then only
-    # the cells that bound cannot rule out. The first round is stored, as both rounds need it.
-    home = _with_cells(q, pivot_vectors).withColumn("reach", F.lit(None).cast("double"))
-    first = stored(_scan(home, placed, cells, scope, k, None, exclude_self, block_rows, chunk_rows), "neighbours")
+        return scan(_visits(q.withColumn("reach", reach), blocks, pivot_vectors, None))
+    # First the blocks of the query's own cell, which bound how far the k-th neighbour can be; then only
+    # the blocks that bound cannot rule out. The first round is stored, as both rounds need it.
+    first = stored(scan(_visits(q.withColumn("reach", F.lit(None).cast("double")), blocks, pivot_vectors, True)), "neighbours")
     kth = top_n(first.filter(F.col("qid").isNotNull()), ["qid"], [F.col("similarity").desc(), F.col("eid").desc()], k).groupBy("qid").agg(
         F.when(F.count(F.lit(1)) == k, F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * F.min("similarity")))).alias("reach"))
-    visits = _visits(q.join(kth, "qid", "left"), radii, pivot_vectors, skip_home=True)
-    return first.unionByName(_scan(visits, placed, cells, scope, k, None, exclude_self, block_rows, chunk_rows))
+    return first.unionByName(scan(_visits(q.join(kth, "qid", "left"), blocks, pivot_vectors, False)))
 
 
 def top_k_similar(queries: DataFrame, entries: DataFrame, k: int, scope: Sequence[str] = (),

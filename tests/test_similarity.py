@@ -184,3 +184,28 @@ def test_copies_are_one_start_and_too_few_vectors_are_refused(spark):
         sim.discover_routes(routed(spark, v, 3), (2, 3))
     with pytest.raises(ValueError, match="found 0"):
         sim.discover_routes(routed(spark, v, 3).limit(0), (2,))
+
+
+def test_a_row_is_sent_to_few_tasks_whatever_the_blocks(spark):
+    v = clustered(2000, 16, 7)
+    found = sim._search(frame(spark, v, "qid"), frame(spark, v, "eid"), 3, [], None, True, 16, 8, 8)
+    work = found.filter(F.col("pairs").isNotNull()).agg(F.count(F.lit(1)), F.sum("pairs")).first()
+    assert work[0] <= 4 * sim.SIDE**2 and work[1] <= 2000**2
+
+
+@pytest.mark.parametrize("pivots,block,k", [(1, 64, 1), (5, 128, 3), (1, 4000, 2)])
+def test_vectors_without_clusters(spark, pivots, block, k):
+    v = (np.random.default_rng(4).normal(size=(1500, 24)) / 8).astype(np.float32)
+    v[::7] = v[0]  # many copies of one
+    v[3] = 0
+    got = sim.top_k_similar(frame(spark, v, "qid"), frame(spark, v, "eid"), k, exclude_self=True, pivots=pivots, block_rows=block, chunk_rows=50)
+    assert collected(got) == brute_zero(v, k)
+
+
+def brute_zero(v, k):
+    """Like ``brute``; a vector without length has similarity 0 to all."""
+    x = np.floor(v.astype(float) * sim.SCALE + 0.5)
+    norms = np.sqrt((x**2).sum(1))[:, None] * np.sqrt((x**2).sum(1))[None, :]
+    s = np.divide(x @ x.T, norms, out=np.zeros_like(norms), where=norms > 0)
+    np.fill_diagonal(s, -np.inf)
+    return {i: [(j, s[i, j]) for j in sorted(range(len(v)), key=lambda j: (-s[i, j], -j))[:k]] for i in range(len(v))}
