@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import inspect
 import os
 from collections.abc import Callable, Iterator
 
@@ -69,16 +70,39 @@ def _trim() -> Callable[[int], int] | None:
     return getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
+def give_back() -> None:
+    """Gives the memory this worker has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
     """The same batches; at the end of a task its worker, which others use after it, gives back the memory it has freed."""
-    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if trim := _trim():
-            trim(0)
+        give_back()
+
+    return of_task
+
+
+def tidied(run: Callable) -> Callable:
+    """The same for a function of one group or of two groups."""
+    if len(inspect.signature(run).parameters) == 2:
+        def of_two(left, right):
+            out = run(left, right)
+            give_back()
+            return out
+
+        return of_two
+
+    def of_one(rows):
+        out = run(rows)
+        give_back()
+        return out
 
-    return tidied
+    return of_one
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:

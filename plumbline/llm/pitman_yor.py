@@ -40,7 +40,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import LOWER_BYTES, discard, encoded, remainder, slices, stored
+from plumbline.llm.common import LOWER_BYTES, discard, encoded, remainder, slices, stored, tidied, tidy
 
 MODULUS, LEFT_OUT = 7, 2
 HOT = 4096
@@ -272,15 +272,20 @@ class FarSeating:
 
     @classmethod
     def begin(cls, heads: Iterator[bytes]) -> FarSeating:
-        found = []
+        """One block is unpacked at a time; a dish of a block is held as two numbers."""
+        heads = list(heads)
+        contexts, words = (np.unique(np.concatenate([unpacked(blob)[i] for blob in heads])) for i in (0, 2))
+        keys, trained = [], []
         for blob in heads:
-            contexts, counts, words, word, trained = unpacked(blob)
-            found.append((np.repeat(contexts, counts), words[word], trained.astype(np.int64)))
-        h, g, trained = (np.concatenate(x) for x in zip(*found))
-        contexts, context = np.unique(h, return_inverse=True)
-        words, word = np.unique(g, return_inverse=True)
-        key, dish = np.unique(context * len(words) + word, return_inverse=True)
-        customers = np.bincount(dish, trained, len(key)).astype(np.int64)
+            before, counts, after, word, n = unpacked(blob)
+            keys.append(np.repeat(np.searchsorted(contexts, before), counts) * len(words) + np.searchsorted(words, after)[word])
+            trained.append(n.copy())
+        keys, trained = np.concatenate(keys), np.concatenate(trained)
+        order = np.argsort(keys)
+        keys, trained = keys[order], trained[order]
+        del order
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        key, customers = keys[first], np.add.reduceat(trained, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
         tables = (customers > 0).astype(np.int64)
         return cls(contexts, words, key // len(words), key % len(words), customers, tables, tables)
 
@@ -342,7 +347,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                         held.clear()
         yield out()
 
-    return _prepared(docs).select("held_out", "text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return _prepared(docs).select("held_out", "text").mapInArrow(tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def rank_of(hot: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -370,13 +375,14 @@ def blocks(docs: DataFrame, hot: np.ndarray, parts: int, far_parts: int) -> Data
         numbers = {w: i for i, w in enumerate(set().union(*split))}
         lengths = np.fromiter(map(len, split), np.int64, len(split))
         ids = np.fromiter((numbers[w] for words in split for w in words), np.int64, int(lengths.sum()))
-        h = hashes_of(list(numbers))
+        h, documents = hashes_of(list(numbers)), len(split)
+        del split, numbers  # one object a word
         rank = rank_of(hot, h)
         follows = np.where((rank >= 0) & (rank < OWN_CONTEXTS), rank + 2, FAR)
         context = np.empty(len(ids), np.int64)
         context[1:] = follows[ids[:-1]]
         context[np.concatenate(([0], np.cumsum(lengths)[:-1]))] = START
-        doc = np.repeat(np.arange(len(split)), lengths)
+        doc = np.repeat(np.arange(documents), lengths)
         far = context == FAR
         is_hot, is_cold = (rank[ids] >= 0) & ~far, (rank[ids] < 0) & ~far
         rows = []
@@ -437,7 +443,7 @@ def blocks(docs: DataFrame, hot: np.ndarray, parts: int, far_parts: int) -> Data
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return _prepared(docs).mapInArrow(
-        run, f"part int, block long, head binary, tail binary, doc_ids array<{kind}>, held array<boolean>, lengths array<long>")
+        tidy(run), f"part int, block long, head binary, tail binary, doc_ids array<{kind}>, held array<boolean>, lengths array<long>")
 
 
 def hot_counts(table: DataFrame) -> DataFrame:
@@ -451,7 +457,7 @@ def hot_counts(table: DataFrame) -> DataFrame:
         key = np.nonzero(dense)[0]
         yield pa.record_batch([pa.array(key), pa.array(dense[key])], names=["key", "n"])
 
-    return table.filter("part = -1").select("head").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return table.filter("part = -1").select("head").mapInArrow(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 #: Rows of a part: what is fixed (a far part's dishes, the words a far part asks for), the state, tables or counts sent.
@@ -606,7 +612,7 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, hot_words: int = HOT, tokens_per_
         dense[r["key"] // CONTEXTS, r["key"] % CONTEXTS] = r["n"]
     word, context = np.nonzero(dense)
     far_step = FarStep(hot, parts)
-    deal = lambda rows, run: stored(rows.groupBy("part").applyInPandas(run, _STATE), "seating")
+    deal = lambda rows, run: stored(rows.groupBy("part").applyInPandas(tidied(run), _STATE), "seating")
     far = deal(table.filter("part < -1").select("part", "head"), lambda rows: far_step.first(rows))
     fixed = far.filter(F.col("kind") == FIXED)
     heads = table.filter("part >= 0").select("part", F.lit(STATE).alias("kind"), F.lit(0).alias("other"), F.col("head").alias("state"), F.lit(None).cast("array<long>").alias("sums"))
@@ -732,11 +738,11 @@ def score(model: Model, doc_type: str) -> DataFrame:
 
     lists = f"doc_ids array<{doc_type}>, held array<boolean>, lengths array<long>"
     first = model.table.filter("part = -1").select("block", "head", "tail", "doc_ids", "held", "lengths").mapInArrow(
-        hot_rows, f"block long, sums binary, {lists}")
+        tidy(hot_rows), f"block long, sums binary, {lists}")
     cold = model.table.filter("part >= 0").select("part", "block", "head", "tail").groupBy("part").cogroup(
-        model.states.groupBy("part")).applyInPandas(cold_rows, "block long, sums binary")
+        model.states.groupBy("part")).applyInPandas(tidied(cold_rows), "block long, sums binary")
     far = model.table.filter("part < -1").select("part", "block", "head", "tail").groupBy("part").cogroup(
-        model.far.groupBy("part")).applyInPandas(far_rows, "block long, sums binary")
+        model.far.groupBy("part")).applyInPandas(tidied(far_rows), "block long, sums binary")
     return first.unionByName(cold.unionByName(far), allowMissingColumns=True).groupBy("block").applyInArrow(
         per_document, f"doc_id {doc_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
