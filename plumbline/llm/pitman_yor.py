@@ -602,6 +602,7 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, hot_words: int = HOT, tokens_per_
     counts = stored(word_counts(docs), "words")
     tokens, vocabulary = (int(x or 0) for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
     top = counts.orderBy(F.col("n").desc(), "h").limit(min(hot_words, HOT)).collect()  # HOT rows at most
+    discard(counts)
     hot = np.array([r["h"] for r in top], np.int64).view(np.uint64)
     parts, far_parts = (max(4, -(-tokens * n // tokens_per_part)) for n in (1, FAR_PARTS))
     table = stored(blocks(docs, hot, parts, far_parts), "blocks")

@@ -272,3 +272,23 @@ def test_every_preceding_word_has_a_restaurant(make):
 def test_no_documents(make):
     assert pitman_yor.score_documents(make([])).count() == 0
     assert default_path().endswith(".json")
+
+
+def test_far_blocks_are_merged_in_little_memory():
+    import tracemalloc
+
+    rng, heads, want = np.random.default_rng(1), [], Counter()
+    for _ in range(20):
+        contexts, words = (np.unique(rng.integers(0, 3 * n, n).astype(np.uint64)) for n in (1500, 2500))
+        n = rng.integers(1, 9, len(contexts))
+        word, trained = rng.integers(0, len(words), n.sum()), rng.integers(0, 3, n.sum())
+        heads.append(pitman_yor.packed(contexts, n.astype("u4"), words, word.astype("u4"), trained.astype("u4")))
+        for c, w, t in zip(np.repeat(contexts, n).tolist(), words[word].tolist(), trained.tolist()):
+            want[c, w] += t
+    entries = sum(len(pitman_yor.unpacked(h)[3]) for h in heads)
+    tracemalloc.start()
+    far = pitman_yor.FarSeating.begin(iter(heads))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert dict(zip(zip(far.contexts[far.context].tolist(), far.words[far.word].tolist()), far.customers.tolist())) == dict(want)
+    assert peak < 90 * entries  # bytes; all blocks unpacked at once took more than 110
