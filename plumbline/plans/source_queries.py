@@ -71,8 +71,8 @@ def generation_store(spark, d):
     store.put(firsts)
     store.put(firsts)
     held = store.table().groupBy("model").agg(F.count(F.lit(1)).alias("stored"), F.sum("output_tokens").alias("output_tokens"))
-    wanted = keyed.filter("replicate_idx % 2 = 1").select("cache_key", "model").distinct()
-    lost = store.missing(wanted).groupBy("model").agg(F.count(F.lit(1)).alias("missing"))
+    wanted = keyed.filter("replicate_idx % 2 = 1").select("cache_key", "model")
+    lost = store.missing(wanted, once=True).groupBy("model").agg(F.count(F.lit(1)).alias("missing"))
     return held.join(lost, "model", "left").select("model", "stored", "output_tokens", F.coalesce("missing", F.lit(0)).alias("missing"))
 
 

@@ -9,6 +9,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from plumbline.session import stored
+
 MESSAGES = "array<struct<content:string,role:string>>"
 CORPUS_SCHEMA = (
     f"ground_truth string, messages {MESSAGES}, slug string, source_dataset string, source_id string, "
@@ -91,10 +93,26 @@ def write_records(long: DataFrame, path: str) -> None:
 
 # ---- content-addressed stores -------------------------------------------------------------
 
+def _packed(key: Column) -> Column:
+    """The same key in fewer bytes, to be sent: pairs of hex digits are one byte, any other text stays. Exact."""
+    return F.when(F.lower(F.hex(F.unhex(key))) == key, F.concat(F.unhex(F.lit("01")), F.unhex(key))).otherwise(F.concat(F.unhex(F.lit("00")), key.cast("binary")))
+
+
+def _unpacked(packed: Column) -> Column:
+    rest = F.substring(packed, 2, (1 << 31) - 1)
+    return F.when(F.substring(packed, 1, 1) == F.unhex(F.lit("01")), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
+def _digest(key: Column) -> Column:
+    """128 bits of SHA-256, by which the store tells keys apart that it holds or lacks; a key that is null has one that no other key has."""
+    return F.coalesce(F.unhex(F.substring(F.sha2(key, 256), 1, 32)), F.unhex(F.lit("00")))
+
+
 class KeyedStore:
     """Write-once Parquet table addressed by a content key, partitioned by the key's prefix.
 
-    Writes append only keys that are not there yet, each once. Reading and writing stop at a file that cannot be
+    Writes append only keys that are not there yet, each once; a null key equals none. Rows cross the network once, and only
+    if they are new: a write into a store that holds something first compares digests, and then reads its rows again. Reading and writing stop at a file that cannot be
     read, as its keys would be lost or written twice; only a lookup (``get``, ``missing``) takes them for misses.
     ``repair`` sets such files aside and writes their keys anew.
     """
@@ -115,15 +133,32 @@ class KeyedStore:
     def get(self, wanted: DataFrame) -> DataFrame:
         return wanted.join(self.table(readable_only=True), self.key)
 
-    def missing(self, wanted: DataFrame) -> DataFrame:
-        return wanted.join(self.table(readable_only=True).select(self.key), self.key, "left_anti")
+    def _held(self, readable_only: bool = False) -> DataFrame:
+        return self.table(readable_only).filter(F.col(self.key).isNotNull()).select(_digest(F.col(self.key)).alias("_digest"))
+
+    def missing(self, wanted: DataFrame, once: bool = False) -> DataFrame:
+        """The rows whose keys the store lacks; ``once``: of equal rows one."""
+        lost = wanted.withColumn("_digest", _digest(F.col(self.key))).join(self._held(readable_only=True), "_digest", "left_anti")
+        if once:
+            lost = lost.groupBy("_digest", *[c for c in wanted.columns if c != self.key]).agg(F.first(self.key).alias(self.key))
+        return lost.select(wanted.columns)
 
     def put(self, rows: DataFrame) -> None:
+        if not self.table().isEmpty():
+            rows = rows.withColumn("_digest", _digest(F.col(self.key)))
+            fresh = stored(rows.select("_digest").distinct().join(self._held(), "_digest", "left_anti"), "fresh")
+            if fresh.isEmpty():
+                return
+            rows = rows.join(fresh, "_digest", "left_semi").drop("_digest")
+        self.append(rows)
+
+    def append(self, rows: DataFrame) -> None:
+        """Writes rows, one of each key, whose keys the store lacks."""
         content = [c for c in rows.columns if c != self.key]
-        once = rows.groupBy(self.key).agg(F.min(F.struct(*content)).alias("_r")).select(self.key, "_r.*")
-        fresh = once.join(self.table().select(self.key), self.key, "left_anti").withColumn("prefix", F.substring(self.key, 1, self.prefix_chars))
-        # Rows of a prefix are brought together for few files; AQE splits the large ones.
-        fresh.hint("rebalance", "prefix").write.mode("append").partitionBy("prefix").parquet(self.path)
+        once = rows.groupBy(_packed(F.col(self.key)).alias("_key")).agg(F.min(F.struct(*content)).alias("_r")).select(_unpacked(F.col("_key")).alias(self.key), "_r.*")
+        # A task has rows of all prefixes and writes a file for each; AQE gives small writes few tasks.
+        once.withColumn("prefix", F.substring(self.key, 1, self.prefix_chars)).write.mode("append").option(
+            "compression", "zstd").partitionBy("prefix").parquet(self.path)
 
     def unreadable(self) -> list[str]:
         """The files that cannot be read to their end; one read of each file."""
@@ -181,7 +216,7 @@ def embed_all(texts: DataFrame, embedder: Embedder, dimensions: int, store: Keye
     if store is None:
         known = fresh
     else:
-        store.put(fresh.withColumnRenamed("text_hash", store.key))
+        store.append(fresh.withColumnRenamed("text_hash", store.key))  # one row a text, none of them held
         known = store.table().select(F.col(store.key).alias("text_hash"), "vec")
     return texts.select("key", "text_hash").join(known, "text_hash").select("key", "vec")
 

@@ -192,6 +192,34 @@ def test_trace_store_and_corrupt_files(spark):
     assert store.get(wanted).count() == 1 and [r[0] for r in store.missing(wanted).collect()] == ["k9"]
 
 
+def test_store_keeps_any_key_and_sends_rows_once(spark):
+    import glob
+    import hashlib
+
+    import pyarrow.parquet as pq
+    from plumbline.sources.files import KeyedStore
+
+    store = KeyedStore(spark, shared_dir(spark, "keys"), "cache_key string, text string")
+    keys = ["", "ab", "AB", "abc", "a-b", "0g", "é", "01", "00", *(hashlib.sha256(bytes([i])).hexdigest() for i in range(9))]
+    frame = lambda rows: spark.createDataFrame(rows, "cache_key string, text string")
+    store.put(frame([(k, t) for k in keys[:-2] for t in "ba"]))
+    files = glob.glob(f"{store.path}/prefix=*/*.parquet")
+    assert batch_rows(store.table()) == sorted((k, "a") for k in keys[:-2])
+    assert {pq.read_metadata(f).row_group(0).column(0).compression for f in files} == {"ZSTD"}
+    store.put(frame([(k, "z") for k in keys[:-2]]))
+    assert glob.glob(f"{store.path}/prefix=*/*.parquet") == files
+    wanted = frame([(k, "w") for k in [*keys, keys[-1], None, None]])
+    gone = [keys[-1], keys[-2], None]
+    missing = store.missing(wanted, once=True)
+    assert {(r[0], r[1]) for r in missing.collect()} == {(k, "w") for k in gone} and missing.count() == 3
+    assert store.missing(wanted).count() == 5
+    # One exchange of each side, of digests only, where the keys are not asked for.
+    plan = store.missing(wanted, once=True).groupBy().count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_digest") <= 2 and "Exchange hashpartitioning(cache_key" not in plan
+    store.put(frame([(k, "z") for k in keys]))
+    assert batch_rows(store.table()) == sorted([(k, "a") for k in keys[:-2]] + [(k, "z") for k in keys[-2:]])
+
+
 def test_unreadable_files_stop_writes_until_repaired(spark):
     import glob
 
