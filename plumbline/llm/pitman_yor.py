@@ -73,17 +73,22 @@ def hashes_of(words: list[bytes]) -> np.ndarray:
 
 
 def packed(*arrays: np.ndarray) -> bytes:
+    """Compressed: of 64-bit hashes the steps from one to the next, of all numbers first the lowest bytes, then the next ones."""
     head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.char), len(a)))], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    steps = (np.diff(a, prepend=np.uint64(0)) if a.dtype == np.uint64 else np.ascontiguousarray(a) for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.view("u1").reshape(len(a), a.dtype.itemsize).T.tobytes() for a in steps))
 
 
-def unpacked(blob: bytes) -> list[np.ndarray]:
+def unpacked(blob: bytes, *wanted: int) -> list[np.ndarray]:
+    """The arrays, or those of these numbers."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     count = int(np.frombuffer(raw, "<i8", 1)[0])
     head, at, out = np.frombuffer(raw, "<i8", 1 + 2 * count)[1:], 8 + 16 * count, []
-    for char, n in head.reshape(-1, 2).tolist():
+    for i, (char, n) in enumerate(head.reshape(-1, 2).tolist()):
         kind = np.dtype(chr(char))
-        out.append(np.frombuffer(raw, kind, n, at))
+        if not wanted or i in wanted:
+            own = np.frombuffer(raw, "u1", n * kind.itemsize, at).reshape(kind.itemsize, n).T.copy().view(kind).reshape(n)
+            out.append(np.cumsum(own, dtype=np.uint64) if kind == np.uint64 else own)
         at += n * kind.itemsize
     return out
 
@@ -274,7 +279,7 @@ class FarSeating:
     def begin(cls, heads: Iterator[bytes]) -> FarSeating:
         """One block is unpacked at a time; a dish of a block is held as two numbers."""
         heads = list(heads)
-        contexts, words = (np.unique(np.concatenate([unpacked(blob)[i] for blob in heads])) for i in (0, 2))
+        contexts, words = (np.unique(np.concatenate([unpacked(blob, i)[0] for blob in heads])) for i in (0, 2))
         keys, trained = [], []
         for blob in heads:
             before, counts, after, word, n = unpacked(blob)
@@ -412,7 +417,9 @@ def blocks(docs: DataFrame, hot: np.ndarray, parts: int, far_parts: int) -> Data
                 rows.append((part, packed(h[order][own], count.astype("u1"), ctx[a:b].astype("u1"), trained[a:b].astype("u4")),
                              packed(n[a:b].astype("u4"), where[ends[a]: ends[b]])))
         # Far occurrences by (far part of the preceding word, its hash, word).
-        far_part = part_of(h, far_parts)
+        far_part, by_hash = part_of(h, far_parts), np.argsort(h)
+        place = np.empty(len(h), np.int64)
+        place[by_hash] = np.arange(len(h))
         order = np.lexsort((h, far_part))
         turn[order] = np.arange(len(h))
         at = np.nonzero(far)[0]
@@ -423,8 +430,8 @@ def blocks(docs: DataFrame, hot: np.ndarray, parts: int, far_parts: int) -> Data
             a, b = cuts[part], cuts[part + 1]
             if a < b:
                 own, count = np.unique(before[a:b], return_counts=True)
-                words, index = np.unique(word[a:b], return_inverse=True)
-                rows.append((-2 - part, packed(h[order][own], count.astype("u4"), h[words], index.astype("u4"), trained[a:b].astype("u4")),
+                words, index = np.unique(place[word[a:b]], return_inverse=True)
+                rows.append((-2 - part, packed(h[order][own], count.astype("u4"), h[by_hash[words]], index.astype("u4"), trained[a:b].astype("u4")),
                              packed(n[a:b].astype("u4"), where[ends[a]: ends[b]])))
         part, head, tail = zip(*rows)
         ids_of = [batch.column(0).to_pylist(), *[None] * (len(rows) - 1)]

@@ -292,3 +292,18 @@ def test_far_blocks_are_merged_in_little_memory():
     tracemalloc.stop()
     assert dict(zip(zip(far.contexts[far.context].tolist(), far.words[far.word].tolist()), far.customers.tolist())) == dict(want)
     assert peak < 90 * entries  # bytes; all blocks unpacked at once took more than 110
+
+
+def test_packed_arrays_come_back_and_sorted_hashes_take_less():
+    import numpy as np
+    from plumbline.llm import pitman_yor
+
+    draw = np.random.default_rng(3)
+    hashes = draw.integers(0, 1 << 64, 20_000, np.uint64, endpoint=False)
+    arrays = [hashes, np.sort(hashes), np.zeros(0, np.uint64), np.arange(7, dtype="u4")[::-2], draw.random(5), np.array([255], "u1")]
+    back = pitman_yor.unpacked(pitman_yor.packed(*arrays))
+    assert all(a.dtype == b.dtype and np.array_equal(a, b) for a, b in zip(arrays, back, strict=True))
+    (last,) = pitman_yor.unpacked(pitman_yor.packed(*arrays), 5)
+    assert last.tolist() == [255]
+    assert len(pitman_yor.packed(arrays[1])) < 7 * len(hashes) < len(pitman_yor.packed(hashes))
+    assert len(pitman_yor.packed(draw.integers(0, 60_000, 50_000).astype("u4"))) < 2.1 * 50_000
