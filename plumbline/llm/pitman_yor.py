@@ -16,7 +16,8 @@ frequent words have dense tables of fixed size, sampled on the driver and sent t
 belong to one of many parts by the word's hash, so that no part is ruled by one word. A far restaurant lies whole in
 one far part, by the context's hash. In a sweep the far parts send each word's tables to the word's part, which seats
 the parent restaurant and replies with its counts. A second pass turns blocks of documents into packed arrays, one row
-per block and part, used both for counting and for scoring; texts are never shuffled. Words are known by 64-bit hashes.
+per block and part, from which each part counts its dishes; a third pass, once all are seated, packs the blocks again for
+scoring, as keeping them would take more disk than the texts. Texts are never shuffled. Words are known by 64-bit hashes.
 
 Inputs: a null or empty text is one end token. Rows are scored one by one, also when ids repeat or are null (a null
 id counts as the empty id for the split). Extra columns are ignored. Without training tokens every probability
@@ -28,7 +29,7 @@ from __future__ import annotations
 import functools
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -368,11 +369,13 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
 
 
-def blocks(docs: DataFrame, hot: np.ndarray, parts: int, far_parts: int) -> DataFrame:
+def blocks(docs: DataFrame, hot: np.ndarray, parts: int, far_parts: int, hot_sums: Callable | None = None) -> DataFrame:
     """(part, block, head, tail): packed occurrences of the words of each part in a block of documents.
 
-    Part -1 has the block's documents and its hot words in near contexts, part -2 - n has far part n. ``hot`` lists
-    hashes by falling frequency."""
+    Part -2 - n has far part n, parts from ``parts`` on have the hot words in near contexts, dealt by block. ``hot`` lists
+    hashes by falling frequency. Heads have what counting needs. For scoring, ``hot_sums`` makes the sums of the hot words
+    of every document, which are the tail of a row with the block's documents; other tails tell where words occur."""
+    counting = hot_sums is None
 
     def of_block(batch: pa.RecordBatch, number: int) -> pa.RecordBatch:
         split = [tokens_of(t) for t in batch.column(2).to_pylist()]
@@ -401,7 +404,8 @@ def blocks(docs: DataFrame, hot: np.ndarray, parts: int, far_parts: int) -> Data
             return key[edge[:-1]], np.diff(trained[edge]), np.diff(edge), doc.astype("u4")
 
         key, trained, n, where = entries(rank[ids[is_hot]] * CONTEXTS + context[is_hot], doc[is_hot])
-        rows.append((-1, packed(key.astype("u4"), trained.astype("u4")), packed(n.astype("u4"), where)))
+        slice_ = parts + ((number >> 32) + number) % parts
+        rows.append((slice_, packed(key.astype("u4"), trained.astype("u4")), None) if counting else (slice_, None, hot_sums(key, n, where, documents)))
         # Cold words in the order of (part, hash), so each part is a range of word numbers.
         own_part = part_of(h, parts)
         order = np.lexsort((h, own_part))
@@ -414,8 +418,8 @@ def blocks(docs: DataFrame, hot: np.ndarray, parts: int, far_parts: int) -> Data
             a, b = cuts[part], cuts[part + 1]
             if a < b:
                 own, count = np.unique(word[a:b], return_counts=True)
-                rows.append((part, packed(h[order][own], count.astype("u1"), ctx[a:b].astype("u1"), trained[a:b].astype("u4")),
-                             packed(n[a:b].astype("u4"), where[ends[a]: ends[b]])))
+                rows.append((part, packed(h[order][own], count.astype("u1"), ctx[a:b].astype("u1"), *[trained[a:b].astype("u4")] * counting),
+                             None if counting else packed(n[a:b].astype("u4"), where[ends[a]: ends[b]])))
         # Far occurrences by (far part of the preceding word, its hash, word).
         far_part, by_hash = part_of(h, far_parts), np.argsort(h)
         place = np.empty(len(h), np.int64)
@@ -431,12 +435,12 @@ def blocks(docs: DataFrame, hot: np.ndarray, parts: int, far_parts: int) -> Data
             if a < b:
                 own, count = np.unique(before[a:b], return_counts=True)
                 words, index = np.unique(place[word[a:b]], return_inverse=True)
-                rows.append((-2 - part, packed(h[order][own], count.astype("u4"), h[by_hash[words]], index.astype("u4"), trained[a:b].astype("u4")),
-                             packed(n[a:b].astype("u4"), where[ends[a]: ends[b]])))
+                rows.append((-2 - part, packed(h[order][own], count.astype("u4"), h[by_hash[words]], index.astype("u4"), *[trained[a:b].astype("u4")] * counting),
+                             None if counting else packed(n[a:b].astype("u4"), where[ends[a]: ends[b]])))
         part, head, tail = zip(*rows)
         ids_of = [batch.column(0).to_pylist(), *[None] * (len(rows) - 1)]
         held = [(~train).tolist(), *[None] * (len(rows) - 1)]
-        return pa.record_batch([pa.array(part, pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array(head), pa.array(tail),
+        return pa.record_batch([pa.array(part, pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array(head, pa.binary()), pa.array(tail, pa.binary()),
                                 pa.array(ids_of, pa.list_(batch.schema.field(0).type)), pa.array(held, pa.list_(pa.bool_())),
                                 pa.array([lengths.tolist(), *[None] * (len(rows) - 1)], pa.list_(pa.int64()))],
                                names=["part", "block", "head", "tail", "doc_ids", "held", "lengths"])
@@ -453,6 +457,31 @@ def blocks(docs: DataFrame, hot: np.ndarray, parts: int, far_parts: int) -> Data
         tidy(run), f"part int, block long, head binary, tail binary, doc_ids array<{kind}>, held array<boolean>, lengths array<long>")
 
 
+def merged_hot(heads: pd.Series) -> bytes:
+    """Training occurrences of the hot dishes of several blocks."""
+    dense = np.zeros(HOT * CONTEXTS, np.int64)
+    for blob in heads:
+        key, trained = unpacked(blob)
+        dense[key] += trained
+    key = np.nonzero(dense)[0]
+    return packed(key.astype("u4"), dense[key])
+
+
+def merged_heads(heads: pd.Series) -> bytes:
+    """A part's dishes in the training documents of all blocks, packed as those of one block are."""
+    hashes, contexts, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for blob in heads:
+        h, n, ctx, trained = unpacked(blob)
+        keep = trained > 0
+        hashes.append(np.repeat(h, n)[keep])
+        contexts.append(ctx[keep].astype(np.int64))
+        counts.append(trained[keep].astype(np.int64))
+    words, word = np.unique(np.concatenate(hashes), return_inverse=True)
+    key, dish = np.unique(word * CONTEXTS + np.concatenate(contexts), return_inverse=True)
+    customers = np.bincount(dish, np.concatenate(counts), len(key))
+    return packed(words, np.bincount(key // CONTEXTS, minlength=len(words)).astype("u1"), (key % CONTEXTS).astype("u1"), customers.astype("u4"))
+
+
 def hot_counts(table: DataFrame) -> DataFrame:
     """(key, n): training occurrences of the hot dishes; at most HOT * CONTEXTS rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -464,7 +493,7 @@ def hot_counts(table: DataFrame) -> DataFrame:
         key = np.nonzero(dense)[0]
         yield pa.record_batch([pa.array(key), pa.array(dense[key])], names=["key", "n"])
 
-    return table.filter("part = -1").select("head").mapInArrow(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return table.filter("part = -1").select("state").mapInArrow(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 #: Rows of a part: what is fixed (a far part's dishes, the words a far part asks for), the state, tables or counts sent.
@@ -602,29 +631,46 @@ class Model:
     states: DataFrame
     far: DataFrame  # the far parts' rows: fixed, state and replies
     far_step: FarStep
-    table: DataFrame
+    far_parts: int
+    docs: DataFrame
+
+
+def _kept(df: DataFrame, purpose: str) -> DataFrame:
+    """``stored``, after which Spark removes the shuffle files of the write: nothing else reads them."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return stored(df, purpose)
+    finally:
+        conf.set(name, before)
 
 
 def fit(docs: DataFrame, sweeps: int = SWEEPS, hot_words: int = HOT, tokens_per_part: int = TOKENS_PER_PART) -> Model:
-    counts = stored(word_counts(docs), "words")
+    counts = _kept(word_counts(docs), "words")
     tokens, vocabulary = (int(x or 0) for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
     top = counts.orderBy(F.col("n").desc(), "h").limit(min(hot_words, HOT)).collect()  # HOT rows at most
     discard(counts)
     hot = np.array([r["h"] for r in top], np.int64).view(np.uint64)
     parts, far_parts = (max(4, -(-tokens * n // tokens_per_part)) for n in (1, FAR_PARTS))
-    table = stored(blocks(docs, hot, parts, far_parts), "blocks")
     hot_count = np.array([r["n"] for r in top], np.int64)
+    far_step = FarStep(hot, parts)
+
+    def counted(rows: pd.DataFrame) -> pd.DataFrame:
+        """A far part seated, a near part's or some blocks' hot dishes counted; the hot ones get part -1."""
+        part = int(rows["part"].iloc[0])
+        if part < -1:
+            return far_step.first(rows)
+        return _frame([(part, STATE, 0, merged_heads(rows["head"]), None) if part < parts else (-1, STATE, part, merged_hot(rows["head"]), None)])
 
+    deal = lambda rows, run: _kept(rows.groupBy("part").applyInPandas(tidied(run), _STATE), "seating")
+    far = deal(blocks(docs, hot, parts, far_parts).select("part", "head"), counted)
+    fixed = far.filter(F.col("kind") == FIXED)
     dense = np.zeros((max(len(hot), 1), CONTEXTS), np.int64)
-    for r in hot_counts(table).collect():  # HOT * CONTEXTS rows at most
+    for r in hot_counts(far).collect():  # HOT * CONTEXTS rows at most
         dense[r["key"] // CONTEXTS, r["key"] % CONTEXTS] = r["n"]
     word, context = np.nonzero(dense)
-    far_step = FarStep(hot, parts)
-    deal = lambda rows, run: stored(rows.groupBy("part").applyInPandas(tidied(run), _STATE), "seating")
-    far = deal(table.filter("part < -1").select("part", "head"), lambda rows: far_step.first(rows))
-    fixed = far.filter(F.col("kind") == FIXED)
-    heads = table.filter("part >= 0").select("part", F.lit(STATE).alias("kind"), F.lit(0).alias("other"), F.col("head").alias("state"), F.lit(None).cast("array<long>").alias("sums"))
-    near = deal(heads.unionByName(far.filter("part >= 0")), first_seating)
+    near = deal(far.filter("part >= 0"), first_seating)
 
     def far_sums() -> np.ndarray:
         """Dishes with one and two customers, evidence of strengths, and tables of the hot words: added up by Spark, some HOT rows."""
@@ -668,7 +714,7 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, hot_words: int = HOT, tokens_per_
     table_p[word, context] = dishes
     held = fixed.unionByName(far.filter(F.col("kind") == STATE)).unionByName(near).filter("part < -1")
     return Model(tokens, vocabulary, hot, hot_count, samples, np.log10(table_p), tops,
-                 near.filter("part >= 0").select("part", "state"), held, far_step, table)
+                 near.filter("part >= 0").select("part", "state"), held, far_step, far_parts, docs)
 
 
 def _by_document(doc: np.ndarray, n: np.ndarray, size: int, *values: np.ndarray) -> list[np.ndarray]:
@@ -684,25 +730,21 @@ def score(model: Model, doc_type: str) -> DataFrame:
     def base(counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / size_plus)
 
-    def hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base_of = base(hot_customers)
-        for batch in batches:
-            sums = []
-            for head, tail, lengths in zip(*(batch.column(i).to_pylist() for i in (1, 2, 5))):
-                (key, _), (n, doc) = unpacked(head), unpacked(tail)
-                word, context = (key // CONTEXTS).astype(np.int64), (key % CONTEXTS).astype(np.int64)
-                values = _by_document(doc, n, len(lengths), (hot_customers[word] > 0).astype(float), base_of[word], hot_dishes[word, context])
-                sums.append(packed(np.arange(len(lengths), dtype="u4"), *values))
-            yield pa.record_batch([batch.column(0), pa.array(sums, pa.binary()), *batch.columns[3:]], names=["block", "sums", "doc_ids", "held", "lengths"])
-
-    def cold_rows(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    base_of_hot = base(hot_customers)
+
+    def hot_sums(key: np.ndarray, n: np.ndarray, doc: np.ndarray, documents: int) -> bytes:
+        word, context = key // CONTEXTS, key % CONTEXTS
+        values = _by_document(doc, n, documents, (hot_customers[word] > 0).astype(float), base_of_hot[word], hot_dishes[word, context])
+        return packed(np.arange(documents, dtype="u4"), *values)
+
+    def cold_sums(rows: pa.Table, state: pd.DataFrame) -> list[bytes]:
         seating = Seating.load(state["state"].iloc[0]) if len(state) else Seating.begin(*(np.zeros(0, k) for k in (np.uint64, *[np.int64] * 5)))
         tops, dishes = seating.probabilities(samples)
         count = seating.count
         keys = seating.word.astype(np.int64) * CONTEXTS + seating.context
         sums = []
         for head, tail in zip(rows["head"], rows["tail"]):
-            (h, per_word, context, _), (n, doc) = unpacked(head), unpacked(tail)
+            (h, per_word, context), (n, doc) = unpacked(head.as_py()), unpacked(tail.as_py())
             context = context.astype(np.int64)
             place = np.searchsorted(seating.hashes, h)
             inside = np.minimum(place, max(len(seating.hashes) - 1, 0))
@@ -719,19 +761,30 @@ def score(model: Model, doc_type: str) -> DataFrame:
             c = np.where(met, count[at], 0) if len(count) else np.zeros(len(at))
             documents, doc = np.unique(doc, return_inverse=True)
             sums.append(packed(documents.astype("u4"), *_by_document(doc, n, len(documents), (c > 0).astype(float), base(c), np.log10(p))))
-        return pd.DataFrame({"block": rows["block"], "sums": sums})
+        return sums
 
-    def far_rows(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    def far_sums(rows: pa.Table, state: pd.DataFrame) -> list[bytes]:
         seating, count, tops = far_step.replies(state, hot_customers, hot_tops, samples)
         p, sums = np.log10(seating.probabilities(samples, tops)), []
         keys = seating.context * len(seating.words) + seating.word
         for head, tail in zip(rows["head"], rows["tail"]):
-            (contexts, per_context, words, index, _), (n, doc) = unpacked(head), unpacked(tail)
+            (contexts, per_context, words, index), (n, doc) = unpacked(head.as_py()), unpacked(tail.as_py())
             word = np.searchsorted(seating.words, words)[index]
             dish = np.searchsorted(keys, np.repeat(np.searchsorted(seating.contexts, contexts), per_context) * len(seating.words) + word)
             documents, doc = np.unique(doc, return_inverse=True)
             sums.append(packed(documents.astype("u4"), *_by_document(doc, n, len(documents), (count[word] > 0).astype(float), base(count[word]), p[dish])))
-        return pd.DataFrame({"block": rows["block"], "sums": sums})
+        return sums
+
+    names = ["block", "sums", "doc_ids", "held", "lengths"]
+
+    def part_sums(rows: pa.Table, state: pa.Table) -> pa.Table:
+        """Sums of the documents in which a part's words occur, by block; those of the hot words are there already."""
+        part = rows["part"][0].as_py() if rows.num_rows else None
+        if part is None or part >= far_step.parts:
+            sums = rows["tail"]
+        else:
+            sums = pa.array((cold_sums if part >= 0 else far_sums)(rows, state.to_pandas()), pa.binary())
+        return pa.table([rows["block"], sums, rows["doc_ids"], rows["held"], rows["lengths"]], names)
 
     def per_document(rows: pa.Table) -> pa.Table:
         """Adds up a block's sums from all parts: at most two entries for each word of the block."""
@@ -744,14 +797,12 @@ def score(model: Model, doc_type: str) -> DataFrame:
         return pa.table({"doc_id": ids, "held_out": held, "n_tokens": lengths, "n_known": pa.array(totals[0].astype(np.int64)),
                          "train_tokens": pa.array(np.full(len(lengths), tokens, np.int64)), "base_score": pa.array(totals[1]), "score": pa.array(totals[2])})
 
-    lists = f"doc_ids array<{doc_type}>, held array<boolean>, lengths array<long>"
-    first = model.table.filter("part = -1").select("block", "head", "tail", "doc_ids", "held", "lengths").mapInArrow(
-        tidy(hot_rows), f"block long, sums binary, {lists}")
-    cold = model.table.filter("part >= 0").select("part", "block", "head", "tail").groupBy("part").cogroup(
-        model.states.groupBy("part")).applyInPandas(tidied(cold_rows), "block long, sums binary")
-    far = model.table.filter("part < -1").select("part", "block", "head", "tail").groupBy("part").cogroup(
-        model.far.groupBy("part")).applyInPandas(tidied(far_rows), "block long, sums binary")
-    return first.unionByName(cold.unionByName(far), allowMissingColumns=True).groupBy("block").applyInArrow(
+    state = model.states.select("part", F.lit(STATE).alias("kind"), F.lit(0).alias("other"), "state").unionByName(
+        model.far.select("part", "kind", "other", "state"))
+    # All parts in one pass over the documents.
+    found = blocks(model.docs, model.hot, far_step.parts, model.far_parts, hot_sums).groupBy("part").cogroup(state.groupBy("part")).applyInArrow(
+        tidied(part_sums), f"block long, sums binary, doc_ids array<{doc_type}>, held array<boolean>, lengths array<long>")
+    return found.groupBy("block").applyInArrow(
         per_document, f"doc_id {doc_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -307,3 +307,21 @@ def test_packed_arrays_come_back_and_sorted_hashes_take_less():
     assert last.tolist() == [255]
     assert len(pitman_yor.packed(arrays[1])) < 7 * len(hashes) < len(pitman_yor.packed(hashes))
     assert len(pitman_yor.packed(draw.integers(0, 60_000, 50_000).astype("u4"))) < 2.1 * 50_000
+
+
+def test_blocks_are_not_kept_and_merged_heads_count_all(make, corpus, monkeypatch):
+    kept, stored = [], pitman_yor.stored
+    monkeypatch.setattr(pitman_yor, "stored", lambda df, purpose, **options: kept.append(purpose) or stored(df, purpose, **options))
+    assert pitman_yor.score_documents(make(corpus), sweeps=1, tokens_per_part=2000, hot_words=30).count() == len(corpus)
+    assert set(kept) == {"words", "seating"}
+    rng, heads, want = np.random.default_rng(2), [], Counter()
+    for _ in range(5):
+        h = np.unique(rng.integers(0, 60, 40).astype(np.uint64))
+        n = rng.integers(1, 5, len(h))
+        ctx = np.concatenate([np.sort(rng.choice(pitman_yor.CONTEXTS, k, replace=False)) for k in n])
+        trained = rng.integers(0, 3, n.sum())
+        heads.append(pitman_yor.packed(h, n.astype("u1"), ctx.astype("u1"), trained.astype("u4")))
+        for word, c, t in zip(np.repeat(h, n).tolist(), ctx.tolist(), trained.tolist()):
+            want[word, c] += t
+    h, n, ctx, trained = pitman_yor.unpacked(pitman_yor.merged_heads(heads))
+    assert dict(zip(zip(np.repeat(h, n).tolist(), ctx.tolist()), trained.tolist())) == {k: t for k, t in want.items() if t}
