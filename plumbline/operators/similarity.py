@@ -31,7 +31,7 @@ TOLERANCES = (0.01, 0.02, 0.03, 0.05, 0.10)
 
 SCALE = float(1 << 24)
 BLOCK_ROWS = 1024
-CHUNK_ROWS = 4096
+CHUNK_ROWS = 1024
 MAX_PIVOTS = 2048
 SLACK = 1e-6
 TRAINING_SPLITS = ("calibration", "dev")
@@ -41,9 +41,9 @@ DRAWN = 16
 TILE = 64
 HEAD_SHARE = 4
 MARKS = 32
-# Rows on each side of a task at most, and sides cut into so many parts below that. A row is copied so often at most
-# until its side has SIDE * TASK_ROWS rows.
-TASK_ROWS, SIDE = 1 << 16, 8
+# Rows on each side of a task at most, and parts of a side below that. From SIDE * BLOCK_ROWS to SIDE * TASK_ROWS rows a
+# side has SIDE parts, so a row is copied as often at every size. HOME_SIDE: parts of the queries of a block's own cells.
+TASK_ROWS, SIDE, HOME_SIDE = 3 << 15, 8, 2
 # Rows that Python takes at once from a stream, and pairs that are multiplied exactly at once.
 BATCH_ROWS, PAIRS_AT_ONCE = 1024, 1 << 15
 # Groups of tiles for which the first dimensions are not tried after they ruled out little. Error of a rough product a dimension.
@@ -142,10 +142,13 @@ class _Blocks:
 
     def place(self, placed: DataFrame) -> DataFrame:
         """Adds every entry's block."""
-        known = list(zip(self.cells.tolist(), self.starts.tolist(), self.sizes.tolist()))
-        plan = placed.sparkSession.createDataFrame(known, "cell int, _start long, _size long")
-        at = F.col("_start") + F.pmod(F.xxhash64("eid"), F.col("_size"))
-        return placed.join(plan, "cell").withColumn("block", F.floor(at / self.rows).cast("int")).drop("_start", "_size")
+        if not len(self.cells):
+            return placed.withColumn("block", F.lit(0))
+        # By number of the cell, as literals: a join would send the vectors over the network once more.
+        start, size = np.zeros((2, int(self.cells.max()) + 1), np.int64)
+        start[self.cells], size[self.cells] = self.starts, self.sizes
+        of = lambda numbers: F.element_at(F.lit(numbers.tolist()).cast("array<bigint>"), F.col("cell") + 1)
+        return placed.withColumn("block", F.floor((of(start) + F.pmod(F.xxhash64("eid"), of(size))) / self.rows).cast("int"))
 
 
 def _visits(queries: DataFrame, blocks: _Blocks, pivots: np.ndarray, home: bool | None) -> DataFrame:
@@ -275,21 +278,32 @@ def _nearest(a: np.ndarray, b: np.ndarray, k: int, low: np.ndarray, own: np.ndar
     return row, places[row, at], values[row, at], multiplied
 
 
+def _chunks(visits: Column, chunk_rows: int, side: int) -> Column:
+    """Chunks into which a block's queries are dealt: ``side`` of them, fewer below ``chunk_rows`` each and more above TASK_ROWS."""
+    return F.ceil(visits / F.greatest(F.lit(chunk_rows), F.least(F.lit(TASK_ROWS), F.ceil(visits / side)))).cast("int")
+
+
 def _scan(visits: DataFrame, placed: DataFrame, pivots: np.ndarray, scope: list[str], k: int,
-          floor: float | None, exclude_self: bool, block_rows: int, chunk_rows: int) -> DataFrame:
+          floor: float | None, exclude_self: bool, block_rows: int, chunk_rows: int, side: int = SIDE) -> DataFrame:
     """k best entries per query and block; both sides of a task are bounded.
 
-    The queries of a block are dealt into chunks of at least ``chunk_rows``, at most SIDE until a chunk has TASK_ROWS, so
-    an entry is copied no more than that. Each task adds one row without a query: how many pairs it had and how many of
+    The queries of a block are dealt into chunks of at least ``chunk_rows``, at most ``side`` until a chunk has TASK_ROWS,
+    so an entry is copied no more than that. Each task adds one row without a query: how many pairs it had and how many of
     them it multiplied out.
     """
     block_key = [*scope, "block"]
-    many = F.greatest(F.lit(chunk_rows), F.least(F.lit(TASK_ROWS), F.ceil(F.col("_visits") / SIDE)))
     plan = visits.groupBy(*block_key).agg(F.count(F.lit(1)).alias("_visits")).select(
-        *block_key, F.ceil(F.col("_visits") / many).cast("int").alias("_chunks"))
-    left = join_null_safe(visits, plan, block_key).select(
+        *block_key, _chunks(F.col("_visits"), chunk_rows, side).alias("_chunks"))
+    if scope:
+        dealt = lambda df: join_null_safe(df, plan, block_key)
+    else:
+        # A row per block, as literals: a join would send the vectors over the network once more.
+        known = dict(tuple(r) for r in plan.collect())
+        of = F.lit([known.get(i, 0) for i in range(max(known, default=0) + 1)]).cast("array<int>")
+        dealt = lambda df: df.withColumn("_chunks", F.get(of, F.col("block"))).filter(F.col("_chunks") > 0)
+    left = dealt(visits).select(
         *block_key, F.pmod(F.xxhash64("qid"), F.col("_chunks")).cast("int").alias("_chunk"), "qid", "vec", "reach")
-    right = join_null_safe(placed, plan, block_key).select(
+    right = dealt(placed).select(
         *block_key, F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), "eid", "vec", "cell", "gap")
     keys = [*block_key, "_chunk"]
 
@@ -339,15 +353,15 @@ def _search(queries: DataFrame, entries: DataFrame, k: int, scope: list[str], mi
     blocks = _Blocks(sorted(tuple(r) for r in found.collect()), block_rows)  # MAX_PIVOTS rows at most
     placed = blocks.place(placed)
 
-    def scan(visits: DataFrame) -> DataFrame:
-        return _scan(visits, placed, pivot_vectors, scope, k, min_similarity, exclude_self, block_rows, chunk_rows)
+    def scan(visits: DataFrame, side: int = SIDE) -> DataFrame:
+        return _scan(visits, placed, pivot_vectors, scope, k, min_similarity, exclude_self, block_rows, chunk_rows, side)
 
     if min_similarity is not None or not several or blocks.count <= 1:
         reach = F.lit(None if min_similarity is None else float(np.sqrt(max(0.0, 2.0 - 2.0 * min_similarity)))).cast("double")
         return scan(_visits(q.withColumn("reach", reach), blocks, pivot_vectors, None))
     # First the blocks of the query's own cell, which bound how far the k-th neighbour can be; then only
     # the blocks that bound cannot rule out. The first round is stored, as both rounds need it.
-    first = stored(scan(_visits(q.withColumn("reach", F.lit(None).cast("double")), blocks, pivot_vectors, True)), "neighbours")
+    first = stored(scan(_visits(q.withColumn("reach", F.lit(None).cast("double")), blocks, pivot_vectors, True), HOME_SIDE), "neighbours")
     kth = top_n(first.filter(F.col("qid").isNotNull()), ["qid"], [F.col("similarity").desc(), F.col("eid").desc()], k).groupBy("qid").agg(
         F.when(F.count(F.lit(1)) == k, F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * F.min("similarity")))).alias("reach"))
     return first.unionByName(scan(_visits(q.join(kth, "qid", "left"), blocks, pivot_vectors, False)))

@@ -193,6 +193,23 @@ def test_a_row_is_sent_to_few_tasks_whatever_the_blocks(spark):
     assert work[0] <= 4 * sim.SIDE**2 and work[1] <= 2000**2
 
 
+def test_a_row_is_copied_as_often_at_every_size(spark):
+    sizes = (10_256, 102_564, 615_384)
+    assert [sim._Blocks([(0, n, 2.0)], sim.BLOCK_ROWS).count for n in sizes] == [sim.SIDE] * 3
+    visits = spark.createDataFrame([(n,) for n in sizes], "n long")
+    chunks = lambda side: [r[0] for r in visits.orderBy("n").select(sim._chunks(F.col("n"), sim.CHUNK_ROWS, side)).collect()]
+    assert chunks(sim.SIDE) == [sim.SIDE] * 3
+    assert chunks(sim.HOME_SIDE)[:2] == [sim.HOME_SIDE] * 2
+
+
+def test_vectors_are_dealt_without_a_join(spark):
+    """Only the two sides of each round are shuffled; entries get their block and both sides their chunk in place."""
+    v = clustered(400, 8, 4)
+    found = sim._search(frame(spark, v, "qid"), frame(spark, v, "eid"), 1, [], 0.5, True, 8, 32, 32)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("CoGroup") == 1
+
+
 @pytest.mark.parametrize("pivots,block,k", [(1, 64, 1), (5, 128, 3), (1, 4000, 2)])
 def test_vectors_without_clusters(spark, pivots, block, k):
     v = (np.random.default_rng(4).normal(size=(1500, 24)) / 8).astype(np.float32)
