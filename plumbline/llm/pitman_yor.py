@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import functools
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
@@ -61,6 +60,7 @@ TOKENS_PER_PART = 8_000_000
 #: Far parts for each part.
 FAR_PARTS = 3
 HELD_WORDS = 300_000
+SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 SEED = 5
 
 
@@ -70,7 +70,31 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 
 def hashes_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, each token's place among them, and the number of tokens of each text; tokens as in ``tokens_of``."""
+    texts = pa.compute.fill_null(texts, "").cast(pa.binary())
+    ends = np.frombuffer(texts.buffers()[1], "<i4", len(texts) + 1, 4 * texts.offset)
+    first, ends = int(ends[0]), ends[1:] - ends[0]
+    raw = texts.buffers()[2].slice(first, int(ends[-1])).to_pybytes() if len(ends) and ends[-1] else b""
+    data = np.frombuffer(raw.translate(LOWER_BYTES), "u1")
+    # The words lie without gaps once spaces are gone, so their starts are the offsets of an array of words.
+    inside = ~SPACE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = ends[ends < len(data)]
+    begins[edges] = inside[edges]
+    starts = np.flatnonzero(begins)
+    before = np.searchsorted(starts, ends)
+    place = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(inside, out=place[1:])
+    offsets = np.append(place[np.insert(starts, before, ends)], place[-1])
+    words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+    _, offsets, raw = words.dictionary.buffers()
+    edges, raw = np.frombuffer(offsets, "<i4", len(words.dictionary) + 1).tolist(), raw.to_pybytes() if raw else b""
+    return hashes_of([raw[a:b] for a, b in zip(edges, edges[1:])]), words.indices.to_numpy().astype(np.int64), np.diff(before, prepend=0) + 1
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -160,12 +184,13 @@ def _open_tables(customers: np.ndarray, strength: np.ndarray, discount: float, d
 def strength_evidence(customers: np.ndarray, tables: np.ndarray, discount: float) -> np.ndarray:
     """Log probability of restaurants' customers and tables under each strength of ``GRID``, in 1024ths."""
     met = tables > 0
-    c, t, d = customers[met].astype(float), tables[met].astype(float), max(discount, 1e-3)
-    # Restaurants alike count once.
-    pairs, n = np.unique(np.stack((c, t), 1), axis=0, return_counts=True)
-    if not len(pairs):
+    c, t, d = customers[met].astype(np.int64), tables[met].astype(np.int64), max(discount, 1e-3)
+    if not len(c):
         return np.zeros(len(GRID), np.int64)
-    c, t = pairs.T
+    # Restaurants alike count once; both numbers as one, as sorting rows of two takes far longer.
+    step = int(t.max()) + 1
+    pairs, n = np.unique(c * step + t, return_counts=True)
+    c, t = (x.astype(float) for x in np.divmod(pairs, step))
     logs = [_lgamma(s / d + t) - math.lgamma(s / d + 1) + (t - 1) * math.log(d) - _lgamma(s + c) + math.lgamma(s + 1) for s in GRID]
     return np.array([round(1024 * float((n * x).sum())) for x in logs], np.int64)
 
@@ -339,19 +364,23 @@ def _prepared(docs: DataFrame) -> DataFrame:
 def word_counts(docs: DataFrame) -> DataFrame:
     """(h, n): occurrences of each word, the end token included, in the training documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(hashes_of(list(held)).view(np.int64)), pa.array(np.fromiter(held.values(), np.int64, len(held)))], names=["h", "n"])
+            h, n = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            h, at = np.unique(h, return_inverse=True)
+            return pa.record_batch([pa.array(h.view(np.int64)), pa.array(np.bincount(at, n, len(h)).astype(np.int64))], names=["h", "n"])
 
-        for batch in batches:
-            for held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not held_out:
-                    held.update(tokens_of(text))
-                    if len(held) > HELD_WORDS:
-                        yield out()
-                        held.clear()
-        yield out()
+        for whole in batches:
+            batch = whole.filter(pa.compute.invert(pa.compute.fill_null(whole.column(0), False)))
+            for cut in slices(batch, "text", BLOCK_BYTES):
+                h, ids, _ = numbered(cut.column(1))
+                held.append((h, np.bincount(ids, minlength=len(h))))
+                if sum(len(h) for h, _ in held) > HELD_WORDS:
+                    yield out()
+        if held:
+            yield out()
 
     return _prepared(docs).select("held_out", "text").mapInArrow(tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
@@ -378,13 +407,8 @@ def blocks(docs: DataFrame, hot: np.ndarray, parts: int, far_parts: int, hot_sum
     counting = hot_sums is None
 
     def of_block(batch: pa.RecordBatch, number: int) -> pa.RecordBatch:
-        split = [tokens_of(t) for t in batch.column(2).to_pylist()]
-        train = ~batch.column(1).to_numpy(zero_copy_only=False)
-        numbers = {w: i for i, w in enumerate(set().union(*split))}
-        lengths = np.fromiter(map(len, split), np.int64, len(split))
-        ids = np.fromiter((numbers[w] for words in split for w in words), np.int64, int(lengths.sum()))
-        h, documents = hashes_of(list(numbers)), len(split)
-        del split, numbers  # one object a word
+        train, documents = ~batch.column(1).to_numpy(zero_copy_only=False), batch.num_rows
+        h, ids, lengths = numbered(batch.column(2))
         rank = rank_of(hot, h)
         follows = np.where((rank >= 0) & (rank < OWN_CONTEXTS), rank + 2, FAR)
         context = np.empty(len(ids), np.int64)
@@ -541,7 +565,7 @@ class FarStep:
                        *((to, FIXED, part, packed(seating.words[at], count[at].astype("u4")), None) for to, at in self.dealt(seating))])
 
     def replies(self, rows: pd.DataFrame, hot_count: np.ndarray, hot_tops: list[np.ndarray], samples: list[Totals]) -> tuple[FarSeating, np.ndarray, list[np.ndarray]]:
-        """The seating, and its words' training occurrences and parent probabilities in each sample."""
+        """The seating, and its words' training occurrences (0 where the replies lack them) and parent probabilities in each sample."""
         seating = FarSeating.load(_of_kind(rows, FIXED)[0], _of_kind(rows, STATE)[0])
         rank = rank_of(self.hot, seating.words)
         met, count, tops = rank >= 0, np.zeros(len(rank), np.int64), [np.zeros(len(rank)) for _ in samples]
@@ -550,8 +574,10 @@ class FarStep:
             top[met] = hot_top[rank[met]]
         sent = _of_kind(rows, SENT)
         for part, at in self.dealt(seating):
-            count[at], *states = (x.astype(np.int64) for x in unpacked(sent[part]))
-            for top, totals, (customers, tables) in zip(tops, samples, (states[:2], states[2:])[-len(samples):]):
+            *known, customers, tables = (x.astype(np.int64) for x in unpacked(sent[part]))
+            if known:
+                count[at] = known[0]
+            for top, totals, (customers, tables) in zip(tops, samples, (known[1:], (customers, tables))[-len(samples):]):
                 top[at] = totals.top(customers, tables)
         return seating, count, tops
 
@@ -573,13 +599,13 @@ def _outer(hashes: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
     return outer
 
 
-def _near_rows(part: int, seating: Seating, rows: pd.DataFrame) -> pd.DataFrame:
-    """The state, and the reply to each far part: occurrences, and parent customers and tables of two sweeps."""
-    counts = [seating.count, seating.top_customers(True), seating.old_top_tables, seating.top_customers(), seating.top_tables]
+def _near_rows(part: int, seating: Seating, rows: pd.DataFrame, scoring: bool = True) -> pd.DataFrame:
+    """The state, and the reply to each far part: parent customers and tables; for scoring also occurrences, and those of the sweep before."""
+    counts = [seating.count, seating.top_customers(True), seating.old_top_tables] * scoring + [seating.top_customers(), seating.top_tables]
     out = [(part, STATE, 0, seating.dump(), seating.sums().tolist())]
     for other, blob in _of_kind(rows, FIXED).items():
         h, _ = unpacked(blob)
-        values = np.zeros((5, len(h)), "u4")
+        values = np.zeros((len(counts), len(h)), "u4")
         # A word without training occurrences behind far contexts may have some behind near ones.
         place = np.minimum(np.searchsorted(seating.hashes, h), max(len(seating.hashes) - 1, 0))
         met = seating.hashes[place] == h if len(seating.hashes) else np.zeros(len(h), bool)
@@ -609,10 +635,10 @@ def first_seating(rows: pd.DataFrame) -> pd.DataFrame:
     return _near_rows(int(rows["part"].iloc[0]), seating, rows)
 
 
-def near_sweep(totals: Totals, n: int):
+def near_sweep(totals: Totals, n: int, last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         part, seating = int(rows["part"].iloc[0]), Seating.load(_of_kind(rows, STATE)[0])
-        return _near_rows(part, seating.sweep(totals, _outer(seating.hashes, rows), np.random.default_rng([SEED, n, part + 1])), rows)
+        return _near_rows(part, seating.sweep(totals, _outer(seating.hashes, rows), np.random.default_rng([SEED, n, part + 1])), rows, last)
 
     return run
 
@@ -699,7 +725,7 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, hot_words: int = HOT, tokens_per_
         before = (far if n else None, near)
         far = deal(fixed.filter("part < -1").unionByName(far.filter((F.col("part") < -1) & (F.col("kind") == STATE))).unionByName(
             near.filter("part < -1")), far_step.sweep(hot_count, hot_top, totals, n))
-        near = deal(near.filter("part >= 0").unionByName(fixed.filter("part >= 0")).unionByName(far.filter("part >= 0")), near_sweep(totals, n))
+        near = deal(near.filter("part >= 0").unionByName(fixed.filter("part >= 0")).unionByName(far.filter("part >= 0")), near_sweep(totals, n, n == sweeps - 1))
         for gone in before:  # recovery needs the last sweep only; the first far table holds what is fixed
             discard(gone)
         seen = far_sums()

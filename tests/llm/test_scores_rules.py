@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import fertility, license_index, pitman_yor, quality_cnn, toxicity_mil
@@ -325,3 +326,29 @@ def test_blocks_are_not_kept_and_merged_heads_count_all(make, corpus, monkeypatc
             want[word, c] += t
     h, n, ctx, trained = pitman_yor.unpacked(pitman_yor.merged_heads(heads))
     assert dict(zip(zip(np.repeat(h, n).tolist(), ctx.tolist()), trained.tolist())) == {k: t for k, t in want.items() if t}
+
+
+def test_words_are_numbered_as_they_are_split():
+    texts = ["", None, "One  two\tTWO", " x\x0by\x0c", "\u00c4b\u00a0c one", "one", "  ", "", "z\x1cz\r\n"]
+    for start in range(len(texts)):  # also of a slice, whose buffers begin earlier
+        h, ids, lengths = pitman_yor.numbered(pa.array(texts, pa.string()).slice(start))
+        split = [pitman_yor.tokens_of(t) for t in texts[start:]]
+        assert lengths.tolist() == [len(words) for words in split] and len(set(h.tolist())) == len(h)
+        assert h[ids].tolist() == pitman_yor.hashes_of([w for words in split for w in words]).tolist()
+    assert pitman_yor.numbered(pa.array([], pa.string()))[1].tolist() == []
+
+
+def test_alike_restaurants_count_once():
+    c, t = np.array([5, 1, 3, 5, 0, 1, 1 << 33]), np.array([2, 1, 1, 2, 0, 1, 9])
+    one = [pitman_yor.strength_evidence(c[i:i + 1], t[i:i + 1], 0.4) for i in range(len(c))]
+    assert np.abs(pitman_yor.strength_evidence(c, t, 0.4) - sum(one)).max() <= len(c)
+
+
+def test_replies_between_sweeps_hold_the_newest_counts_only():
+    word = np.zeros(1, np.int64)
+    seating = pitman_yor.Seating.begin(np.array([7], np.uint64), word, word, word + 3, word + 2, word + 5)
+    asked = pitman_yor._frame([(0, pitman_yor.FIXED, 1, pitman_yor.packed(np.array([7], np.uint64), np.array([2], "u4")), None)])
+    for scoring, expected in ((False, [[3], [1]]), (True, [[5], [3], [1], [3], [1]])):
+        rows = pitman_yor._near_rows(0, seating, asked, scoring)
+        (reply,) = pitman_yor._of_kind(rows, pitman_yor.SENT).values()
+        assert [x.tolist() for x in pitman_yor.unpacked(reply)] == expected
